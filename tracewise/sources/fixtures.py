@@ -58,6 +58,15 @@ def order_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is a chain, including the orders without lines (empty chains)."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("chain_id"),
+        F.when(F.col("o_orderkey") % 3 == 0, "math").when(F.col("o_orderkey") % 3 == 1, "code")
+         .otherwise("medical").alias("domain"))
+
+
 def order_edges(steps: DataFrame) -> DataFrame:
     """Sequential edges plus skip edges from even positions (no join needed)."""
     seq = steps.filter(F.col("idx") >= 1).select("chain_id", (F.col("idx") - 1).alias("src"), F.col("idx").alias("dst"))
@@ -162,6 +171,10 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                round(abs(l_discount) * 10, 6) as risk,
                'part ' || cast(l_partkey as varchar) || ' qty ' || cast(cast(floor(l_quantity) as bigint) as varchar) as text
         from order_base"""),
+    "order_chains": ((), """
+        select o_orderkey as chain_id,
+               case o_orderkey % 3 when 0 then 'math' when 1 then 'code' else 'medical' end as domain
+        from orders"""),
     "order_edges": (("order_steps",), """
         select chain_id, idx - 1 as src, idx as dst from order_steps where idx >= 1
         union all
@@ -219,6 +232,9 @@ def with_views(sql: str, *names: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({SQL_VIEWS[n][1]})" for n in order)
     body = sql.strip()
-    if body.lower().startswith("with "):
+    low = body.lower()
+    if low.startswith("with recursive "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
+    if low.startswith("with "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
