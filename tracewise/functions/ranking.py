@@ -24,9 +24,13 @@ KEY_BITS = 31
 
 
 def grouped_position(df: DataFrame, group_cols: list[str], key: str, tiebreak: str,
-                     bucket_bits: int = 12, out: str = "pos", size_col: str | None = "group_size") -> DataFrame:
+                     bucket_bits: int = 12, out: str = "pos", size_col: str | None = "group_size",
+                     bucket=None) -> DataFrame:
+    """``bucket`` overrides the default (high bits of a uniform hash key); it
+    must be monotone in ``key`` – e.g. ``shiftright(id, 10)`` for dense ids."""
     shift = KEY_BITS - bucket_bits
-    b = df.withColumn("_bucket", F.shiftright(F.col(key).cast("long"), shift))
+    bexpr = bucket if bucket is not None else F.shiftright(F.col(key).cast("long"), shift)
+    b = df.withColumn("_bucket", bexpr)
     counts = b.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
     wg = Window.partitionBy(*group_cols).orderBy("_bucket")
     offs = counts.select(

@@ -103,6 +103,24 @@ def order_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-model score heads (chain_id, idx, model_type, model_order, node_prob, origin_prob)."""
+    x = order_lines(spark, sf_dir)
+    risk = F.round(F.abs("l_discount") * 10, 6)
+    tax = F.round(F.col("l_tax") * 10, 6)
+    qty = F.round(F.least(F.col("l_quantity") / 50, F.lit(1.0)), 6)
+    return x.select(
+        "chain_id", "idx",
+        F.explode(F.array(
+            F.struct(F.lit("a").alias("model_type"), F.lit(0).alias("model_order"),
+                     F.round(1 - risk, 6).alias("node_prob"), risk.alias("origin_prob")),
+            F.struct(F.lit("b").alias("model_type"), F.lit(1).alias("model_order"),
+                     F.round(1 - tax, 6).alias("node_prob"), tax.alias("origin_prob")),
+            F.struct(F.lit("c").alias("model_type"), F.lit(2).alias("model_order"),
+                     qty.alias("node_prob"), F.round(1 - qty, 6).alias("origin_prob")),
+        )).alias("v")).select("chain_id", "idx", "v.*")
+
+
 def event_steps(spark: SparkSession, sf_dir: str, per_day: bool = False) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     if per_day:
@@ -187,6 +205,14 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         select chain_id, idx, domain, model_type, round(1 - risk, 6) as node_prob, risk as origin_prob,
                cast(is_correct as bigint) as y, cast(is_origin as bigint) as y_origin
         from order_steps"""),
+    "order_model_scores": (("order_base",), """
+        select chain_id, idx, 'a' as model_type, 0 as model_order, round(1 - round(abs(l_discount) * 10, 6), 6) as node_prob,
+               round(abs(l_discount) * 10, 6) as origin_prob from order_base
+        union all
+        select chain_id, idx, 'b', 1, round(1 - round(l_tax * 10, 6), 6), round(l_tax * 10, 6) from order_base
+        union all
+        select chain_id, idx, 'c', 2, round(least(l_quantity / 50, 1.0), 6), round(1 - round(least(l_quantity / 50, 1.0), 6), 6)
+        from order_base"""),
     "event_steps": ((), """
         select user_id as chain_id, row_number() over (partition by user_id order by ts, event_id) - 1 as idx,
                user_id, event_id, ts, event_type <> 'error' as is_correct, round(least(value / 100, 1.0), 6) as risk
