@@ -47,3 +47,20 @@ def grouped_position(df: DataFrame, group_cols: list[str], key: str, tiebreak: s
     if size_col:
         res = res.withColumn(size_col, F.col("_gsize").cast("long"))
     return res.drop("_bucket", "_lr", "_off", "_gsize")
+
+
+def k_smallest_distinct(df: DataFrame, group_cols: list[str], value: str, k: int, salts: int = 64,
+                        out: str = "values") -> DataFrame:
+    """Per group, the sorted array of the ``k`` smallest distinct values.
+
+    Bounded at every step: distinct (group, value) by partial aggregation;
+    each (group, salt) slice keeps its k smallest with a row_number window
+    (sorted, spillable, 1/salts of the group per task); the final collect per
+    group sees at most k * salts candidates.  A group holding a third of all
+    rows never lands in one task or one array.
+    """
+    d = df.select(*group_cols, value).filter(F.col(value).isNotNull()).distinct()
+    d = d.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(salts)))
+    w = Window.partitionBy(*group_cols, "_salt").orderBy(value)
+    cand = d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    return cand.groupBy(*group_cols).agg(F.slice(F.array_sort(F.collect_list(value)), 1, k).alias(out))

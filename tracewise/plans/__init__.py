@@ -1,4 +1,4 @@
 """Registered queries (importing this package fills the registry)."""
 
 from tracewise.plans.registry import QUERIES, ORACLES, OPERATORS  # noqa: F401
-from tracewise.plans import catalog_compare, catalog_consensus, catalog_validate  # noqa: F401
+from tracewise.plans import catalog_compare, catalog_consensus, catalog_risk, catalog_validate  # noqa: F401
