@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 # agree on (plain ``\w`` differs between the engines for non-ASCII letters).
 WORD_RE = r"[\p{L}\p{N}_]+"
 
+# Python's str.isspace() set, written so Java regex (Spark) and RE2 (DuckDB)
+# both read it identically (plain \s differs between Python, Java and RE2).
+PY_WS_CHARS = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+               r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+PY_WS = f"[{PY_WS_CHARS}]"
+PY_NON_WS = f"[^{PY_WS_CHARS}]"
+
 # Lehmer / MINSTD constants for the portable split key (Python's RNG cannot be
 # reproduced; this key is computed identically in Spark and in SQL oracles).
 HASH_MOD = 2147483647
@@ -35,12 +42,12 @@ def r6(x) -> Column:
 
 def strip_ws(x) -> Column:
     """Python ``str.strip()``: cut Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_c(x), f"^{PY_WS}+|{PY_WS}+$", "")
 
 
 def words(x) -> Column:
     """Python ``str.split()``: whitespace-separated tokens, no empties."""
-    return F.filter(F.split(strip_ws(x), r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(_c(x), f"{PY_WS}+"), lambda w: w != "")
 
 
 def substr_count(x, needle: str) -> Column:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewise.functions.common import strip_ws
+from tracewise.functions.common import PY_WS, strip_ws
 from tracewise.sources.tables import table
 
 _ORDER_KEYS = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
@@ -226,13 +226,13 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         select chain_id, unnest(l) as text, unnest(range(len(l))) as idx, domain, model_type
         from (select doc_id as chain_id, lang as domain, source as model_type,
                      list_filter(list_transform(string_split(text, chr(10)),
-                                 lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') as l
+                                 lambda s: regexp_replace(s, '^{PY_WS}+|{PY_WS}+$', '', 'g')), lambda s: s <> '') as l
               from documents)"""),
     "turn_steps": ((), """
         select conv_id, turn, role, unnest(l) as text, unnest(range(len(l))) as step_idx
         from (select conv_id, turn, role,
                      list_filter(list_transform(string_split(text, chr(10)),
-                                 lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') as l
+                                 lambda s: regexp_replace(s, '^{PY_WS}+|{PY_WS}+$', '', 'g')), lambda s: s <> '') as l
               from conversations)"""),
     "vec_steps": ((), """
         select cast(floor(vec_id / 10) as bigint) as chain_id, vec_id % 10 as idx,
@@ -241,6 +241,10 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+for _k, (_deps, _sql) in list(SQL_VIEWS.items()):
+    SQL_VIEWS[_k] = (_deps, _sql.replace("{PY_WS}", PY_WS))
+
+
 def with_views(sql: str, *names: str) -> str:
     """Prefix ``sql`` with the CTEs it needs (dependencies first)."""
     order: list[str] = []
