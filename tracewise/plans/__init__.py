@@ -1,4 +1,5 @@
 """Registered queries (importing this package fills the registry)."""
 
 from tracewise.plans.registry import QUERIES, ORACLES, OPERATORS  # noqa: F401
-from tracewise.plans import catalog_compare, catalog_consensus, catalog_risk, catalog_text, catalog_validate  # noqa: F401
+from tracewise.plans import (catalog_compare, catalog_consensus, catalog_memory, catalog_risk,  # noqa: F401
+                             catalog_text, catalog_validate)
