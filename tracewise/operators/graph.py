@@ -49,3 +49,364 @@ def bfs_levels(adj: DataFrame, start: DataFrame, key_cols: tuple[str, ...] = ("c
         visited = visited.unionByName(nxt.withColumn("dist", F.lit(level).cast("long")))
         frontier = nxt
     return visited
+
+
+# ---------------------------------------------------------------------------
+# G1: node / edge tables
+# ---------------------------------------------------------------------------
+
+# Label encodings of the reference.
+ERROR_CODES = {"factual": 1, "logical": 2, "syntax": 3}
+DOMAIN_CODES = {"math": 0, "code": 1, "medical": 2}
+
+
+def node_table(steps: DataFrame) -> DataFrame:
+    """G1 nodes: labels as floats; error type none/unknown=0, factual=1,
+    logical=2, syntax=3; domain math 0 / code 1 / medical 2 (unknown 0)."""
+    et = F.lower(F.coalesce(F.col("error_type"), F.lit("")))
+    dom = F.lower(F.coalesce(F.col("domain"), F.lit("")))
+    et_code = F.lit(0)
+    for k, v in ERROR_CODES.items():
+        et_code = F.when(et == k, v).otherwise(et_code)
+    dm_code = F.lit(0)
+    for k, v in DOMAIN_CODES.items():
+        dm_code = F.when(dom == k, v).otherwise(dm_code)
+    return steps.select("chain_id", "idx", F.col("is_correct").cast("double").alias("y"),
+                        F.col("is_origin").cast("double").alias("y_origin"), et_code.cast("long").alias("y_error_type"),
+                        dm_code.cast("long").alias("domain_id"))
+
+
+def edge_table(steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """G1 edges: the chain's 2-element edges with weight 1; a chain without
+    any valid edge gets sequential edges (i, i+1).  edges: (chain_id, edge)."""
+    valid = edges.filter(F.size("edge") == 2).select("chain_id", F.col("edge")[0].alias("src"), F.col("edge")[1].alias("dst"))
+    seq = (steps.filter(F.col("idx") >= 1).select("chain_id", (F.col("idx") - 1).alias("src"), F.col("idx").alias("dst"))
+           .join(valid.select("chain_id").distinct(), "chain_id", "left_anti"))
+    return valid.unionByName(seq).withColumn("weight", F.lit(1.0))
+
+
+# ---------------------------------------------------------------------------
+# Degrees and clustering
+# ---------------------------------------------------------------------------
+
+def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """in/out degree over distinct edges (0 for isolated nodes)."""
+    e = edges.select("chain_id", "src", "dst").distinct()
+    outd = e.groupBy("chain_id", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out_deg"))
+    ind = e.groupBy("chain_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("in_deg"))
+    return (nodes.select("chain_id", "node").join(ind, ["chain_id", "node"], "left").join(outd, ["chain_id", "node"], "left")
+            .select("chain_id", "node", F.coalesce("in_deg", F.lit(0)).cast("long").alias("in_deg"),
+                    F.coalesce("out_deg", F.lit(0)).cast("long").alias("out_deg")))
+
+
+def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Undirected clustering 2T/(d(d-1)) (0 if d < 2), self-loops ignored.
+
+    Triangles are counted with degree ordering: every undirected edge is
+    oriented from its lower-(degree, id) end, wedges are formed only from
+    out-neighbour pairs (out-degree <= sqrt(2m)), and closed by an
+    equi-join.  A hub node therefore never expands into deg^2 wedges."""
+    e = edges.select("chain_id", "src", "dst").filter(F.col("src") != F.col("dst"))
+    und = (e.select("chain_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    deg = (und.select("chain_id", F.col("a").alias("v")).unionAll(und.select("chain_id", F.col("b").alias("v")))
+           .groupBy("chain_id", "v").agg(F.count(F.lit(1)).alias("d")))
+    da = deg.select("chain_id", F.col("v").alias("a"), F.col("d").alias("da"))
+    db = deg.select("chain_id", F.col("v").alias("b"), F.col("d").alias("db"))
+    o = und.join(da, ["chain_id", "a"]).join(db, ["chain_id", "b"])
+    a_first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    orient = o.select("chain_id", F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("u"),
+                      F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("w"))
+    o1 = orient.select("chain_id", "u", F.col("w").alias("x"))
+    o2 = orient.select("chain_id", "u", F.col("w").alias("y"))
+    wedges = o1.join(o2, ["chain_id", "u"]).filter(F.col("x") < F.col("y"))
+    tri = wedges.join(und.select("chain_id", F.col("a").alias("x"), F.col("b").alias("y")), ["chain_id", "x", "y"])
+    per_node = (tri.select("chain_id", F.explode(F.array("u", "x", "y")).alias("v"))
+                .groupBy("chain_id", "v").agg(F.count(F.lit(1)).alias("t")))
+    j = (nodes.select("chain_id", F.col("node").alias("v")).join(deg, ["chain_id", "v"], "left")
+         .join(per_node, ["chain_id", "v"], "left"))
+    d = F.coalesce(F.col("d"), F.lit(0))
+    c = F.when(d < 2, 0.0).otherwise(2.0 * F.coalesce(F.col("t"), F.lit(0)) / (d * (d - 1)))
+    return j.select("chain_id", F.col("v").alias("node"), r6(c).alias("clustering"))
+
+
+# ---------------------------------------------------------------------------
+# Distances from the root, longest path
+# ---------------------------------------------------------------------------
+
+def root_distance(nodes: DataFrame, edges: DataFrame, root: int = 0) -> DataFrame:
+    """Directed hops from node ``root``; -1 when unreachable."""
+    start = nodes.select("chain_id").distinct().withColumn("node", F.lit(root).cast("long"))
+    start = start.join(nodes.select("chain_id", "node"), ["chain_id", "node"], "left_semi")
+    d = bfs_levels(edges.select("chain_id", "src", "dst"), start)
+    return (nodes.select("chain_id", "node").join(d, ["chain_id", "node"], "left")
+            .select("chain_id", "node", F.coalesce("dist", F.lit(-1)).cast("long").alias("path_length")))
+
+
+def longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per chain the longest path length in edges; a cyclic chain gets
+    n - 1 (networkx raises and the reference falls back); empty -> 0.
+
+    Walk frontier: W_0 = all nodes, W_k = heads of edges leaving W_{k-1}.
+    In a DAG the last non-empty k is the longest path; a chain whose
+    frontier is still non-empty at k = n has a cycle and leaves the loop.
+    Rounds = longest path + 1; each frontier is checkpointed."""
+    n = nodes.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n"))
+    a = cut_lineage(edges.select("chain_id", F.col("src").alias("node"), "dst").distinct())
+    frontier = cut_lineage(nodes.select("chain_id", "node").distinct().join(n, "chain_id"))
+    deepest = [frontier.select("chain_id", F.lit(0).alias("k"))]
+    k = 0
+    while True:
+        k += 1
+        nxt = cut_lineage(frontier.join(a, ["chain_id", "node"]).select("chain_id", F.col("dst").alias("node"), "n")
+                          .distinct().filter(F.lit(k) <= F.col("n")))
+        if nxt.isEmpty():
+            break
+        deepest.append(nxt.select("chain_id", F.lit(k).alias("k")))
+        frontier = nxt.filter(F.lit(k) < F.col("n"))
+    allk = deepest[0]
+    for d in deepest[1:]:
+        allk = allk.unionByName(d)
+    mk = allk.groupBy("chain_id").agg(F.max("k").alias("mk"))
+    j = n.join(mk, "chain_id", "left")
+    cyclic = F.coalesce(F.col("mk"), F.lit(0)) >= F.col("n")
+    return j.select("chain_id", (~cyclic).alias("is_dag"),
+                    F.when(cyclic, F.col("n") - 1).otherwise(F.coalesce("mk", F.lit(0))).cast("long").alias("max_depth"))
+
+
+# ---------------------------------------------------------------------------
+# Betweenness (Brandes, directed, normalised)
+# ---------------------------------------------------------------------------
+
+def shortest_path_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(chain_id, s, v, d, sigma): BFS from every source with the number of
+    shortest paths, level by level (semi-naive; each level checkpointed)."""
+    a = cut_lineage(edges.select("chain_id", F.col("src").alias("v"), "dst").distinct())
+    lvl = cut_lineage(nodes.select("chain_id", F.col("node").alias("s"), F.col("node").alias("v"))
+                      .withColumn("sigma", F.lit(1.0)).withColumn("d", F.lit(0)))
+    levels = [lvl]
+    seen = lvl.select("chain_id", "s", "v")
+    d = 0
+    while True:
+        d += 1
+        nxt = (lvl.join(a, ["chain_id", "v"]).groupBy("chain_id", "s", F.col("dst").alias("v"))
+               .agg(F.sum("sigma").alias("sigma"))
+               .join(seen, ["chain_id", "s", "v"], "left_anti").withColumn("d", F.lit(d)))
+        nxt = cut_lineage(nxt)
+        if nxt.isEmpty():
+            break
+        levels.append(nxt)
+        seen = seen.unionByName(nxt.select("chain_id", "s", "v"))
+        lvl = nxt
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Sum over s != v != t of sigma_st(v)/sigma_st, via Brandes'
+    dependency recursion delta_s(v) = sum_{w: v pred of w} sigma_sv/sigma_sw (1 + delta_s(w)),
+    evaluated from the deepest BFS level upwards; normalised by
+    1/((n-1)(n-2)) (0 when n <= 2), as networkx does for directed graphs."""
+    p = cut_lineage(shortest_path_counts(nodes, edges))
+    e = edges.select("chain_id", F.col("src").alias("v"), F.col("dst").alias("w")).distinct()
+    maxd = p.agg(F.max("d")).first()[0] or 0
+    # predecessor pairs on shortest-path DAGs: (s, v, w) with d(w) = d(v) + 1
+    pv = p.select("chain_id", "s", "v", F.col("d").alias("dv"), F.col("sigma").alias("sv"))
+    pw = p.select("chain_id", "s", F.col("v").alias("w"), F.col("d").alias("dw"), F.col("sigma").alias("sw"))
+    pairs = cut_lineage(pv.join(e, ["chain_id", "v"]).join(pw, ["chain_id", "s", "w"])
+                        .filter(F.col("dw") == F.col("dv") + 1).select("chain_id", "s", "v", "w", "dv", "sv", "sw"))
+    delta = None  # (chain_id, s, w, delta) of the level below
+    acc = []
+    for lv in range(maxd - 1, -1, -1):
+        lvl_pairs = pairs.filter(F.col("dv") == lv)
+        if delta is None:
+            contrib = lvl_pairs.withColumn("dw_", F.lit(0.0))
+        else:
+            contrib = lvl_pairs.join(delta.select("chain_id", "s", F.col("v").alias("w"), F.col("delta").alias("dw_")),
+                                     ["chain_id", "s", "w"], "left").fillna(0.0, ["dw_"])
+        delta = cut_lineage(contrib.groupBy("chain_id", "s", "v")
+                            .agg(F.sum(F.col("sv") / F.col("sw") * (1 + F.col("dw_"))).alias("delta")))
+        acc.append(delta.filter(F.col("s") != F.col("v")))
+    n = nodes.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n"))
+    if acc:
+        allv = acc[0]
+        for x in acc[1:]:
+            allv = allv.unionByName(x)
+        bc = allv.groupBy("chain_id", "v").agg(F.sum("delta").alias("bc"))
+    else:
+        bc = nodes.select("chain_id", F.col("node").alias("v")).withColumn("bc", F.lit(0.0)).limit(0)
+    j = (nodes.select("chain_id", F.col("node").alias("v")).join(bc, ["chain_id", "v"], "left").join(n, "chain_id"))
+    norm = F.when(F.col("n") > 2, F.coalesce("bc", F.lit(0.0)) / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(0.0)
+    return j.select("chain_id", F.col("v").alias("node"), r6(norm).alias("betweenness"))
+
+
+# ---------------------------------------------------------------------------
+# G7, G8, G12–G16
+# ---------------------------------------------------------------------------
+
+def task_features(steps: DataFrame, depth: DataFrame) -> DataFrame:
+    """Domain one-hot (3), chain depth, position idx/max(n-1, 1), 0.5."""
+    n = steps.groupBy("chain_id").agg(F.count(F.lit(1)).alias("_n"))
+    s = steps.join(n, "chain_id").join(depth.select("chain_id", "max_depth"), "chain_id", "left")
+    dom = F.lower(F.col("domain"))
+    return s.select("chain_id", "idx",
+                    (dom == "math").cast("double").alias("is_math"), (dom == "code").cast("double").alias("is_code"),
+                    (dom == "medical").cast("double").alias("is_medical"),
+                    F.coalesce("max_depth", F.lit(0)).cast("double").alias("depth"),
+                    r6(F.col("idx") / F.greatest(F.col("_n") - 1, F.lit(1))).alias("position"),
+                    F.lit(0.5).alias("factual_density"))
+
+
+def assemble_features(blocks: list[DataFrame], cols: list[list[str]]) -> DataFrame:
+    """Concatenate feature blocks keyed by (chain_id, idx) into one
+    array; with no block a single zero column is produced."""
+    if not blocks:
+        raise ValueError("need at least the node keys")
+    out = blocks[0].select("chain_id", "idx", F.array(*[F.col(c).cast("double") for c in cols[0]] or [F.lit(0.0)]).alias("features"))
+    for b, c in zip(blocks[1:], cols[1:]):
+        arr = F.array(*[F.col(x).cast("double") for x in c])
+        out = out.join(b.select("chain_id", "idx", arr.alias("_f")), ["chain_id", "idx"]).select(
+            "chain_id", "idx", F.concat("features", "_f").alias("features"))
+    return out
+
+
+def graph_stats(steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes, edges, avg_degree = 2E/max(n,1), density = E/(n(n-1)),
+    is_dag, max_depth, num_errors, error_rate, has_origin, origin_position."""
+    nodes = steps.select("chain_id", F.col("idx").alias("node"))
+    lp = longest_paths(nodes, edges)
+    s = steps.groupBy("chain_id").agg(
+        F.count(F.lit(1)).alias("num_nodes"), F.sum((~F.col("is_correct")).cast("int")).cast("long").alias("num_errors"),
+        F.min(F.when(F.col("is_origin"), F.struct("idx", "step_id"))).alias("_o"))
+    ne = edges.groupBy("chain_id").agg(F.count(F.lit(1)).alias("num_edges"))
+    j = s.join(ne, "chain_id", "left").join(lp, "chain_id", "left")
+    n = F.col("num_nodes")
+    e = F.coalesce("num_edges", F.lit(0))
+    return j.select("chain_id", "num_nodes", e.cast("long").alias("num_edges"),
+                    r6(2.0 * e / F.greatest(n, F.lit(1))).alias("avg_degree"),
+                    r6(F.when(n > 1, e / (n * (n - 1))).otherwise(0.0)).alias("density"),
+                    "is_dag", "max_depth", "num_errors", r6(F.col("num_errors") / F.greatest(n, F.lit(1))).alias("error_rate"),
+                    F.col("_o").isNotNull().alias("has_origin"), F.col("_o.step_id").alias("origin_position"))
+
+
+def domain_comparison(stats: DataFrame, chains: DataFrame) -> DataFrame:
+    """Per domain chains, mean nodes / edges / depth / error rate."""
+    return (stats.join(chains.select("chain_id", "domain"), "chain_id").groupBy("domain")
+            .agg(F.count(F.lit(1)).alias("num_chains"), r6(F.avg("num_nodes")).alias("avg_nodes"),
+                 r6(F.avg("num_edges")).alias("avg_edges"), r6(F.avg("max_depth")).alias("avg_depth"),
+                 r6(F.avg("error_rate")).alias("avg_error_rate")))
+
+
+def histogram(values: DataFrame, col: str, bins: int) -> DataFrame:
+    """Numpy-style equal-width histogram over [min, max] (last bin
+    closed; a constant column uses [v-0.5, v+0.5]).  The range is one
+    two-number aggregate read on the driver; binning is a group-by."""
+    lo, hi = values.agg(F.min(col), F.max(col)).first()
+    if lo is None:
+        return values.sparkSession.createDataFrame([], "bin long, lower double, upper double, n long")
+    lo, hi = float(lo), float(hi)
+    if lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
+    width = (hi - lo) / bins
+    b = F.least(F.floor((F.col(col) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("long")
+    return (values.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+            .select("bin", r6(F.lit(lo) + F.col("bin") * F.lit(width)).alias("lower"),
+                    r6(F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("upper"), "n"))
+
+
+def node_roles(steps: DataFrame) -> DataFrame:
+    """Origin / propagated (wrong, not origin) / correct."""
+    return steps.select("chain_id", "idx", F.when(F.col("is_origin"), "origin")
+                        .when(~F.col("is_correct"), "propagated").otherwise("correct").alias("role"))
+
+
+# ---------------------------------------------------------------------------
+# Semantic edges and edge-set evaluation
+# ---------------------------------------------------------------------------
+
+def cosine(a, b) -> F.Column:
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    na = F.sqrt(F.aggregate(F.transform(a, lambda x: x * x), F.lit(0.0), lambda acc, x: acc + x))
+    nb = F.sqrt(F.aggregate(F.transform(b, lambda x: x * x), F.lit(0.0), lambda acc, x: acc + x))
+    return F.when((na > 0) & (nb > 0), dot / (na * nb)).otherwise(0.0)
+
+
+def semantic_edges(vec_steps: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(chain_id, src, dst) for i < j in a chain with cosine >= threshold.
+    The pair test is inherent to the operator (the reference compares every
+    pair of steps of a chain); it is an equi-join on chain_id."""
+    a = vec_steps.select("chain_id", F.col("idx").alias("src"), F.col("embedding").alias("ea"))
+    b = vec_steps.select("chain_id", F.col("idx").alias("dst"), F.col("embedding").alias("eb"))
+    j = a.join(b, "chain_id").filter(F.col("src") < F.col("dst"))
+    return (j.withColumn("cos", cosine("ea", "eb")).filter(F.col("cos") >= threshold)
+            .select("chain_id", "src", "dst", r6("cos").alias("cosine")))
+
+
+def enhance_edges(existing: DataFrame, vec_steps: DataFrame | None, method: str = "semantic",
+                  threshold: float = 0.7) -> DataFrame:
+    """Semantic / hybrid add similar pairs to the existing edges (union,
+    deduplicated); nli and llm return the existing edges unchanged, as the
+    reference's stubs do."""
+    base = existing.select("chain_id", "src", "dst")
+    if method in ("nli", "llm") or vec_steps is None:
+        return base.distinct()
+    if method in ("semantic", "hybrid"):
+        return base.unionByName(semantic_edges(vec_steps, threshold).select("chain_id", "src", "dst")).distinct()
+    return base.distinct()
+
+
+def edge_set_eval(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """Per chain with gold edges TP/FP/FN -> P/R/F1 (0 on zero
+    denominators); means over those chains."""
+    p = pred.select("chain_id", "src", "dst").distinct().withColumn("_p", F.lit(1))
+    g = gold.select("chain_id", "src", "dst").distinct().withColumn("_g", F.lit(1))
+    j = p.join(g, ["chain_id", "src", "dst"], "full")
+    per = j.groupBy("chain_id").agg(
+        F.sum((F.col("_p").isNotNull() & F.col("_g").isNotNull()).cast("int")).alias("tp"),
+        F.sum((F.col("_p").isNotNull() & F.col("_g").isNull()).cast("int")).alias("fp"),
+        F.sum((F.col("_p").isNull() & F.col("_g").isNotNull()).cast("int")).alias("fn"))
+    per = per.join(g.select("chain_id").distinct(), "chain_id", "left_semi")
+    pr = safe_div("tp", F.col("tp") + F.col("fp"))
+    rc = safe_div("tp", F.col("tp") + F.col("fn"))
+    per = per.select("chain_id", pr.alias("p"), rc.alias("r"), safe_div(2 * pr * rc, pr + rc).alias("f1"))
+    return per.agg(r6(F.avg("p")).alias("precision"), r6(F.avg("r")).alias("recall"), r6(F.avg("f1")).alias("f1"),
+                   F.count(F.lit(1)).alias("n_chains"))
+
+
+# ---------------------------------------------------------------------------
+# Neighbourhood aggregation, pooling, attention heat map
+# ---------------------------------------------------------------------------
+
+def neighbour_mean(feats: DataFrame, edges: DataFrame, cols: list[str], rounds: int = 2,
+                   gate: str | None = None, rounded: bool = True) -> DataFrame:
+    """``rounds`` of h <- h + g * mean(h over in-neighbours) (0 without
+    in-neighbours); g = sigmoid(gate column) when given, else 1.  No learned
+    weights: the relational skeleton of message passing."""
+    e = edges.select("chain_id", "src", "dst").distinct()
+    h = feats.select("chain_id", "idx", *cols, *([gate] if gate else []))
+    for _ in range(rounds):
+        msg = (e.join(h.select("chain_id", F.col("idx").alias("src"), *cols), ["chain_id", "src"])
+               .groupBy("chain_id", F.col("dst").alias("idx")).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols]))
+        g = F.lit(1.0) if not gate else 1.0 / (1.0 + F.exp(-F.col(gate)))
+        h = (h.join(msg, ["chain_id", "idx"], "left")
+             .select("chain_id", "idx", *[(F.col(c) + g * F.coalesce(F.col(f"_m_{c}"), F.lit(0.0))).alias(c) for c in cols],
+                     *([gate] if gate else [])))
+    return h.select("chain_id", "idx", *[(r6(c) if rounded else F.col(c)).alias(c) for c in cols])
+
+
+def mean_pool(feats: DataFrame, cols: list[str]) -> DataFrame:
+    """Average node vector per chain."""
+    return feats.groupBy("chain_id").agg(*[r6(F.avg(c)).alias(c) for c in cols])
+
+
+def attention_heatmap(attn: DataFrame, steps: DataFrame) -> DataFrame:
+    """Mean over heads per edge, then the sum per target node (not
+    normalised); nodes without incoming attention get 0; label
+    'Step i: text[:20]...'."""
+    per_edge = attn.groupBy("chain_id", "src", "dst").agg(F.avg("alpha").alias("a"))
+    per_node = per_edge.groupBy("chain_id", F.col("dst").alias("idx")).agg(F.sum("a").alias("attention"))
+    return (steps.select("chain_id", "idx", "text").join(per_node, ["chain_id", "idx"], "left")
+            .select("chain_id", "idx", r6(F.coalesce("attention", F.lit(0.0))).alias("attention"),
+                    F.concat(F.lit("Step "), F.col("idx").cast("string"), F.lit(": "), F.substring("text", 1, 20),
+                             F.lit("...")).alias("label")))
