@@ -57,7 +57,7 @@ def per_class_metrics(df: DataFrame, keys: list[str], label: str = "y", score: s
         rows.append(F.struct(F.lit(cls).cast("long").alias("cls"), r6(p).alias("precision"), r6(r).alias("recall"),
                              r6(safe_div(2 * p * r, p + r)).alias("f1"),
                              (F.col(tp) + F.col(fn)).cast("long").alias("support")))
-    return c.select(*keys, F.explode(F.array(*rows)).alias("m")).select(*keys, "m.*")
+    return c.select(*keys, F.inline(F.array(*rows)))
 
 
 def _score_prefix(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:

@@ -106,10 +106,10 @@ def fingerprint(steps: DataFrame) -> DataFrame:
     uniq = (sm.select("chain_id", F.explode(words(F.lower("text"))).alias("w")).distinct()
             .groupBy("chain_id").agg(F.count(F.lit(1)).alias("unique_words")))
     # merged sentence pieces: open steps feed group g; delimiter steps close g and open g+1
-    contrib = sm.select("chain_id", F.explode(F.when(F.col("_m") == 0, F.array(F.struct(F.col("_g").alias("g"), F.col("_first").alias("ne"))))
-                                              .otherwise(F.array(F.struct(F.col("_g").alias("g"), F.col("_first").alias("ne")),
-                                                                 F.struct((F.col("_g") + 1).alias("g"), F.col("_last").alias("ne"))))).alias("c"))
-    groups = (contrib.groupBy("chain_id", "c.g").agg(F.max(F.col("c.ne").cast("int")).alias("ne"))
+    contrib = sm.select("chain_id", F.inline(F.when(F.col("_m") == 0, F.array(F.struct(F.col("_g").alias("g"), F.col("_first").alias("ne"))))
+                                             .otherwise(F.array(F.struct(F.col("_g").alias("g"), F.col("_first").alias("ne")),
+                                                                F.struct((F.col("_g") + 1).alias("g"), F.col("_last").alias("ne"))))))
+    groups = (contrib.groupBy("chain_id", "g").agg(F.max(F.col("ne").cast("int")).alias("ne"))
               .groupBy("chain_id").agg(F.sum("ne").alias("merged_sentences")))
     agg = sm.groupBy("chain_id").agg(
         F.count(F.lit(1)).alias("num_steps"), F.sum("n_words").alias("total_words"), F.sum("sum_wlen").alias("sum_wlen"),

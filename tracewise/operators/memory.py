@@ -39,13 +39,14 @@ def extract_entities(turn_steps: DataFrame) -> DataFrame:
     value_str, vkey).  Numbers come first within a step, then names, each in
     match order (the reference's insertion order).  ``vkey`` compares values
     the way Python does: float vs float, str vs str, mixed never equal."""
-    nums = turn_steps.select(
-        "conv_id", "turn", "step_idx",
-        F.posexplode(F.arrays_zip(F.regexp_extract_all("text", F.lit(NUMBER_RE), 1).alias("n"),
-                                  F.regexp_extract_all("text", F.lit(NUMBER_RE), 2).alias("v"))).alias("m", "z"))
+    # matches zipped with their position, then ``inline`` (no field access after a generator)
+    nz = F.arrays_zip(F.regexp_extract_all("text", F.lit(NUMBER_RE), 1).alias("n"),
+                      F.regexp_extract_all("text", F.lit(NUMBER_RE), 2).alias("v"))
+    nums = turn_steps.select("conv_id", "turn", "step_idx",
+                             F.inline(F.transform(nz, lambda z, i: F.struct(i.alias("m"), z["n"].alias("name"), z["v"].alias("v")))))
     nums = nums.select("conv_id", "turn", "step_idx", F.struct(F.lit(0).alias("k"), F.col("m").alias("m")).alias("pos"),
-                       F.col("z.n").alias("name"), F.lit("number").alias("kind"),
-                       F.col("z.v").cast("double").alias("value_num"), F.lit(None).cast("string").alias("value_str"))
+                       "name", F.lit("number").alias("kind"),
+                       F.col("v").cast("double").alias("value_num"), F.lit(None).cast("string").alias("value_str"))
     toks = turn_steps.select("conv_id", "turn", "step_idx",
                              F.posexplode(F.regexp_extract_all("text", F.lit(WORD_RE), 0)).alias("m", "tok"))
     names = (toks.filter(F.col("tok").rlike("^[A-Z][a-z]+$") & ~F.col("tok").isin(NAME_STOP))
@@ -61,13 +62,14 @@ def extract_entities(turn_steps: DataFrame) -> DataFrame:
 
 def extract_claims(turn_steps: DataFrame) -> DataFrame:
     """H3: (subject, 'is', object) per match, case kept."""
-    c = turn_steps.select(
-        "conv_id", "turn", "step_idx",
-        F.posexplode(F.arrays_zip(F.regexp_extract_all("text", F.lit(CLAIM_RE), 1).alias("s"),
-                                  F.regexp_extract_all("text", F.lit(CLAIM_RE), 2).alias("o"))).alias("m", "z"))
+    cz = F.arrays_zip(F.regexp_extract_all("text", F.lit(CLAIM_RE), 1).alias("s"),
+                      F.regexp_extract_all("text", F.lit(CLAIM_RE), 2).alias("o"))
+    c = turn_steps.select("conv_id", "turn", "step_idx",
+                          F.inline(F.transform(cz, lambda z, i: F.struct(i.alias("m"), z["s"].alias("subject"),
+                                                                         z["o"].alias("object")))))
     return c.select("conv_id", "turn", "step_idx", F.struct(F.lit(0).alias("k"), F.col("m").alias("m")).alias("pos"),
-                    F.col("z.s").alias("subject"), F.lit("is").alias("predicate"), F.col("z.o").alias("object"),
-                    F.col("z.o").alias("value"), F.col("z.o").alias("vkey"))
+                    "subject", F.lit("is").alias("predicate"), "object",
+                    F.col("object").alias("value"), F.col("object").alias("vkey"))
 
 
 def first_conflicts(mentions: DataFrame, keys: list[str]) -> DataFrame:

@@ -269,8 +269,8 @@ def target_assessment(metrics: DataFrame, targets: DataFrame) -> DataFrame:
     """Actual vs target per metric with direction.  ``metrics`` is the
     one-row R15 output; targets: (metric, target, direction)."""
     names = [r[0] for r in TARGETS]
-    long = metrics.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("actual"))
-                                              for n in names])).alias("m")).select("m.*")
+    long = metrics.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("actual"))
+                                             for n in names])))
     j = long.join(F.broadcast(targets), "metric")
     passed = F.when(F.col("direction") == "<=", F.col("actual") <= F.col("target")).otherwise(F.col("actual") >= F.col("target"))
     return j.select("metric", "actual", "target", "direction", passed.alias("passed"))

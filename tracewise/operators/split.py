@@ -73,8 +73,8 @@ def split_leakage(split_items: DataFrame, text_col: str, id_col: str) -> DataFra
 
     def counts(df, name):
         return df.agg(*[F.sum(F.col(a) * F.col(b)).cast("long").alias(f"{a}_{b}") for a, b in pairs]).select(
-            F.explode(F.array(*[F.struct(F.lit(a).alias("split_a"), F.lit(b).alias("split_b"),
-                                         F.col(f"{a}_{b}").alias(name)) for a, b in pairs])).alias("x")).select("x.*")
+            F.inline(F.array(*[F.struct(F.lit(a).alias("split_a"), F.lit(b).alias("split_b"),
+                                        F.col(f"{a}_{b}").alias(name)) for a, b in pairs])))
 
     return counts(by_id, "shared_ids").join(counts(by_text, "shared_texts"), ["split_a", "split_b"])
 

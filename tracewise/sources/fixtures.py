@@ -37,7 +37,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.first("l_suppkey").over(run).alias("first_supp"),
         (F.col("l_returnflag") != "R").alias("is_correct"),
         F.sum(wrong).over(run).alias("run_wrong"),
-        "l_linestatus", "l_discount", "l_tax", "l_partkey", "l_quantity",
+        "l_linestatus", "l_discount", "l_tax", "l_partkey", "l_quantity", "l_returnflag",
     )
 
 
@@ -80,12 +80,11 @@ def order_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = order_lines(spark, sf_dir)
     return x.select(
         "chain_id", "idx",
-        F.explode(F.array(
+        F.inline(F.array(
             F.struct(F.lit("a").alias("model_type"), F.col("is_correct").alias("pred")),
             F.struct(F.lit("b").alias("model_type"), (F.col("l_discount") < 0.07).alias("pred")),
             F.struct(F.lit("c").alias("model_type"), (F.col("l_tax") < 0.06).alias("pred")),
-        )).alias("v"),
-    ).select("chain_id", "idx", "v.model_type", "v.pred")
+        )))
 
 
 def order_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,14 +110,14 @@ def order_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     qty = F.round(F.least(F.col("l_quantity") / 50, F.lit(1.0)), 6)
     return x.select(
         "chain_id", "idx",
-        F.explode(F.array(
+        F.inline(F.array(
             F.struct(F.lit("a").alias("model_type"), F.lit(0).alias("model_order"),
                      F.round(1 - risk, 6).alias("node_prob"), risk.alias("origin_prob")),
             F.struct(F.lit("b").alias("model_type"), F.lit(1).alias("model_order"),
                      F.round(1 - tax, 6).alias("node_prob"), tax.alias("origin_prob")),
             F.struct(F.lit("c").alias("model_type"), F.lit(2).alias("model_order"),
                      qty.alias("node_prob"), F.round(1 - qty, 6).alias("origin_prob")),
-        )).alias("v")).select("chain_id", "idx", "v.*")
+        )))
 
 
 def event_steps(spark: SparkSession, sf_dir: str, per_day: bool = False) -> DataFrame:
@@ -176,7 +175,7 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                first_value(l_suppkey) over w as first_supp,
                l_returnflag <> 'R' as is_correct,
                sum(case when l_returnflag <> 'R' then 0 else 1 end) over (w rows between unbounded preceding and current row) as run_wrong,
-               l_linestatus, l_discount, l_tax, l_partkey, l_quantity
+               l_linestatus, l_discount, l_tax, l_partkey, l_quantity, l_returnflag
         from lineitem
         window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate)"""),
     "order_steps": (("order_base",), """
