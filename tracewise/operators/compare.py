@@ -124,3 +124,22 @@ def transfer_gap(matrix: DataFrame) -> DataFrame:
                     r6(F.coalesce("cross_domain", F.lit(0.0))).alias("cross_domain_f1"),
                     r6(gap).alias("gap"),
                     F.when(gap < 10, "good").when(gap < 20, "moderate").otherwise("specific").alias("transfer"))
+
+
+def comparative_report(steps: DataFrame) -> DataFrame:
+    """One long table (section, key, value) assembling X1 error rates, X2
+    accuracies, X5 ranking, X4 similarities and the totals (chains, models)."""
+    x1 = error_rate_by_model(steps).select(F.lit("error_rate").alias("section"), F.col("model_type").alias("key"),
+                                           r6("error_rate").alias("value"))
+    x2 = accuracy_by_model_domain(steps).select(F.lit("accuracy").alias("section"),
+                                                F.concat_ws("|", "model_type", "domain").alias("key"), r6("accuracy").alias("value"))
+    x5 = rank_ascending(error_rate_by_model(steps), "error_rate", "model_type").select(
+        F.lit("ranking").alias("section"), F.col("model_type").alias("key"), F.col("rnk").cast("double").alias("value"))
+    x4 = model_similarity(steps).select(F.lit("similarity").alias("section"), F.concat_ws("|", "model_a", "model_b").alias("key"),
+                                        F.col("similarity").alias("value"))
+    tot = steps.agg(F.countDistinct("chain_id").alias("c"), F.countDistinct("model_type").alias("m")).select(
+        F.inline(F.array(F.struct(F.lit("totals").alias("section"), F.lit("total_chains").alias("key"),
+                                  F.col("c").cast("double").alias("value")),
+                         F.struct(F.lit("totals").alias("section"), F.lit("models").alias("key"),
+                                  F.col("m").cast("double").alias("value")))))
+    return x1.unionByName(x2).unionByName(x5).unionByName(x4).unionByName(tot)

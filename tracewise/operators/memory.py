@@ -187,3 +187,131 @@ def mention_history(entities: DataFrame, conv_id, name: str) -> DataFrame:
     """H7: ordered mentions of one entity."""
     return (entities.filter((F.col("conv_id") == F.lit(conv_id)) & (F.col("name") == F.lit(name)))
             .orderBy("turn", "step_idx", "pos"))
+
+
+def turn_buckets(steps: DataFrame) -> DataFrame:
+    """Per (conv_id, turn): clean, cross_turn_error (some wrong step is
+    factual) or single_turn_error.  steps: (conv_id, turn, is_correct, error_type)."""
+    wrong = ~F.col("is_correct")
+    g = steps.groupBy("conv_id", "turn").agg(F.max(wrong.cast("int")).alias("_e"),
+                                            F.max((wrong & (F.col("error_type") == "factual")).cast("int")).alias("_f"))
+    return g.select("conv_id", "turn", F.when(F.col("_e") == 0, "clean").when(F.col("_f") == 1, "cross_turn_error")
+                    .otherwise("single_turn_error").alias("category"))
+
+
+def bucket_metrics(steps: DataFrame, turn_index: str = "turn_idx") -> DataFrame:
+    """F1 (class 1) and accuracy of ``pred`` against ``y`` for all steps,
+    per H17 category and per 1-based turn index ('turn_<k>')."""
+    from tracewise.operators.evaluate import binary_metrics
+
+    cat = turn_buckets(steps)
+    s = steps.join(cat, ["conv_id", "turn"])
+    groups = s.select("y", "pred", F.inline(F.array(
+        F.struct(F.lit("all").alias("bucket")), F.struct(F.col("category").alias("bucket")),
+        F.struct(F.concat(F.lit("turn_"), (F.col(turn_index) + 1).cast("string")).alias("bucket")))))
+    m = binary_metrics(groups.withColumn("score", F.col("pred").cast("double")), ["bucket"], "y", "score")
+    return m.select("bucket", "f1", "accuracy", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("n"))
+
+
+# Fixed values (reference): stop words and place suffixes of the rich extractor.
+RICH_STOP = ["The", "A", "An", "And", "But", "Or"]
+PLACE_SUFFIXES = ["ville", "ton", "berg", "burg", "polis", "chester"]
+RICH_NAME_RE = f"\\b([A-Z][a-z]+(?:{PY_WS}+[A-Z][a-z]+)*)\\b"
+RICH_NUM_RE = "\\b([0-9]+)\\b"
+RICH_PLACE_RE = f"\\b([A-Z][a-z]+(?:{'|'.join(PLACE_SUFFIXES)}))\\b"
+
+
+def rich_entities(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Per text the entity dictionary: multi-word capitalised names
+    (minus 6 stop words) -> themselves, integers -> 'number_N' with value N,
+    capitalised place names with common suffixes -> themselves.  One row
+    per (keys, entity); duplicates collapse like dictionary keys."""
+    t = F.col(text)
+    names = F.filter(F.regexp_extract_all(t, F.lit(RICH_NAME_RE), 1), lambda n: ~n.isin(RICH_STOP))
+    nums = F.transform(F.regexp_extract_all(t, F.lit(RICH_NUM_RE), 1), lambda n: F.concat(F.lit("number_"), n))
+    places = F.regexp_extract_all(t, F.lit(RICH_PLACE_RE), 1)
+    ent = F.array_distinct(F.concat(names, nums, places))
+    out = df.select(*keys, F.explode(ent).alias("entity"))
+    return out.withColumn("value", F.when(F.col("entity").startswith("number_"),
+                                          F.regexp_replace("entity", "^number_0*(?=.)", "")).otherwise(F.col("entity")))
+
+
+def template_chain(pairs: DataFrame, keys: list[str], question: str = "question", answer: str = "answer") -> DataFrame:
+    """The reference's three-step template chain for a (question, answer)
+    pair; deps [], [0], [0, 1]; all steps correct.  Long form."""
+    steps = F.array(
+        F.struct(F.lit(0).alias("step_id"), F.concat(F.lit("I need to find the answer to: "), F.col(question)).alias("text"),
+                 F.array().cast("array<int>").alias("depends_on")),
+        F.struct(F.lit(1).alias("step_id"), F.lit("Looking through the story for relevant details...").alias("text"),
+                 F.array(F.lit(0)).alias("depends_on")),
+        F.struct(F.lit(2).alias("step_id"), F.concat(F.lit("Based on the information, the answer is: "), F.col(answer)).alias("text"),
+                 F.array(F.lit(0), F.lit(1)).alias("depends_on")))
+    return pairs.select(*keys, F.inline(steps)).withColumn("is_correct", F.lit(True)).withColumn("is_origin", F.lit(False))
+
+
+# Fixed values (reference): replacement names, number shifts, negations, kinds.
+NEW_NAMES = ["Alice", "Bob", "Charlie", "Diana", "Emma", "Frank"]
+NUM_SHIFTS = [-3, -2, -1, 1, 2, 3]
+NEGATIONS = [(" is ", " is not "), (" was ", " was not "), (" can ", " cannot "), (" will ", " will not ")]
+INJECT_KINDS = ["entity", "claim", "buildup"]
+
+
+def fault_injection(turns: DataFrame, turn_steps: DataFrame, rate: float = 0.4, seed: int = 42) -> DataFrame:
+    """H16, deterministic: Python's RNG is replaced by hash draws on
+    (conversation, turn).  From the second turn on, when earlier turns hold
+    entities (H14, in first-seen order) and the draw is below ``rate``, one
+    step other than step 0 is modified: 'entity' replaces an earlier
+    entity's value (a different name, or the number shifted by ±1..3) and
+    marks the step factual + origin; 'claim' negates the first matching of
+    four phrases and marks it logical + origin; 'buildup' appends a note and
+    keeps the labels.  Fix: ``changed`` tells whether the text really
+    changed (the reference marks an entity error even when it did not).
+    A turn with a single step is skipped (the reference raises there)."""
+    from tracewise.functions.common import hash_key
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = turns.select("conv_id", "turn", "text").withColumn("turn_idx", F.row_number().over(w) - 1)
+    names = F.filter(F.regexp_extract_all("text", F.lit(RICH_NAME_RE), 1), lambda n: ~n.isin(RICH_STOP))
+    nums = F.transform(F.regexp_extract_all("text", F.lit(RICH_NUM_RE), 1), lambda n: F.concat(F.lit("number_"), n))
+    places = F.regexp_extract_all("text", F.lit(RICH_PLACE_RE), 1)
+    ents = t.select("conv_id", "turn", F.posexplode(F.array_distinct(F.concat(names, nums, places))).alias("pos", "entity"))
+    first = ents.groupBy("conv_id", "entity").agg(F.min(F.struct("turn", "pos")).alias("fs"))
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy("fs")) - 1)
+    new_per_turn = first.groupBy("conv_id", F.col("fs.turn").alias("turn")).agg(F.count(F.lit(1)).alias("_new"))
+    known = (t.select("conv_id", "turn", "turn_idx").join(new_per_turn, ["conv_id", "turn"], "left")
+             .withColumn("known", F.coalesce(F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    n_steps = turn_steps.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_steps"))
+    key = F.col("conv_id") * 1009 + F.col("turn")
+    d = (known.join(n_steps, ["conv_id", "turn"])
+         .withColumn("draw", hash_key(key, seed) % 1000)
+         .filter((F.col("turn_idx") > 0) & (F.col("known") > 0) & (F.col("draw") < int(rate * 1000)) & (F.col("n_steps") >= 2))
+         .withColumn("step_idx", (1 + hash_key(key, seed + 1) % (F.col("n_steps") - 1)).cast("long"))
+         .withColumn("kind", F.element_at(F.array(*[F.lit(k) for k in INJECT_KINDS]), (hash_key(key, seed + 2) % 3 + 1).cast("int")))
+         .withColumn("rank", hash_key(key, seed + 3) % F.col("known"))
+         .withColumn("rank2", hash_key(key, seed + 4) % F.col("known"))
+         .withColumn("pick", hash_key(key, seed + 5)))
+    old = ranked.select("conv_id", "rank", F.col("entity").alias("old_entity"))
+    note = ranked.select("conv_id", F.col("rank").alias("rank2"), F.col("entity").alias("note_entity"))
+    d = d.join(old, ["conv_id", "rank"]).join(note, ["conv_id", "rank2"])
+    st = turn_steps.select("conv_id", "turn", "step_idx", "text")
+    x = d.join(st, ["conv_id", "turn", "step_idx"])
+    is_num = F.col("old_entity").startswith("number_")
+    old_v = F.when(is_num, F.regexp_replace("old_entity", "^number_0*(?=.)", "")).otherwise(F.col("old_entity"))
+    cands = F.filter(F.array(*[F.lit(n) for n in NEW_NAMES]), lambda n: n != old_v)
+    new_v = F.when(is_num, (old_v.cast("long") + F.element_at(F.array(*[F.lit(s) for s in NUM_SHIFTS]),
+                                                               (F.col("pick") % 6 + 1).cast("int"))).cast("string")) \
+        .otherwise(F.element_at(cands, (F.col("pick") % F.size(cands) + 1).cast("int")))
+    low = F.lower(F.col("text"))
+    neg_text = F.lit(None).cast("string")
+    for pos, neg in reversed(NEGATIONS):
+        neg_text = F.when(low.contains(pos), F.replace(F.col("text"), F.lit(pos), F.lit(neg))).otherwise(neg_text)
+    matched = F.lit(False)
+    for pos, _ in NEGATIONS:
+        matched = matched | low.contains(pos)
+    new_text = (F.when(F.col("kind") == "entity", F.replace(F.col("text"), old_v, new_v))
+                .when(F.col("kind") == "claim", F.coalesce(neg_text, F.col("text")))
+                .otherwise(F.concat(F.col("text"), F.lit(" (Note: "), F.col("note_entity"), F.lit(" was mentioned)"))))
+    marked = (F.col("kind") == "entity") | ((F.col("kind") == "claim") & matched)
+    return x.select("conv_id", "turn", "step_idx", "kind", new_text.alias("new_text"),
+                    (new_text != F.col("text")).alias("changed"), (~marked).alias("is_correct"), marked.alias("is_origin"),
+                    F.when(F.col("kind") == "entity", "factual").when(marked, "logical").alias("error_type"))

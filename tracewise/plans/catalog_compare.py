@@ -49,3 +49,34 @@ def q_error_type_mix(spark, sf_dir):
     group by d.model_a, d.model_b""", "order_steps"))
 def q_model_similarity(spark, sf_dir):
     return compare.model_similarity(order_steps(spark, sf_dir))
+
+
+@register("comparative_report", "X6", with_views("""
+    with er as (select model_type, sum((not is_correct)::int)::double / count(*) as e from order_steps group by 1),
+    acc as (select model_type, domain, sum(is_correct::int)::double / count(*) as a from order_steps group by 1, 2),
+    pairs as (select a.model_type as ma, b.model_type as mb from er a join er b on a.model_type < b.model_type),
+    dom as (select p.ma, p.mb, x.domain from pairs p join acc x on x.model_type = p.ma
+            union select p.ma, p.mb, x.domain from pairs p join acc x on x.model_type = p.mb),
+    sim as (select d.ma, d.mb, round(avg(1 - abs(coalesce(a.a, 0) - coalesce(b.a, 0))), 6) + 0.0 as s
+            from dom d left join acc a on a.model_type = d.ma and a.domain = d.domain
+            left join acc b on b.model_type = d.mb and b.domain = d.domain group by 1, 2)
+    select 'error_rate' as section, model_type as key, round(e, 6) + 0.0 as value from er
+    union all select 'accuracy', model_type || '|' || domain, round(a, 6) + 0.0 from acc
+    union all select 'ranking', model_type, row_number() over (order by e, model_type)::double from er
+    union all select 'similarity', ma || '|' || mb, s from sim
+    union all select 'totals', 'total_chains', count(distinct chain_id)::double from order_steps
+    union all select 'totals', 'models', count(distinct model_type)::double from order_steps""", "order_steps"))
+def q_comparative_report(spark, sf_dir):
+    return compare.comparative_report(order_steps(spark, sf_dir))
+
+
+@register("dataset_balance", "Q3", with_views("""
+    select count(distinct chain_id) as total_chains, count(*) as total_nodes,
+           cast(sum(is_correct::int) as bigint) as correct_nodes, cast(count(*) - sum(is_correct::int) as bigint) as incorrect_nodes,
+           round(sum(is_correct::int) * 100.0::double / count(*), 1) as correct_pct,
+           round((count(*) - sum(is_correct::int)) * 100.0::double / count(*), 1) as incorrect_pct,
+           cast(sum(is_origin::int) as bigint) as origin_nodes
+    from order_steps""", "order_steps"))
+def q_dataset_balance(spark, sf_dir):
+    from tracewise.operators.synth import dataset_balance
+    return dataset_balance(order_steps(spark, sf_dir))

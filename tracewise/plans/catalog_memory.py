@@ -109,3 +109,73 @@ def q_claim_conflict(spark, sf_dir):
 def q_memory_features(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
     return memory.memory_features(turns, turn_steps(spark, sf_dir))
+
+
+@register("turn_buckets", "H17 H18", with_views("""
+    with o as (select o_orderkey, o_custkey,
+                      row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as turn_idx
+               from orders),
+    s as (select o.o_custkey as conv_id, st.chain_id as turn, o.turn_idx, st.is_correct, st.error_type,
+                 cast(st.is_correct as bigint) as y, (1 - st.risk > 0.5) as pred
+          from order_steps st join o on o.o_orderkey = st.chain_id),
+    c as (select conv_id, turn, case when not bool_or(not is_correct) then 'clean'
+                                     when bool_or(not is_correct and error_type = 'factual') then 'cross_turn_error'
+                                     else 'single_turn_error' end as category from s group by 1, 2),
+    g as (select 'all' as bucket, y, pred from s
+          union all select c.category, y, pred from s join c using (conv_id, turn)
+          union all select 'turn_' || cast(turn_idx + 1 as varchar), y, pred from s),
+    m as (select bucket, sum((pred and y = 1)::int) as tp, sum((pred and y <> 1)::int) as fp,
+                 sum((not pred and y <> 1)::int) as tn, sum((not pred and y = 1)::int) as fn from g group by bucket),
+    r as (select *, coalesce(tp / nullif(tp + fp, 0), 0) as p, coalesce(tp / nullif(tp + fn, 0), 0) as rc from m)
+    select bucket, round(coalesce(2 * p * rc / nullif(p + rc, 0), 0), 6) + 0.0 as f1,
+           round((tp + tn) / (tp + fp + tn + fn), 6) + 0.0 as accuracy, cast(tp + fp + tn + fn as bigint) as n
+    from r""", "order_steps"))
+def q_turn_buckets(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tracewise.functions.ranking import grouped_position
+    from tracewise.sources.fixtures import order_steps
+
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("_d"))
+    # turn index per customer, ranked without sorting a whole customer in one task
+    o = grouped_position(o, ["o_custkey"], "_d", "o_orderkey", out="turn_idx", size_col=None,
+                         bucket=F.shiftright(F.col("_d"), 42))  # ~51-day buckets
+    st = order_steps(spark, sf_dir)
+    s = st.join(o, st["chain_id"] == o["o_orderkey"]).select(
+        F.col("o_custkey").alias("conv_id"), F.col("chain_id").alias("turn"), "turn_idx", "is_correct", "error_type",
+        F.col("is_correct").cast("long").alias("y"), (1 - F.col("risk") > 0.5).alias("pred"))
+    return memory.bucket_metrics(s)
+
+
+@register("rich_entities", "H14")
+def q_rich_entities(spark, sf_dir):
+    """Rows-only: the extractor's word boundaries are Unicode-aware (as in
+    the reference); DuckDB's are ASCII-only, so no SQL twin is given."""
+    c = table(spark, sf_dir, "conversations")
+    return memory.rich_entities(c, ["conv_id", "turn"])
+
+
+@register("template_chain", "H15", """
+    with p as (select q.conv_id, q.turn, q.text as question, a.text as answer
+               from conversations q join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1
+               where q.role = 'user' and a.role = 'assistant')
+    select conv_id, turn, 0 as step_id, 'I need to find the answer to: ' || question as text, '' as depends_on from p
+    union all select conv_id, turn, 1, 'Looking through the story for relevant details...', '0' from p
+    union all select conv_id, turn, 2, 'Based on the information, the answer is: ' || answer, '0,1' from p""")
+def q_template_chain(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    c = table(spark, sf_dir, "conversations")
+    q = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    t = memory.template_chain(q.join(a, ["conv_id", "turn"]), ["conv_id", "turn"])
+    return t.select("conv_id", "turn", "step_id", "text", F.array_join("depends_on", ",").alias("depends_on"))
+
+
+@register("fault_injection", "H16")
+def q_fault_injection(spark, sf_dir):
+    """Rows-only (entities use Unicode word boundaries, see rich_entities):
+    deterministic cross-turn fault injection over the conversations."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return memory.fault_injection(turns, turn_steps(spark, sf_dir))

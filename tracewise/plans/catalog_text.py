@@ -127,3 +127,17 @@ def q_signature(spark, sf_dir):
 def q_step_certainty(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chain_id"), (F.col("quality") == 1).alias("clean"))
     return fpm.step_certainty(doc_steps(spark, sf_dir), lab)
+
+
+@register("source_classifier", "F8 F9 F10 F11 F12 F13")
+def q_source_classifier(spark, sf_dir):
+    """Rows-only: random-forest quality numbers (per-class P/R/F1, accuracy,
+    macro / weighted averages) of predicting a document's language from its
+    fingerprint, on a stratified 80/20 hash split."""
+    from tracewise.operators import classify
+
+    fp = fpm.fingerprint(doc_steps(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chain_id"), "lang")
+    train, test = classify.train_test(fp.join(docs, "chain_id"), "lang")
+    model = classify.fit(train)
+    return classify.multiclass_metrics(classify.predict(model, test))
