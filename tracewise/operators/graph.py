@@ -31,7 +31,11 @@ def bfs_levels(adj: DataFrame, start: DataFrame, key_cols: tuple[str, ...] = ("c
     ``key_cols`` may include a source column to run many BFS at once.
     """
     keys = list(key_cols)
-    a = cut_lineage(adj.select(*keys, F.col("src").alias("node"), "dst").distinct())
+    # partitioned on the join keys once: checkpoints keep their partitioning,
+    # so each level shuffles only the (shrinking) frontier, not the edges
+    nparts = int(adj.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = cut_lineage(adj.select(*keys, F.col("src").alias("node"), "dst").distinct()
+                    .repartition(nparts, *keys, "node"))
     visited = cut_lineage(start.select(*keys, "node").distinct().withColumn("dist", F.lit(0).cast("long")))
     frontier = visited.select(*keys, "node")
     level = 0

@@ -85,7 +85,9 @@ def q_math_conversion(spark, sf_dir):
            count(*) filter (where chain_id in (select chain_id from bad)) as invalid
     from ch""", "math_steps", "order_base"))
 def q_conversion_stats(spark, sf_dir):
-    chains = convert.convert_math(math_raw(spark, sf_dir))
+    from tracewise.session import cut_lineage
+    # every validation rule reads the converted chains: build them once
+    chains = cut_lineage(convert.convert_math(math_raw(spark, sf_dir)))
     lg = convert.to_long(chains).withColumn("depends_on", F.col("depends_on").cast("array<bigint>"))
     nodes = chains.select(F.col("query_id").alias("chain_id"), F.explode("dependency_graph.nodes").alias("node"))
     edges = chains.select(F.col("query_id").alias("chain_id"), F.explode("dependency_graph.edges").alias("edge"))

@@ -16,12 +16,14 @@ from tracewise.plans.registry import register
 from tracewise.sources.fixtures import (SQL_VIEWS, order_chains, order_edges, order_steps,
                                         with_views)
 from tracewise.sources.tables import table
+from tracewise.session import cut_lineage
 
 # --- planted-defect input (Spark) ------------------------------------------
 
 
 def validation_input(spark, sf_dir):
-    s = order_steps(spark, sf_dir)
+    # the rules read the steps many times: materialise them once
+    s = cut_lineage(order_steps(spark, sf_dir))
     m = F.col("chain_id") % 50
     idx = F.col("idx")
     steps = s.select(

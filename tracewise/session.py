@@ -57,11 +57,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
+    """Reliable checkpoint into the shared checkpoint folder (never local).
+
+    The data is persisted first so the checkpoint write reads it from the
+    cache instead of computing it a second time.  (Writing a parquet table
+    and reading it back is the other lineage cut allowed on a cluster; for
+    the many small per-level tables of the graph loops it measured slower.)
+    """
     from pyspark import StorageLevel
 
     checkpoint_dir(df.sparkSession)
-    # persist first: a reliable checkpoint otherwise computes the data twice
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = cached.checkpoint(eager=True)
     cached.unpersist()

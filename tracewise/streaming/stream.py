@@ -6,10 +6,10 @@ Here the step events are a real stream (``readStream`` over parquet):
 
 * R18 – tumbling / sliding / session windows with a watermark, append mode
 * R19 – ``dropDuplicatesWithinWatermark`` on (chain, step) keys
-* R7/R9 – per-chain running state with ``applyInPandasWithState``; a chain
-  ends by event-time timeout (the re-aimed replacement of the global cap of
-  100 streams, which is not partitionable); state is a handful of counters,
-  never the step history
+* R7/R9 – per-chain running state with ``applyInPandasWithState``, keyed by
+  user; a chain (user x day) ends when the next day starts or by event-time
+  timeout (the re-aimed replacement of the global cap of 100 streams, which
+  is not partitionable); state is a handful of counters, never the history
 * R20 – cross-turn contradiction check keyed by (conversation, name): the
   state is the key's first mention and its first differing mention, so it
   stays bounded however long a conversation runs
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -118,10 +119,10 @@ def dedup_steps(steps: DataFrame, keys: list[str], delay: str = "1 hour") -> Dat
 # ---------------------------------------------------------------------------
 
 CHAIN_STATE = T.StructType([
+    T.StructField("chain_id", T.LongType()), T.StructField("day_end_ms", T.LongType()),
     T.StructField("n", T.LongType()), T.StructField("n_wrong", T.LongType()), T.StructField("max_risk", T.DoubleType()),
     T.StructField("first_error", T.LongType()), T.StructField("first_flag", T.LongType()),
     T.StructField("flag_cnt", T.LongType()), T.StructField("flag_idx_sum", T.LongType()),
-    T.StructField("last_ts", T.TimestampType()),
 ])
 CHAIN_OUT = T.StructType([
     T.StructField("chain_id", T.LongType()), T.StructField("num_steps", T.LongType()),
@@ -129,58 +130,82 @@ CHAIN_OUT = T.StructType([
     T.StructField("overall_risk_level", T.StringType()), T.StructField("first_error_step", T.LongType()),
     T.StructField("first_flag_step", T.LongType()), T.StructField("replay_interventions", T.LongType()),
 ])
+_DAY_MS = 86_400_000
 
 
 def _level(x: float) -> str:
     return "LOW" if x < LOW_MAX else ("MEDIUM" if x < MEDIUM_MAX else "HIGH")
 
 
+def _summary(st) -> dict:
+    chain_id, _, n, nw, mr, fe, ff, fc, fs = st
+    return {"chain_id": chain_id, "num_steps": n, "num_errors": nw, "max_risk": mr,
+            "overall_risk_level": _level(mr if mr is not None else 0.0),
+            "first_error_step": -1 if fe is None else fe, "first_flag_step": -1 if ff is None else ff,
+            "replay_interventions": n * fc - fs}
+
+
+def _accumulate(st, g: pd.DataFrame):
+    """Fold one chain's new steps (sorted) into its counters (vectorised)."""
+    chain_id, day_end, n, nw, mr, fe, ff, fc, fs = st
+    idx = n + np.arange(len(g), dtype=np.int64)  # auto step ids in arrival order
+    wrong = ~g["is_correct"].to_numpy(dtype=bool)
+    risk = g["risk"].to_numpy(dtype=float)
+    flag = np.nan_to_num(risk, nan=-1.0) >= LOW_MAX
+    if fe is None and wrong.any():
+        fe = int(idx[wrong][0])
+    if not np.isnan(risk).all():
+        m = float(np.nanmax(risk))
+        mr = m if mr is None else max(mr, m)
+    if ff is None and flag.any():
+        ff = int(idx[flag][0])
+    return (chain_id, day_end, n + len(g), nw + int(wrong.sum()), mr, fe, ff, fc + int(flag.sum()),
+            fs + int(idx[flag].sum()))
+
+
 def _chain_state_fn(idle_ms: int):
+    """Keyed by user: the state is the user's open chain (one day).  A chain
+    closes when steps of a later day arrive or when the watermark passes the
+    end of its day (+ ``idle``); it is emitted once, then forgotten."""
+
     def fn(key, pdfs, state):
-        chain_id = int(key[0])
         if state.hasTimedOut:
-            n, nw, mr, fe, ff, fc, fs, _ = state.get
+            st = state.get
             state.remove()
-            yield pd.DataFrame([{
-                "chain_id": chain_id, "num_steps": n, "num_errors": nw, "max_risk": mr,
-                "overall_risk_level": _level(mr if mr is not None else 0.0),
-                "first_error_step": -1 if fe is None else fe, "first_flag_step": -1 if ff is None else ff,
-                "replay_interventions": n * fc - fs}])
+            yield pd.DataFrame([_summary(st)])
             return
-        if state.exists:
-            n, nw, mr, fe, ff, fc, fs, last = state.get
-        else:
-            n, nw, mr, fe, ff, fc, fs, last = 0, 0, None, None, None, 0, 0, None
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            for ok, risk, ts in zip(pdf["is_correct"], pdf["risk"], pdf["ts"]):
-                idx = n  # auto step id: position in arrival order
-                if not ok:
-                    nw += 1
-                    fe = idx if fe is None else fe
-                if risk is not None and risk == risk:
-                    mr = risk if mr is None else max(mr, risk)
-                    if risk >= LOW_MAX:
-                        ff = idx if ff is None else ff
-                        fc += 1
-                        fs += idx
-                n += 1
-                last = ts if last is None or ts > last else last
-        state.update((n, nw, mr, fe, ff, fc, fs, last))
-        state.setTimeoutTimestamp(int(pd.Timestamp(last).timestamp() * 1000) + idle_ms)
-        return
-        yield  # pragma: no cover  (generator)
+        st = tuple(state.get) if state.exists else None
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+        out = []
+        for chain_id, g in pdf.groupby("chain_id", sort=True):
+            chain_id = int(chain_id)
+            if st is not None and chain_id < st[0]:
+                continue  # a chain that already closed: late steps are dropped
+            if st is not None and chain_id > st[0]:
+                out.append(_summary(st))
+                st = None
+            if st is None:
+                day_end = (int(pd.Timestamp(g["ts"].iloc[0]).normalize().timestamp() * 1000) + _DAY_MS)
+                st = (chain_id, day_end, 0, 0, None, None, None, 0, 0)
+            st = _accumulate(st, g)
+        if st is not None:
+            state.update(st)
+            state.setTimeoutTimestamp(st[1] + idle_ms)
+        if out:
+            yield pd.DataFrame(out)
 
     return fn
 
 
 def chain_state(steps: DataFrame, idle: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """R7 + R9: running per-chain state; a chain's summary is emitted once
-    the watermark passes its last event plus ``idle`` (event-time timeout),
+    """R7 + R9: running per-chain state (chain = user x day), keyed by user
+    so that one Python call serves all of a user's chains in a batch.  A
+    chain's summary is emitted when the user's next day starts or when the
+    watermark passes the end of its day plus ``idle`` (event-time timeout),
     then its state is dropped.  Steps get ids in arrival (ts, event_id)
     order, matching the batch ``idx``."""
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    return (steps.withWatermark("ts", delay).groupBy("chain_id")
+    return (steps.withWatermark("ts", delay).groupBy("user_id")
             .applyInPandasWithState(_chain_state_fn(idle_ms), CHAIN_OUT, CHAIN_STATE, "append",
                                     GroupStateTimeout.EventTimeTimeout))
 
