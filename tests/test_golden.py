@@ -45,7 +45,9 @@ def test_weighted_unanimous_expert(spark, votes):
     assert [x.pred for x in ex] == [True, True, False, True, True]
     # a stricter threshold exposes disagreements
     c = consensus.chain_consensus(consensus.majority_vote(votes), 0.8).first()
-    assert not c.consensus_exists and c.disagreement_points == "2,3"
+    assert not c.consensus_exists and c.num_disagreements == 2
+    pts = consensus.disagreement_points(consensus.majority_vote(votes), 0.8)
+    assert sorted(r.idx for r in pts.collect()) == [2, 3]
 
 
 def test_tie_is_false(spark):

@@ -75,17 +75,23 @@ def expert_vote(votes: DataFrame, weights: DataFrame | None) -> DataFrame:
 
 def chain_consensus(step_votes: DataFrame, threshold: float = 0.5) -> DataFrame:
     """M6: per chain, consensus exists iff every step's agreement >= threshold;
-    confidence = mean agreement; disagreement points = sorted step indexes."""
+    confidence = mean agreement; the disagreement points themselves are the
+    rows of ``disagreement_points`` (a per-chain list would put a long
+    chain's whole list in one task)."""
     ok = F.col("agreement") >= F.lit(threshold)
     return step_votes.groupBy("chain_id").agg(
         F.min(ok.cast("int")).cast("boolean").alias("consensus_exists"),
         r6(F.avg("agreement")).alias("consensus_confidence"),
         F.count(F.lit(1)).alias("num_steps"),
         F.sum((~ok).cast("int")).cast("long").alias("num_disagreements"),
-        F.array_join(F.array_sort(F.collect_list(F.when(~ok, F.col("idx")))), ",").alias("disagreement_points"),
     )
 
 
+def disagreement_points(step_votes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """M6 / M9: (chain_id, idx, agreement) of the steps below the threshold."""
+    return step_votes.filter(F.col("agreement") < F.lit(threshold)).select("chain_id", "idx", "agreement")
+
+
 def combine_predictors(step_votes: DataFrame, other: DataFrame, other_weight: float = 0.5) -> DataFrame:
     """M8: w = a(1-g) + (1-a)g; keep the consensus when w > 0.5 else the other
     predictor.  ``other``: (chain_id, idx, other_pred).  Steps missing on one
@@ -96,24 +102,20 @@ def combine_predictors(step_votes: DataFrame, other: DataFrame, other_weight: fl
     return j.select("chain_id", "idx", F.when(w > 0.5, F.col("pred")).otherwise(F.col("other_pred")).alias("combined"))
 
 
-def disagreement_analysis(step_votes: DataFrame, votes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """M9: per chain has/count/rate of disagreement plus, per disagreement
-    point, every model's prediction (``details`` as 'idx:model=pred;...')."""
+def disagreement_analysis(step_votes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """M9 summary: per chain has / count / rate of disagreement."""
     ok = F.col("agreement") >= F.lit(threshold)
-    pts = step_votes.filter(~ok).select("chain_id", "idx")
-    det = (votes.join(pts, ["chain_id", "idx"])
-           .groupBy("chain_id", "idx")
-           .agg(F.array_join(F.array_sort(F.collect_list(
-               F.concat_ws("=", "model_type", F.col("pred").cast("string")))), ",").alias("preds"))
-           .groupBy("chain_id")
-           .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "preds"))),
-                                         lambda s: F.concat_ws(":", s["idx"].cast("string"), s["preds"])), ";").alias("details")))
     summ = step_votes.groupBy("chain_id").agg(F.count(F.lit(1)).alias("num_steps"),
                                                F.sum((~ok).cast("int")).cast("long").alias("num_disagreements"))
-    return (summ.join(det, "chain_id", "left")
-            .select("chain_id", (F.col("num_disagreements") > 0).alias("has_disagreement"), "num_disagreements",
-                    r6(safe_div("num_disagreements", "num_steps")).alias("disagreement_rate"),
-                    F.coalesce("details", F.lit("")).alias("details")))
+    return summ.select("chain_id", (F.col("num_disagreements") > 0).alias("has_disagreement"), "num_disagreements",
+                       r6(safe_div("num_disagreements", "num_steps")).alias("disagreement_rate"))
+
+
+def disagreement_details(step_votes: DataFrame, votes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """M9 details: every model's prediction at every disagreement point, as
+    rows (chain_id, idx, model_type, pred) – a semi-join, no per-chain list."""
+    pts = disagreement_points(step_votes, threshold).select("chain_id", "idx")
+    return votes.join(pts, ["chain_id", "idx"], "left_semi").select("chain_id", "idx", "model_type", "pred")
 
 
 def agreement_patterns(step_votes: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -107,12 +107,12 @@ def sample_stats(samples: DataFrame, split_of_chain: DataFrame) -> DataFrame:
 
 
 def risk_bands(steps: DataFrame) -> DataFrame:
-    """Per-step level and chain summary (max risk, its level, vulnerable steps)."""
-    s = steps.withColumn("risk_level", band("risk")).withColumn("is_vulnerable", F.col("risk") >= LOW_MAX)
+    """Chain summary (max risk, its level, number of vulnerable steps);
+    the vulnerable steps themselves are the rows of ``steps_at_level``."""
+    s = steps.withColumn("is_vulnerable", F.col("risk") >= LOW_MAX)
     return s.groupBy("chain_id").agg(
         F.count(F.lit(1)).alias("num_steps"), r6(F.max("risk")).alias("overall_risk_score"),
         F.sum(F.col("is_vulnerable").cast("int")).cast("long").alias("n_vulnerable"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("is_vulnerable"), F.col("idx")))), ",").alias("vulnerable_steps"),
     ).withColumn("overall_risk_level", band("overall_risk_score"))
 
 

@@ -143,16 +143,14 @@ def undirected_adjacency(edges: DataFrame) -> DataFrame:
 
 
 def unreached_nodes(nodes: DataFrame, edges: DataFrame, has_steps: DataFrame) -> DataFrame:
-    """V4: nodes not reachable (undirected) from node 0; one row per chain
-    with at least one such node: (chain_id, n_unreached, unreached)."""
+    """V4: nodes not reachable (undirected) from node 0, one row per node
+    (chain_id, node); per-chain counts are a group-by away."""
     from tracewise.operators.graph import bfs_levels
 
     adj = undirected_adjacency(edges)
     start = has_steps.select("chain_id").distinct().withColumn("node", F.lit(0).cast("long"))
     reach = bfs_levels(adj, start).select("chain_id", "node")
-    un = nodes.select("chain_id", "node").distinct().join(reach, ["chain_id", "node"], "left_anti")
-    return un.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n_unreached"),
-                                      F.array_sort(F.collect_list("node")).alias("unreached"))
+    return nodes.select("chain_id", "node").distinct().join(reach, ["chain_id", "node"], "left_anti")
 
 
 def label_inconsistency(steps: DataFrame, edges: DataFrame) -> DataFrame:

@@ -76,15 +76,20 @@ _MAJ_SQL = """maj as (select chain_id, idx, sum(pred::int) > count(*) - sum(pred
     with {_MAJ_SQL}
     select chain_id, bool_and(agreement >= 0.8) as consensus_exists,
            round(avg(agreement), 6) + 0.0 as consensus_confidence, count(*) as num_steps,
-           cast(sum((agreement < 0.8)::int) as bigint) as num_disagreements,
-           coalesce(string_agg(case when agreement < 0.8 then cast(idx as varchar) end, ',' order by idx), '')
-               as disagreement_points
+           cast(sum((agreement < 0.8)::int) as bigint) as num_disagreements
     from maj group by chain_id""", "order_votes"))
 def q_consensus_chain(spark, sf_dir):
     return consensus.chain_consensus(consensus.majority_vote(order_votes(spark, sf_dir)), threshold=0.8)
 
 
-@register("agreement_patterns", "M11 X6", with_views(f"""
+@register("disagreement_points", "M6 M9", with_views(f"""
+    with {_MAJ_SQL}
+    select chain_id, idx, round(agreement, 6) + 0.0 as agreement from maj where agreement < 0.8""", "order_votes"))
+def q_disagreement_points(spark, sf_dir):
+    return _rounded(consensus.disagreement_points(consensus.majority_vote(order_votes(spark, sf_dir)), 0.8))
+
+
+@register("agreement_patterns", "M11", with_views(f"""
     with {_MAJ_SQL},
     pc as (select chain_id, min((agreement >= 0.8)::int) as cons from maj group by chain_id),
     a as (select count(*) as total_chains, cast(sum(cons) as bigint) as chains_with_consensus from pc),
@@ -110,20 +115,22 @@ def q_combine_predictors(spark, sf_dir):
 
 
 @register("disagreement_analysis", "M9", with_views(f"""
-    with {_MAJ_SQL},
-    pts as (select chain_id, idx from maj where agreement < 0.8),
-    d1 as (select v.chain_id, v.idx, string_agg(v.model_type || '=' || case when v.pred then 'true' else 'false' end, ','
-                                                order by v.model_type || '=' || case when v.pred then 'true' else 'false' end) as preds
-           from order_votes v join pts using (chain_id, idx) group by v.chain_id, v.idx),
-    d2 as (select chain_id, string_agg(cast(idx as varchar) || ':' || preds, ';' order by idx) as details from d1 group by chain_id),
-    s as (select chain_id, count(*) as num_steps, cast(sum((agreement < 0.8)::int) as bigint) as num_disagreements
-          from maj group by chain_id)
-    select s.chain_id, num_disagreements > 0 as has_disagreement, num_disagreements,
-           round(num_disagreements / num_steps, 6) + 0.0 as disagreement_rate, coalesce(details, '') as details
-    from s left join d2 using (chain_id)""", "order_votes"))
+    with {_MAJ_SQL}
+    select chain_id, sum((agreement < 0.8)::int) > 0 as has_disagreement,
+           cast(sum((agreement < 0.8)::int) as bigint) as num_disagreements,
+           round(sum((agreement < 0.8)::int) / count(*), 6) + 0.0 as disagreement_rate
+    from maj group by chain_id""", "order_votes"))
 def q_disagreement_analysis(spark, sf_dir):
+    return consensus.disagreement_analysis(consensus.majority_vote(order_votes(spark, sf_dir)), threshold=0.8)
+
+
+@register("disagreement_details", "M9", with_views(f"""
+    with {_MAJ_SQL}
+    select v.chain_id, v.idx, v.model_type, v.pred
+    from order_votes v join maj m using (chain_id, idx) where m.agreement < 0.8""", "order_votes"))
+def q_disagreement_details(spark, sf_dir):
     v = order_votes(spark, sf_dir)
-    return consensus.disagreement_analysis(consensus.majority_vote(v), v, threshold=0.8)
+    return consensus.disagreement_details(consensus.majority_vote(v), v, threshold=0.8)
 
 
 @register("vote_input_check", "M1", with_views("""

@@ -87,16 +87,23 @@ def q_sample_stats(spark, sf_dir):
     return risk.sample_stats(risk.prefix_samples(s), sp)
 
 
-@register("risk_bands", "R4 R5", with_views(f"""
+@register("risk_bands", "R4", with_views(f"""
     select chain_id, count(*) as num_steps, round(max(risk), 6) + 0.0 as overall_risk_score,
            cast(sum((risk >= 0.3)::int) as bigint) as n_vulnerable,
-           coalesce(string_agg(case when risk >= 0.3 then cast(idx as varchar) end, ',' order by idx), '') as vulnerable_steps,
            {_BAND.format(x='max(risk)')} as overall_risk_level
     from event_day_steps group by chain_id""", "event_day_steps"))
 def q_risk_bands(spark, sf_dir):
     return risk.risk_bands(_day_steps(spark, sf_dir))
 
 
+@register("vulnerable_steps", "R5", with_views(f"""
+    select chain_id, idx, round(risk, 6) + 0.0 as risk, {_BAND.format(x='risk')} as risk_level
+    from event_day_steps where risk >= 0.3""", "event_day_steps"))
+def q_vulnerable_steps(spark, sf_dir):
+    s = risk.steps_at_level(_day_steps(spark, sf_dir), "MEDIUM")
+    return s.select("chain_id", "idx", F.round("risk", 6).alias("risk"), risk.band("risk").alias("risk_level"))
+
+
 @register("running_risk", "R6", with_views(f"""
     select chain_id, idx, round(risk, 6) + 0.0 as risk, round(m, 6) + 0.0 as prefix_risk, {_BAND.format(x='m')} as prefix_level
     from (select *, max(risk) over (partition by chain_id order by idx rows between unbounded preceding and current row) as m
