@@ -32,14 +32,22 @@ def pipeline(num_trees: int = 100, max_depth: int = 20, seed: int = 42) -> Pipel
         StringIndexer(inputCol="label_name", outputCol="label", stringOrderType="alphabetAsc"),
         VectorAssembler(inputCols=FEATURE_NAMES, outputCol="raw", handleInvalid="keep"),
         StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
-        RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=max_depth, seed=seed),
+        # more aggregation memory and cached node ids only change how many
+        # passes training takes, not the trees
+        RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=max_depth, seed=seed,
+                               maxMemoryInMB=1024, cacheNodeIds=True),
     ])
 
 
 def train_test(fp: DataFrame, label_col: str, id_col: str = "chain_id", seed: int = 42):
-    """Stratified 80/20 split by label (hash order, S2)."""
+    """Stratified 80/20 split by label (hash order, S2).  The feature table is
+    materialised once: fitting reads its input several times (indexer,
+    scaler, split finding, bagging) and would otherwise recompute the
+    fingerprints on every pass."""
+    from tracewise.session import cut_lineage
+
     data = fp.withColumn("label_name", F.col(label_col)).fillna(0.0, subset=FEATURE_NAMES)
-    s = assign_splits(data, ["label_name"], id_col=id_col, train=0.8, val=0.0, test=0.2, seed=seed)
+    s = cut_lineage(assign_splits(data, ["label_name"], id_col=id_col, train=0.8, val=0.0, test=0.2, seed=seed))
     return s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
 
 

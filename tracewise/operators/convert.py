@@ -173,8 +173,8 @@ def chat_to_chain(messages: DataFrame, conv_col: str = "conv_id", order_col: str
     w = Window.partitionBy(conv_col).orderBy(order_col)
     m = messages.select(conv_col, order_col, "role", "text",
                         F.last(F.when(F.col("role") == "user", F.coalesce(F.col("text"), F.lit(""))), ignorenulls=True)
-                        .over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("last_user"),
-                        F.count(F.lit(1)).over(Window.partitionBy(conv_col)).alias("n_msgs"))
+                        .over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("last_user"))
+    m = m.join(messages.groupBy(conv_col).agg(F.count(F.lit(1)).alias("n_msgs")), conv_col)
     cand = m.filter((F.col("role") == "assistant") & (F.coalesce(F.col("last_user"), F.lit("")) != "") & (F.col("n_msgs") >= 2))
     first = cand.groupBy(conv_col).agg(F.min(F.struct(order_col, "text", "last_user")).alias("r"))
     resp = F.coalesce(F.col("r.text"), F.lit(""))

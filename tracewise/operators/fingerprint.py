@@ -70,7 +70,9 @@ def step_measures(steps: DataFrame) -> DataFrame:
     inner = F.when(m >= 2, F.size(F.filter(F.slice(pieces, 2, F.greatest(m - 1, F.lit(1))), nonblank))).otherwise(0)
     deps = F.coalesce(F.size("depends_on"), F.lit(0)) if "depends_on" in steps.columns else F.when(F.col("idx") > 0, 1).otherwise(0)
     stripped = F.regexp_replace(F.col("text"), f"^{PY_WS}+|{PY_WS}+$", "")
-    is_last = F.col("idx") == F.max("idx").over(Window.partitionBy("chain_id"))
+    # last step of each chain from an aggregate + join (no whole-chain window frame)
+    steps = steps.join(steps.groupBy("chain_id").agg(F.max("idx").alias("_last_idx")), "chain_id")
+    is_last = F.col("idx") == F.col("_last_idx")
     return steps.select(
         "chain_id", "idx", "text",
         F.size(ws).alias("n_words"),
@@ -170,7 +172,8 @@ def step_certainty(steps: DataFrame, chain_clean: DataFrame) -> DataFrame:
     nw = F.size(words(low))
     hd = safe_div(_count_all(low, HEDGE_WORDS), nw)
     conf = F.least(F.lit(0.99), F.greatest(F.lit(0.1), 1.0 - hd * 5.0))
-    is_last = F.col("idx") == F.max("idx").over(Window.partitionBy("chain_id"))
-    s = steps.join(chain_clean, "chain_id", "left")
+    s = (steps.join(steps.groupBy("chain_id").agg(F.max("idx").alias("_last_idx")), "chain_id")
+         .join(chain_clean, "chain_id", "left"))
+    is_last = F.col("idx") == F.col("_last_idx")
     capped = F.when(is_last & ~F.coalesce(F.col("clean"), F.lit(True)), F.least(conf, F.lit(0.45))).otherwise(conf)
     return s.select("chain_id", "idx", r6(capped).alias("certainty"))
