@@ -354,7 +354,7 @@ def q_propagation(spark, sf_dir):
 
 @register("error_by_depth", "E5", with_views(f"""
     with recursive {_PROP_SQL}
-    select dist as distance, count(*) as total, cast(sum((not is_correct)::int) as bigint) as errors,
+    select cast(dist as bigint) as distance, count(*) as total, cast(sum((not is_correct)::int) as bigint) as errors,
            round(sum((not is_correct)::int) / count(*), 6) + 0.0 as ratio
     from dj group by dist""", "order_steps", "order_scores", "order_edges"))
 def q_error_by_depth(spark, sf_dir):
