@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.functions.common import hash_key, r6, safe_div
+from tracewise.functions.common import hash_key, r6
 from tracewise.functions.ranking import grouped_position
 
 
