@@ -105,7 +105,7 @@ def fingerprint(steps: DataFrame) -> DataFrame:
     """All 26 features per chain (steps: chain_id, idx, text[, depends_on])."""
     sm = step_measures(steps)
     # distinct words per chain (partial aggregation by (chain, word))
-    uniq = (sm.select("chain_id", F.explode(words(F.lower("text"))).alias("w")).distinct()
+    uniq = (sm.select("chain_id", F.explode(F.array_distinct(words(F.lower("text")))).alias("w")).distinct()
             .groupBy("chain_id").agg(F.count(F.lit(1)).alias("unique_words")))
     # merged sentence pieces: open steps feed group g; delimiter steps close g and open g+1
     contrib = sm.select("chain_id", F.inline(F.when(F.col("_m") == 0, F.array(F.struct(F.col("_g").alias("g"), F.col("_first").alias("ne"))))
