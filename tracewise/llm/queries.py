@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewise.llm import mixing, rules, sketch
+from tracewise.llm import chat, langid, mixing, rules, sketch, substring
 from tracewise.llm.common import documents
+from tracewise.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +20,32 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one (-7) whose texts hold control strings, formatted and read back from the output."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.sql(r"select cast(-7 as bigint) as conv_id, cast(turn as bigint) as turn, role, r'\### Assistant: </turn> ok' as text "
+                       "from values (0, 'user'), (1, 'assistant') as t(turn, role)")
+    parts = turns.unionByName(tricky).select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))
+    return chat.read_back(chat.format_turns(parts))
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the documents that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
+    model = langid.fit(docs.filter(~F.col("held_out")))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document left when each word inside a repeated 35-word window is removed."""
+    d = substring.remove_repeated_windows(documents(spark, sf_dir))
+    return d.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
+
+
 @query
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to the edited and the next text."""
