@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewise.llm import chat, langid, mixing, rules, sketch, substring
+from tracewise.llm import chat, langid, mixing, rules, sketch, substring, suffix
 from tracewise.llm.common import documents
 from tracewise.sources.tables import table
 
@@ -58,6 +58,13 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                     sketch.distinct_shingles(F.col("sketch")).alias("n_shingles_estimate"))
 
 
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document left when those inside a 50-byte string of a smaller document are removed."""
+    d = suffix.remove_seen_bytes(documents(spark, sf_dir))
+    return d.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of each document when the sources are mixed to their targets."""
