@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewise.llm import chat, langid, mixing, rules, sketch, substring, suffix
+from tracewise.llm import chat, langid, mixing, quality, rules, sketch, substring, suffix
 from tracewise.llm.common import documents
 from tracewise.sources.tables import table
 
@@ -65,6 +65,17 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels of documents that are not held out."""
+    held = lambda: F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    docs = documents(spark, sf_dir).select("doc_id", held().alias("held_out"), "n_chars", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~held())
+    model = quality.fit(docs, labels, metadata=("n_chars",))
+    scored = quality.score(docs, model, metadata=("n_chars",))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of each document when the sources are mixed to their targets."""
