@@ -8,7 +8,8 @@ one sum per text.
 Characters are lower-cased one by one; any run breaker that is not a letter counts as a space, and n-grams
 without a letter are skipped.  Null text, or no letter: ``und`` with score 0.  Rows without language don't
 train.  With no training rows at all every text is ``und``.  Ties go to the language first by code point.
-Repeated rows count as often as they stand; other columns pass through untouched.
+Repeated rows count as often as they stand; other columns pass through untouched, but columns of the
+names that an operator adds are replaced.
 """
 
 from __future__ import annotations
@@ -141,8 +142,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (the posterior of that language, 0 for ``und``) to every row."""
     small_batches(docs.sparkSession)
-    if {"lang_pred", "score"} & set(docs.columns):
-        raise ValueError("the input already has a column lang_pred or score")
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.logp, model.prior))
     place = docs.columns.index(text)
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])

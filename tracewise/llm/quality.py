@@ -176,10 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def score(docs: DataFrame, model: Machine, text: str = "text", metadata: tuple[str, ...] = (), to: str = "score") -> DataFrame:
-    """Adds the probability of label 1 to every row."""
+    """Adds the probability of label 1 to every row (a column of that name is replaced)."""
     small_batches(docs.sparkSession)
-    if to in docs.columns:
-        raise ValueError(f"the input already has a column {to}")
+    docs = docs.drop(to)
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights.astype(np.float32), model.factors.astype(np.float32)))
     place, others = docs.columns.index(text), [docs.columns.index(c) for c in metadata]
     schema = StructType([*docs.schema.fields, StructField(to, DoubleType())])

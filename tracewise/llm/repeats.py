@@ -361,17 +361,18 @@ def repeated(docs: DataFrame, search: Search, write: Callable, excerpt_schema: s
     spark = docs.sparkSession
     partitions = shuffle_partitions(spark)
     blocks = max(4 * partitions, docs.count() // ROWS_A_BLOCK)
-    given = [c for c in carry if c != doc_id]
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(c) for c in given])
+    given = {f"_carry{k}": c for k, c in enumerate(carry) if c != doc_id}  # own names inside, so that none can clash
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(k) for k, c in given.items()])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    lean = rows  # the same rows each time, so that one shuffle serves all three reads
-    told = lean.groupBy("block").applyInArrow(_tell(search, blocks), TOLD)
+    # the same rows each time, so that one shuffle serves all three reads
+    told = rows.groupBy("block").applyInArrow(_tell(search, blocks), TOLD)
     answers = told.groupBy("bucket").applyInArrow(_answer(search), REPLIES)
-    excerpts = lean.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_excerpts(search, write), excerpt_schema)
+    excerpts = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_excerpts(search, write), excerpt_schema)
     parts = resolve(excerpts, blocks).select("block", F.lit(None).cast("binary").alias("replies"), "parts")
     both = answers.select("block", "replies", "parts").unionByName(parts)
     fields = ["doc_id", *given]
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in fields)
-    done = lean.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(
+    done = rows.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(
         _apply(search, fields, keep_layout), f"{kinds}, n_units long, n_removed long, spans {SPANS}, kept binary")
-    return done.withColumnRenamed("doc_id", doc_id)
+    own = ["n_units", "n_removed", "spans", "kept"]
+    return done.select(F.col("doc_id").alias(doc_id), *[F.col(k).alias(c) for k, c in given.items() if c not in own], *own)

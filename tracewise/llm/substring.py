@@ -73,4 +73,4 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = G
     """
     search = Search("word", window, min(gram, window), smaller=False)
     out = repeated(docs, search, _window_hashes(search), WINDOWS, _count, doc_id, text, carry, keep_layout)
-    return out.withColumnRenamed("n_units", "n_words").withColumn("kept_text", F.col("kept").cast("string")).drop("kept")
+    return out.withColumn("n_words", F.col("n_units")).drop("n_units").withColumn("kept_text", F.col("kept").cast("string")).drop("kept")

@@ -245,4 +245,4 @@ def remove_seen_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """doc_id, carry, n_bytes, n_removed, spans (maximal removed runs of bytes, end exclusive), kept (binary) of every row."""
     search = Search("byte", LENGTH, GRAM, smaller=True)
     out = repeated(docs, search, _write, EXCERPTS, _resolve, doc_id, text, carry)
-    return out.withColumnRenamed("n_units", "n_bytes")
+    return out.withColumn("n_bytes", F.col("n_units")).drop("n_units")
