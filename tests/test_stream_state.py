@@ -22,7 +22,7 @@ def test_chain_state_closes_days(spark):
      .withColumn("ts", F.col("ts").cast("timestamp")).withColumn("props", F.lit("")).write.parquet(d))
     schema = spark.read.parquet(d).schema
     ev = spark.readStream.schema(schema).parquet(d)
-    out = S.run_to_table(S.chain_state(S.step_events(ev)), "test_chain_state").filter("chain_id >= 0")
+    out = S.run_to_table(S.chain_state(S.step_events(ev)), "test_chain_state").filter("chain_id >= 0").cache()
     got = {r.chain_id % 100000: r for r in out.collect() if r.chain_id // 100000 == 7}
     day1, day2 = sorted(got)
     a, b = got[day1], got[day2]

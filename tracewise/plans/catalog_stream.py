@@ -19,8 +19,10 @@ from tracewise.functions.common import r6, strip_ws
 _FMT = "yyyy-MM-dd HH:mm:ss"
 
 
-def _steps_stream(spark, sf_dir, sentinel=True):
-    return S.step_events(S.events_stream(spark, sf_dir, sentinel))
+def _run(spark, sf_dir, operator, name):
+    """``operator`` over the step events, run to completion."""
+    ev = S.events_stream(spark, sf_dir)
+    return S.run_to_table(operator(S.step_events(ev.df)), name, flush=ev.flush)
 
 
 _EV_SQL = """ev as (select user_id, event_id, ts, event_type <> 'error' as is_correct,
@@ -35,7 +37,7 @@ _EV_SQL = """ev as (select user_id, event_id, ts, event_type <> 'error' as is_co
            round(max(risk), 6) + 0.0 as max_risk
     from ev group by time_bucket(interval '1 day', ts)"""))
 def q_stream_windows(spark, sf_dir):
-    out = S.run_to_table(S.tumbling_metrics(_steps_stream(spark, sf_dir)), "windows")
+    out = _run(spark, sf_dir, S.tumbling_metrics, "windows")
     return out.select(F.date_format("window_start", _FMT).alias("window_start"),
                       F.date_format("window_end", _FMT).alias("window_end"), "n_steps",
                       r6("error_rate").alias("error_rate"), r6("max_risk").alias("max_risk"))
@@ -49,7 +51,7 @@ def q_stream_windows(spark, sf_dir):
            round(avg((not is_correct)::int::double), 6) + 0.0 as error_rate
     from x group by ws"""))
 def q_stream_sliding(spark, sf_dir):
-    out = S.run_to_table(S.sliding_error_rate(_steps_stream(spark, sf_dir)), "sliding")
+    out = _run(spark, sf_dir, S.sliding_error_rate, "sliding")
     return out.select(F.date_format("window_start", _FMT).alias("window_start"), "n_steps",
                       r6("error_rate").alias("error_rate"))
 
@@ -64,7 +66,7 @@ def q_stream_sliding(spark, sf_dir):
            count(*) as n_steps, round(max(risk), 6) + 0.0 as max_risk, cast(sum((not is_correct)::int) as bigint) as n_errors
     from g group by user_id, sid"""))
 def q_stream_sessions(spark, sf_dir):
-    out = S.run_to_table(S.sessions(_steps_stream(spark, sf_dir)), "sessions")
+    out = _run(spark, sf_dir, S.sessions, "sessions")
     fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return out.filter(F.col("user_id") != S.SENTINEL_USER).select(
         "user_id", F.date_format("session_start", fmt).alias("session_start"),
@@ -76,13 +78,13 @@ def q_stream_sessions(spark, sf_dir):
     select user_id, count(distinct event_id) as n_events from events group by user_id""")
 def q_stream_dedup(spark, sf_dir):
     # the same events arrive twice (two sources); each (user, event) must survive once
-    twice = _steps_stream(spark, sf_dir).unionByName(_steps_stream(spark, sf_dir, sentinel=False))
-    out = S.run_to_table(S.dedup_steps(twice, ["user_id", "event_id"]), "dedup")
+    again = S.step_events(S.events_stream(spark, sf_dir, sentinel=False).df)
+    out = _run(spark, sf_dir, lambda steps: S.dedup_steps(steps.unionByName(again), ["user_id", "event_id"]), "dedup")
     return (out.filter(F.col("user_id") != S.SENTINEL_USER).groupBy("user_id")
             .agg(F.count(F.lit(1)).alias("n_events")))
 
 
-@register("stream_chain_state", "R7 R8 R9", with_views("""
+@register("stream_chain_state", "R7 R9", with_views("""
     select chain_id, count(*) as num_steps, cast(sum((not is_correct)::int) as bigint) as num_errors,
            round(max(risk), 6) + 0.0 as max_risk,
            case when max(risk) < 0.3 then 'LOW' when max(risk) < 0.7 then 'MEDIUM' else 'HIGH' end as overall_risk_level,
@@ -92,24 +94,35 @@ def q_stream_dedup(spark, sf_dir):
     from (select *, count(*) over (partition by chain_id) as cnt from event_day_steps)
     group by chain_id""", "event_day_steps"))
 def q_stream_chain_state(spark, sf_dir):
-    out = S.run_to_table(S.chain_state(_steps_stream(spark, sf_dir)), "chain_state")
+    out = _run(spark, sf_dir, S.chain_state, "chain_state")
     return out.filter(F.col("chain_id") >= 0).select(
         "chain_id", "num_steps", "num_errors", r6("max_risk").alias("max_risk"), "overall_risk_level",
         "first_error_step", "first_flag_step", "replay_interventions")
 
 
+@register("stream_step_status", "R7 R8", with_views("""
+    select chain_id, idx, event_id, case when idx > 0 then idx - 1 end as parent_idx, risk, running_max_risk, running_errors,
+           case when coalesce(running_max_risk, 0) < 0.3 then 'LOW' when running_max_risk < 0.7 then 'MEDIUM' else 'HIGH' end as running_risk_level
+    from (select *, max(risk) over w as running_max_risk, cast(sum((not is_correct)::int) over w as bigint) as running_errors
+          from event_day_steps window w as (partition by chain_id order by idx rows between unbounded preceding and current row))""",
+    "event_day_steps"))
+def q_stream_step_status(spark, sf_dir):
+    return _run(spark, sf_dir, S.chain_steps, "step_status").filter(F.col("chain_id") >= 0)
+
+
 @register("stream_memory", "R20", with_views("""
     select conv_id, turn, step_idx, 'entity' as kind, name as key, current_value, previous_value, previous_turn from ent_conf
     union all
     select conv_id, turn, step_idx, 'claim', subject || '|' || predicate, current_value, previous_value, previous_turn
     from claim_conf""", "ent_conf", "claim_conf"))
 def q_stream_memory(spark, sf_dir):
-    conv = S.conversations_stream(spark, sf_dir)
+    # stand-in for the turns' event time: conversations start an hour apart, turns a minute apart
+    conv = S.conversations_stream(spark, sf_dir).df
+    ts = (F.lit(1_700_000_000) + F.col("conv_id") * 3600 + F.col("turn") * 60).cast("timestamp")
     lines = F.filter(F.transform(F.split("text", "\n"), strip_ws), lambda s: s != "")
-    ts = conv.select("conv_id", "turn", "role", F.posexplode(lines).alias("step_idx", "text")).select(
-        "conv_id", "turn", "role", F.col("step_idx").cast("long").alias("step_idx"), "text")
-    out = S.run_to_table(S.memory_conflicts(S.mention_stream(ts)), "memory")
-    return out
+    steps = conv.select("conv_id", "turn", ts.alias("ts"), F.posexplode(lines).alias("step_idx", "text")).select(
+        "conv_id", "turn", F.col("step_idx").cast("long").alias("step_idx"), "ts", "text")
+    return S.run_to_table(S.memory_conflicts(S.mention_stream(steps)), "memory")
 
 
 @register("session_counters", "R21", """

@@ -1,30 +1,38 @@
 """Structured Streaming forms of the proactive and memory operators
-(R7, R9, R18–R22).
+(R7-R9, R18-R22).
 
 The reference simulates streaming with an in-process dict of active chains.
-Here the step events are a real stream (``readStream`` over parquet):
-
-* R18 – tumbling / sliding / session windows with a watermark, append mode
-* R19 – ``dropDuplicatesWithinWatermark`` on (chain, step) keys
-* R7/R9 – per-chain running state with ``applyInPandasWithState``, keyed by
-  user; a chain (user x day) ends when the next day starts or by event-time
-  timeout (the re-aimed replacement of the global cap of 100 streams, which
-  is not partitionable); state is a handful of counters, never the history
-* R20 – cross-turn contradiction check keyed by (conversation, name): the
-  state is the key's first mention and its first differing mention, so it
-  stays bounded however long a conversation runs
-* R21/R22 – batch forms (stateless aggregate, lag window)
-
-Runs use ``trigger(availableNow=True)``; sinks are parquet tables under the
-shared checkpoint folder (never the driver's memory).  A single far-future
-sentinel event lets the watermark pass the last window in finite test runs.
+Here the step events are a real stream (``readStream`` over a parquet table,
+one file or a folder of them):
+
+* R18 - tumbling / sliding / session windows with a watermark, append mode
+* R19 - ``dropDuplicatesWithinWatermark`` on (chain, step) keys
+* R7/R8/R9 - per-chain running state with ``applyInPandasWithState``, keyed by
+  user; a chain (user x day) ends when the watermark passes the end of its day
+  (the re-aimed replacement of the global cap of 100 streams, which is not
+  partitionable).  Steps newer than the watermark wait in state and are folded in
+  (ts, event_id) order once no earlier one can come, so steps out of order
+  within the delay give the batch result; of folded steps only counters stay
+* R20 - cross-turn contradiction check keyed by conversation: per name the
+  earliest mention and the earliest that differs from it; a conversation's
+  state expires when the watermark is ``idle`` past its last turn
+* R21/R22 - batch forms (stateless aggregate, lag window)
+
+The watermark delay is the only late-data rule: what arrives later than that
+is dropped by the engine.  Runs over finite tables use
+``trigger(availableNow=True)`` twice on one checkpoint: first over the data, then
+over one far-future event that is written after the first run has ended, so
+that the watermark passes everything only when all data is in.  Sinks are
+parquet tables under the shared checkpoint folder (never the driver's memory).
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,21 +51,47 @@ def _root(spark: SparkSession) -> str:
     return checkpoint_dir(spark).rstrip("/") + "/streams"
 
 
-def events_stream(spark: SparkSession, sf_dir: str, sentinel: bool = True) -> DataFrame:
+@dataclass
+class Finite:
+    """A finite table as a stream; ``flush`` makes the far-future event arrive."""
+
+    df: DataFrame
+    flush: Callable[[], None]
+
+
+def finite_stream(spark: SparkSession, path: str, max_files: int | None = None,
+                  far: Callable[[DataFrame], DataFrame] | None = None) -> Finite:
+    """The parquet table at ``path`` (a file or a folder of files) as a stream.
+
+    ``far`` turns a one-row frame into the far-future row of the table's schema;
+    the row goes to a second source that is empty until ``flush`` is called.
+    ``max_files`` limits the files a micro-batch reads (None: all there are).
+    """
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    # as a pattern that only this path matches: a stream's plain path must be a folder, a pattern's match may be a file
+    s = reader.parquet(f"{path[:-1]}[{path[-1]}]")
+    if far is None:
+        return Finite(s, lambda: None)
+    late = f"{_root(spark)}/late-{uuid.uuid4().hex}"
+    row = far(spark.range(1))
+    row = row.select(*[(F.col(f.name) if f.name in row.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    row.limit(0).write.parquet(late)
+
+    def flush() -> None:
+        row.write.mode("append").parquet(late)
+
+    return Finite(s.unionByName(spark.readStream.schema(schema).parquet(late)), flush)
+
+
+def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None, sentinel: bool = True) -> Finite:
     """Events as a stream (ts cast from timestamp_ntz to timestamp)."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    s = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-         .option("maxFilesPerTrigger", 1).parquet(sf_dir))
-    s = s.withColumn("ts", F.col("ts").cast("timestamp"))
-    if sentinel:
-        path = f"{_root(spark)}/sentinel-{uuid.uuid4().hex}"
-        row = spark.createDataFrame([(-1, SENTINEL_USER, "view", 0.0, "")],
-                                    "event_id long, user_id long, event_type string, value double, props string")
-        row = row.withColumn("ts", F.lit(SENTINEL_TS).cast(schema["ts"].dataType))
-        row.select(*[f.name for f in schema.fields]).write.parquet(path)
-        sent = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
-        s = s.unionByName(sent)
-    return s
+    far = (lambda r: r.select(F.lit(-1).alias("event_id"), F.lit(SENTINEL_USER).alias("user_id"), F.lit("view").alias("event_type"),
+                              F.lit(0.0).alias("value"), F.lit(SENTINEL_TS).alias("ts"))) if sentinel else None
+    s = finite_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", max_files, far)
+    return Finite(s.df.withColumn("ts", F.col("ts").cast("timestamp")), s.flush)
 
 
 def step_events(events: DataFrame) -> DataFrame:
@@ -68,15 +102,19 @@ def step_events(events: DataFrame) -> DataFrame:
                          F.round(F.least(F.col("value") / 100, F.lit(1.0)), 6).alias("risk"))
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming query to completion (availableNow) into a parquet table
-    in the shared checkpoint folder and return it as a batch DataFrame."""
+def run_to_table(df: DataFrame, name: str, mode: str = "append", flush: Callable[[], None] | None = None) -> DataFrame:
+    """Run a streaming query over all that is there (availableNow) into a parquet
+    table in the shared checkpoint folder and return it as a batch DataFrame.  With
+    ``flush`` the query runs once more, on the same checkpoint, after it was called."""
     spark = df.sparkSession
     base = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
-    q = (df.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/chk").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    for before in (None, flush) if flush else (None,):
+        if before:
+            before()
+        q = (df.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out")
+             .option("checkpointLocation", f"{base}/chk").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
 # ---------------------------------------------------------------------------
@@ -118,106 +156,120 @@ def dedup_steps(steps: DataFrame, keys: list[str], delay: str = "1 hour") -> Dat
 # Per-chain running state
 # ---------------------------------------------------------------------------
 
-CHAIN_STATE = T.StructType([
-    T.StructField("chain_id", T.LongType()), T.StructField("day_end_ms", T.LongType()),
-    T.StructField("n", T.LongType()), T.StructField("n_wrong", T.LongType()), T.StructField("max_risk", T.DoubleType()),
-    T.StructField("first_error", T.LongType()), T.StructField("first_flag", T.LongType()),
-    T.StructField("flag_cnt", T.LongType()), T.StructField("flag_idx_sum", T.LongType()),
-])
+_DAY_MS = 86_400_000
+#: state of a user: open chains (counters) and the steps that wait for the watermark
+CHAIN_STATE = T.StructType([T.StructField("state", T.StringType())])
 CHAIN_OUT = T.StructType([
     T.StructField("chain_id", T.LongType()), T.StructField("num_steps", T.LongType()),
     T.StructField("num_errors", T.LongType()), T.StructField("max_risk", T.DoubleType()),
     T.StructField("overall_risk_level", T.StringType()), T.StructField("first_error_step", T.LongType()),
     T.StructField("first_flag_step", T.LongType()), T.StructField("replay_interventions", T.LongType()),
 ])
-_DAY_MS = 86_400_000
+STATUS_OUT = T.StructType([
+    T.StructField("chain_id", T.LongType()), T.StructField("idx", T.LongType()), T.StructField("event_id", T.LongType()),
+    T.StructField("parent_idx", T.LongType()), T.StructField("risk", T.DoubleType()), T.StructField("running_max_risk", T.DoubleType()),
+    T.StructField("running_errors", T.LongType()), T.StructField("running_risk_level", T.StringType()),
+])
 
 
-def _level(x: float) -> str:
+def _level(x: float | None) -> str:
+    x = 0.0 if x is None else x
     return "LOW" if x < LOW_MAX else ("MEDIUM" if x < MEDIUM_MAX else "HIGH")
 
 
-def _summary(st) -> dict:
-    chain_id, _, n, nw, mr, fe, ff, fc, fs = st
-    return {"chain_id": chain_id, "num_steps": n, "num_errors": nw, "max_risk": mr,
-            "overall_risk_level": _level(mr if mr is not None else 0.0),
-            "first_error_step": -1 if fe is None else fe, "first_flag_step": -1 if ff is None else ff,
-            "replay_interventions": n * fc - fs}
-
-
-def _accumulate(st, g: pd.DataFrame):
-    """Fold one chain's new steps (sorted) into its counters (vectorised)."""
-    chain_id, day_end, n, nw, mr, fe, ff, fc, fs = st
-    idx = n + np.arange(len(g), dtype=np.int64)  # auto step ids in arrival order
-    wrong = ~g["is_correct"].to_numpy(dtype=bool)
-    risk = g["risk"].to_numpy(dtype=float)
-    flag = np.nan_to_num(risk, nan=-1.0) >= LOW_MAX
-    if fe is None and wrong.any():
-        fe = int(idx[wrong][0])
-    if not np.isnan(risk).all():
-        m = float(np.nanmax(risk))
-        mr = m if mr is None else max(mr, m)
-    if ff is None and flag.any():
-        ff = int(idx[flag][0])
-    return (chain_id, day_end, n + len(g), nw + int(wrong.sum()), mr, fe, ff, fc + int(flag.sum()),
-            fs + int(idx[flag].sum()))
-
-
-def _chain_state_fn(idle_ms: int):
-    """Keyed by user: the state is the user's open chain (one day).  A chain
-    closes when steps of a later day arrive or when the watermark passes the
-    end of its day (+ ``idle``); it is emitted once, then forgotten."""
+def _summary(chain_id: int, c: dict) -> tuple:
+    return (chain_id, c["n"], c["wrong"], c["max"], _level(c["max"]), -1 if c["err"] is None else c["err"],
+            -1 if c["flag"] is None else c["flag"], c["n"] * c["flags"] - c["flag_sum"])
+
+
+def _fold(c: dict, event_id: int, ok: bool, risk: float | None) -> tuple:
+    """Add the next step to a chain's counters; returns its status (idx, event_id, parent_idx, risk, ...)."""
+    i = c["n"]
+    c["n"] += 1
+    if not ok:
+        c["wrong"] += 1
+        c["err"] = i if c["err"] is None else c["err"]
+    if risk is not None:
+        c["max"] = risk if c["max"] is None else max(c["max"], risk)
+        if risk >= LOW_MAX:
+            c["flag"] = i if c["flag"] is None else c["flag"]
+            c["flags"] += 1
+            c["flag_sum"] += i
+    return i, event_id, i - 1 if i else None, risk, c["max"], c["wrong"], _level(c["max"])
+
+
+def _chain_state_fn(per_step: bool):
+    """Keyed by user.  Waiting steps up to the watermark are folded in order; chains
+    whose day the watermark has passed are emitted once and forgotten."""
+    names = [f.name for f in (STATUS_OUT if per_step else CHAIN_OUT).fields]
 
     def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            st = state.get
+        held = json.loads(state.get[0]) if state.exists else {"chains": {}, "waiting": []}
+        waiting = held["waiting"]
+        for pdf in pdfs:
+            risk = pdf["risk"].astype(object).where(pdf["risk"].notna(), None)
+            ms = pdf["ts"].astype("datetime64[us]").astype("int64")
+            waiting.extend(map(list, zip(ms.tolist(), pdf["event_id"].tolist(), pdf["chain_id"].tolist(),
+                                         pdf["is_correct"].tolist(), risk.tolist())))
+        now = state.getCurrentWatermarkMs()
+        waiting.sort()
+        out, left = [], []
+        for us, event_id, chain_id, ok, risk in waiting:
+            if us >= now * 1000:  # an earlier one may still come
+                left.append([us, event_id, chain_id, ok, risk])
+                continue
+            c = held["chains"].setdefault(str(chain_id), {"end": us // 1000 // _DAY_MS * _DAY_MS + _DAY_MS, "n": 0, "wrong": 0, "max": None,
+                                                          "err": None, "flag": None, "flags": 0, "flag_sum": 0})
+            status = _fold(c, event_id, ok, risk)
+            if per_step:
+                out.append((chain_id, *status))
+        for chain_id, c in list(held["chains"].items()):
+            if c["end"] <= now:
+                if not per_step:
+                    out.append(_summary(int(chain_id), c))
+                del held["chains"][chain_id]
+        held["waiting"] = left
+        if left or held["chains"]:
+            state.update((json.dumps(held),))
+            wake = min([us // 1000 + 1 for us, *_ in left[:1]] + [c["end"] for c in held["chains"].values()])
+            state.setTimeoutTimestamp(max(wake, now + 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame([_summary(st)])
-            return
-        st = tuple(state.get) if state.exists else None
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-        out = []
-        for chain_id, g in pdf.groupby("chain_id", sort=True):
-            chain_id = int(chain_id)
-            if st is not None and chain_id < st[0]:
-                continue  # a chain that already closed: late steps are dropped
-            if st is not None and chain_id > st[0]:
-                out.append(_summary(st))
-                st = None
-            if st is None:
-                day_end = (int(pd.Timestamp(g["ts"].iloc[0]).normalize().timestamp() * 1000) + _DAY_MS)
-                st = (chain_id, day_end, 0, 0, None, None, None, 0, 0)
-            st = _accumulate(st, g)
-        if st is not None:
-            state.update(st)
-            state.setTimeoutTimestamp(st[1] + idle_ms)
         if out:
-            yield pd.DataFrame(out)
+            table = pd.DataFrame(out, columns=names)
+            for f in (STATUS_OUT if per_step else CHAIN_OUT).fields:
+                if isinstance(f.dataType, T.LongType):
+                    table[f.name] = table[f.name].astype("Int64")
+                elif isinstance(f.dataType, T.DoubleType):
+                    table[f.name] = table[f.name].astype("float64")
+            yield table
 
     return fn
 
 
-def chain_state(steps: DataFrame, idle: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """R7 + R9: running per-chain state (chain = user x day), keyed by user
-    so that one Python call serves all of a user's chains in a batch.  A
-    chain's summary is emitted when the user's next day starts or when the
-    watermark passes the end of its day plus ``idle`` (event-time timeout),
-    then its state is dropped.  Steps get ids in arrival (ts, event_id)
-    order, matching the batch ``idx``."""
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+def chain_state(steps: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """R7 + R9: one summary per chain (user x day), emitted once when the
+    watermark has passed the end of its day.  Steps get ids in (ts, event_id)
+    order, matching the batch ``idx``.  Keyed by user, so that one Python call
+    serves all of a user's chains in a micro-batch; a user's state holds the
+    counters of open days and the steps newer than the watermark."""
     return (steps.withWatermark("ts", delay).groupBy("user_id")
-            .applyInPandasWithState(_chain_state_fn(idle_ms), CHAIN_OUT, CHAIN_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+            .applyInPandasWithState(_chain_state_fn(False), CHAIN_OUT, CHAIN_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+
+
+def chain_steps(steps: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """R7 + R8: one status row per step as soon as the watermark has passed it:
+    its id, the edge to its parent in the partial graph (``parent_idx``, null for the
+    first) and the chain's running risk, errors and level up to it."""
+    return (steps.withWatermark("ts", delay).groupBy("user_id")
+            .applyInPandasWithState(_chain_state_fn(True), STATUS_OUT, CHAIN_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
 # ---------------------------------------------------------------------------
 # Streaming contradiction check
 # ---------------------------------------------------------------------------
 
-MENTION_STATE = T.StructType([
-    T.StructField("f1_turn", T.LongType()), T.StructField("f1_vkey", T.StringType()), T.StructField("f1_value", T.StringType()),
-    T.StructField("f2_turn", T.LongType()), T.StructField("f2_vkey", T.StringType()), T.StructField("f2_value", T.StringType()),
-])
+MENTION_STATE = T.StructType([T.StructField("state", T.StringType())])
 CONFLICT_OUT = T.StructType([
     T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("step_idx", T.LongType()),
     T.StructField("kind", T.StringType()), T.StructField("key", T.StringType()),
@@ -226,58 +278,85 @@ CONFLICT_OUT = T.StructType([
 ])
 
 
-def _memory_fn(key, pdfs, state):
-    conv_id, kind, k = key
-    f1t, f1k, f1v, f2t, f2k, f2v = state.get if state.exists else (None, None, None, None, None, None)
-    out = []
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["turn", "step_idx", "pk", "pm"])
-    for turn, grp in rows.groupby("turn", sort=True):
-        # check every mention of this turn against earlier turns only ...
-        for r in grp.itertuples(index=False):
-            prev = None
-            if f1k is not None and r.vkey != f1k:
-                prev = (f1v, f1t)
-            elif f2k is not None:
-                prev = (f2v, f2t)
-            if prev is not None:
-                out.append((conv_id, int(turn), int(r.step_idx), kind, k, r.value, prev[0], int(prev[1])))
-        # ... then remember them (check-then-add)
-        for r in grp.itertuples(index=False):
-            if f1k is None:
-                f1t, f1k, f1v = int(turn), r.vkey, r.value
-            elif f2k is None and r.vkey != f1k:
-                f2t, f2k, f2v = int(turn), r.vkey, r.value
-    state.update((f1t, f1k, f1v, f2t, f2k, f2v))
-    if out:
-        yield pd.DataFrame(out, columns=[f.name for f in CONFLICT_OUT.fields])
+def _differs(first: list | None, second: list | None, vkey: str, turn: int) -> list | None:
+    """The earliest mention of an earlier turn with another value: the first, or the first that differs from it."""
+    if first is not None and first[4] != vkey:
+        return first if first[0] < turn else None
+    return second if second is not None and second[0] < turn else None
+
+
+def _memory_fn(idle_ms: int):
+    """Keyed by conversation: check each mention against earlier turns, then remember it.
+
+    Per (kind, key) the state is the earliest mention and the earliest with another
+    value, by (turn, step, position), whatever order they arrive in."""
+
+    def fn(key, pdfs, state):
+        (conv_id,) = key
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = json.loads(state.get[0]) if state.exists else {"last": 0, "names": {}}
+        rows = []
+        for pdf in pdfs:
+            held["last"] = max(held["last"], int(pdf["ts"].astype("datetime64[us]").astype("int64").max()) // 1000)
+            rows.extend(pdf[["turn", "step_idx", "pk", "pm", "vkey", "value", "kind", "key"]].values.tolist())
+        rows.sort(key=lambda r: (r[0], r[1], r[2], r[3]))
+        out, at = [], 0
+        while at < len(rows):
+            turn, end = rows[at][0], at
+            while end < len(rows) and rows[end][0] == turn:
+                end += 1
+            for r in rows[at:end]:
+                first, second = held["names"].get(f"{r[6]}|{r[7]}", (None, None))
+                prev = _differs(first, second, r[4], turn)
+                if prev is not None:
+                    out.append((conv_id, turn, r[1], r[6], r[7], r[5], prev[5], prev[0]))
+            for r in rows[at:end]:
+                name, m = f"{r[6]}|{r[7]}", list(r[:6])
+                first, second = held["names"].get(name, (None, None))
+                if first is None:
+                    first = m
+                elif m[4] != first[4]:
+                    if m[:4] < first[:4]:  # came late, stands first: the old first may be the earliest that differs
+                        first, second = m, first
+                    elif second is None or m[:4] < second[:4]:
+                        second = m
+                elif m[:4] < first[:4]:
+                    first = m
+                held["names"][name] = (first, second)
+            at = end
+        state.update((json.dumps(held),))
+        state.setTimeoutTimestamp(max(held["last"] + idle_ms, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=[f.name for f in CONFLICT_OUT.fields])
+
+    return fn
 
 
 def mention_stream(turn_steps: DataFrame) -> DataFrame:
-    """Entity and claim mentions keyed by (conv_id, kind, key)."""
-    e = extract_entities(turn_steps).select(
-        "conv_id", "turn", "step_idx", F.lit("entity").alias("kind"), F.col("name").alias("key"),
-        F.col("pos.k").alias("pk"), F.col("pos.m").alias("pm"), "vkey", "value")
-    c = extract_claims(turn_steps).select(
-        "conv_id", "turn", "step_idx", F.lit("claim").alias("kind"),
-        F.concat_ws("|", "subject", "predicate").alias("key"), F.col("pos.k").alias("pk"), F.col("pos.m").alias("pm"),
-        "vkey", "value")
-    return e.unionByName(c)
-
-
-def memory_conflicts(mentions: DataFrame) -> DataFrame:
-    """Check-then-remember per (conversation, kind, key) with a bounded
-    state (first mention, first differing mention).  Turns carry no event
-    time, so keys have no timeout: a processing-time timeout would make the
-    engine schedule empty batches forever and an ``availableNow`` run would
-    never finish.  With turn timestamps, an event-time timeout belongs here."""
-    return (mentions.groupBy("conv_id", "kind", "key")
-            .applyInPandasWithState(_memory_fn, CONFLICT_OUT, MENTION_STATE, "append",
-                                    GroupStateTimeout.NoTimeout))
-
-
-def conversations_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    """Entity and claim mentions of the steps (conv_id, turn, step_idx, ts, text)."""
+    times = turn_steps.select("conv_id", "turn", "step_idx", "ts", F.struct("text", "ts").alias("_row"))
+    steps = times.select("conv_id", F.col("turn"), F.struct("step_idx", "ts").alias("step_idx"), F.col("_row.text").alias("text"))
+    of = lambda d, kind, key: d.select(
+        "conv_id", "turn", F.col("step_idx.step_idx").alias("step_idx"), F.col("step_idx.ts").alias("ts"), F.lit(kind).alias("kind"),
+        key.alias("key"), F.col("pos.k").alias("pk"), F.col("pos.m").alias("pm"), "vkey", "value")
+    return of(extract_entities(steps), "entity", F.col("name")).unionByName(
+        of(extract_claims(steps), "claim", F.concat_ws("|", "subject", "predicate")))
+
+
+def memory_conflicts(mentions: DataFrame, idle: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """Check-then-remember per conversation with a bounded state (two
+    mentions a name), dropped when the watermark is ``idle`` past the
+    conversation's last turn."""
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    return (mentions.withWatermark("ts", delay).groupBy("conv_id")
+            .applyInPandasWithState(_memory_fn(idle_ms), CONFLICT_OUT, MENTION_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+
+
+def conversations_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> Finite:
+    """Conversation turns as a stream."""
+    return finite_stream(spark, f"{sf_dir.rstrip('/')}/conversations.parquet", max_files)
 
 
 # ---------------------------------------------------------------------------
