@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tracewise.llm.common import (U64, binaries, byte_symbols, mix, prefix_hash, range_hash, shuffle_partitions, spans, utf8,
                                   word_hashes, word_spans)
 
-ROWS_A_BLOCK = 4096
+ROWS_A_BLOCK = 2048
 PIECE_BYTES = 1 << 18
 ALL, BUT_FIRST, TELL, TWICE = 1, 2, 4, 8
 NONE = np.int64(np.iinfo(np.int64).max)  # stands for a null id: after every other
@@ -359,8 +359,7 @@ def repeated(docs: DataFrame, search: Search, write: Callable, excerpt_schema: s
     excerpts and returns ``block, parts`` rows (packed PART records).
     """
     spark = docs.sparkSession
-    partitions = shuffle_partitions(spark)
-    blocks = max(4 * partitions, docs.count() // ROWS_A_BLOCK)
+    blocks = max(shuffle_partitions(spark), docs.count() // ROWS_A_BLOCK)
     given = {f"_carry{k}": c for k, c in enumerate(carry) if c != doc_id}  # own names inside, so that none can clash
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(k) for k, c in given.items()])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
