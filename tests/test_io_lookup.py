@@ -57,8 +57,8 @@ def test_preference_pairs_and_models(spark):
         (2, "claude-v1", [("user", "x")], "vicuna", [("user", "x")]),
         (3, "gpt-4", [("user", "y")], "gpt-4", [("user", "y")]),
     ], f"pair_id long, chosen_model string, chosen {conv}, rejected_model string, rejected {conv}")
-    mapping = spark.createDataFrame([("gpt-4", "gpt4"), ("llama", "llama"), ("claude", "claude")],
-                                    "key string, model_type string")
+    mapping = [("gpt-4", "gpt4"), ("llama", "llama"), ("claude", "claude")]
+    assert io.preference_pairs(pairs, mapping).filter("model_type = 'gpt4'").count() == 3
     out = io.preference_pairs(pairs, mapping, cap=2)
     counts = {r.model_type: r["count"] for r in out.groupBy("model_type").count().collect()}
     assert counts == {"gpt4": 2, "llama": 1, "claude": 1}
@@ -77,6 +77,5 @@ def test_lookups(spark):
     ex = lookup.safety_explanation(p, "p").orderBy("p").collect()
     assert [(r.status, r.confidence) for r in ex] == [("UNSAFE", "10.00%"), ("SAFE", "80.00%")]
     q = spark.createDataFrame([("a", "what is sqrt(-16)?"), ("b", "delete /tmp"), ("c", "hello")], "k string, query string")
-    rules = spark.createDataFrame(lookup.CONTEXT_RULES, "rule_order int, keyword string, context string")
-    ctx = {r.k: r.context for r in lookup.context_lookup(q, rules, "k").collect()}
+    ctx = {r.k: r.context for r in lookup.context_lookup(q, lookup.CONTEXT_RULES).collect()}
     assert "4i" in ctx["a"] and "deletion" in ctx["b"] and ctx["c"] == ""

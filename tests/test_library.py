@@ -8,7 +8,8 @@ from tracewise.operators import classify, convert, memory, validate
 def test_chain_listing_and_lookup(spark):
     chains = spark.createDataFrame([("a", "math", "q" * 120), ("b", "code", "short")], "chain_id string, domain string, query string")
     steps = spark.createDataFrame([("a", 0, True), ("a", 1, False)], "chain_id string, idx long, is_correct boolean")
-    rows = {r.chain_id: r for r in validate.chain_listing(steps, chains).collect()}
+    rows = {r.chain_id: r for r in validate.chain_listing(steps, chains, query_chars=100).collect()}
+    assert validate.chain_listing(steps, chains, domain="math").first().query == "q" * 120
     assert rows["a"].query == "q" * 100 + "..." and rows["a"].num_steps == 2 and rows["a"].has_errors
     assert rows["b"].num_steps == 0 and not rows["b"].has_errors
     assert validate.chain_listing(steps, chains, domain="code", limit=5).count() == 1

@@ -20,12 +20,6 @@ PY_WS_CHARS = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
 PY_WS = f"[{PY_WS_CHARS}]"
 PY_NON_WS = f"[^{PY_WS_CHARS}]"
 
-# Lehmer / MINSTD constants for the portable split key (Python's RNG cannot be
-# reproduced; this key is computed identically in Spark and in SQL oracles).
-HASH_MOD = 2147483647
-HASH_MUL = 48271
-
-
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -57,5 +51,13 @@ def substr_count(x, needle: str) -> Column:
 
 
 def hash_key(id_col, seed: int = 42) -> Column:
-    """Deterministic pseudo-random order key in [0, 2^31-1)."""
-    return F.pmod(F.pmod(_c(id_col).cast("long"), F.lit(HASH_MOD)) * F.lit(HASH_MUL) + F.lit(seed), F.lit(HASH_MOD))
+    """Deterministic pseudo-random order key in [0, 2^31) of an id of any type:
+    the leading 31 bits of ``md5('seed:id')`` (Python's RNG cannot be
+    reproduced; md5 is the same in Spark and in SQL oracles)."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(_c(id_col).cast("string"), F.lit("")))
+    return F.shiftright(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), 1)
+
+
+def hash_key_sql(id_expr: str, seed: int = 42) -> str:
+    """``hash_key`` in DuckDB SQL."""
+    return f"(('0x' || substr(md5('{seed}:' || cast({id_expr} as varchar)), 1, 8))::BIGINT // 2)"

@@ -64,3 +64,19 @@ def k_smallest_distinct(df: DataFrame, group_cols: list[str], value: str, k: int
     w = Window.partitionBy(*group_cols, "_salt").orderBy(value)
     cand = d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
     return cand.groupBy(*group_cols).agg(F.slice(F.array_sort(F.collect_list(value)), 1, k).alias(out))
+
+
+def global_position(df: DataFrame, key: str, out: str = "pos") -> DataFrame:
+    """Adds the 0-based position of each row in the order of ``key`` (unique, any
+    type).  Rows are range-partitioned and sorted inside the partitions; a prefix
+    sum over one count per partition turns places into positions.  The sorted rows
+    are checkpointed, so every reader sees the same partitions."""
+    from tracewise.session import cut_lineage
+
+    rows = cut_lineage(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
+    rows = rows.withColumn("_part", part)
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_off"))  # one row a partition
+    return rows.join(offsets, "_part").withColumn(out, F.col("_off") + place).drop("_m", "_part", "_off")

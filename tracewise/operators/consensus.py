@@ -92,14 +92,18 @@ def disagreement_points(step_votes: DataFrame, threshold: float = 0.5) -> DataFr
     return step_votes.filter(F.col("agreement") < F.lit(threshold)).select("chain_id", "idx", "agreement")
 
 
-def combine_predictors(step_votes: DataFrame, other: DataFrame, other_weight: float = 0.5) -> DataFrame:
+def combine_predictors(step_votes: DataFrame, other: DataFrame, other_weight: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """M8: w = a(1-g) + (1-a)g; keep the consensus when w > 0.5 else the other
-    predictor.  ``other``: (chain_id, idx, other_pred).  Steps missing on one
-    side are rejected (the reference raises on unequal lengths)."""
+    predictor.  ``other``: (chain_id, idx, other_pred).  Returns the combined
+    steps, and the steps that only one side has (chain_id, idx, reason): the
+    reference raises on unequal lengths."""
     g = F.lit(other_weight)
-    j = step_votes.join(other, ["chain_id", "idx"])
+    j = step_votes.withColumn("_a", F.lit(True)).join(other.withColumn("_b", F.lit(True)), ["chain_id", "idx"], "full")
     w = F.col("agreement") * (1 - g) + (1 - F.col("agreement")) * g
-    return j.select("chain_id", "idx", F.when(w > 0.5, F.col("pred")).otherwise(F.col("other_pred")).alias("combined"))
+    both = j.filter("_a and _b").select("chain_id", "idx", F.when(w > 0.5, F.col("pred")).otherwise(F.col("other_pred")).alias("combined"))
+    one = j.filter("_a is null or _b is null").select(
+        "chain_id", "idx", F.when(F.col("_b").isNull(), "no second prediction").otherwise("no consensus").alias("reason"))
+    return both, one
 
 
 def disagreement_analysis(step_votes: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -120,36 +124,39 @@ def disagreement_details(step_votes: DataFrame, votes: DataFrame, threshold: flo
 
 def agreement_patterns(step_votes: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row over all chains: totals, consensus rate, agreement mean,
-    population std, min, max, disagreements and their rate."""
+    population std, min, max, disagreements and their rate.  One aggregate over
+    steps, one over chains; their single rows meet in a last aggregate."""
     ok = (F.col("agreement") >= F.lit(threshold)).cast("int")
-    per_chain = step_votes.groupBy("chain_id").agg(F.min(ok).alias("cons"), F.count(F.lit(1)).alias("n"),
-                                                    F.sum(1 - ok).alias("dis"),
-                                                    F.sum("agreement").alias("s"), F.sum(F.col("agreement") ** 2).alias("s2"),
-                                                    F.min("agreement").alias("mn"), F.max("agreement").alias("mx"))
-    a = per_chain.agg(F.count(F.lit(1)).alias("total_chains"), F.sum("cons").cast("long").alias("chains_with_consensus"),
-                      F.sum("n").alias("total_steps"), F.sum("dis").cast("long").alias("total_disagreements"),
-                      F.sum("s").alias("s"), F.sum("s2").alias("s2"), F.min("mn").alias("mn"), F.max("mx").alias("mx"))
-    mean = F.col("s") / F.col("total_steps")
+    steps = step_votes.agg(F.count(F.lit(1)).alias("total_steps"), F.sum(1 - ok).alias("total_disagreements"),
+                           F.avg("agreement").alias("mean"), F.stddev_pop("agreement").alias("std"),
+                           F.min("agreement").alias("mn"), F.max("agreement").alias("mx"))
+    chains = step_votes.groupBy("chain_id").agg(F.min(ok).alias("cons")).agg(
+        F.count(F.lit(1)).alias("total_chains"), F.sum("cons").cast("long").alias("chains_with_consensus"))
+    both = steps.unionByName(chains, allowMissingColumns=True)
+    a = both.agg(*[F.max(c).alias(c) for c in both.columns])
     return a.select(
         "total_chains", "chains_with_consensus",
         r6(safe_div("chains_with_consensus", "total_chains")).alias("consensus_rate"),
-        r6(mean).alias("avg_agreement_rate"), "total_disagreements",
+        r6("mean").alias("avg_agreement_rate"), F.col("total_disagreements").cast("long").alias("total_disagreements"),
         r6(safe_div("total_disagreements", "total_steps")).alias("disagreement_rate"),
-        r6(F.sqrt(F.greatest(F.col("s2") / F.col("total_steps") - mean * mean, F.lit(0.0)))).alias("agreement_std"),
-        r6("mn").alias("agreement_min"), r6("mx").alias("agreement_max"))
+        r6("std").alias("agreement_std"), r6("mn").alias("agreement_min"), r6("mx").alias("agreement_max"))
 
 
 def pair_by_position(chains_a: DataFrame, chains_b: DataFrame, order_col: str = "chain_id") -> DataFrame:
     """Pair the i-th chain of model A with the i-th chain of model B (by
-    ``order_col``), up to the shorter list – an equi-join on the position.
-    Positions come from range buckets of the id, so no single task sorts a
-    whole model's chains."""
-    from tracewise.functions.ranking import grouped_position
+    ``order_col``, of any type), up to the shorter list - an equi-join on the
+    position, which is counted off over range partitions."""
+    from tracewise.functions.ranking import global_position
 
     def pos(df, tag):
-        k = df.select(order_col).distinct().withColumn("_g", F.lit(0))
-        p = grouped_position(k, ["_g"], order_col, order_col, out="pos", size_col=None,
-                             bucket=F.shiftright(F.col(order_col).cast("long"), 10))
-        return p.select(F.col(order_col).alias(f"chain_{tag}"), "pos")
+        return global_position(df.select(F.col(order_col).alias(f"chain_{tag}")).distinct(), f"chain_{tag}", out="pos")
 
     return pos(chains_a, "a").join(pos(chains_b, "b"), "pos")
+
+
+def pair_by_query(chains_a: DataFrame, chains_b: DataFrame, query_col: str = "query_id") -> DataFrame:
+    """Pair the chains of two models that answer the same query (equi-join
+    on the query id, of any type)."""
+    a = chains_a.select(query_col, F.col("chain_id").alias("chain_a")).distinct()
+    b = chains_b.select(query_col, F.col("chain_id").alias("chain_b")).distinct()
+    return a.join(b, query_col)

@@ -89,22 +89,23 @@ def convert_math(raw: DataFrame, id_col: str = "query_id") -> DataFrame:
 # C2–C4 code
 # ---------------------------------------------------------------------------
 
-def code_lines(code) -> F.Column:
-    """Non-blank, non-comment stripped lines, each cut to 100 chars."""
+def code_lines(code, step_chars: int | None = None) -> F.Column:
+    """Non-blank, non-comment stripped lines; ``step_chars`` cuts each to
+    that many characters (the reference shows 100; default whole lines)."""
     lines = F.transform(F.split(code, "\n"), strip_ws)
     keep = F.filter(lines, lambda s: (s != "") & ~s.startswith("#"))
-    return F.transform(keep, lambda s: F.substring(s, 1, 100))
+    return keep if step_chars is None else F.transform(keep, lambda s: F.substring(s, 1, step_chars))
 
 
 def convert_code(raw: DataFrame, code_col: str, id_col: str, query_col: str, truth_col: str,
-                 augment_to: int | None = None, n_problems: int | None = None) -> DataFrame:
+                 augment_to: int | None = None, n_problems: int | None = None, step_chars: int | None = None) -> DataFrame:
     """C2 + C3 + C4: one correct chain per problem; when augmenting
     (factor = augment_to // n + 1 > 1) an error variant is added for chains
     with more than 2 steps: step n//2 gets the error suffix and becomes the
     logical origin, every later step is wrong (logical, not origin); the
     variant id gets '_variant'.  At most ``factor`` chains per problem."""
     st = raw.select(F.col(id_col).alias("_id"), F.col(query_col).alias("_q"), F.col(truth_col).alias("_gt"),
-                    code_lines(F.col(code_col)).alias("_lines"))
+                    code_lines(F.col(code_col), step_chars).alias("_lines"))
     lines = F.col("_lines")
     steps = F.transform(lines, lambda t, i: _step(i, t, F.lit(True), F.lit(False), F.lit(None), _deps(i)))
     base = st.select(*_chain(F.lit("code"), F.col("_id"), F.col("_q"), F.col("_gt"), steps,
@@ -163,10 +164,16 @@ def convert_medical(raw: DataFrame, id_col: str, question: str, answer: str, tru
 # C7 chat -> chain, C8 free text -> chain, C9/C10 step lists -> chain
 # ---------------------------------------------------------------------------
 
-def chat_to_chain(messages: DataFrame, conv_col: str = "conv_id", order_col: str = "turn") -> DataFrame:
+def _head(c, chars: int | None) -> F.Column:
+    return c if chars is None else F.substring(c, 1, chars)
+
+
+def chat_to_chain(messages: DataFrame, conv_col: str = "conv_id", order_col: str = "turn",
+                  query_chars: int | None = None) -> DataFrame:
     """C7 on a long message table (conv, order, role, text): the response is
     the first assistant message whose most recent preceding user message is
-    non-empty; query = that user message[:200]; steps = non-blank stripped
+    non-empty; query = that user message (its first ``query_chars`` characters
+    when given, 200 in the reference); steps = non-blank stripped
     response lines, else the whole response; all correct; sequential.
     Conversations with fewer than 2 messages or an empty response are
     dropped.  Running window frames only (no collection per conversation)."""
@@ -182,17 +189,18 @@ def chat_to_chain(messages: DataFrame, conv_col: str = "conv_id", order_col: str
     texts = F.when(F.size(lines) > 0, lines).otherwise(F.array(resp))
     steps = F.transform(texts, lambda t, i: _step(i, t, F.lit(True), F.lit(False), F.lit(None), _deps(i)))
     return (first.filter(resp != "")
-            .select(*_chain(F.lit("math"), F.col(conv_col), F.substring("r.last_user", 1, 200), F.lit(""), steps,
+            .select(*_chain(F.lit("math"), F.col(conv_col), _head(F.col("r.last_user"), query_chars), F.lit(""), steps,
                             _seq_edges(F.size(texts)))))
 
 
-def text_to_chain(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
+def text_to_chain(df: DataFrame, text_col: str, id_col: str, query_chars: int | None = None) -> DataFrame:
     """Split on newline or 'N. '; stripped, blanks dropped; else the whole
-    text; query = text[:50]; empty depends_on; linear edges."""
+    text; query = the text (its first ``query_chars`` characters when given,
+    50 in the reference); empty depends_on; linear edges."""
     parts = F.filter(F.transform(F.split(F.col(text_col), f"\n|\\p{{Nd}}+\\.{PY_WS}"), strip_ws), lambda s: s != "")
     texts = F.when(F.size(parts) > 0, parts).otherwise(F.array(F.col(text_col)))
     steps = F.transform(texts, lambda t, i: _step(i, t, F.lit(True), F.lit(False), F.lit(None), F.array().cast("array<int>")))
-    return df.select(*_chain(F.lit("math"), F.col(id_col), F.substring(text_col, 1, 50), F.lit(""), steps,
+    return df.select(*_chain(F.lit("math"), F.col(id_col), _head(F.col(text_col), query_chars), F.lit(""), steps,
                              _seq_edges(F.size(texts))))
 
 
@@ -225,14 +233,21 @@ def turn_edges(steps: DataFrame) -> DataFrame:
 
 
 def conversion_stats(chains: DataFrame, messages: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """C11: total / converted / valid / invalid chains and distinct error
-    messages; ``messages`` is the V1 output for the converted chains."""
+    """C11: total, converted (valid ones only: an invalid chain is skipped
+    before it counts as converted), valid and invalid chains, and the number of
+    error messages; ``messages`` is the V1 output for all chains."""
     key = key or []
-    bad = messages.select("chain_id").distinct().withColumn("_bad", F.lit(1))
+    bad = messages.groupBy("chain_id").agg(F.count(F.lit(1)).alias("_bad"))
     j = chains.join(bad, "chain_id", "left")
-    return j.groupBy(*key).agg(F.count(F.lit(1)).alias("converted"),
-                               F.count(F.when(F.col("_bad").isNull(), 1)).alias("valid"),
-                               F.count(F.when(F.col("_bad").isNotNull(), 1)).alias("invalid"))
+    valid = F.count(F.when(F.col("_bad").isNull(), 1))
+    return j.groupBy(*key).agg(F.count(F.lit(1)).alias("total"), valid.alias("converted"), valid.alias("valid"),
+                               F.count(F.when(F.col("_bad").isNotNull(), 1)).alias("invalid"),
+                               F.coalesce(F.sum("_bad"), F.lit(0)).cast("long").alias("messages"))
+
+
+def valid_chains(chains: DataFrame, messages: DataFrame) -> DataFrame:
+    """C11 output: the chains without an error message; invalid ones are dropped."""
+    return chains.join(messages.select("chain_id").distinct(), "chain_id", "left_anti")
 
 
 # ---------------------------------------------------------------------------

@@ -403,13 +403,13 @@ def mean_pool(feats: DataFrame, cols: list[str]) -> DataFrame:
     return feats.groupBy("chain_id").agg(*[r6(F.avg(c)).alias(c) for c in cols])
 
 
-def attention_heatmap(attn: DataFrame, steps: DataFrame) -> DataFrame:
+def attention_heatmap(attn: DataFrame, steps: DataFrame, label_chars: int | None = None) -> DataFrame:
     """Mean over heads per edge, then the sum per target node (not
     normalised); nodes without incoming attention get 0; label
-    'Step i: text[:20]...'."""
+    'Step i: text' (with ``label_chars``: that many characters and '...')."""
+    text = F.col("text") if label_chars is None else F.concat(F.substring("text", 1, label_chars), F.lit("..."))
     per_edge = attn.groupBy("chain_id", "src", "dst").agg(F.avg("alpha").alias("a"))
     per_node = per_edge.groupBy("chain_id", F.col("dst").alias("idx")).agg(F.sum("a").alias("attention"))
     return (steps.select("chain_id", "idx", "text").join(per_node, ["chain_id", "idx"], "left")
             .select("chain_id", "idx", r6(F.coalesce("attention", F.lit(0.0))).alias("attention"),
-                    F.concat(F.lit("Step "), F.col("idx").cast("string"), F.lit(": "), F.substring("text", 1, 20),
-                             F.lit("...")).alias("label")))
+                    F.concat(F.lit("Step "), F.col("idx").cast("string"), F.lit(": "), text).alias("label")))

@@ -7,7 +7,7 @@ rule table of a handful of rows (L3), so cost is linear in the input.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Explanation texts and threshold of the reference.
@@ -71,12 +71,9 @@ def step_status(steps: DataFrame) -> DataFrame:
     return steps.withColumn("status", F.when(is_safe, "safe").when(is_risk, "risk").otherwise("neutral"))
 
 
-def context_lookup(queries: DataFrame, rules: DataFrame, key: str, text: str = "query") -> DataFrame:
+def context_lookup(queries: DataFrame, rules: list[tuple[int, str, str]], text: str = "query") -> DataFrame:
     """L3: the context of the first rule (by order) whose keyword occurs in
-    the query, else ''.  ``rules`` is a few rows and broadcast; the
-    substring test is a theta condition against that small side only."""
-    r = F.broadcast(rules.select("rule_order", "keyword", "context"))
-    hits = queries.select(key, text).join(r, F.col(text).contains(F.col("keyword")))
-    w = Window.partitionBy(key).orderBy("rule_order", "keyword")
-    first = hits.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).select(key, "context")
-    return queries.join(first, key, "left").withColumn("context", F.coalesce("context", F.lit("")))
+    the query, else ''.  The rules are a list written in code, so the lookup
+    is a projection: no join and no shuffle."""
+    tests = [F.when(F.col(text).contains(keyword), context) for _, keyword, context in sorted(rules, key=lambda r: (r[0], r[1]))]
+    return queries.withColumn("context", F.coalesce(*tests, F.lit("")))

@@ -19,30 +19,33 @@ from tracewise.functions.ranking import k_smallest_distinct
 MAX_EXAMPLES = 5
 
 
-def extract_occurrences(steps: DataFrame, chain_order: str = "chain_id") -> DataFrame:
+def extract_occurrences(steps: DataFrame, chain_order: str = "chain_id", description_chars: int | None = None,
+                        example_chars: int | None = None) -> DataFrame:
     """One row per wrong step: pattern_id = model_domain_type_idx, type
-    null -> unknown, description 'Error in step i: ' + text[:100], example
-    text[:200], severity 0.7 for an origin else 0.5."""
+    null -> unknown, description 'Error in step i: ' + text, example = text
+    (both whole, or cut to the given lengths; 100 and 200 in the reference),
+    severity 0.7 for an origin else 0.5."""
+    cut = lambda n: F.col("text") if n is None else F.substring("text", 1, n)
     htype = F.coalesce(F.col("error_type"), F.lit("unknown"))
     w = steps.filter(~F.col("is_correct"))
     return w.select(
         F.concat_ws("_", "model_type", "domain", htype, F.col("idx").cast("string")).alias("pattern_id"),
         "model_type", "domain", htype.alias("hallucination_type"),
-        F.concat(F.lit("Error in step "), F.col("idx").cast("string"), F.lit(": "), F.substring("text", 1, 100)).alias("description"),
-        F.substring("text", 1, 200).alias("example"),
+        F.concat(F.lit("Error in step "), F.col("idx").cast("string"), F.lit(": "), cut(description_chars)).alias("description"),
+        cut(example_chars).alias("example"),
         F.when(F.col("is_origin"), F.lit(0.7)).otherwise(F.lit(0.5)).alias("severity"),
         F.struct(F.col(chain_order).alias("c"), F.col("idx").alias("i")).alias("first_seen"),
     )
 
 
-def pattern_store(occ: DataFrame) -> DataFrame:
+def pattern_store(occ: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """Merge occurrences by pattern_id: frequency = occurrences; the first
-    occurrence's severity and description; up to 5 distinct examples
+    occurrence's severity and description; up to ``max_examples`` distinct examples
     (sorted, so the choice is deterministic)."""
     base = occ.groupBy("pattern_id", "model_type", "domain", "hallucination_type").agg(
         F.count(F.lit(1)).alias("frequency"),
         F.min(F.struct("first_seen", "severity", "description")).alias("_f"))
-    ex = k_smallest_distinct(occ, ["pattern_id"], "example", MAX_EXAMPLES, out="examples")
+    ex = k_smallest_distinct(occ, ["pattern_id"], "example", max_examples, out="examples")
     return (base.join(ex, "pattern_id", "left")
             .select("pattern_id", "model_type", "domain", "hallucination_type", F.col("_f.description").alias("description"),
                     "frequency", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"),
@@ -102,18 +105,24 @@ def compare_models(profile: DataFrame) -> DataFrame:
 def similar_patterns(store: DataFrame, probe: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Patterns with 0.4*[same type] + 0.3*[same domain] +
     0.3*(1-|severity diff|) >= threshold, excluding the probe itself.
-    ``probe`` is the pattern(s) asked about (a handful of rows, broadcast);
-    the store is scanned once, so cost is linear in the store."""
-    p = F.broadcast(probe.select(F.col("pattern_id").alias("probe_id"), F.col("hallucination_type").alias("p_type"),
+    Three equi-joins find all matches: same type; same domain; and, for a
+    threshold that severity alone can reach, severities within the allowed
+    distance, by range bins of that width and their neighbours."""
+    if threshold <= 0:
+        raise ValueError("threshold must be above 0")
+    p = (probe.select(F.col("pattern_id").alias("probe_id"), F.col("hallucination_type").alias("p_type"),
                                  F.col("domain").alias("p_domain"), F.col("severity").alias("p_sev")))
     sim = (F.when(F.col("hallucination_type") == F.col("p_type"), 0.4).otherwise(0.0)
            + F.when(F.col("domain") == F.col("p_domain"), 0.3).otherwise(0.0)
            + 0.3 * (1 - F.abs(F.col("severity") - F.col("p_sev"))))
-    if threshold > 0.6 + 1e-12:
-        # a different type scores at most 0.6: equal type is necessary -> equi-join
-        j = store.join(p, store["hallucination_type"] == p["p_type"])
-    else:
-        j = store.join(p, how="inner")
+    j = store.join(p, F.col("hallucination_type") == F.col("p_type")).unionByName(
+        store.join(p, F.col("domain") == F.col("p_domain")).filter(~F.col("hallucination_type").eqNullSafe(F.col("p_type"))))
+    if threshold <= 0.3:
+        width = max(1 - threshold / 0.3, 1e-9)
+        bins = lambda c: F.floor(F.col(c) / width)
+        near = p.withColumn("_bin", F.explode(F.array(bins("p_sev") - 1, bins("p_sev"), bins("p_sev") + 1)))
+        j = j.unionByName(store.withColumn("_bin", bins("severity")).join(near, "_bin").drop("_bin").filter(
+            ~F.col("hallucination_type").eqNullSafe(F.col("p_type")) & ~F.col("domain").eqNullSafe(F.col("p_domain"))))
     return (j.withColumn("similarity", sim).filter((F.col("similarity") >= threshold - 1e-12) & (F.col("pattern_id") != F.col("probe_id")))
             .select("probe_id", "pattern_id", r6("similarity").alias("similarity")))
 

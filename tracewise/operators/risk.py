@@ -63,9 +63,9 @@ def lookahead_labels(steps: DataFrame) -> DataFrame:
         F.when(until == -1, "LOW").when(until == 1, "HIGH").when(until <= 3, "MEDIUM").otherwise("LOW").alias("risk_level"))
 
 
-def prefix_chains(steps: DataFrame, edges: DataFrame | None = None, min_len: int = 3, max_len: int = 10,
+def prefix_chains(steps: DataFrame, edges: DataFrame | None = None, min_len: int = 3, max_len: int | None = None,
                   include_correct: bool = True) -> tuple[DataFrame, DataFrame | None]:
-    """C12 + R2: every prefix of length k in [min_len, min(n, max_len)] of
+    """C12 + R2: every prefix of length k in [min_len, n] (at most ``max_len`` when given, 10 in the reference) of
     chains with at least ``min_len`` steps.  Each step is exploded into the
     prefixes that contain it, so no join is needed; the prefix id is
     (chain_id, k).  Edges are kept when both ends are < k."""
@@ -74,7 +74,7 @@ def prefix_chains(steps: DataFrame, edges: DataFrame | None = None, min_len: int
     if not include_correct:
         s = s.withColumn("_e", F.max((~F.col("is_correct")).cast("int")).over(w)).filter(F.col("_e") == 1).drop("_e")
     s = s.filter(F.col("_n") >= min_len)
-    hi = F.least(F.col("_n"), F.lit(max_len))
+    hi = F.col("_n") if max_len is None else F.least(F.col("_n"), F.lit(max_len))
     lo = F.greatest(F.col("idx") + 1, F.lit(min_len))
     out = (s.filter(lo <= hi).withColumn("k", F.explode(F.sequence(lo.cast("long"), hi.cast("long")))).drop("_n"))
     pe = None
@@ -82,12 +82,12 @@ def prefix_chains(steps: DataFrame, edges: DataFrame | None = None, min_len: int
         n = s.select("chain_id", "_n").distinct()
         e = edges.join(n, "chain_id")
         lo_e = F.greatest(F.greatest(F.col("src"), F.col("dst")) + 1, F.lit(min_len))
-        hi_e = F.least(F.col("_n"), F.lit(max_len))
+        hi_e = hi
         pe = e.filter(lo_e <= hi_e).withColumn("k", F.explode(F.sequence(lo_e.cast("long"), hi_e.cast("long")))).drop("_n")
     return out, pe
 
 
-def prefix_samples(steps: DataFrame, min_len: int = 3, max_len: int = 10, include_correct: bool = True) -> DataFrame:
+def prefix_samples(steps: DataFrame, min_len: int = 3, max_len: int | None = None, include_correct: bool = True) -> DataFrame:
     """R2: prefix steps with look-ahead labels computed on the *full* chain."""
     labels = lookahead_labels(steps)
     pref, _ = prefix_chains(steps, None, min_len, max_len, include_correct)

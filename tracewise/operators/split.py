@@ -1,7 +1,7 @@
 """Splitting and sampling.
 
 Python's ``random.shuffle`` cannot be reproduced, so the shuffle order is the
-portable hash key of ``tracewise.functions.common.hash_key`` with the id as
+portable hash key (ids of any type) of ``tracewise.functions.common.hash_key`` with the id as
 tie-break (documented deviation, SURVEY T9).  Positions inside a stratum come
 from ``grouped_position`` (bucketed exact rank), so a stratum holding a third
 of all chains is still ranked by thousands of tasks.
@@ -30,12 +30,13 @@ def assign_splits(items: DataFrame, strata: list[str], id_col: str = "chain_id",
     if abs(train + val + test - 1.0) > 1e-6:
         raise ValueError("split ratios must sum to 1")
     keyed = items.withColumn("_k", hash_key(id_col, seed))
+    keyed, strata = (keyed, strata) if strata else (keyed.withColumn("_g", F.lit(0)), ["_g"])
     pos = grouped_position(keyed, strata, "_k", id_col, out="_pos", size_col="_n")
     n_train = F.floor(F.col("_n") * F.lit(train))
     n_val = F.floor(F.col("_n") * F.lit(val))
     split = (F.when(F.col("_pos") < n_train, "train")
              .when(F.col("_pos") < n_train + n_val, "val").otherwise("test"))
-    return pos.withColumn("split", split).drop("_k", "_pos", "_n")
+    return pos.withColumn("split", split).drop("_k", "_pos", "_n", "_g")
 
 
 def split_stats(split_chains: DataFrame) -> DataFrame:

@@ -170,13 +170,18 @@ def label_inconsistency(steps: DataFrame, edges: DataFrame) -> DataFrame:
     return multi.unionByName(oc).unionByName(dep)
 
 
-def chain_listing(steps: DataFrame, chains: DataFrame, domain: str | None = None, limit: int | None = None) -> DataFrame:
-    """V6: query[:100] + '...', num_steps, has_errors, error_count."""
+def chain_listing(steps: DataFrame, chains: DataFrame, domain: str | None = None, limit: int | None = None,
+                  query_chars: int | None = None) -> DataFrame:
+    """V6: query (cut to ``query_chars`` characters and '...' when given, 100 in
+    the reference), num_steps, has_errors, error_count; ``limit`` is a page."""
+    shown = F.col("query")
+    if query_chars is not None:
+        shown = F.when(F.length("query") > query_chars, F.concat(F.substring("query", 1, query_chars), F.lit("..."))).otherwise(shown)
     agg = steps.groupBy("chain_id").agg(F.count(F.lit(1)).alias("num_steps"),
                                         F.sum((~F.col("is_correct")).cast("int")).alias("error_count"))
     out = chains.join(agg, "chain_id", "left").select(
         "chain_id", "domain",
-        F.when(F.length("query") > 100, F.concat(F.substring("query", 1, 100), F.lit("..."))).otherwise(F.col("query")).alias("query"),
+        shown.alias("query"),
         F.coalesce("num_steps", F.lit(0)).cast("long").alias("num_steps"),
         (F.coalesce("error_count", F.lit(0)) > 0).alias("has_errors"),
         F.coalesce("error_count", F.lit(0)).cast("long").alias("error_count"))

@@ -111,7 +111,18 @@ def q_agreement_patterns(spark, sf_dir):
     from maj m join order_scores s using (chain_id, idx)""", "order_votes", "order_scores"))
 def q_combine_predictors(spark, sf_dir):
     other = order_scores(spark, sf_dir).select("chain_id", "idx", (F.col("node_prob") > 0.5).alias("other_pred"))
-    return consensus.combine_predictors(consensus.majority_vote(order_votes(spark, sf_dir)), other, other_weight=0.3)
+    return consensus.combine_predictors(consensus.majority_vote(order_votes(spark, sf_dir)), other, other_weight=0.3)[0]
+
+
+@register("combine_rejects", "M8", with_views("""
+    select chain_id, idx, case when chain_id % 11 = 5 and idx = 0 then 'no second prediction' else 'no consensus' end as reason
+    from (select distinct chain_id, idx from order_votes) where (chain_id % 11 = 5 and idx = 0) <> (chain_id % 7 = 2 and idx = 1)""",
+                                              "order_votes"))
+def q_combine_rejects(spark, sf_dir):
+    # defects planted by id: the second predictor lacks some first steps, the votes lack some second steps
+    other = order_scores(spark, sf_dir).select("chain_id", "idx", (F.col("node_prob") > 0.5).alias("other_pred")).filter("not (chain_id % 11 = 5 and idx = 0)")
+    votes = order_votes(spark, sf_dir).filter("not (chain_id % 7 = 2 and idx = 1)")
+    return consensus.combine_predictors(consensus.majority_vote(votes), other)[1]
 
 
 @register("disagreement_analysis", "M9", with_views(f"""
@@ -157,6 +168,16 @@ def q_pair_chains(spark, sf_dir):
                                       s.filter(F.col("model_type") == "model_1"))
 
 
+@register("pair_by_query", "M10", with_views("""
+    with s as (select distinct chain_id, model_type, 'query_' || cast(chain_id // 8 as varchar) as query_id from order_steps)
+    select a.query_id, a.chain_id as chain_a, b.chain_id as chain_b
+    from s a join s b on a.query_id = b.query_id and a.model_type = 'model_0' and b.model_type = 'model_1'""", "order_steps"))
+def q_pair_by_query(spark, sf_dir):
+    # stand-in for the query id that both models answered: neighbouring orders ask the same
+    s = order_steps(spark, sf_dir).withColumn("query_id", F.concat(F.lit("query_"), F.floor(F.col("chain_id") / 8).cast("string")))
+    return consensus.pair_by_query(s.filter(F.col("model_type") == "model_0"), s.filter(F.col("model_type") == "model_1"))
+
+
 # --- evaluation ---------------------------------------------------------------
 
 def _scores(spark, sf_dir):

@@ -67,7 +67,7 @@ def _long_out(chains):
                      F.array_join("depends_on", ",").alias("depends_on"))
 
 
-@register("math_conversion", "C1 IO1 IO7", with_views("select * from math_steps", "math_steps"))
+@register("math_conversion", "C1", with_views("select * from math_steps", "math_steps"))
 def q_math_conversion(spark, sf_dir):
     return _long_out(convert.convert_math(math_raw(spark, sf_dir)))
 
@@ -81,10 +81,30 @@ def q_math_conversion(spark, sf_dir):
             select m.chain_id from math_steps m where m.depends_on <> ''
               and not exists (select 1 from ids i where i.chain_id = m.chain_id and i.step_id = cast(m.depends_on as bigint))),
     ch as (select distinct cast(chain_id as varchar) as chain_id from order_base)
-    select count(*) as converted, count(*) filter (where chain_id not in (select chain_id from bad)) as valid,
+    select count(*) as total, count(*) filter (where chain_id not in (select chain_id from bad)) as converted,
+           count(*) filter (where chain_id not in (select chain_id from bad)) as valid,
            count(*) filter (where chain_id in (select chain_id from bad)) as invalid
     from ch""", "math_steps", "order_base"))
 def q_conversion_stats(spark, sf_dir):
+    return convert.conversion_stats(*_converted(spark, sf_dir)).drop("messages")
+
+
+@register("valid_conversion", "C11", with_views("""
+    with ids as (select chain_id, step_id from math_steps),
+    nodes as (select chain_id, idx as node from math_steps),
+    bad as (select chain_id from ((select chain_id, step_id from ids except select chain_id, node from nodes)
+                                  union all (select chain_id, node from nodes except select chain_id, step_id from ids))
+            union
+            select m.chain_id from math_steps m where m.depends_on <> ''
+              and not exists (select 1 from ids i where i.chain_id = m.chain_id and i.step_id = cast(m.depends_on as bigint)))
+    select distinct cast(chain_id as varchar) as chain_id from order_base
+    where cast(chain_id as varchar) not in (select chain_id from bad)""", "math_steps", "order_base"))
+def q_valid_conversion(spark, sf_dir):
+    return convert.valid_chains(*_converted(spark, sf_dir))
+
+
+def _converted(spark, sf_dir):
+    """Ids of all converted chains, and the validation messages about them."""
     from tracewise.session import cut_lineage
     # every validation rule reads the converted chains: build them once
     chains = cut_lineage(convert.convert_math(math_raw(spark, sf_dir)))
@@ -94,13 +114,12 @@ def q_conversion_stats(spark, sf_dir):
     msgs = validate.validation_messages(lg.withColumn("step_id", F.col("step_id").cast("long")),
                                         nodes.withColumn("node", F.col("node").cast("long")),
                                         edges.withColumn("edge", F.col("edge").cast("array<bigint>")))
-    return convert.conversion_stats(chains.select(F.col("query_id").alias("chain_id")), msgs)
+    return chains.select(F.col("query_id").alias("chain_id")), msgs
 
 
 _DOC_LINES = f"""
-    dl as (select doc_id, list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda s: {_STRIP}),
-                                                      lambda s: s <> '' and not starts_with(s, '#')),
-                                         lambda s: substr(s, 1, 100)) as l from documents)"""
+    dl as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: {_STRIP}),
+                                       lambda s: s <> '' and not starts_with(s, '#')) as l from documents)"""
 
 
 @register("line_steps", "C2", with_views(f"""
@@ -165,7 +184,7 @@ def q_sentence_grounding(spark, sf_dir):
     return convert.to_long(ch).select("chain_id", "idx", "text", "is_correct", "is_origin", "error_type")
 
 
-@register("chat_to_chain", "C7 IO13", with_views(f"""
+@register("chat_to_chain", "C7", with_views(f"""
     with m as (select conv_id, turn, role, text,
                       last_value(case when role = 'user' then coalesce(text, '') end ignore nulls)
                           over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as lu,
@@ -177,7 +196,7 @@ def q_sentence_grounding(spark, sf_dir):
                  list_filter(list_transform(string_split(coalesce(resp, ''), chr(10)), lambda s: {_STRIP}), lambda s: s <> '') as l
           from f where coalesce(resp, '') <> ''),
     h as (select conv_id, q, case when len(l) > 0 then l else [resp] end as l from g)
-    select cast(conv_id as varchar) as chain_id, unnest(range(len(l))) as idx, unnest(l) as text, substr(q, 1, 200) as query
+    select cast(conv_id as varchar) as chain_id, unnest(range(len(l))) as idx, unnest(l) as text, q as query
     from h"""))
 def q_chat_to_chain(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
@@ -190,7 +209,7 @@ def q_chat_to_chain(spark, sf_dir):
     with p as (select doc_id, text,
                       list_filter(list_transform(regexp_split_to_array(text, '\\n|\\p{{Nd}}+\\.{PY_WS}'), lambda s: {_STRIP}),
                                   lambda s: s <> '') as l from documents),
-    q as (select doc_id, substr(text, 1, 50) as query, case when len(l) > 0 then l else [text] end as l from p)
+    q as (select doc_id, text as query, case when len(l) > 0 then l else [text] end as l from p)
     select cast(doc_id as varchar) as chain_id, unnest(range(len(l))) as idx, unnest(l) as text, query from q"""))
 def q_text_to_chain(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

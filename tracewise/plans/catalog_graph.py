@@ -256,57 +256,55 @@ def q_edge_eval(spark, sf_dir):
     return G.edge_set_eval(G.semantic_edges(v, 0.3), gold)
 
 
-_NM_SQL = """
-    h0 as (select chain_id, idx, embedding[1]::double as m0, embedding[2]::double as m1, embedding[3]::double as m2,
-                  embedding[4]::double as m3 from vec_steps),
-    g1 as (select e.chain_id, e.dst as idx, avg(h.m0) as a0, avg(h.m1) as a1, avg(h.m2) as a2, avg(h.m3) as a3
+DIMS = 64  # of the embeddings table
+
+
+def _each(text: str) -> str:
+    return ", ".join(text.replace("#", str(i)).replace("@", str(i + 1)) for i in range(DIMS))
+
+
+_NM_SQL = f"""
+    h0 as (select chain_id, idx, {_each('embedding[@]::double as m#')} from vec_steps),
+    g1 as (select e.chain_id, e.dst as idx, {_each('avg(h.m#) as a#')}
            from vec_edges e join h0 h on h.chain_id = e.chain_id and h.idx = e.src group by 1, 2),
-    h1 as (select h.chain_id, h.idx, h.m0 + coalesce(a0, 0) as m0, h.m1 + coalesce(a1, 0) as m1,
-                  h.m2 + coalesce(a2, 0) as m2, h.m3 + coalesce(a3, 0) as m3
-           from h0 h left join g1 using (chain_id, idx)),
-    g2 as (select e.chain_id, e.dst as idx, avg(h.m0) as a0, avg(h.m1) as a1, avg(h.m2) as a2, avg(h.m3) as a3
+    h1 as (select h.chain_id, h.idx, {_each('h.m# + coalesce(a#, 0) as m#')} from h0 h left join g1 using (chain_id, idx)),
+    g2 as (select e.chain_id, e.dst as idx, {_each('avg(h.m#) as a#')}
            from vec_edges e join h1 h on h.chain_id = e.chain_id and h.idx = e.src group by 1, 2),
-    h2 as (select h.chain_id, h.idx, h.m0 + coalesce(a0, 0) as m0, h.m1 + coalesce(a1, 0) as m1,
-                  h.m2 + coalesce(a2, 0) as m2, h.m3 + coalesce(a3, 0) as m3
-           from h1 h left join g2 using (chain_id, idx))"""
+    h2 as (select h.chain_id, h.idx, {_each('h.m# + coalesce(a#, 0) as m#')} from h1 h left join g2 using (chain_id, idx))"""
 
 
 def _nm(spark, sf_dir, rounded=True):
     v = vec_steps(spark, sf_dir)
-    feats = v.select("chain_id", "idx", *[F.col("embedding")[i].alias(f"m{i}") for i in range(4)])
+    feats = v.select("chain_id", "idx", *[F.col("embedding")[i].alias(f"m{i}") for i in range(DIMS)])
     e = v.filter(F.col("idx") >= 1).select("chain_id", (F.col("idx") - 1).alias("src"), F.col("idx").alias("dst"))
-    return G.neighbour_mean(feats, e, [f"m{i}" for i in range(4)], rounds=2, rounded=rounded)
+    return G.neighbour_mean(feats, e, [f"m{i}" for i in range(DIMS)], rounds=2, rounded=rounded)
 
 
 @register("neighbour_mean", "G17", with_views(f"""
     with {_NM_SQL}
-    select chain_id, idx, round(m0, 6) + 0.0 as m0, round(m1, 6) + 0.0 as m1, round(m2, 6) + 0.0 as m2,
-           round(m3, 6) + 0.0 as m3 from h2""", "vec_steps", "vec_edges"))
+    select chain_id, idx, {_each('round(m#, 6) + 0.0 as m#')} from h2""", "vec_steps", "vec_edges"))
 def q_neighbour_mean(spark, sf_dir):
     return _nm(spark, sf_dir)
 
 
 @register("graph_pool", "G18", with_views(f"""
     with {_NM_SQL}
-    select chain_id, round(avg(m0), 6) + 0.0 as m0, round(avg(m1), 6) + 0.0 as m1,
-           round(avg(m2), 6) + 0.0 as m2, round(avg(m3), 6) + 0.0 as m3
-    from h2 group by chain_id""", "vec_steps", "vec_edges"))
+    select chain_id, {_each('round(avg(m#), 6) + 0.0 as m#')} from h2 group by chain_id""", "vec_steps", "vec_edges"))
 def q_graph_pool(spark, sf_dir):
-    return G.mean_pool(_nm(spark, sf_dir, rounded=False), [f"m{i}" for i in range(4)])
+    return G.mean_pool(_nm(spark, sf_dir, rounded=False), [f"m{i}" for i in range(DIMS)])
 
 
 @register("attention_heatmap", "G19", with_views("""
     with att as (select e.chain_id, e.src, e.dst, m.model_type as head, m.node_prob as alpha
-                 from order_edges e join order_model_scores m on m.chain_id = e.chain_id and m.idx = e.dst
-                 where m.model_type in ('a', 'b')),
+                 from order_edges e join order_model_scores m on m.chain_id = e.chain_id and m.idx = e.dst),
     pe as (select chain_id, src, dst, avg(alpha) as a from att group by 1, 2, 3),
     pn as (select chain_id, dst as idx, sum(a) as s from pe group by 1, 2)
     select s.chain_id, s.idx, round(coalesce(pn.s, 0), 6) + 0.0 as attention,
-           'Step ' || cast(s.idx as varchar) || ': ' || substr(s.text, 1, 20) || '...' as label
+           'Step ' || cast(s.idx as varchar) || ': ' || s.text as label
     from order_steps s left join pn using (chain_id, idx)""", "order_edges", "order_model_scores", "order_steps"))
 def q_attention_heatmap(spark, sf_dir):
     s = order_steps(spark, sf_dir)
-    ms = order_model_scores(spark, sf_dir).filter(F.col("model_type").isin("a", "b"))
+    ms = order_model_scores(spark, sf_dir)
     attn = order_edges(s).join(ms.select("chain_id", F.col("idx").alias("dst"), F.col("model_type").alias("head"),
                                          F.col("node_prob").alias("alpha")), ["chain_id", "dst"])
     return G.attention_heatmap(attn, s)

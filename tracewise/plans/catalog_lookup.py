@@ -48,8 +48,7 @@ def q_context_lookup(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user").select(
         F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"),
         F.col("text").alias("query"))
-    rules = spark.createDataFrame(lookup.CONTEXT_RULES, "rule_order int, keyword string, context string")
-    out = lookup.context_lookup(c, rules, "qid")
+    out = lookup.context_lookup(c, lookup.CONTEXT_RULES)
     return out.select("qid", F.when(F.col("context") == "", "").when(F.col("context").contains("square root"), "sqrt")
                       .otherwise("delete").alias("matched"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewise.functions.common import hash_key_sql
 from tracewise.operators import patterns, risk, split
 from tracewise.plans.registry import register
 from tracewise.sources.fixtures import SQL_VIEWS, event_steps, order_steps, with_views
@@ -23,7 +24,7 @@ SQL_VIEWS.update({
               window w as (partition by chain_id order by idx rows between 1 following and unbounded following))"""),
     "r2_samples": (("order_steps", "r1_labels"), """
         select p.chain_id, p.k, p.idx, l.steps_until_error, l.future_error_count, l.is_vulnerable, l.risk_level
-        from (select s.chain_id, s.idx, unnest(range(greatest(s.idx + 1, 3), least(n.n, 10) + 1)) as k
+        from (select s.chain_id, s.idx, unnest(range(greatest(s.idx + 1, 3), n.n + 1)) as k
               from order_steps s join (select chain_id, count(*) as n from order_steps group by chain_id
                                        having count(*) >= 3) n using (chain_id)) p
         join r1_labels l using (chain_id, idx)"""),
@@ -33,8 +34,8 @@ SQL_VIEWS.update({
     "occ": (("order_steps",), """
         select model_type || '_' || domain || '_' || coalesce(error_type, 'unknown') || '_' || cast(idx as varchar) as pattern_id,
                model_type, domain, coalesce(error_type, 'unknown') as hallucination_type,
-               'Error in step ' || cast(idx as varchar) || ': ' || substr(text, 1, 100) as description,
-               substr(text, 1, 200) as example, case when is_origin then 0.7::double else 0.5::double end as severity, chain_id, idx
+               'Error in step ' || cast(idx as varchar) || ': ' || text as description,
+               text as example, case when is_origin then 0.7::double else 0.5::double end as severity, chain_id, idx
         from order_steps where not is_correct"""),
     "pstore": (("occ",), """
         select pattern_id, model_type, domain, hallucination_type, count(*) as frequency,
@@ -62,7 +63,7 @@ def q_prefix_samples(spark, sf_dir):
 
 @register("prefix_edges", "C12", with_views("""
     with n as (select chain_id, count(*) as n from order_steps group by chain_id having count(*) >= 3)
-    select e.chain_id, e.src, e.dst, unnest(range(greatest(greatest(e.src, e.dst) + 1, 3), least(n.n, 10) + 1)) as k
+    select e.chain_id, e.src, e.dst, unnest(range(greatest(greatest(e.src, e.dst) + 1, 3), n.n + 1)) as k
     from order_edges e join n using (chain_id)""", "order_steps", "order_edges"))
 def q_prefix_edges(spark, sf_dir):
     from tracewise.sources.fixtures import order_edges
@@ -71,10 +72,10 @@ def q_prefix_edges(spark, sf_dir):
     return pe.select("chain_id", "src", "dst", "k")
 
 
-@register("sample_stats", "R3 S5", with_views("""
+@register("sample_stats", "R3 S5", with_views(f"""
     with c as (select distinct chain_id from order_steps),
     h as (select chain_id, row_number() over (order by key, chain_id) - 1 as pos, count(*) over () as n
-          from (select chain_id, ((chain_id % 2147483647) * 48271 + 42) % 2147483647 as key from c)),
+          from (select chain_id, {hash_key_sql('chain_id')} as key from c)),
     sp as (select chain_id, case when pos < floor(n * 0.2::double) then 'val' else 'train' end as split from h),
     per as (select chain_id, k, max(is_vulnerable::int) as v from r2_samples group by chain_id, k)
     select count(*) filter (where split = 'train') as train_samples, count(*) filter (where split = 'val') as val_samples,

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewise.functions.common import hash_key_sql
 from tracewise.operators import split, validate
 from tracewise.plans.registry import register
 from tracewise.sources.fixtures import (SQL_VIEWS, order_chains, order_edges, order_steps,
@@ -169,11 +170,11 @@ def q_label_inconsistency(spark, sf_dir):
 
 # --- splits ----------------------------------------------------------------
 
-_SPLIT_SQL = """
+_SPLIT_SQL = f"""
     with st as (select o.chain_id, o.domain, coalesce(e.he, false) as has_error
                 from order_chains o left join (select chain_id, bool_or(not is_correct) as he
                                                from order_steps group by chain_id) e using (chain_id)),
-    k as (select *, ((chain_id % 2147483647) * 48271 + 42) % 2147483647 as key from st),
+    k as (select *, {hash_key_sql('chain_id')} as key from st),
     p as (select *, row_number() over (partition by domain, has_error order by key, chain_id) - 1 as pos,
                  count(*) over (partition by domain, has_error) as n from k),
     s as (select chain_id, domain, has_error,
@@ -200,8 +201,8 @@ def q_split_stats(spark, sf_dir):
     return split.split_stats(_split_chains(spark, sf_dir))
 
 
-@register("split_leakage", "S4 S6", with_views("""
-    with k as (select doc_id, text, lang, ((doc_id % 2147483647) * 48271 + 42) % 2147483647 as key from documents),
+@register("split_leakage", "S6", with_views(f"""
+    with k as (select doc_id, text, lang, {hash_key_sql('doc_id')} as key from documents),
     p as (select *, row_number() over (partition by lang order by key, doc_id) - 1 as pos,
                  count(*) over (partition by lang) as n from k),
     s as (select doc_id, text, case when pos < floor(n * 0.7::double) then 'train'
@@ -224,6 +225,17 @@ def q_split_leakage(spark, sf_dir):
     return split.split_leakage(s, "text", "doc_id")
 
 
+@register("plain_split", "S4", with_views(f"""
+    with q as (select 'query_' || cast(o_orderkey as varchar) as query_id from orders),
+    p as (select query_id, row_number() over (order by {hash_key_sql('query_id')}, query_id) - 1 as pos, count(*) over () as n from q)
+    select query_id, case when pos < floor(n * 0.7::double) then 'train'
+                          when pos < floor(n * 0.7::double) + floor(n * 0.15::double) then 'val' else 'test' end as split from p"""))
+def q_plain_split(spark, sf_dir):
+    # string ids, one stratum
+    q = table(spark, sf_dir, "orders").select(F.concat(F.lit("query_"), F.col("o_orderkey").cast("string")).alias("query_id"))
+    return split.assign_splits(q, [], id_col="query_id")
+
+
 @register("class_balance", "S7 D6", with_views("""
     with t(domain, origin_threshold) as (values ('math', 0.5::double), ('code', 0.3::double), ('medical', 0.25::double))
     select domain, cast(sum(is_origin::int) as bigint) as pos, cast(sum((not is_origin)::int) as bigint) as neg,

@@ -111,22 +111,22 @@ def load_pattern_store(spark: SparkSession, path: str):
     return store, model_stats(store)
 
 
-def preference_pairs(pairs: DataFrame, mapping: DataFrame, cap: int = 500) -> DataFrame:
+def preference_pairs(pairs: DataFrame, mapping: list[tuple[str, str]], cap: int | None = None) -> DataFrame:
     """IO13: unpivot chosen / rejected sides into (model_name, conversation);
-    keep sides whose model name contains a mapped key (substring match
-    against the small mapping table, broadcast) and at most ``cap``
-    conversations per mapped model (the reference's own cap, by row order).
+    keep sides whose model name contains a mapped key (first key in order; the
+    mapping is a list written in code, so the match is a projection) and, when
+    ``cap`` is given (500 in the reference), at most that many conversations per
+    mapped model, by row order.
     pairs: (pair_id, chosen_model, chosen array<struct<role,content>>,
     rejected_model, rejected array<struct<role,content>>);
-    mapping: (key, model_type)."""
+    mapping: [(key, model_type)]."""
     sides = pairs.select("pair_id", F.inline(F.array(
         F.struct(F.lit(0).alias("side"), F.col("chosen_model").alias("model_name"), F.col("chosen").alias("conversation")),
         F.struct(F.lit(1).alias("side"), F.col("rejected_model").alias("model_name"), F.col("rejected").alias("conversation")))))
-    m = F.broadcast(mapping)
-    j = sides.join(m, F.col("model_name").contains(F.col("key")))
-    first = j.groupBy("pair_id", "side").agg(F.min(F.struct("key", "model_type")).alias("k"))
-    j = sides.join(first, ["pair_id", "side"]).select("pair_id", "side", "model_name", "conversation",
-                                                       F.col("k.model_type").alias("model_type"))
+    known = F.coalesce(*[F.when(F.col("model_name").contains(k), m) for k, m in sorted(mapping)], F.lit(None).cast("string"))
+    j = sides.withColumn("model_type", known).filter(F.col("model_type").isNotNull())
+    if cap is None:
+        return j
     # first ``cap`` per model without sorting a whole model in one task:
     # keep the cap smallest per (model, salt), then per model among those
     salted = j.withColumn("_salt", F.pmod(F.xxhash64("pair_id"), F.lit(64)))
