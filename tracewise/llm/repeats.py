@@ -145,7 +145,9 @@ def _grouped(order_by: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _slices(key: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Runs of equal values of a sorted key."""
-    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    if not len(key):
+        return
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     for lo, hi in zip(at, [*at[1:], len(key)], strict=True):
         yield int(key[lo]), slice(int(lo), int(hi))
 
