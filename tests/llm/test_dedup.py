@@ -77,11 +77,11 @@ def test_hot_group_of_near_copies(spark):
     check_classes(minhash.near_duplicates(df), rows)
 
 
-def test_crowded_buckets_go_on_with_more_centres(spark, monkeypatch):
+def test_crowded_buckets_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", 2)
-    monkeypatch.setattr(minhash, "CENTRES", 1)
+    monkeypatch.setattr(minhash, "BLOCK", 300)
     half = sentence(3, 60)
-    rows = [(k, half + " " + sentence(100 + k // 3, 10)) for k in range(30)]
+    rows = [(k, half + " " + sentence(100 + k // 3, 10 + k % 2)) for k in range(40)]
     check_classes(minhash.near_duplicates(frame(spark, [(d, t, None, None, None) for d, t in rows])), rows)
 
 

@@ -11,10 +11,12 @@ registers give candidates: a pair at 0.85 is missed with probability (1 - 0.85**
 if the estimated Jaccard likeness, corrected for chance collisions of compressed registers, is within SIGMAS standard
 errors of the threshold, and are confirmed on full shingle sets.
 
-No bucket emits all its pairs.  Small ones (up to SMALL members) do, bounded by SMALL partners a member.  In larger ones
-all members meet one centre; members that the links so found don't join to the bucket's largest class become centres
-in turn, CENTRES at a time, until every two members of different classes have met.  So links between different
-classes are never lost, and a group of near copies costs a few comparisons a member.
+No bucket emits all its pairs.  Members of small ones (up to SMALL) meet each other, so at most SMALL partners a
+member.  In larger ones all members first meet one centre (the member that shares most with others), which joins most of a group of
+copies.  Buckets that still hold several classes are then settled inside tasks: members outside the bucket's
+largest class are compared on full sets with all its members through an index of shingles, and only links that join
+classes leave the task.  A bucket of more than BLOCK shingles is dealt out as pairs of blocks.  So no link between different
+classes is lost, and rows grow with the members, not with their pairs.
 
 Null ids link with nothing (component null, kept).  Rows with equal ids are rows of their own.  Null text: no words.
 """
@@ -26,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewise.llm.common import U64, binaries, mix, prefix_hash, range_hash, small_batches, spans, utf8, word_hashes, word_spans, materialise
@@ -36,7 +37,8 @@ SHINGLE = 5
 REGISTERS = 256
 MANTISSA = 10
 BANDS, ROWS = 42, 6
-SMALL, CENTRES = 8, 32
+SMALL = 8
+BLOCK = 400_000
 SIGMAS = 5.0
 LEAST_SET = 6  # smaller sets that share 85 of 100 are equal
 SKETCHES = "doc_id long, n_shingles long, d1 long, d2 long, sketch binary"
@@ -179,7 +181,6 @@ def _confirm(percent: int):
 
 def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of the class), kept (whether it is that one) of every row."""
-    spark = docs.sparkSession
     share = percent / 100
     sk = materialise(sketches(docs, doc_id, text), "sketches")
     groups = sk.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -188,35 +189,81 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     reps = sk.join(large, ["doc_id", "d1", "d2", "n_shingles"]).dropDuplicates(["doc_id", "d1", "d2"])
     reps = materialise(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch"), "reps")
     bands = reps.select("rep", "sketch").mapInArrow(_bands, "key long, rep long")
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("centre")).filter("n > 1")
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     inside = materialise(bands.join(buckets, "key"), "buckets")
     wanted = inside.select("rep").distinct()
     texts = materialise(docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted, "rep").dropDuplicates(["rep"]), "texts")
 
-    met = spark.createDataFrame([], "a long, b long")
-    links = spark.createDataFrame([], "a long, b long")
     few = inside.filter(F.col("n") <= SMALL).select("key", "rep")
     pairs = few.select("key", F.col("rep").alias("a")).join(few.select("key", F.col("rep").alias("b")), "key").filter("a < b").select("a", "b")
-    pairs = pairs.unionByName(inside.filter((F.col("n") > SMALL) & (F.col("rep") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("rep").alias("b")))
-    crowded = inside.filter(F.col("n") > SMALL)
-    open_ = materialise(crowded.filter(F.col("rep") != F.col("centre")).select("key", "rep"), "open")
-    while True:
-        pairs = materialise(pairs.distinct().join(met, ["a", "b"], "left_anti"), "pairs")
-        met = met.unionByName(pairs)
-        links = links.unionByName(materialise(_linked(pairs, reps, texts, share, percent), "linked"))
-        labels = materialise(components(links), "labels")
-        # members that have met nobody of their bucket's largest class yet
-        seen = open_.join(labels.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select(
-            "key", "rep", F.coalesce("component", "rep").alias("label"))
-        sizes = seen.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        most = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-        seen = materialise(seen.join(most.select("key", F.col("m.label").alias("most")), "key"), "seen")
-        nth = F.row_number().over(W.partitionBy("key").orderBy("rep"))
-        centres = materialise(seen.filter("label <> most").withColumn("nth", nth).filter(F.col("nth") <= CENTRES).select("key", F.col("rep").alias("c"), F.col("label").alias("cl")), "centres")
-        if centres.isEmpty():
-            return _result(members, labels)
-        pairs = seen.join(centres, "key").filter("label <> cl").select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b"))
-        open_ = materialise(seen.select("key", "rep").join(centres.select("key", F.col("c").alias("rep")), ["key", "rep"], "left_anti"), "open")
+    crowded = inside.filter(F.col("n") > SMALL).select("key", "rep")
+    drawn = inside.groupBy("rep").agg(F.sum("n").alias("drawn"))
+    crowded = materialise(crowded.join(drawn, "rep"), "crowded")
+    centres = crowded.groupBy("key").agg(F.max(F.struct("drawn", (-F.col("rep")).alias("c"))).alias("m")).select("key", (-F.col("m.c")).alias("centre"))
+    star = crowded.join(centres, "key").filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
+    links = _linked(materialise(pairs.unionByName(star).distinct(), "pairs"), reps, texts, share, percent)
+    links = materialise(links, "linked")
+    labels = components(links)
+    more = _settled(crowded.select("key", "rep"), labels, reps, texts, percent)
+    return _result(members, components(links.unionByName(materialise(more, "settled"))))
+
+
+def _settled(crowded: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of crowded buckets that are not of one class yet."""
+    labels = labels.select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    sizes = reps.select("rep", "n_shingles")
+    seen = crowded.join(labels, "rep", "left").join(sizes, "rep").select("key", "rep", "n_shingles", F.coalesce("label", "rep").alias("label"))
+    of = seen.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    of = of.groupBy("key").agg(F.max(F.struct("n", "label", "size")).alias("most"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("classes"))
+    # dealt into ``across`` blocks of all members and ``down`` blocks of those outside the largest class
+    deals = lambda size: F.ceil(size / BLOCK).cast("int")
+    of = of.filter("classes > 1").select("key", F.col("most.label").alias("most"), deals(F.col("size")).alias("across"),
+                                         deals(F.col("size") - F.col("most.size")).alias("down"))
+    rows = seen.join(of, "key").withColumn("minor", F.col("label") != F.col("most"))
+    own_i, own_j = F.pmod(F.xxhash64("rep", F.lit(1)), "down").cast("int"), F.pmod(F.xxhash64("rep", F.lit(2)), "across").cast("int")
+    rows = rows.withColumns({"own_i": own_i, "own_j": own_j})
+    place = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    any_of = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda i: place(i, F.col("own_j")))
+    minor_of = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda j: place(F.col("own_i"), j))
+    places = F.when(F.col("minor"), F.array_union(any_of, minor_of)).otherwise(any_of)
+    dealt = rows.select("key", "rep", "label", "minor", "own_i", F.inline(places))
+    dealt = dealt.select("key", "i", "j", "rep", "label", (F.col("minor") & (F.col("own_i") == F.col("i"))).alias("asks"))
+    return dealt.join(texts, "rep").groupBy("key", "i", "j").applyInArrow(_joins(percent), "a long, b long").distinct()
+
+
+def _joins(percent: int):
+    """Links of a block that join classes: each asking member against all members, by counting shared shingles."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rep, label, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "label", "asks"))
+        data, off = utf8(table.column("text"))
+        row, h = shingles(data, off)
+        n = np.bincount(row, minlength=len(rep))
+        _, term = np.unique(h, return_inverse=True)
+        order = np.argsort(term, kind="stable")
+        holders, at = row[order], np.concatenate([[0], np.cumsum(np.bincount(term))])
+        mine = np.concatenate([[0], np.cumsum(n)])
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for q in np.flatnonzero(asks).tolist():
+            terms = term[mine[q]: mine[q + 1]]
+            size = at[terms + 1] - at[terms]
+            place = np.repeat(at[terms] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            both = np.bincount(holders[place], minlength=len(rep))
+            for k in np.flatnonzero((100 * both >= percent * (n[q] + n - both)) & (label != label[q])).tolist():
+                x, y = root(int(label[q])), root(int(label[k]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((min(int(rep[q]), int(rep[k])), max(int(rep[q]), int(rep[k]))))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
 
 
 def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, share: float, percent: int) -> DataFrame:
