@@ -17,10 +17,7 @@ sys.path.insert(0, ROOT)
 from tracewise.plans import OPERATORS, ORACLES  # noqa: E402
 
 LIBRARY = {
-    "V6": "validate.chain_listing", "V7": "validate.lookup_chain", "IO2": "io.read_capped", "IO4": "io.read_dataset",
-    "IO8": "io.write_report", "IO13": "io.preference_pairs", "IO14": "io.distinct_models",
-    "P11": "convert.inference_log_to_chains", "P12": "convert.inference_log_metrics", "P13": "convert.fenced_json_steps",
-    "F15": "classify.verdict", "H7": "memory.mention_history", "Q1": "synth.synthetic_chains",
+    "F1": "fingerprint.concat_steps", "IO10": "io.save_pattern_store", "Q1": "synth.synthetic_chains",
 }
 
 

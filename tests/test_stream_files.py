@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF001
 from tracewise.operators import memory
 from tracewise.plans import QUERIES
-from tracewise.sources.fixtures import event_steps, turn_steps
+from tracewise.sources.fixtures import event_steps, mention_steps
 from tracewise.sources.tables import table
 from tracewise.streaming import stream as S
 
@@ -100,7 +100,7 @@ def test_conflicts_never_name_a_later_turn(spark, folder):
 
 
 def test_stream_memory_equals_batch(spark):
-    ts = turn_steps(spark, SF001)
+    ts = mention_steps(spark, SF001)
     ents, claims = memory.entity_conflicts(memory.extract_entities(ts)), memory.claim_conflicts(memory.extract_claims(ts))
     got = QUERIES["stream_memory"](spark, SF001)
     assert got.count() == ents.count() + claims.count()

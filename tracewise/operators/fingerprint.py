@@ -70,11 +70,10 @@ def step_measures(steps: DataFrame) -> DataFrame:
     inner = F.when(m >= 2, F.size(F.filter(F.slice(pieces, 2, F.greatest(m - 1, F.lit(1))), nonblank))).otherwise(0)
     deps = F.coalesce(F.size("depends_on"), F.lit(0)) if "depends_on" in steps.columns else F.when(F.col("idx") > 0, 1).otherwise(0)
     stripped = F.regexp_replace(F.col("text"), f"^{PY_WS}+|{PY_WS}+$", "")
-    # last step of each chain from an aggregate + join (no whole-chain window frame)
-    steps = steps.join(steps.groupBy("chain_id").agg(F.max("idx").alias("_last_idx")), "chain_id")
-    is_last = F.col("idx") == F.col("_last_idx")
+    steps = steps.withColumn("_is_last", F.lead("idx").over(w).isNull())
+    is_last = F.col("_is_last")
     return steps.select(
-        "chain_id", "idx", "text",
+        "chain_id", "idx",
         F.size(ws).alias("n_words"),
         F.aggregate(ws, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x)).alias("sum_wlen"),
         F.size(F.filter(ws, lambda x: F.length(x) > 8)).alias("n_long"),
@@ -101,29 +100,34 @@ def step_measures(steps: DataFrame) -> DataFrame:
     )
 
 
+SUMMED = ["n_words", "sum_wlen", "n_long", "n_chars", "n_punct", "n_q", "n_expl", "n_fp", "n_pass", "n_hedge", "n_high", "n_low",
+          "numbered", "bullet", "n_code", "n_math", "n_deps", "branching", "sq_words", "_inner"]
+
+
 def fingerprint(steps: DataFrame) -> DataFrame:
-    """All 26 features per chain (steps: chain_id, idx, text[, depends_on])."""
-    sm = step_measures(steps)
+    """All 26 features per chain (steps: chain_id, idx, text[, depends_on]).
+
+    Two reads of the steps: one for the distinct words, one for all sums.  In the
+    latter each step feeds its sentence group g (and, when it holds a delimiter, opens
+    g + 1); its sums ride on the first of the two rows, so the groups and the
+    chain's sums come from one partitioning on the chain."""
     # distinct words per chain (partial aggregation by (chain, word))
-    uniq = (sm.select("chain_id", F.explode(F.array_distinct(words(F.lower("text")))).alias("w")).distinct()
+    uniq = (steps.select("chain_id", F.explode(F.array_distinct(words(F.lower("text")))).alias("w")).distinct()
             .groupBy("chain_id").agg(F.count(F.lit(1)).alias("unique_words")))
-    # merged sentence pieces: open steps feed group g; delimiter steps close g and open g+1
-    contrib = sm.select("chain_id", F.inline(F.when(F.col("_m") == 0, F.array(F.struct(F.col("_g").alias("g"), F.col("_first").alias("ne"))))
-                                             .otherwise(F.array(F.struct(F.col("_g").alias("g"), F.col("_first").alias("ne")),
-                                                                F.struct((F.col("_g") + 1).alias("g"), F.col("_last").alias("ne"))))))
-    groups = (contrib.groupBy("chain_id", "g").agg(F.max(F.col("ne").cast("int")).alias("ne"))
-              .groupBy("chain_id").agg(F.sum("ne").alias("merged_sentences")))
-    agg = sm.groupBy("chain_id").agg(
-        F.count(F.lit(1)).alias("num_steps"), F.sum("n_words").alias("total_words"), F.sum("sum_wlen").alias("sum_wlen"),
-        F.sum("n_long").alias("n_long"), (F.sum("n_chars") + F.count(F.lit(1)) - 1).alias("text_len"),
-        F.sum("n_punct").alias("n_punct"), F.sum("n_q").alias("n_q"), F.sum("n_expl").alias("n_expl"),
-        F.sum("n_fp").alias("n_fp"), F.sum("n_pass").alias("n_pass"), F.sum("n_hedge").alias("n_hedge"),
-        F.sum("n_high").alias("n_high"), F.sum("n_low").alias("n_low"), F.sum("numbered").alias("numbered"),
-        F.sum("bullet").alias("bullet"), F.sum("n_code").alias("n_code"), F.sum("n_math").alias("n_math"),
-        F.avg("n_deps").alias("avg_dependencies"), F.sum(F.when(F.col("n_deps") > 1, 1).otherwise(0)).alias("branching"),
-        F.avg("n_words").alias("avg_step_length"), F.stddev_pop("n_words").alias("std_step_length"),
-        F.sum("_inner").alias("inner_sentences"))
-    j = agg.join(uniq, "chain_id", "left").join(groups, "chain_id", "left")
+    sm = step_measures(steps).withColumns({"branching": (F.col("n_deps") > 1).cast("int"), "sq_words": F.col("n_words").cast("long") * F.col("n_words")})
+    opens = F.struct(F.col("_g").alias("g"), F.col("_first").alias("ne"), F.lit(1).alias("own"))
+    closes = F.struct((F.col("_g") + 1).alias("g"), F.col("_last").alias("ne"), F.lit(0).alias("own"))
+    rows = sm.select("chain_id", *SUMMED, F.inline(F.when(F.col("_m") == 0, F.array(opens)).otherwise(F.array(opens, closes))))
+    groups = rows.groupBy("chain_id", "g").agg(F.max(F.col("ne").cast("int")).alias("ne"), F.sum("own").alias("own"),
+                                               *[F.sum(F.col(c) * F.col("own")).alias(c) for c in SUMMED])
+    agg = groups.groupBy("chain_id").agg(F.sum("own").alias("num_steps"), F.sum("ne").alias("merged_sentences"), *[F.sum(c).alias(c) for c in SUMMED])
+    n = F.col("num_steps")
+    agg = agg.withColumns({
+        "total_words": F.col("n_words"), "text_len": F.col("n_chars") + n - 1, "inner_sentences": F.col("_inner"),
+        "avg_dependencies": F.col("n_deps") / n, "avg_step_length": F.col("n_words") / n,
+        # exact in whole numbers: n * sum of squares - square of the sum
+        "std_step_length": F.sqrt((n * F.col("sq_words") - F.col("n_words") * F.col("n_words")).cast("double")) / n})
+    j = agg.join(uniq, "chain_id", "left")
     tw, n, tl = F.col("total_words"), F.col("num_steps"), F.col("text_len")
     sentences = F.col("inner_sentences") + F.coalesce("merged_sentences", F.lit(0))
     hedge, high, lowc = safe_div("n_hedge", tw), safe_div("n_high", tw), safe_div("n_low", tw)
@@ -172,8 +176,8 @@ def step_certainty(steps: DataFrame, chain_clean: DataFrame) -> DataFrame:
     nw = F.size(words(low))
     hd = safe_div(_count_all(low, HEDGE_WORDS), nw)
     conf = F.least(F.lit(0.99), F.greatest(F.lit(0.1), 1.0 - hd * 5.0))
-    s = (steps.join(steps.groupBy("chain_id").agg(F.max("idx").alias("_last_idx")), "chain_id")
-         .join(chain_clean, "chain_id", "left"))
-    is_last = F.col("idx") == F.col("_last_idx")
+    last = F.lead("idx").over(Window.partitionBy("chain_id").orderBy("idx")).isNull()
+    s = steps.withColumn("_is_last", last).join(chain_clean, "chain_id", "left")
+    is_last = F.col("_is_last")
     capped = F.when(is_last & ~F.coalesce(F.col("clean"), F.lit(True)), F.least(conf, F.lit(0.45))).otherwise(conf)
     return s.select("chain_id", "idx", r6(capped).alias("certainty"))

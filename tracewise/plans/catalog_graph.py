@@ -61,7 +61,7 @@ def q_edge_table(spark, sf_dir):
     return G.edge_table(steps, edges.filter(F.col("chain_id") % 11 != 0))
 
 
-@register("topology_basic", "G2 G3 G7 G8", with_views("""
+@register("topology_basic", "G2 G3 G7", with_views("""
     with recursive e as (select distinct chain_id, src, dst from order_edges),
     ind as (select chain_id, dst as node, count(*) as c from e group by 1, 2),
     outd as (select chain_id, src as node, count(*) as c from e group by 1, 2),

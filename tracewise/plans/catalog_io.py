@@ -22,7 +22,7 @@ def _scratch(spark, name):
     return f"{checkpoint_dir(spark).rstrip('/')}/io/{name}-{uuid.uuid4().hex}"
 
 
-@register("chain_io_roundtrip", "IO1 IO3 IO5 IO6 IO7 IO12", with_views("""
+@register("chain_io_roundtrip", "IO1 IO3 IO6", with_views("""
     with o as (select distinct chain_id, first_supp from order_base)
     select 'model_' || cast(first_supp % 4 as varchar) as model_type, count(*) as total,
            count(*) filter (where chain_id % 97 <> 0) as valid, count(*) filter (where chain_id % 97 = 0) as invalid
@@ -45,7 +45,7 @@ def q_chain_io_roundtrip(spark, sf_dir):
                                           F.count(F.when(F.col("parse_error").isNotNull(), 1)).alias("invalid"))
 
 
-@register("pattern_store_io", "IO9 IO10", ORACLES.get("pattern_stats"))
+@register("pattern_store_io", "IO9", ORACLES.get("pattern_stats"))
 def q_pattern_store_io(spark, sf_dir):
     store = patterns.pattern_store(patterns.extract_occurrences(order_steps(spark, sf_dir)))
     path = _scratch(spark, "patterns")

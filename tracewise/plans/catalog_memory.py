@@ -1,4 +1,4 @@
-"""Conversation memory queries (H1–H13) over ``turn_steps``.
+"""Conversation memory queries (H1–H13) over ``mention_steps``.
 
 Oracles find each conflict with a plain self-join over earlier turns (the
 reference's definition); the Spark side uses the linear first-conflict
@@ -7,10 +7,12 @@ formulation of ``tracewise.operators.memory``.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tracewise.functions.common import WORD_RE
 from tracewise.operators import memory
 from tracewise.plans.registry import register
-from tracewise.sources.fixtures import SQL_VIEWS, turn_steps, with_views
+from tracewise.sources.fixtures import SQL_VIEWS, mention_steps, turn_steps, with_views
 from tracewise.sources.tables import table
 
 _NUM = memory.NUMBER_RE
@@ -18,22 +20,22 @@ _CLM = memory.CLAIM_RE
 _STOP = ", ".join(f"'{w}'" for w in memory.NAME_STOP)
 
 SQL_VIEWS.update({
-    "ents": (("turn_steps",), f"""
+    "ents": (("mention_steps",), f"""
         select conv_id, turn, step_idx, 0 as k, m, name, 'number' as kind,
                'n:' || cast(cast(v as double) as varchar) as vkey, cast(cast(v as double) as varchar) as value
         from (select conv_id, turn, step_idx, unnest(regexp_extract_all(text, '{_NUM}', 1)) as name,
                      unnest(regexp_extract_all(text, '{_NUM}', 2)) as v,
-                     unnest(range(len(regexp_extract_all(text, '{_NUM}', 1)))) as m from turn_steps)
+                     unnest(range(len(regexp_extract_all(text, '{_NUM}', 1)))) as m from mention_steps)
         union all
         select conv_id, turn, step_idx, 1 as k, m, tok as name, 'person' as kind, 's:' || tok as vkey, tok as value
         from (select conv_id, turn, step_idx, unnest(regexp_extract_all(text, '{WORD_RE}')) as tok,
-                     unnest(range(len(regexp_extract_all(text, '{WORD_RE}')))) as m from turn_steps)
+                     unnest(range(len(regexp_extract_all(text, '{WORD_RE}')))) as m from mention_steps)
         where regexp_full_match(tok, '[A-Z][a-z]+') and tok not in ({_STOP})"""),
-    "claims": (("turn_steps",), f"""
+    "claims": (("mention_steps",), f"""
         select conv_id, turn, step_idx, 0 as k, m, subject, 'is' as predicate, object, object as vkey, object as value
         from (select conv_id, turn, step_idx, unnest(regexp_extract_all(text, '{_CLM}', 1)) as subject,
                      unnest(regexp_extract_all(text, '{_CLM}', 2)) as object,
-                     unnest(range(len(regexp_extract_all(text, '{_CLM}', 1)))) as m from turn_steps)"""),
+                     unnest(range(len(regexp_extract_all(text, '{_CLM}', 1)))) as m from mention_steps)"""),
     "ent_conf": (("ents",), """
         select c.conv_id, c.turn, c.step_idx, c.name, c.value as current_value,
                arg_min(p.value, (p.turn, p.step_idx, p.k, p.m)) as previous_value,
@@ -50,14 +52,14 @@ SQL_VIEWS.update({
 })
 
 
-@register("entity_conflict", "H1 H2 H4 H7", with_views("select * from ent_conf", "ent_conf"))
+@register("entity_conflict", "H1 H2 H4", with_views("select * from ent_conf", "ent_conf"))
 def q_entity_conflict(spark, sf_dir):
-    return memory.entity_conflicts(memory.extract_entities(turn_steps(spark, sf_dir)))
+    return memory.entity_conflicts(memory.extract_entities(mention_steps(spark, sf_dir)))
 
 
 @register("claim_conflict", "H3 H5", with_views("select * from claim_conf", "claim_conf"))
 def q_claim_conflict(spark, sf_dir):
-    return memory.claim_conflicts(memory.extract_claims(turn_steps(spark, sf_dir)))
+    return memory.claim_conflicts(memory.extract_claims(mention_steps(spark, sf_dir)))
 
 
 @register("memory_features", "H6 H8 H9 H10 H11 H12 H13", with_views("""
@@ -87,7 +89,7 @@ def q_claim_conflict(spark, sf_dir):
                   sum((select count(*) from claims p where p.conv_id = c.conv_id and p.subject = c.subject
                        and p.predicate = c.predicate and p.object = c.object and p.turn < c.turn)) as support
            from claims c group by 1, 2),
-    ns as (select conv_id, turn, count(*) as num_steps from turn_steps group by 1, 2),
+    ns as (select conv_id, turn, count(*) as num_steps from mention_steps group by 1, 2),
     j as (select ctx.*, coalesce(n_ec, 0) as n_ec, coalesce(n_cc, 0) as n_cc, coalesce(mentions, 0) as mentions,
                  coalesce(changes, 0) as changes, coalesce(support, 0) as support, coalesce(n_claims, 0) as n_claims,
                  coalesce(num_steps, 0) as num_steps
@@ -105,10 +107,17 @@ def q_claim_conflict(spark, sf_dir):
            round(case when n_ec + n_cc = 0 then 0.0
                       else least(1.0, (0.8 * n_ec + 1.0 * n_cc) / (case when num_steps > 0 then num_steps else 1 end)) end, 6)
                + 0.0 as contradiction_score
-    from j""", "ent_conf", "claim_conf", "ents", "claims", "turn_steps"))
+    from j""", "ent_conf", "claim_conf", "ents", "claims", "mention_steps"))
 def q_memory_features(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
-    return memory.memory_features(turns, turn_steps(spark, sf_dir))
+    return memory.memory_features(turns, mention_steps(spark, sf_dir))
+
+
+@register("mention_history", "H7", with_views("""
+    select turn, step_idx, m, name, value from ents where conv_id = 3 and name = 'budget'""", "ents"))
+def q_mention_history(spark, sf_dir):
+    ents = memory.extract_entities(mention_steps(spark, sf_dir))
+    return memory.mention_history(ents, 3, "budget").select("turn", "step_idx", F.col("pos.m").cast("long").alias("m"), "name", "value")
 
 
 @register("turn_buckets", "H17 H18", with_views("""
@@ -131,8 +140,6 @@ def q_memory_features(spark, sf_dir):
            round((tp + tn) / (tp + fp + tn + fn), 6) + 0.0 as accuracy, cast(tp + fp + tn + fn as bigint) as n
     from r""", "order_steps"))
 def q_turn_buckets(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     from tracewise.functions.ranking import grouped_position
     from tracewise.sources.fixtures import order_steps
 
@@ -164,8 +171,6 @@ def q_rich_entities(spark, sf_dir):
     union all select conv_id, turn, 1, 'Looking through the story for relevant details...', '0' from p
     union all select conv_id, turn, 2, 'Based on the information, the answer is: ' || answer, '0,1' from p""")
 def q_template_chain(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     c = table(spark, sf_dir, "conversations")
     q = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
     a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))

@@ -128,7 +128,7 @@ _IV_SQL = f"""
            from event_day_steps where risk >= 0.3)"""
 
 
-@register("interventions", "R10 R11 R12", with_views(f"with {_IV_SQL} select * from iv", "event_day_steps"))
+@register("interventions", "R10 R11", with_views(f"with {_IV_SQL} select * from iv", "event_day_steps"))
 def q_interventions(spark, sf_dir):
     return risk.interventions(_day_steps(spark, sf_dir))
 

@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewise.plans.registry import register
-from tracewise.sources.fixtures import with_views
+from tracewise.sources.fixtures import mention_lines, with_views
 from tracewise.sources.tables import table
 from tracewise.streaming import stream as S
-from tracewise.functions.common import r6, strip_ws
+from tracewise.functions.common import r6
 
 _FMT = "yyyy-MM-dd HH:mm:ss"
 
@@ -119,9 +119,7 @@ def q_stream_memory(spark, sf_dir):
     # stand-in for the turns' event time: conversations start an hour apart, turns a minute apart
     conv = S.conversations_stream(spark, sf_dir).df
     ts = (F.lit(1_700_000_000) + F.col("conv_id") * 3600 + F.col("turn") * 60).cast("timestamp")
-    lines = F.filter(F.transform(F.split("text", "\n"), strip_ws), lambda s: s != "")
-    steps = conv.select("conv_id", "turn", ts.alias("ts"), F.posexplode(lines).alias("step_idx", "text")).select(
-        "conv_id", "turn", F.col("step_idx").cast("long").alias("step_idx"), "ts", "text")
+    steps = mention_lines(conv.withColumn("ts", ts), "ts")
     return S.run_to_table(S.memory_conflicts(S.mention_stream(steps)), "memory")
 
 

@@ -66,14 +66,14 @@ SQL_VIEWS.update({
 })
 
 _GROUPS = {
-    "fingerprint_linguistic": ("F1 F2", ["vocab_richness", "avg_word_length", "avg_words_per_sentence", "technical_density",
+    "fingerprint_linguistic": ("F2", ["vocab_richness", "avg_word_length", "avg_words_per_sentence", "technical_density",
                                          "punctuation_density", "total_words", "total_sentences"]),
     "fingerprint_structural": ("F3", ["num_steps", "avg_step_length", "std_step_length", "avg_dependencies", "graph_depth",
                                       "branching_factor"]),
     "fingerprint_stylistic": ("F4", ["verbosity", "explanation_density", "question_density", "first_person_density",
                                      "passive_density"]),
     "fingerprint_confidence": ("F5", ["hedge_density", "high_confidence_density", "low_confidence_density", "certainty_score"]),
-    "fingerprint_formatting": ("F6 F7", ["numbered_ratio", "bullet_ratio", "code_density", "math_density"]),
+    "fingerprint_formatting": ("F6", ["numbered_ratio", "bullet_ratio", "code_density", "math_density"]),
 }
 
 
@@ -129,7 +129,7 @@ def q_step_certainty(spark, sf_dir):
     return fpm.step_certainty(doc_steps(spark, sf_dir), lab)
 
 
-@register("source_classifier", "F8 F9 F10 F11 F12 F13")
+@register("source_classifier", "F8 F9 F10 F11")
 def q_source_classifier(spark, sf_dir):
     """Rows-only: random-forest quality numbers (per-class P/R/F1, accuracy,
     macro / weighted averages) of predicting a document's language from its

@@ -155,6 +155,24 @@ def turn_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("conv_id", "turn", "role", F.col("step_idx").cast("long").alias("step_idx"), "text")
 
 
+def _planted():
+    """A line of mentions that change from turn to turn, by arithmetic on the ids."""
+    number = F.pmod(F.col("conv_id") * 7 + F.col("turn") * F.col("turn"), F.lit(5)).cast("string")
+    colour = F.element_at(F.array(F.lit("red"), F.lit("blue"), F.lit("green")), (F.pmod(F.col("conv_id") + F.col("turn") * 2, F.lit(3)) + 1).cast("int"))
+    return F.concat(F.lit("budget = "), number, F.lit(" and plan is "), colour)
+
+
+def mention_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``turn_steps`` with one more line a turn, the planted mentions."""
+    return mention_lines(table(spark, sf_dir, "conversations"))
+
+
+def mention_lines(conversations: DataFrame, *more: str) -> DataFrame:
+    c = conversations.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), _planted()))
+    return c.select("conv_id", "turn", "role", *more, F.posexplode(_line_split("text")).alias("step_idx", "text")).select(
+        "conv_id", "turn", "role", *more, F.col("step_idx").cast("long").alias("step_idx"), "text")
+
+
 def vec_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(
@@ -233,6 +251,14 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                      list_filter(list_transform(string_split(text, chr(10)),
                                  lambda s: regexp_replace(s, '^{PY_WS}+|{PY_WS}+$', '', 'g')), lambda s: s <> '') as l
               from conversations)"""),
+    "mention_steps": ((), """
+        select conv_id, turn, role, unnest(l) as text, unnest(range(len(l))) as step_idx
+        from (select conv_id, turn, role,
+                     list_filter(list_transform(string_split(coalesce(text, '') || chr(10) || 'budget = '
+                                     || cast((conv_id * 7 + turn * turn) % 5 as varchar) || ' and plan is '
+                                     || ['red', 'blue', 'green'][((conv_id + turn * 2) % 3) + 1], chr(10)),
+                                 lambda s: regexp_replace(s, '^{PY_WS}+|{PY_WS}+$', '', 'g')), lambda s: s <> '') as l
+              from conversations)"""),
     "vec_steps": ((), """
         select cast(floor(vec_id / 10) as bigint) as chain_id, vec_id % 10 as idx,
                cast(embedding as double[]) as embedding, label

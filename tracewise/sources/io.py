@@ -93,9 +93,24 @@ def write_chains_jsonl(chains: DataFrame, path: str, compression: str | None = N
     w.json(path)
 
 
+def name_files(spark: SparkSession, path: str, column: str, pattern: str) -> None:
+    """IO5: moves the single part file of each ``column=value`` folder up to
+    ``pattern`` filled with the value (names only; the driver sees no data)."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for d in fs.listStatus(root):
+        name = d.getPath().getName()
+        if not name.startswith(f"{column}="):
+            continue
+        parts = [f.getPath() for f in fs.listStatus(d.getPath()) if f.getPath().getName().startswith("part-")]
+        if len(parts) != 1:
+            raise ValueError(f"{name} has {len(parts)} files")
+        fs.rename(parts[0], spark._jvm.org.apache.hadoop.fs.Path(path, pattern.format(name.split("=", 1)[1])))
+
+
 def write_report(report: DataFrame, path: str) -> None:
-    """IO8: small report tables as JSON (reports are aggregates)."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+    """IO8: a report table as JSON lines."""
+    report.write.mode("overwrite").json(path)
 
 
 def save_pattern_store(store: DataFrame, path: str) -> None:
