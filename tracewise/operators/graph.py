@@ -3,7 +3,7 @@
 Graphs are edge tables keyed by ``chain_id``; every algorithm is relational:
 
 * reachability / distances (G4, E2, V4) – semi-naive frontier BFS, one join
-  + anti-join per level; rounds = graph depth; lineage cut with reliable
+  + anti-join per level, several levels a job; lineage cut with reliable
   checkpoints into ``spark.checkpoint.dir``
 * degrees (G2), triangles (G3) – group-bys and an edge self-join keyed by
   (chain_id, node), i.e. work proportional to sum(deg^2), not n^2
@@ -21,6 +21,9 @@ from tracewise.functions.common import r6, safe_div
 from tracewise.session import cut_lineage
 
 
+HOPS = 4  # levels a job
+
+
 def bfs_levels(adj: DataFrame, start: DataFrame, key_cols: tuple[str, ...] = ("chain_id",),
                max_rounds: int | None = None) -> DataFrame:
     """Directed BFS distances.
@@ -38,22 +41,35 @@ def bfs_levels(adj: DataFrame, start: DataFrame, key_cols: tuple[str, ...] = ("c
     visited = cut_lineage(start.select(*keys, "node").distinct().withColumn("dist", F.lit(0).cast("long")))
     frontier = visited.select(*keys, "node")
     level = 0
-    # Every frontier is cut from its parents (reliable checkpoint): without it
-    # the logical plan of round k embeds all earlier rounds and planning time
-    # doubles per level.
+    # HOPS levels run in one job: each is persisted, so the next ones read it instead of computing it again.  Then
+    # the lineage is cut (reliable checkpoint); without that the plan embeds all earlier levels.
     while max_rounds is None or level < max_rounds:
-        level += 1
-        nxt = cut_lineage(
-            frontier.join(a, keys + ["node"]).select(*keys, F.col("dst").alias("node")).distinct()
-            .join(visited.select(*keys, "node"), keys + ["node"], "left_anti"))
-        if nxt.isEmpty():
+        seen, hops = visited.select(*keys, "node"), []
+        for _ in range(HOPS if max_rounds is None else min(HOPS, max_rounds - level)):
+            level += 1
+            nxt = (frontier.join(a, keys + ["node"]).select(*keys, F.col("dst").alias("node")).distinct()
+                   .join(seen, keys + ["node"], "left_anti").persist())
+            hops.append((level, nxt))
+            seen, frontier = seen.unionByName(nxt), nxt
+        new = _cut_hops([(n.withColumn("dist", F.lit(k).cast("long")), n) for k, n in hops])
+        visited = visited.unionByName(new)
+        frontier = new.filter(F.col("dist") == level).select(*keys, "node")
+        if frontier.isEmpty():
             break
-        # nxt is a checkpointed leaf, so the union stays a flat, linear plan
-        visited = visited.unionByName(nxt.withColumn("dist", F.lit(level).cast("long")))
-        frontier = nxt
     return visited
 
 
+def _cut_hops(hops: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Union of the levels (first of each pair), cut from its parents; the persisted ones (second) are released."""
+    out = hops[0][0]
+    for h, _ in hops[1:]:
+        out = out.unionByName(h)
+    out = cut_lineage(out)
+    for _, held in hops:
+        held.unpersist()
+    return out
+
+
 # ---------------------------------------------------------------------------
 # G1: node / edge tables
 # ---------------------------------------------------------------------------
@@ -156,19 +172,21 @@ def longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n"))
     a = cut_lineage(edges.select("chain_id", F.col("src").alias("node"), "dst").distinct())
     frontier = cut_lineage(nodes.select("chain_id", "node").distinct().join(n, "chain_id"))
-    deepest = [frontier.select("chain_id", F.lit(0).alias("k"))]
+    allk = frontier.select("chain_id", F.lit(0).alias("k"))
     k = 0
     while True:
-        k += 1
-        nxt = cut_lineage(frontier.join(a, ["chain_id", "node"]).select("chain_id", F.col("dst").alias("node"), "n")
-                          .distinct().filter(F.lit(k) <= F.col("n")))
-        if nxt.isEmpty():
+        hops = []
+        for _ in range(HOPS):
+            k += 1
+            nxt = (frontier.join(a, ["chain_id", "node"]).select("chain_id", F.col("dst").alias("node"), "n")
+                   .distinct().filter(F.lit(k) <= F.col("n")).persist())
+            hops.append((nxt.withColumn("k", F.lit(k)), nxt))
+            frontier = nxt.filter(F.lit(k) < F.col("n"))
+        new = _cut_hops(hops)
+        allk = allk.unionByName(new.select("chain_id", "k"))
+        frontier = new.filter((F.col("k") == k) & (F.lit(k) < F.col("n"))).select("chain_id", "node", "n")
+        if frontier.isEmpty():
             break
-        deepest.append(nxt.select("chain_id", F.lit(k).alias("k")))
-        frontier = nxt.filter(F.lit(k) < F.col("n"))
-    allk = deepest[0]
-    for d in deepest[1:]:
-        allk = allk.unionByName(d)
     mk = allk.groupBy("chain_id").agg(F.max("k").alias("mk"))
     j = n.join(mk, "chain_id", "left")
     cyclic = F.coalesce(F.col("mk"), F.lit(0)) >= F.col("n")
@@ -186,24 +204,22 @@ def shortest_path_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     a = cut_lineage(edges.select("chain_id", F.col("src").alias("v"), "dst").distinct())
     lvl = cut_lineage(nodes.select("chain_id", F.col("node").alias("s"), F.col("node").alias("v"))
                       .withColumn("sigma", F.lit(1.0)).withColumn("d", F.lit(0)))
-    levels = [lvl]
-    seen = lvl.select("chain_id", "s", "v")
+    out = lvl
     d = 0
     while True:
-        d += 1
-        nxt = (lvl.join(a, ["chain_id", "v"]).groupBy("chain_id", "s", F.col("dst").alias("v"))
-               .agg(F.sum("sigma").alias("sigma"))
-               .join(seen, ["chain_id", "s", "v"], "left_anti").withColumn("d", F.lit(d)))
-        nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
-            break
-        levels.append(nxt)
-        seen = seen.unionByName(nxt.select("chain_id", "s", "v"))
-        lvl = nxt
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out
+        seen, hops = out.select("chain_id", "s", "v"), []
+        for _ in range(HOPS):
+            d += 1
+            nxt = (lvl.join(a, ["chain_id", "v"]).groupBy("chain_id", "s", F.col("dst").alias("v"))
+                   .agg(F.sum("sigma").alias("sigma"))
+                   .join(seen, ["chain_id", "s", "v"], "left_anti").withColumn("d", F.lit(d)).persist())
+            hops.append((nxt, nxt))
+            seen, lvl = seen.unionByName(nxt.select("chain_id", "s", "v")), nxt
+        new = _cut_hops(hops)
+        out = out.unionByName(new)
+        lvl = new.filter(F.col("d") == d)
+        if lvl.isEmpty():
+            return out
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -211,7 +227,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     dependency recursion delta_s(v) = sum_{w: v pred of w} sigma_sv/sigma_sw (1 + delta_s(w)),
     evaluated from the deepest BFS level upwards; normalised by
     1/((n-1)(n-2)) (0 when n <= 2), as networkx does for directed graphs."""
-    p = cut_lineage(shortest_path_counts(nodes, edges))
+    p = shortest_path_counts(nodes, edges)
     e = edges.select("chain_id", F.col("src").alias("v"), F.col("dst").alias("w")).distinct()
     maxd = p.agg(F.max("d")).first()[0] or 0
     # predecessor pairs on shortest-path DAGs: (s, v, w) with d(w) = d(v) + 1
@@ -228,15 +244,11 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         else:
             contrib = lvl_pairs.join(delta.select("chain_id", "s", F.col("v").alias("w"), F.col("delta").alias("dw_")),
                                      ["chain_id", "s", "w"], "left").fillna(0.0, ["dw_"])
-        delta = cut_lineage(contrib.groupBy("chain_id", "s", "v")
-                            .agg(F.sum(F.col("sv") / F.col("sw") * (1 + F.col("dw_"))).alias("delta")))
-        acc.append(delta.filter(F.col("s") != F.col("v")))
+        delta = contrib.groupBy("chain_id", "s", "v").agg(F.sum(F.col("sv") / F.col("sw") * (1 + F.col("dw_"))).alias("delta")).persist()
+        acc.append((delta.filter(F.col("s") != F.col("v")), delta))
     n = nodes.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n"))
     if acc:
-        allv = acc[0]
-        for x in acc[1:]:
-            allv = allv.unionByName(x)
-        bc = allv.groupBy("chain_id", "v").agg(F.sum("delta").alias("bc"))
+        bc = _cut_hops(acc).groupBy("chain_id", "v").agg(F.sum("delta").alias("bc"))
     else:
         bc = nodes.select("chain_id", F.col("node").alias("v")).withColumn("bc", F.lit(0.0)).limit(0)
     j = (nodes.select("chain_id", F.col("node").alias("v")).join(bc, ["chain_id", "v"], "left").join(n, "chain_id"))

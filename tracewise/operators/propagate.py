@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tracewise.functions.common import r6
 from tracewise.operators.graph import bfs_levels
+from tracewise.session import cut_lineage
 
 
 def chain_summary(steps: DataFrame, edges: DataFrame, pred_origins: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def intervention_points(summary: DataFrame, steps: DataFrame, edges: DataFrame)
 
 def propagation_summary(steps: DataFrame, edges: DataFrame, pred_origins: DataFrame) -> DataFrame:
     """E1 + E3 + E4 summary row."""
-    summ = chain_summary(steps, edges, pred_origins)
+    summ = cut_lineage(chain_summary(steps, edges, pred_origins))  # read three times
     dist = origin_distances(summ, edges)
     cont = contamination(dist, steps)
     ip = intervention_points(summ, steps, edges)

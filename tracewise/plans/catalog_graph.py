@@ -14,6 +14,7 @@ from tracewise.operators import graph as G
 from tracewise.operators import propagate as E
 from tracewise.plans.catalog_validate import validation_input
 from tracewise.plans.registry import register
+from tracewise.session import cut_lineage
 from tracewise.sources.fixtures import (SQL_VIEWS, order_edges, order_model_scores, order_scores, order_steps, vec_steps,
                                         with_views)
 
@@ -89,8 +90,8 @@ def q_edge_table(spark, sf_dir):
     left join tri on tri.chain_id = s.chain_id and tri.v = s.idx
     join nn on nn.chain_id = s.chain_id join lp on lp.chain_id = s.chain_id""", "order_steps", "order_edges", "gnodes"))
 def q_topology_basic(spark, sf_dir):
-    s = order_steps(spark, sf_dir)
-    nodes, edges = _nodes(s), order_edges(s)
+    s = cut_lineage(order_steps(spark, sf_dir))  # read four times below
+    nodes, edges = _nodes(s), cut_lineage(order_edges(s).distinct())
     deg = G.degrees(nodes, edges)
     cl = G.clustering(nodes, edges)
     tf = G.task_features(s, G.longest_paths(nodes, edges))
@@ -345,7 +346,7 @@ _PROP_SQL = """
            round(coalesce((select avg(ratio) from ct), 0), 6) + 0.0 as avg_contamination_ratio,
            (select count(*) from ip) as num_intervention_points""", "order_steps", "order_scores", "order_edges"))
 def q_propagation(spark, sf_dir):
-    s = order_steps(spark, sf_dir)
+    s = cut_lineage(order_steps(spark, sf_dir))  # read by every section
     pred = order_scores(spark, sf_dir).filter(F.col("origin_prob") > 0.5).select("chain_id", "idx")
     return E.propagation_summary(s, order_edges(s), pred)
 

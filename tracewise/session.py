@@ -23,6 +23,7 @@ def get_session(master: str | None = None, app: str = "tracewise",
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.session.timeZone", "UTC")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
           .config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
           .config("spark.driver.memory", os.environ.get("TRACEWISE_DRIVER_MEMORY", "8g")))
