@@ -128,7 +128,10 @@ def transfer_gap(matrix: DataFrame) -> DataFrame:
 
 def comparative_report(steps: DataFrame) -> DataFrame:
     """One long table (section, key, value) assembling X1 error rates, X2
-    accuracies, X5 ranking, X4 similarities and the totals (chains, models)."""
+    accuracies, X3 error-type mix, X4 similarities, X5 rankings (lowest error rate
+    first, highest vulnerability first), P7 vulnerability scores and the totals
+    (chains, models)."""
+    from tracewise.operators import patterns
     x1 = error_rate_by_model(steps).select(F.lit("error_rate").alias("section"), F.col("model_type").alias("key"),
                                            r6("error_rate").alias("value"))
     x2 = accuracy_by_model_domain(steps).select(F.lit("accuracy").alias("section"),
@@ -142,4 +145,14 @@ def comparative_report(steps: DataFrame) -> DataFrame:
                                   F.col("c").cast("double").alias("value")),
                          F.struct(F.lit("totals").alias("section"), F.lit("models").alias("key"),
                                   F.col("m").cast("double").alias("value")))))
-    return x1.unionByName(x2).unionByName(x5).unionByName(x4).unionByName(tot)
+    x3 = error_type_mix(steps).select(F.lit("error_mix").alias("section"), F.concat_ws("|", "model_type", "error_type").alias("key"),
+                                      F.col("pct").alias("value"))
+    store = patterns.pattern_store(patterns.extract_occurrences(steps))
+    prof = patterns.vulnerability_profile(store, steps.select("model_type").distinct())
+    weak = prof.select(F.lit("vulnerability").alias("section"), F.col("model_type").alias("key"), F.col("vulnerability_score").alias("value"))
+    order = rank_ascending(prof.withColumn("_m", -F.col("vulnerability_score")), "_m", "model_type").select(
+        F.lit("vulnerability_ranking").alias("section"), F.col("model_type").alias("key"), F.col("rnk").cast("double").alias("value"))
+    out = x1
+    for part in (x2, x3, x5, x4, weak, order, tot):
+        out = out.unionByName(part)
+    return out

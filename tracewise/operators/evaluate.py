@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tracewise.functions.common import r6, safe_div
 
-BUCKETS = 4096
+RANGES = 256
 
 
 def confusion(df: DataFrame, keys: list[str], label: str = "y", score: str = "score",
@@ -65,7 +65,10 @@ def _score_prefix(df: DataFrame, keys: list[str], label: str, score: str) -> Dat
     pos_below = counts at strictly smaller scores, plus group totals."""
     d = df.groupBy(*keys, score).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"),
                                       F.sum((F.col(label) != 1).cast("long")).alias("neg"))
-    bucket = F.least(F.greatest(F.floor(F.col(score) * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
+    # ranges of the scores as they lie (at most RANGES - 1 cuts), so skewed scores or scores outside [0, 1] still spread
+    cuts = d.agg(F.percentile_approx(score, [k / RANGES for k in range(1, RANGES)], 4 * RANGES)).first()[0] or []
+    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    bucket = F.size(F.filter(cuts, lambda c: c <= F.col(score)))
     d = d.withColumn("_b", bucket)
     bt = d.groupBy(*keys, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -101,6 +101,20 @@ def chain_profile(steps: DataFrame, chains: DataFrame) -> DataFrame:
                     F.col("_first_origin.step_id").alias("origin_pos")))
 
 
+def exact_medians(rows: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """Per ``key`` the exact median of each column (nulls skipped): counts per
+    distinct value, running counts over these, then the one or two middle
+    values; no buffer holds a group's rows."""
+    long = rows.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in cols])))
+    counts = long.filter(F.col("_v").isNotNull()).groupBy(key, "_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    by = Window.partitionBy(key, "_c")
+    upto = F.sum("_n").over(by.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = counts.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(by))
+    middle = lambda at: F.min(F.when(F.col("_upto") > F.floor(at / 2), F.col("_v")))
+    m = runs.groupBy(key, "_c").agg(((middle(F.col("_all") - 1) + middle(F.col("_all"))) / 2).alias("_m"))
+    return m.groupBy(key).agg(*[F.max(F.when(F.col("_c") == c, F.col("_m"))).alias(f"{c}_median") for c in cols])
+
+
 def quality_report(steps: DataFrame, chains: DataFrame, messages: DataFrame) -> DataFrame:
     """V2 + V3 per domain: validity, length stats (population std), error-rate
     and origin-position mean/median, total and distinct messages."""
@@ -112,13 +126,15 @@ def quality_report(steps: DataFrame, chains: DataFrame, messages: DataFrame) ->
     rep = prof.groupBy("domain").agg(
         F.count(F.lit(1)).alias("total_samples"),
         F.sum(F.coalesce("_invalid", F.lit(0))).cast("long").alias("invalid_samples"),
-        F.avg("n_steps").alias("len_mean"), F.median("n_steps").alias("len_median"),
+        F.avg("n_steps").alias("len_mean"),
         F.min("n_steps").alias("len_min"), F.max("n_steps").alias("len_max"),
         F.stddev_pop("n_steps").alias("len_std"),
-        F.avg("error_rate").alias("err_mean"), F.median("error_rate").alias("err_median"),
-        F.avg("origin_pos").alias("origin_mean"), F.median("origin_pos").alias("origin_median"),
+        F.avg("error_rate").alias("err_mean"), F.avg("origin_pos").alias("origin_mean"),
     )
-    rep = rep.join(msg_dom, "domain", "left")
+    medians = exact_medians(prof, "domain", ["n_steps", "error_rate", "origin_pos"]).select(
+        "domain", F.col("n_steps_median").alias("len_median"), F.col("error_rate_median").alias("err_median"),
+        F.col("origin_pos_median").alias("origin_median"))
+    rep = rep.join(msg_dom, "domain", "left").join(medians, "domain", "left")
     return rep.select(
         "domain", "total_samples", (F.col("total_samples") - F.col("invalid_samples")).alias("valid_samples"),
         "invalid_samples", r6(safe_div(F.col("total_samples") - F.col("invalid_samples"), "total_samples")).alias("validity_rate"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracewise.operators import compare
+import tracewise.plans.catalog_risk  # noqa: F401  (its views are used)
 from tracewise.plans.registry import register
 from tracewise.sources.fixtures import order_steps, with_views
 
@@ -59,13 +60,20 @@ def q_model_similarity(spark, sf_dir):
             union select p.ma, p.mb, x.domain from pairs p join acc x on x.model_type = p.mb),
     sim as (select d.ma, d.mb, round(avg(1 - abs(coalesce(a.a, 0) - coalesce(b.a, 0))), 6) + 0.0 as s
             from dom d left join acc a on a.model_type = d.ma and a.domain = d.domain
-            left join acc b on b.model_type = d.mb and b.domain = d.domain group by 1, 2)
+            left join acc b on b.model_type = d.mb and b.domain = d.domain group by 1, 2),
+    vs as (select m.model_type, round(coalesce(sum(frequency * severity) / sum(frequency), 0), 6) + 0.0 as v
+           from (select distinct model_type from order_steps) m left join pstore using (model_type) group by m.model_type)
     select 'error_rate' as section, model_type as key, round(e, 6) + 0.0 as value from er
     union all select 'accuracy', model_type || '|' || domain, round(a, 6) + 0.0 from acc
     union all select 'ranking', model_type, row_number() over (order by e, model_type)::double from er
     union all select 'similarity', ma || '|' || mb, s from sim
+    union all select 'error_mix', model_type || '|' || error_type,
+                     round(count(*) * 100.0::double / sum(count(*)) over (partition by model_type), 6) + 0.0
+              from order_steps where not is_correct and error_type is not null group by model_type, error_type
+    union all select 'vulnerability', model_type, v from vs
+    union all select 'vulnerability_ranking', model_type, row_number() over (order by v desc, model_type)::double from vs
     union all select 'totals', 'total_chains', count(distinct chain_id)::double from order_steps
-    union all select 'totals', 'models', count(distinct model_type)::double from order_steps""", "order_steps"))
+    union all select 'totals', 'models', count(distinct model_type)::double from order_steps""", "order_steps", "pstore"))
 def q_comparative_report(spark, sf_dir):
     return compare.comparative_report(order_steps(spark, sf_dir))
 
