@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tracewise.llm import chat, langid, minhash, mixing, pieces, quality, rules, sketch, substring, suffix
 from tracewise.llm.common import documents
+from tracewise.llm.oracles import ORACLES  # noqa: F401
 from tracewise.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
