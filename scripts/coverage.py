@@ -17,7 +17,7 @@ sys.path.insert(0, ROOT)
 from tracewise.plans import OPERATORS, ORACLES  # noqa: E402
 
 LIBRARY = {
-    "F1": "fingerprint.concat_steps", "IO10": "io.save_pattern_store", "Q1": "synth.synthetic_chains",
+    "Q1": "synth.synthetic_chains",
 }
 
 

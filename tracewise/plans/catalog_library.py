@@ -210,6 +210,24 @@ def q_node_features(spark, sf_dir):
     return f.select("chain_id", "idx", *[F.col("features")[k].alias(f"f{k}") for k in range(5 + len(_TASK))])
 
 
+@register("feature_cache", "IO10", f"select chain_id, vocab_richness, num_steps from ({_fp_sql(['vocab_richness', 'num_steps'])})")
+def q_feature_cache(spark, sf_dir):
+    """The fingerprint table built into the cache, and read from it the second time."""
+    path = _scratch(spark, "features")
+    build = lambda: fpm.fingerprint(doc_steps(spark, sf_dir)).select("chain_id", "vocab_richness", "num_steps")
+    io.cached(spark, path, build)
+
+    def never():
+        raise AssertionError("the cache was not used")
+
+    return io.cached(spark, path, never)
+
+
+@register("chain_text", "F1", with_views("select chain_id, string_agg(text, ' ' order by idx) as text from doc_steps group by chain_id", "doc_steps"))
+def q_chain_text(spark, sf_dir):
+    return fpm.concat_steps(doc_steps(spark, sf_dir))
+
+
 # --- the classifier's surface (a small forest; the full one is ``source_classifier``) -----
 
 def _languages(spark, sf_dir):
@@ -241,3 +259,29 @@ def q_classifier_verdict(spark, sf_dir):
     model = classify.load_model(path)
     shown = spark.createDataFrame([("en", "English"), ("fr", "French"), ("de", "German")], "label_name string, display string")
     return classify.verdict(classify.predict(model, test), model.stages[0].labels, shown)
+
+
+@register("label_index", "F8", "select lang as label_name, cast(row_number() over (order by lang) - 1 as double) as label from (select distinct lang from documents)")
+def q_label_index(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("label_name"))
+    return classify.pipeline().getStages()[0].fit(d).transform(d).distinct()
+
+
+@register("multiclass_metrics", "F10", """
+    with p as (select lang as t, case when doc_id % 5 = 0 then 'en' when doc_id % 7 = 0 then 'fr' else lang end as p from documents),
+    cls as (select t as cls from p union select p from p),
+    c as (select cls, (select count(*) from p where t = cls) as support, (select count(*) from p where p.p = cls) as pn,
+                 (select count(*) from p where t = cls and p.p = cls) as tp from cls),
+    m as (select cls, support, round(coalesce(tp / nullif(pn, 0), 0), 6) + 0.0 as precision, round(coalesce(tp / nullif(support, 0), 0), 6) + 0.0 as recall,
+                 round(coalesce(2 * (tp / nullif(pn, 0)) * (tp / nullif(support, 0)) / nullif(tp / nullif(pn, 0) + tp / nullif(support, 0), 0), 0), 6) + 0.0 as f1, tp
+          from c)
+    select cls, precision, recall, f1, support from m
+    union all select 'accuracy', a, a, a, n from (select round(sum(tp) / sum(support), 6) + 0.0 as a, cast(sum(support) as bigint) as n from m)
+    union all select 'macro avg', round(avg(precision), 6) + 0.0, round(avg(recall), 6) + 0.0, round(avg(f1), 6) + 0.0, cast(sum(support) as bigint) from m
+    union all select 'weighted avg', round(sum(precision * support) / sum(support), 6) + 0.0, round(sum(recall * support) / sum(support), 6) + 0.0,
+                     round(sum(f1 * support) / sum(support), 6) + 0.0, cast(sum(support) as bigint) from m""")
+def q_multiclass_metrics(spark, sf_dir):
+    # predictions by arithmetic on the id: the metrics are what is checked
+    d = table(spark, sf_dir, "documents")
+    guess = F.when(F.col("doc_id") % 5 == 0, "en").when(F.col("doc_id") % 7 == 0, "fr").otherwise(F.col("lang"))
+    return classify.multiclass_metrics(d.select(F.col("lang").alias("label_name"), guess.alias("predicted")))

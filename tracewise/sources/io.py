@@ -126,6 +126,16 @@ def load_pattern_store(spark: SparkSession, path: str):
     return store, model_stats(store)
 
 
+def cached(spark: SparkSession, path: str, build) -> DataFrame:
+    """IO10: the parquet table at ``path`` if a finished one is there, else
+    ``build()`` written there first.  A failed write leaves no ``_SUCCESS`` and
+    is built anew."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def preference_pairs(pairs: DataFrame, mapping: list[tuple[str, str]], cap: int | None = None) -> DataFrame:
     """IO13: unpivot chosen / rejected sides into (model_name, conversation);
     keep sides whose model name contains a mapped key (first key in order; the
