@@ -184,6 +184,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     share = percent / 100
     sk = materialise(sketches(docs, doc_id, text), "sketches")
     groups = sk.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    groups = materialise(groups, "groups")  # a table of its own, so that Spark can split the joins' large partitions
     members = sk.select("doc_id", "n_shingles", "d1", "d2").join(groups, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep")
     large = groups.filter(F.col("n_shingles") >= LEAST_SET).select("d1", "d2", "n_shingles", F.col("rep").alias("doc_id"))
     reps = sk.join(large, ["doc_id", "d1", "d2", "n_shingles"]).dropDuplicates(["doc_id", "d1", "d2"])
