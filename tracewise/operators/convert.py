@@ -53,6 +53,19 @@ def to_long(chains: DataFrame, id_col: str = "query_id") -> DataFrame:
         "chain_id", "idx", "domain", *STEP_FIELDS)
 
 
+def to_nested(steps: DataFrame, id_col: str = "chain_id") -> DataFrame:
+    """(chain_id, idx, step fields..., domain) -> one nested chain row per chain,
+    the other half of the bridge: steps in ``idx`` order, nodes 0..n-1 and an edge
+    from each dependency to its step.  A chain's steps meet in one row, as the
+    nested record asks."""
+    ordered = F.array_sort(F.collect_list(F.struct("idx", *STEP_FIELDS)))
+    g = steps.groupBy(F.col(id_col).cast("string").alias("query_id"), "domain").agg(ordered.alias("_s"))
+    rows = F.transform("_s", lambda s: F.struct(*[s[f].alias(f) for f in STEP_FIELDS]))
+    edges = F.flatten(F.transform("_s", lambda s: F.transform(s["depends_on"], lambda d: F.array(d, s["step_id"]))))
+    return g.select("domain", "query_id", rows.alias("reasoning_steps"),
+                    F.struct(F.transform("_s", lambda s, i: i).alias("nodes"), edges.alias("edges")).alias("dependency_graph"))
+
+
 # ---------------------------------------------------------------------------
 # C1 math step ratings
 # ---------------------------------------------------------------------------

@@ -46,6 +46,16 @@ def binary_metrics(df: DataFrame, keys: list[str], label: str = "y", score: str
         F.when(both, r6(safe_div(tn, tn + fn))).alias("npv"))
 
 
+def metrics_at_thresholds(df: DataFrame, thresholds: dict[str, float], key: str = "domain", label: str = "y",
+                          score: str = "score", default: float = 0.5) -> DataFrame:
+    """``binary_metrics`` per ``key`` with each key's own threshold."""
+    own = F.lit(default)
+    for k, t in thresholds.items():
+        own = F.when(F.col(key) == k, t).otherwise(own)
+    pred = df.select(key, label, F.when(F.col(score) > own, 1.0).otherwise(0.0).alias("_p"))
+    return binary_metrics(pred, [key], label, "_p")
+
+
 def per_class_metrics(df: DataFrame, keys: list[str], label: str = "y", score: str = "score",
                       threshold: float = 0.5) -> DataFrame:
     """Precision / recall / F1 / support for class 1 and class 0."""

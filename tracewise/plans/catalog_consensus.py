@@ -201,6 +201,22 @@ def q_binary_metrics(spark, sf_dir):
     return evaluate.binary_metrics(_scores(spark, sf_dir), ["domain"])
 
 
+@register("origin_metrics", "D6", with_views("""
+    with o as (select domain, y_origin = 1 as y, origin_prob > case domain when 'math' then 0.5 when 'code' then 0.3 else 0.25 end as p from order_scores),
+    c as (select domain, cast(sum((p and y)::int) as bigint) as tp, cast(sum((p and not y)::int) as bigint) as fp,
+                 cast(sum((not p and not y)::int) as bigint) as tn, cast(sum((not p and y)::int) as bigint) as fn from o group by domain),
+    m as (select *, coalesce(tp / nullif(tp + fp, 0), 0) as pr, coalesce(tp / nullif(tp + fn, 0), 0) as r from c)
+    select domain, tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn), 6) + 0.0 as accuracy,
+           round(pr, 6) + 0.0 as precision, round(r, 6) + 0.0 as recall,
+           round(coalesce(2 * pr * r / nullif(pr + r, 0), 0), 6) + 0.0 as f1,
+           case when tp + fn > 0 and tn + fp > 0 then round(coalesce(tn / nullif(tn + fp, 0), 0), 6) + 0.0 end as specificity,
+           case when tp + fn > 0 and tn + fp > 0 then round(coalesce(tn / nullif(tn + fn, 0), 0), 6) + 0.0 end as npv
+    from m""", "order_scores"))
+def q_origin_metrics(spark, sf_dir):
+    # Per-domain origin thresholds of the reference runs (0.5 / 0.3 / 0.25).
+    return evaluate.metrics_at_thresholds(order_scores(spark, sf_dir), {"math": 0.5, "code": 0.3, "medical": 0.25}, label="y_origin", score="origin_prob")
+
+
 @register("per_class", "D5 F10", with_views("""
     with c as (select domain, sum((node_prob > 0.5 and y = 1)::int) as tp, sum((node_prob > 0.5 and y <> 1)::int) as fp,
                       sum((node_prob <= 0.5 and y <> 1)::int) as tn, sum((node_prob <= 0.5 and y = 1)::int) as fn

@@ -149,6 +149,20 @@ def q_error_variants(spark, sf_dir):
     return lg.select("chain_id", "idx", "text", "is_correct", "is_origin", "error_type")
 
 
+@register("nested_roundtrip", "", with_views("""
+    select cast(chain_id as varchar) as chain_id, idx, domain, cast(idx as bigint) as step_id, text, is_correct, is_origin, error_type,
+           case when idx > 0 then cast(idx - 1 as varchar) else '' end as depends_on from order_steps""", "order_steps"))
+def q_nested_roundtrip(spark, sf_dir):
+    """The steps nested into one record a chain and unnested again."""
+    from tracewise.sources.fixtures import order_steps
+
+    s = order_steps(spark, sf_dir)
+    deps = F.when(F.col("idx") > 0, F.array((F.col("idx") - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    back = convert.to_long(convert.to_nested(s.withColumn("step_id", F.col("idx").cast("int")).withColumn("depends_on", deps)))
+    return back.select("chain_id", "idx", "domain", F.col("step_id").cast("long").alias("step_id"), "text", "is_correct", "is_origin", "error_type",
+                       F.array_join("depends_on", ",").alias("depends_on"))
+
+
 def medical_raw(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     a = c.select("conv_id", "turn", F.col("text").alias("answer"), F.col("role").alias("category"))
