@@ -6,7 +6,7 @@ stay inside whole-stage codegen.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode-aware "word character" class that Java (Spark) and RE2 (DuckDB)
@@ -61,3 +61,9 @@ def hash_key(id_col, seed: int = 42) -> Column:
 def hash_key_sql(id_expr: str, seed: int = 42) -> str:
     """``hash_key`` in DuckDB SQL."""
     return f"(('0x' || substr(md5('{seed}:' || cast({id_expr} as varchar)), 1, 8))::BIGINT // 2)"
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """``df`` with a broadcast hint when it has at most ``max_rows`` rows (counted,
+    reading no more than that and one); a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -21,7 +21,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewise.functions.common import r6, safe_div
+from tracewise.functions.common import broadcast_if_small, r6, safe_div
 from tracewise.operators.fingerprint import FEATURE_NAMES
 from tracewise.operators.split import assign_splits
 
@@ -136,7 +136,7 @@ def verdict(pred: DataFrame, labels: list[str], mapping: DataFrame, id_col: str
     probs = pred.select(id_col, F.posexplode(vector_to_array("probability")).alias("i", "p"))
     names = F.array(*[F.lit(x) for x in labels])
     probs = probs.withColumn("label_name", F.element_at(names, F.col("i") + 1))
-    j = probs.join(F.broadcast(mapping), "label_name").withColumn("score", F.round("p", 2))
+    j = probs.join(broadcast_if_small(mapping), "label_name").withColumn("score", F.round("p", 2))
     w = Window.partitionBy(id_col).orderBy(F.col("score").desc(), F.col("i"))
     top = j.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).select(id_col, F.col("display").alias("verdict"))
     return pred.select(id_col).distinct().join(top, id_col, "left").select(

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.functions.common import r6, safe_div
+from tracewise.functions.common import broadcast_if_small, r6, safe_div
 
 
 def check_inputs(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,7 +32,7 @@ def check_inputs(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _with_weights(votes: DataFrame, weights: DataFrame | None) -> DataFrame:
     if weights is None:
         return votes.withColumn("weight", F.lit(1.0))
-    w = F.broadcast(weights.select("model_type", F.col("weight").cast("double")))
+    w = broadcast_if_small(weights.select("model_type", F.col("weight").cast("double")))
     return votes.join(w, "model_type", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
 

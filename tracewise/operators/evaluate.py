@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewise.functions.common import r6, safe_div
+from tracewise.functions.common import broadcast_if_small, r6, safe_div
 
 RANGES = 256
 
@@ -120,7 +120,7 @@ def cross_domain_matrix(preds: DataFrame, home: DataFrame) -> DataFrame:
 
     preds: (trained_on, test_domain, y, score); home: (trained_on, home_domain) – small, broadcast."""
     m = binary_metrics(preds, ["trained_on", "test_domain"], "y", "score")
-    return (m.join(F.broadcast(home), "trained_on", "left")
+    return (m.join(broadcast_if_small(home), "trained_on", "left")
             .select("trained_on", "test_domain", "f1", "accuracy",
                     (F.col("test_domain") == F.col("home_domain")).alias("in_domain")))
 
@@ -156,7 +156,7 @@ def ensemble_mean(ms: DataFrame) -> DataFrame:
 def ensemble_routed(ms: DataFrame, steps_domain: DataFrame, routes: DataFrame) -> DataFrame:
     """D10 routing: use the model named for the chain's domain.
     steps_domain: (chain_id, domain); routes: (domain, model_type) – broadcast."""
-    pick = steps_domain.join(F.broadcast(routes), "domain")
+    pick = steps_domain.join(broadcast_if_small(routes), "domain")
     return (ms.join(pick, ["chain_id", "model_type"])
             .select("chain_id", "idx", r6("node_prob").alias("node_pred"), r6("origin_prob").alias("origin_pred")))
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewise.functions.common import broadcast_if_small
+
 # The reference's system and task prompts, per domain.
 SYSTEM_PROMPTS = {
     "math": "You are a helpful mathematical reasoning assistant. \n"
@@ -45,7 +47,7 @@ def render(df: DataFrame, templates: DataFrame, style: str, query: str = "query"
     <|system|> / <|user|> / <|assistant|> markup.  ``examples`` (array of
     struct<query, solution>) become numbered few-shot blocks before the task."""
     t = templates.withColumnRenamed("domain", "_tdomain")
-    j = df.join(F.broadcast(t), F.col(domain) == F.col("_tdomain"), "left").drop("_tdomain")
+    j = df.join(broadcast_if_small(t), F.col(domain) == F.col("_tdomain"), "left").drop("_tdomain")
     sysp = F.coalesce(F.col("system_prompt"), F.lit("")) if include_system else F.lit("")
     task = F.replace(F.coalesce(F.col("task_prompt"), F.lit("")), F.lit("{query}"), F.col(query))
     if style == "openai":

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewise.functions.common import r6, safe_div
+from tracewise.functions.common import broadcast_if_small, r6, safe_div
 
 # Predictor risk bands and controller defaults of the reference.
 LOW_MAX = 0.3
@@ -271,6 +271,6 @@ def target_assessment(metrics: DataFrame, targets: DataFrame) -> DataFrame:
     names = [r[0] for r in TARGETS]
     long = metrics.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("actual"))
                                              for n in names])))
-    j = long.join(F.broadcast(targets), "metric")
+    j = long.join(broadcast_if_small(targets), "metric")
     passed = F.when(F.col("direction") == "<=", F.col("actual") <= F.col("target")).otherwise(F.col("actual") >= F.col("target"))
     return j.select("metric", "actual", "target", "direction", passed.alias("passed"))

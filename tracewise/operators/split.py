@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.functions.common import hash_key, r6
+from tracewise.functions.common import broadcast_if_small, hash_key, r6
 from tracewise.functions.ranking import grouped_position
 
 
@@ -87,5 +87,5 @@ def class_balance(steps: DataFrame, thresholds: DataFrame | None = None) -> Data
                                     F.sum((~F.col("is_origin")).cast("int")).cast("long").alias("neg"))
     c = c.select("domain", "pos", "neg", r6(F.col("neg") / (F.col("pos") + F.lit(1e-8))).alias("pos_weight"))
     if thresholds is not None:
-        c = c.join(F.broadcast(thresholds), "domain", "left")
+        c = c.join(broadcast_if_small(thresholds), "domain", "left")
     return c
