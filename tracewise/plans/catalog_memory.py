@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewise.functions.common import WORD_RE
+from tracewise.functions.common import WORD_RE, hash_key_sql
 from tracewise.operators import memory
 from tracewise.plans.registry import register
 from tracewise.sources.fixtures import SQL_VIEWS, mention_steps, turn_steps, with_views
@@ -188,9 +188,43 @@ def q_template_chain(spark, sf_dir):
     return t.select("conv_id", "turn", "step_id", "text", F.array_join("depends_on", ",").alias("depends_on"))
 
 
-@register("fault_injection", "H16")
+def _draw(k: int) -> str:
+    return hash_key_sql("(conv_id * 1009 + turn)", 42 + k)
+
+
+_NEG = memory.NEGATIONS
+_FAULT_SQL = f"""
+    with t as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as turn_idx,
+                      regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') as x from conversations),
+    l as (select conv_id, turn, list_concat(list_concat(
+                 list_filter(regexp_extract_all(x, '{memory.RICH_NAME_RE}', 1), lambda n: n not in ({_RICH_STOP})),
+                 list_transform(regexp_extract_all(x, '{memory.RICH_NUM_RE}', 1), lambda n: 'number_' || n)),
+                 regexp_extract_all(x, '{memory.RICH_PLACE_RE}', 1)) as e from t),
+    u as (select conv_id, turn, unnest(e) as entity, unnest(range(len(e))) as pos from l),
+    f as (select conv_id, entity, min((turn, pos)) as fs, arg_min(turn, (turn, pos)) as ft from u group by 1, 2),
+    r as (select conv_id, entity, row_number() over (partition by conv_id order by fs) - 1 as rank from f),
+    k as (select t.conv_id, t.turn, turn_idx, (select count(*) from f where f.conv_id = t.conv_id and f.ft < t.turn) as known from t),
+    n as (select conv_id, turn, count(*) as n_steps from turn_steps group by 1, 2),
+    d as (select conv_id, turn, 1 + {_draw(1)} % (n_steps - 1) as step_idx, {memory.INJECT_KINDS}[{_draw(2)} % 3 + 1] as kind,
+                 {_draw(3)} % known as rank, {_draw(4)} % known as rank2, {_draw(5)} as pick
+          from k join n using (conv_id, turn) where turn_idx > 0 and known > 0 and n_steps >= 2 and {_draw(0)} % 1000 < 400),
+    x as (select d.conv_id, d.turn, d.step_idx, d.kind, s.text, a.entity as old, b.entity as note, pick, starts_with(a.entity, 'number_') as is_num,
+                 case when starts_with(a.entity, 'number_') then regexp_replace(a.entity, '^number_0*(.+)$', '\\1') else a.entity end as old_v
+          from d join r a on a.conv_id = d.conv_id and a.rank = d.rank join r b on b.conv_id = d.conv_id and b.rank = d.rank2
+          join turn_steps s on s.conv_id = d.conv_id and s.turn = d.turn and s.step_idx = d.step_idx),
+    c as (select *, list_filter({memory.NEW_NAMES}, lambda m: m <> old_v) as cands, {' or '.join(f"contains(lower(text), '{p}')" for p, _ in _NEG)} as hit from x),
+    y as (select *, case when is_num then cast(try_cast(old_v as bigint) + {memory.NUM_SHIFTS}[pick % 6 + 1] as varchar)
+                         else cands[pick % len(cands) + 1] end as new_v,
+                 kind = 'entity' or (kind = 'claim' and hit) as marked from c),
+    z as (select *, case kind when 'entity' then replace(text, old_v, new_v)
+                         when 'claim' then case {' '.join(f"when contains(lower(text), '{p}') then replace(text, '{q}', '{w}')" for (p, w), q in zip(_NEG, (p for p, _ in _NEG)))} else text end
+                         else text || ' (Note: ' || note || ' was mentioned)' end as new_text from y)
+    select conv_id, turn, step_idx, kind, new_text, new_text <> text as changed, not marked as is_correct, marked as is_origin,
+           case when kind = 'entity' then 'factual' when marked then 'logical' end as error_type from z"""
+
+
+@register("fault_injection", "H16", with_views(_FAULT_SQL, "turn_steps"))
 def q_fault_injection(spark, sf_dir):
-    """Rows-only (entities use Unicode word boundaries, see rich_entities):
-    deterministic cross-turn fault injection over the conversations."""
+    """Deterministic cross-turn fault injection over the conversations."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return memory.fault_injection(turns, turn_steps(spark, sf_dir))
