@@ -340,21 +340,22 @@ def node_roles(steps: DataFrame) -> DataFrame:
 # Semantic edges and edge-set evaluation
 # ---------------------------------------------------------------------------
 
-def cosine(a, b) -> F.Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    na = F.sqrt(F.aggregate(F.transform(a, lambda x: x * x), F.lit(0.0), lambda acc, x: acc + x))
-    nb = F.sqrt(F.aggregate(F.transform(b, lambda x: x * x), F.lit(0.0), lambda acc, x: acc + x))
-    return F.when((na > 0) & (nb > 0), dot / (na * nb)).otherwise(0.0)
+def norm(a) -> F.Column:
+    return F.sqrt(F.aggregate(F.transform(a, lambda x: x * x), F.lit(0.0), lambda acc, x: acc + x))
 
 
 def semantic_edges(vec_steps: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(chain_id, src, dst) for i < j in a chain with cosine >= threshold.
-    The pair test is inherent to the operator (the reference compares every
-    pair of steps of a chain); it is an equi-join on chain_id."""
-    a = vec_steps.select("chain_id", F.col("idx").alias("src"), F.col("embedding").alias("ea"))
-    b = vec_steps.select("chain_id", F.col("idx").alias("dst"), F.col("embedding").alias("eb"))
+    """(chain_id, src, dst) for i < j in a chain with cosine >= threshold
+    (0 for a zero vector).  The pair test is inherent to the operator (the
+    reference compares every pair of steps of a chain); it is an equi-join on
+    chain_id, with each vector's norm taken once beforehand."""
+    v = vec_steps.select("chain_id", "idx", "embedding", norm("embedding").alias("norm"))
+    a = v.select("chain_id", F.col("idx").alias("src"), F.col("embedding").alias("ea"), F.col("norm").alias("na"))
+    b = v.select("chain_id", F.col("idx").alias("dst"), F.col("embedding").alias("eb"), F.col("norm").alias("nb"))
     j = a.join(b, "chain_id").filter(F.col("src") < F.col("dst"))
-    return (j.withColumn("cos", cosine("ea", "eb")).filter(F.col("cos") >= threshold)
+    dot = F.aggregate(F.zip_with("ea", "eb", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    cos = F.when((F.col("na") > 0) & (F.col("nb") > 0), dot / (F.col("na") * F.col("nb"))).otherwise(0.0)
+    return (j.withColumn("cos", cos).filter(F.col("cos") >= threshold)
             .select("chain_id", "src", "dst", r6("cos").alias("cosine")))
 
 
