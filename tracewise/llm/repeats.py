@@ -15,8 +15,8 @@ a window:
 5. ``_apply``    each block marks its documents' repeated runs and windows.
 
 A window whose anchor occurs nowhere else occurs nowhere else, so nothing is lost.  Blocks are hash
-partitions of the documents; they are shuffled once and read three times.  Runs are compared by 40 + 56 bits
-of hash besides the bits of the bucket.  The longest thing that one task holds is a block (about ROWS_A_BLOCK documents),
+partitions of the documents (about ROWS_A_BLOCK rows and BYTES_A_BLOCK bytes); they are shuffled once and read three times.  Runs are compared by 40 + 56 bits
+of hash besides the bits of the bucket.  The longest thing that one task holds is a block,
 a bucket of records, or the excerpts of one anchor.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tracewise.llm.common import (U64, binaries, byte_symbols, mix, prefix_hash, range_hash, shuffle_partitions, spans, utf8,
                                   word_hashes, word_spans)
 
-ROWS_A_BLOCK = 2048
+ROWS_A_BLOCK, BYTES_A_BLOCK = 2048, 8 << 20
 PIECE_BYTES = 1 << 18
 ALL, BUT_FIRST, TELL, TWICE = 1, 2, 4, 8
 NONE = np.int64(np.iinfo(np.int64).max)  # stands for a null id: after every other
@@ -60,8 +60,9 @@ class Piece:
     """Some documents of a block: their symbols' byte places, and the runs that their windows form."""
 
     rows: range
-    starts: np.ndarray  # of each symbol, its first byte in the block
-    ends: np.ndarray
+    base: int  # the piece's first byte in the block
+    starts: np.ndarray | None  # words only: of each, its first byte in the piece
+    ends: np.ndarray | None
     offsets: np.ndarray  # of each document, its first symbol
     doc: np.ndarray  # of each run, its document (row of the block)
     first: np.ndarray  # its first window (symbol)
@@ -72,6 +73,14 @@ class Piece:
     place: np.ndarray  # the anchor's first symbol
     symbols: np.ndarray | None  # words only
 
+    def begin(self, i: np.ndarray) -> np.ndarray:
+        """First byte (in the block) of each symbol; bytes are their own places, so nothing is stored for them."""
+        return self.base + (i if self.starts is None else self.starts[i])
+
+    def finish(self, i: np.ndarray) -> np.ndarray:
+        """The byte after each symbol."""
+        return self.base + (i + 1 if self.ends is None else self.ends[i])
+
 
 def _lowest(a: np.ndarray, n: int) -> np.ndarray:
     """Minimum of each ``n`` consecutive values."""
@@ -92,8 +101,8 @@ def pieces(search: Search, text: pa.ChunkedArray) -> Iterator[Piece]:
             symbols = word_hashes(raw, starts, ends)
             offsets = np.searchsorted(starts, row_off)
         else:
-            starts = np.arange(len(raw))
-            ends, symbols, offsets = starts + 1, byte_symbols(raw), row_off
+            starts = ends = None
+            symbols, offsets = byte_symbols(raw), row_off
         n = len(symbols)
         empty = np.zeros(0, np.int64)
         runs = (empty, empty, empty, empty.astype(U64), empty, empty, empty)
@@ -114,7 +123,7 @@ def pieces(search: Search, text: pa.ChunkedArray) -> Iterator[Piece]:
                 content = range_hash(pre, first, last + w) + (q - first).astype(U64) * U64(0x9FB21C651E98DF25)
                 runs = (np.searchsorted(offsets, first, "right") - 1, first, last, grams[q], (grams[q] >> U64(24)).astype(np.int64), (content >> U64(8)).astype(np.int64), q)
         doc, first, last, anchor, a, u, q = runs
-        yield Piece(range(i, j), starts + off[i], ends + off[i], offsets, doc + i, first, last, anchor, a, u, q,
+        yield Piece(range(i, j), int(off[i]), starts, ends, offsets, doc + i, first, last, anchor, a, u, q,
                     symbols if search.unit == "word" else None)
 
 
@@ -300,7 +309,7 @@ def _apply(search: Search, fields: list[str], keep_layout: bool) -> Callable[[pa
             part, p0, p1 = replies.find_parts(run_ids[~whole])
             lo = np.concatenate([x.first[hot[whole]], x.first[rest[part]] + p0])
             hi = np.concatenate([x.last[hot[whole]], x.first[rest[part]] + p1]) + search.window
-            n = len(x.starts)
+            n = int(x.offsets[-1])
             mark = np.zeros(n + 1, np.int32)
             np.add.at(mark, lo, 1)
             np.subtract.at(mark, hi, 1)
@@ -319,21 +328,21 @@ def _apply(search: Search, fields: list[str], keep_layout: bool) -> Callable[[pa
             if search.unit == "byte" or keep_layout:
                 # a removed word goes with the space behind it
                 stay = np.ones(int(piece_off[-1] - piece_off[0]), bool)
-                after = np.append(x.starts[1:], piece_off[-1]) if n else x.starts
-                after = np.minimum(after, piece_off[1:][np.searchsorted(x.offsets, np.arange(n), "right") - 1])
-                for a, b in zip(x.starts[begin].tolist(), after[end - 1].tolist(), strict=True):
+                row_end = piece_off[1:][np.searchsorted(x.offsets, begin, "right") - 1]
+                after = np.where(end < n, x.begin(np.minimum(end, max(n - 1, 0))), piece_off[-1]) if n else end
+                for a, b in zip(x.begin(begin).tolist(), np.minimum(after, row_end).tolist(), strict=True):
                     stay[a - piece_off[0]: b - piece_off[0]] = False
                 kept.append(data[piece_off[0]: piece_off[-1]][stay])
                 count = np.concatenate([[0], np.cumsum(stay)])
                 kept_size[rows] = np.diff(count[piece_off - piece_off[0]])
             else:
                 live = np.flatnonzero(~gone)
-                size = x.ends[live] - x.starts[live] + 1
+                size = x.finish(live) - x.begin(live) + 1
                 doc = np.searchsorted(x.offsets, live, "right") - 1
                 last = np.append(doc[1:] != doc[:-1], True)[: len(doc)]
                 size -= last
                 begin_out = np.cumsum(size) - size
-                from_byte = np.repeat(x.starts[live] - begin_out, size) + np.arange(size.sum())
+                from_byte = np.repeat(x.begin(live) - begin_out, size) + np.arange(size.sum())
                 out = data[np.minimum(from_byte, max(0, len(data) - 1))]
                 out[(begin_out + size - 1)[~last]] = 32
                 kept.append(out)
@@ -361,7 +370,8 @@ def repeated(docs: DataFrame, search: Search, write: Callable, excerpt_schema: s
     excerpts and returns ``block, parts`` rows (packed PART records).
     """
     spark = docs.sparkSession
-    blocks = max(shuffle_partitions(spark), docs.count() // ROWS_A_BLOCK)
+    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
+    blocks = max(shuffle_partitions(spark), n // ROWS_A_BLOCK, (size or 0) // BYTES_A_BLOCK)
     given = {f"_carry{k}": c for k, c in enumerate(carry) if c != doc_id}  # own names inside, so that none can clash
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(k) for k, c in given.items()])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))

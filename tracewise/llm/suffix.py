@@ -112,7 +112,7 @@ def _write(block: int, data: np.ndarray, chosen: list[tuple]) -> pa.Table:
     """The chosen runs' bytes, from their first window's start to their last one's end."""
     cols: dict[str, list] = {k: [] for k in ("anchor", "run", "doc", "ahead", "bytes")}
     for x, runs, ids, _, doc in chosen:
-        lo, hi = x.starts[x.first[runs]], x.ends[x.last[runs] + LENGTH - 1]
+        lo, hi = x.begin(x.first[runs]), x.finish(x.last[runs] + LENGTH - 1)
         cols["anchor"].append(x.anchor[runs].view(np.int64))
         cols["run"].append(ids.view(np.int64))
         cols["doc"].append(doc)
