@@ -38,7 +38,7 @@ RULES = ("symbols", "repeats", "dup_lines", "word_length", "shouting", "sentence
 def _repeated_words(words: Column) -> Column:
     """Words inside ``WINDOW``-word windows that occur twice or more in the array.
 
-    Sorted window hashes show whether any window repeats; only then are (hash, place) pairs sorted,
+    Distinct window hashes show whether any window repeats; only then are (hash, place) pairs sorted,
     the places with an equal neighbour marked and the words that those windows cover counted.
     """
     n = F.size(words)
@@ -61,9 +61,7 @@ def _repeated_words(words: Column) -> Column:
         return let(let(pairs, marked), count)
 
     def found(h):
-        s = F.sort_array(h)
-        any_twice = let(s, lambda v: F.size(F.array_distinct(v)) < F.size(v))
-        return F.when(any_twice, covered(h)).otherwise(F.lit(0).cast("long"))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long"))
 
     return F.when(n >= WINDOW, let(hashes(words), found)).otherwise(F.lit(0).cast("long"))
 
