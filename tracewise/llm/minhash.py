@@ -190,7 +190,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     reps = sk.join(large, ["doc_id", "d1", "d2", "n_shingles"]).dropDuplicates(["doc_id", "d1", "d2"])
     reps = materialise(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch"), "reps")
     bands = reps.select("rep", "sketch").mapInArrow(_bands, "key long, rep long")
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written, like all small sides of joins by bucket: then Spark can split a hot bucket's partition of the other side
+    buckets = materialise(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
     inside = materialise(bands.join(buckets, "key"), "buckets")
     wanted = inside.select("rep").distinct()
     texts = materialise(docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted, "rep").dropDuplicates(["rep"]), "texts")
@@ -201,6 +202,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     drawn = inside.groupBy("rep").agg(F.sum("n").alias("drawn"))
     crowded = materialise(crowded.join(drawn, "rep"), "crowded")
     centres = crowded.groupBy("key").agg(F.max(F.struct("drawn", (-F.col("rep")).alias("c"))).alias("m")).select("key", (-F.col("m.c")).alias("centre"))
+    centres = materialise(centres, "centres")
     star = crowded.join(centres, "key").filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
     links = _linked(materialise(pairs.unionByName(star).distinct(), "pairs"), reps, texts, share, percent)
     links = materialise(links, "linked")
@@ -220,7 +222,7 @@ def _settled(crowded: DataFrame, labels: DataFrame, reps: DataFrame, texts: Data
     deals = lambda size: F.ceil(size / BLOCK).cast("int")
     of = of.filter("classes > 1").select("key", F.col("most.label").alias("most"), deals(F.col("size")).alias("across"),
                                          deals(F.col("size") - F.col("most.size")).alias("down"))
-    rows = seen.join(of, "key").withColumn("minor", F.col("label") != F.col("most"))
+    rows = seen.join(materialise(of, "open"), "key").withColumn("minor", F.col("label") != F.col("most"))
     own_i, own_j = F.pmod(F.xxhash64("rep", F.lit(1)), "down").cast("int"), F.pmod(F.xxhash64("rep", F.lit(2)), "across").cast("int")
     rows = rows.withColumns({"own_i": own_i, "own_j": own_j})
     place = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
