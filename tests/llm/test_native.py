@@ -181,7 +181,11 @@ def brute_posterior(votes):
             s = {(x, y): sum((q if y else 1 - q) for v, q in zip(votes, p) if v[r] == x) for x in (1, -1) for y in (0, 1)}
             g[r] = (s[1, 1] + held * rules.GOOD_RIGHT) / (s[1, 1] + s[-1, 1] + held)
             b[r] = (s[-1, 0] + held * rules.BAD_RIGHT) / (s[-1, 0] + s[1, 0] + held)
+        old = rules._weights(good, bad, prior)
         good, bad, prior = g, b, (sum(p) + held * rules.PRIOR) / (len(votes) + held)
+        new = rules._weights(good, bad, prior)
+        if max(abs(new[k] - old[k]) for k in new) < rules.TOLERANCE:
+            break
     return [one(v) for v in votes]
 
 

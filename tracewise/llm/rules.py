@@ -31,7 +31,7 @@ GOOD_RIGHT = 0.995
 BAD_RIGHT = 0.2
 PRIOR = 0.8
 ROUNDS = 40
-TOLERANCE = 1e-7
+TOLERANCE = 0.02  # EM ends when no vote's log-odds moves by more in a round
 RULES = ("symbols", "repeats", "dup_lines", "word_length", "shouting", "sentences", "loose_marks", "plain")
 
 
