@@ -21,7 +21,7 @@ from tracewise.functions.common import r6, safe_div
 from tracewise.session import cut_lineage
 
 
-HOPS = 4  # levels a job
+HOPS = 2  # levels a job
 
 
 def bfs_levels(adj: DataFrame, start: DataFrame, key_cols: tuple[str, ...] = ("chain_id",),
