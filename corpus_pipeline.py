@@ -9,6 +9,7 @@ an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from tracewise.llm.common import documents, materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.5
+LIKENESS = 80  # near-duplicates share at least so many of 100 shingles
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +29,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near-duplicates, that of the smallest id (and one of equal rows)."""
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = 85) -> DataFrame:
+    """Keeps one document of each class of near-duplicates, that of the smallest id (and one of equal rows).
+
+    ``percent`` has the operator's default; the stage passes LIKENESS.
+    """
     docs = docs.select(*COLUMNS)
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    kept = minhash.near_duplicates(docs, percent=percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
     left = docs.join(kept, F.expr("doc_id <=> _id"), "left_semi")
     return left.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).select(*COLUMNS)
 
@@ -59,7 +64,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_id),
-    ("near_dedup", near_dedup),
+    ("near_dedup", partial(near_dedup, percent=LIKENESS)),
     ("substring_dedup", substring_dedup),
     ("mixing", mix),
     ("tokenise", tokenise),

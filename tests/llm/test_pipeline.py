@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline as pipeline
 from tests.llm.helpers import SF001, edge_rows, frame, rows_of, sentence, words
-from tests.llm.test_dedup import brute_classes, brute_windows
+from tests.llm.test_dedup import brute_classes, brute_windows, shingle_set
 from tracewise.llm.common import documents, materialise
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -51,6 +51,19 @@ def test_near_dedup_keeps_one_of_each_class(spark, edge):
     assert sorted(r["doc_id"] for r in rows_of(pipeline.near_dedup(spark, docs, SF001))) == sorted({c for c in brute_classes(rows)})
 
 
+def test_near_dedup_links_from_80_percent(spark):
+    base = sentence(31, 104).split()
+    edited = lambda *at: " ".join("new" if k in at else w for k, w in enumerate(base))
+    rows = [(1, " ".join(base)), (2, edited(30, 60)), (3, edited(15, 35, 55, 75, 95))]
+    sets = [shingle_set(t) for _, t in rows]
+    assert 0.80 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85 and brute_classes(rows, 80) == [1, 1, 3]
+    got = rows_of(stage("near_dedup")(spark, frame(spark, [(d, t, "en", "a", len(t)) for d, t in rows]), SF001))
+    assert sorted(r["doc_id"] for r in got) == [1, 3]
+    docs = documents(spark, SF001)
+    rows = [(r["doc_id"], r["text"]) for r in rows_of(docs.select("doc_id", "text"))]
+    assert sorted(r["doc_id"] for r in rows_of(stage("near_dedup")(spark, docs, SF001))) == sorted(set(brute_classes(rows, 80)))
+
+
 def test_substring_stage_rewrites_texts(spark):
     passage = sentence(7, 60)
     rows = [(1, f"one\n{passage}\ntwo", "en", "a", 0), (2, passage, "en", "a", 0), (3, "left as\n\nit is ", "en", "b", 0)]
