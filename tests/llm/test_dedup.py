@@ -85,6 +85,24 @@ def test_crowded_buckets_in_many_blocks(spark, monkeypatch):
     check_classes(minhash.near_duplicates(frame(spark, [(d, t, None, None, None) for d, t in rows])), rows)
 
 
+@pytest.mark.parametrize("percent", [80, 60])
+def test_small_sets_link_at_lower_thresholds(spark, percent):
+    """Pairs of n and n + 1 shingles that share n, of which those of 4 and of 5 are links at 80 and those of 2 at 60."""
+    rows = []
+    for k in range(60):
+        text = sentence(700 + k, 6 + k % 6)
+        rows += [(10 * k, text), (10 * k + 1, f"{text} end{k}")]
+    got = {r["doc_id"]: r["component_id"] for r in rows_of(minhash.near_duplicates(frame(spark, [(d, t, None, None, None) for d, t in rows]), percent=percent))}
+    assert [got[d] for d, _ in rows] == brute_classes(rows, percent)
+    assert sum(got[10 * k + 1] == 10 * k for k in range(60)) == sum(100 * (2 + k % 6) >= percent * (3 + k % 6) for k in range(60))
+
+
+def test_bands_and_least_set_follow_the_threshold():
+    assert [minhash.least_set(p) for p in (85, 80, 60, 50)] == [6, 4, 2, 1]
+    assert minhash.banding(85) == (42, 6) and minhash.banding(80) == (51, 5)
+    assert all((1 - (p / 100) ** r) ** b <= minhash.MISS for p in range(20, 100) for b, r in [minhash.banding(p)])
+
+
 def test_registers_keep_the_least_and_estimate_is_close():
     rng = np.random.default_rng(2)
     common, own = rng.integers(0, 2 ** 63, 1700, dtype=np.uint64), rng.integers(0, 2 ** 63, 300, dtype=np.uint64)

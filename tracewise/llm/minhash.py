@@ -6,8 +6,9 @@ and components of links are classes.
 
 Sketch: a shingle's hash names one of REGISTERS buckets; a bucket keeps its smallest remainder, compressed to the count of
 leading zeros and MANTISSA bits behind them (16 bits a register).  Empty registers borrow from others by a fixed
-random order for banding.  Equal sets are one representative from the start (128-bit set digest).  BANDS bands of ROWS
-registers give candidates: a pair at 0.85 is missed with probability (1 - 0.85**6)**42 = 2e-9.  Candidates pass
+random order for banding.  Equal sets are one representative from the start (128-bit set digest).  Bands of registers give
+candidates, as long as a pair at the threshold is missed with a probability of at most MISS: at 0.85 42 bands of 6, which miss
+(1 - 0.85**6)**42 = 2e-9; at 0.80 51 bands of 5, which miss (1 - 0.8**5)**51 = 2e-9.  Candidates pass
 if the estimated Jaccard likeness, corrected for chance collisions of compressed registers, is within SIGMAS standard
 errors of the threshold, and are confirmed on full shingle sets.
 
@@ -36,15 +37,27 @@ from tracewise.llm.components import components
 SHINGLE = 5
 REGISTERS = 256
 MANTISSA = 10
-BANDS, ROWS = 42, 6
+MISS = 1e-8
 SMALL = 8
 BLOCK = 400_000
 SIGMAS = 5.0
-LEAST_SET = 6  # smaller sets that share 85 of 100 are equal
 SKETCHES = "doc_id long, n_shingles long, d1 long, d2 long, sketch binary"
 TRIES = 160
 _BORROW = np.random.default_rng(11).integers(0, REGISTERS, (TRIES, REGISTERS))
-_BAND = mix(np.arange(1, ROWS + 1, dtype=U64) * U64(0xC6BC279692B5C323)) | U64(1)
+_BAND = mix(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0xC6BC279692B5C323)) | U64(1)
+
+
+def least_set(percent: int) -> int:
+    """The smallest set that can link with another one than itself: n shingles in common with one of n + 1."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 31
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and registers of a band: the longest bands that miss a pair at the threshold with at most MISS, else single registers."""
+    for rows in range(REGISTERS, 1, -1):
+        if (1 - (percent / 100) ** rows) ** (REGISTERS // rows) <= MISS:
+            return REGISTERS // rows, rows
+    return REGISTERS, 1
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -136,13 +149,16 @@ def _registers_of(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        reg = filled(_registers_of(b.column(1)))[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(U64)
-        key = mix((reg * _BAND).sum(axis=2, dtype=U64) + np.arange(1, BANDS + 1, dtype=U64) * U64(0x9FB21C651E98DF25))
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], ["key", "rep"])
+def _bands(bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            reg = filled(_registers_of(b.column(1)))[:, : bands * rows].reshape(-1, bands, rows).astype(U64)
+            key = mix((reg * _BAND[:rows]).sum(axis=2, dtype=U64) + np.arange(1, bands + 1, dtype=U64) * U64(0x9FB21C651E98DF25))
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), bands))], ["key", "rep"])
+
+    return run
 
 
 def _hopeful(share: float):
@@ -186,10 +202,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     groups = sk.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     groups = materialise(groups, "groups")  # a table of its own, so that Spark can split the joins' large partitions
     members = sk.select("doc_id", "n_shingles", "d1", "d2").join(groups, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep")
-    large = groups.filter(F.col("n_shingles") >= LEAST_SET).select("d1", "d2", "n_shingles", F.col("rep").alias("doc_id"))
+    large = groups.filter(F.col("n_shingles") >= least_set(percent)).select("d1", "d2", "n_shingles", F.col("rep").alias("doc_id"))
     reps = sk.join(large, ["doc_id", "d1", "d2", "n_shingles"]).dropDuplicates(["doc_id", "d1", "d2"])
     reps = materialise(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch"), "reps")
-    bands = reps.select("rep", "sketch").mapInArrow(_bands, "key long, rep long")
+    bands = reps.select("rep", "sketch").mapInArrow(_bands(*banding(percent)), "key long, rep long")
     # written, like all small sides of joins by bucket: then Spark can split a hot bucket's partition of the other side
     buckets = materialise(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
     inside = materialise(bands.join(buckets, "key"), "buckets")
