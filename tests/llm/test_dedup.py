@@ -77,6 +77,17 @@ def test_hot_group_of_near_copies(spark):
     check_classes(minhash.near_duplicates(df), rows)
 
 
+def test_two_texts_of_one_id(spark):
+    """Each text of a repeated id links as a document of its own: ids 0..19 hold two texts, with a near copy of each elsewhere."""
+    rows = []
+    for k in range(20):
+        one, two = sentence(900 + k, 80), sentence(950 + k, 80)
+        rows += [(k, one), (k, two), (100 + k, f"{one} end"), (200 + k, f"{two} end")]
+    want = brute_classes(rows)
+    assert want[2::4] == want[3::4] == list(range(20))
+    check_classes(minhash.near_duplicates(frame(spark, [(d, t, None, None, None) for d, t in rows])), rows)
+
+
 def test_crowded_buckets_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", 2)
     monkeypatch.setattr(minhash, "BLOCK", 300)

@@ -19,7 +19,8 @@ largest class are compared on full sets with all its members through an index of
 classes leave the task.  A bucket of more than BLOCK shingles is dealt out as pairs of blocks.  So no link between different
 classes is lost, and rows grow with the members, not with their pairs.
 
-Null ids link with nothing (component null, kept).  Rows with equal ids are rows of their own.  Null text: no words.
+Null ids link with nothing (component null, kept).  Rows with equal ids are rows of their own: representatives are numbered by
+set, and ids come back only in the result.  Null text: no words.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ MISS = 1e-8
 SMALL = 8
 BLOCK = 400_000
 SIGMAS = 5.0
-SKETCHES = "doc_id long, n_shingles long, d1 long, d2 long, sketch binary"
+SKETCHES = "doc_id long, n_shingles long, d1 long, d2 long, sketch binary, text_hash long"
 TRIES = 160
 _BORROW = np.random.default_rng(11).integers(0, REGISTERS, (TRIES, REGISTERS))
 _BAND = mix(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0xC6BC279692B5C323)) | U64(1)
@@ -128,7 +129,7 @@ def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set digest (d1, d2) and registers of every row."""
+    """doc_id, n_shingles, set digest (d1, d2), registers and hash of the text of every row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +141,9 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 total = lambda v: np.diff(np.concatenate([[U64(0)], np.cumsum(v)])[np.concatenate([[0], np.cumsum(n)])]).view(np.int64)  # noqa: E731,B023
                 reg = registers(row, h, j - i)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(total(mix(h))), pa.array(total(mix(h ^ U64(0x5851F42D4C957F2D)))),
-                                                  binaries([x.tobytes() for x in reg])], ["doc_id", "n_shingles", "d1", "d2", "sketch"])
+                                                  binaries([x.tobytes() for x in reg]), b.column(2).slice(i, j - i)], ["doc_id", "n_shingles", "d1", "d2", "sketch", "text_hash"])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, SKETCHES)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text), F.xxhash64(F.col(text))).mapInArrow(run, SKETCHES)
 
 
 def _registers_of(col: pa.Array) -> np.ndarray:
@@ -199,18 +200,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     """doc_id, n_shingles, component_id (smallest id of the class), kept (whether it is that one) of every row."""
     share = percent / 100
     sk = materialise(sketches(docs, doc_id, text), "sketches")
-    groups = sk.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    groups = materialise(groups, "groups")  # a table of its own, so that Spark can split the joins' large partitions
-    members = sk.select("doc_id", "n_shingles", "d1", "d2").join(groups, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep")
-    large = groups.filter(F.col("n_shingles") >= least_set(percent)).select("d1", "d2", "n_shingles", F.col("rep").alias("doc_id"))
-    reps = sk.join(large, ["doc_id", "d1", "d2", "n_shingles"]).dropDuplicates(["doc_id", "d1", "d2"])
-    reps = materialise(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch"), "reps")
+    groups = sk.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    # a table of its own, so that Spark can split the joins' large partitions and the numbers stay
+    groups = materialise(groups.select("d1", "d2", "n_shingles", "first.*", F.monotonically_increasing_id().alias("rep")), "groups")
+    firsts = groups.select("rep", F.col("doc_id").alias("first"))
+    numbers = groups.select("d1", "d2", "n_shingles", "rep", F.col("doc_id").alias("first"))
+    members = sk.join(numbers, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep", "first")
+    own = ["doc_id", "text_hash", "d1", "d2", "n_shingles"]
+    reps = sk.join(groups.filter(F.col("n_shingles") >= least_set(percent)), own).dropDuplicates(own)
+    reps = materialise(reps.select("rep", "n_shingles", "sketch"), "reps")
     bands = reps.select("rep", "sketch").mapInArrow(_bands(*banding(percent)), "key long, rep long")
     # written, like all small sides of joins by bucket: then Spark can split a hot bucket's partition of the other side
     buckets = materialise(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
     inside = materialise(bands.join(buckets, "key"), "buckets")
-    wanted = inside.select("rep").distinct()
-    texts = materialise(docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted, "rep").dropDuplicates(["rep"]), "texts")
+    wanted = groups.select("doc_id", "text_hash", "rep").join(inside.select("rep").distinct(), "rep")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    texts = materialise(texts.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("rep", "text"), "texts")
 
     few = inside.filter(F.col("n") <= SMALL).select("key", "rep")
     pairs = few.select("key", F.col("rep").alias("a")).join(few.select("key", F.col("rep").alias("b")), "key").filter("a < b").select("a", "b")
@@ -224,7 +229,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     links = materialise(links, "linked")
     labels = components(links)
     more = _settled(crowded.select("key", "rep"), labels, reps, texts, percent)
-    return _result(members, components(links.unionByName(materialise(more, "settled"))))
+    return _result(members, components(links.unionByName(materialise(more, "settled"))), firsts)
 
 
 def _settled(crowded: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -293,8 +298,11 @@ def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, share: float, p
     return hopeful.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _result(members: DataFrame, labels: DataFrame) -> DataFrame:
-    out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+def _result(members: DataFrame, labels: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``firsts``: the smallest id (first) of each representative; a class is named by the smallest of all."""
+    least = materialise(labels.join(firsts.withColumnRenamed("rep", "node"), "node").groupBy("component").agg(F.min("first").alias("least")), "classes")
+    labels = materialise(labels.join(least, "component").select(F.col("node").alias("rep"), "least"), "labels")
+    out = members.join(labels, "rep", "left")
+    component = F.coalesce("least", "first", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
