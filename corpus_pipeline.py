@@ -49,10 +49,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes the documents as often as the mix of sources to their targets takes them (0 to 2 times)."""
-    docs = docs.select(*COLUMNS)
-    taken = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    each = docs.join(taken, F.expr("doc_id <=> _id"))
-    return each.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*COLUMNS)
+    # numbered and written, so that the numbers stay and rows of one id (or none) keep counts of their own
+    docs = materialise(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "rows")
+    taken = mixing.mix_sources(docs, carry=("_row",)).filter("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    return docs.join(taken, "_row").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*COLUMNS)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,6 +84,21 @@ def test_mixing_stage_repeats_rows(spark):
     assert got == want
 
 
+def test_mixing_stage_counts_rows_that_share_an_id(spark):
+    """Rows of one id or of none, in sources of different targets: each source gets the words that the operator takes."""
+    rows = [(d, sentence(k, 5 + k % 9), "en", "abc"[k % 3], k) for k in range(120) for d in [None if k % 2 else k // 6]]
+    df = frame(spark, rows)
+    from tracewise.llm import mixing
+
+    want = Counter()
+    for r in rows_of(mixing.mix_sources(df)):
+        want[r["source"]] += r["taken"]
+    got = Counter()
+    for r in rows_of(pipeline.mix(spark, df, SF001)):
+        got[r["source"]] += len(words(r["text"]))
+    assert got == want
+
+
 def test_run_equals_the_stages_one_by_one(spark):
     docs = documents(spark, SF001)
     for name, f in pipeline.STAGES:

@@ -64,11 +64,11 @@ def source_targets(sizes: DataFrame, budget: float = 1.5, max_epochs: float = 2.
 
 
 def mix_sources(docs: DataFrame, budget: float = 1.5, max_epochs: float = 2.0, cycle: tuple[float, ...] = CYCLE,
-                text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = 17) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, weight, copies, taken."""
+                text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, weight, copies, taken and the ``carry`` columns."""
     u = (F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-                       quality_weight(F.col(text)).alias("weight"), u.alias("_u"))
+                       quality_weight(F.col(text)).alias("weight"), u.alias("_u"), *carry)
     rows = rows.withColumn("_key", -F.log("_u") / F.col("weight"))
     # exp(-key) falls from 1 to 0 as the key grows: equal-width bins of it are even for weight 1 and ordered for all
     rows = rows.withColumn("_bin", F.least(F.lit(BINS - 1), F.floor((1 - F.exp(-F.col("_key"))) * BINS)).cast("int")).drop("_u")
@@ -91,4 +91,4 @@ def mix_sources(docs: DataFrame, budget: float = 1.5, max_epochs: float = 2.0, c
     rest = r.filter(~edge).withColumn("_more", inside.cast("int"))
     copies = (F.col("_epochs") + F.col("_more")).cast("int")
     return rest.unionByName(cut).select("doc_id", "source", "size", "source_size", "target", "weight", copies.alias("copies"),
-                                        (copies * F.col("size")).cast("long").alias("taken"))
+                                        (copies * F.col("size")).cast("long").alias("taken"), *carry)
