@@ -70,9 +70,44 @@ select d.doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(n_remo
        coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
 from d left join a using (doc_id)"""
 
+_LEAF = "||".join(f"coalesce(octet_length(encode(cast({c} as varchar))) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+_TEXT_FIELD = "coalesce(octet_length(encode({t})) || ':' || {t}, '-')"
+_CRC32 = ("xor(4294967295, list_reduce(list_prepend(4294967295::bigint, [ascii(c)::bigint for c in string_split(cast(doc_id as varchar), '')]),"
+          " lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))))")
+
+
+def _siblings(tree: str) -> str:
+    """What stands before and after each node of a level in its run, and whether it has a parent."""
+    return f"""select a.g, a.l, a.i, coalesce(string_agg(b.h, '' order by b.i) filter (where b.i < a.i), '') as before,
+             coalesce(string_agg(b.h, '' order by b.i) filter (where b.i > a.i), '') as after
+      from {tree} a join {tree} b on a.g is not distinct from b.g and a.l = b.l and a.i // 8 = b.i // 8 where a.n > 1 group by all"""
+
+
+_MERKLE = f"""
+with recursive d as (select doc_id, lang as g, sha256({_LEAF} || {_TEXT_FIELD.format(t="text")}) as leaf,
+             sha256({_LEAF} || {_TEXT_FIELD.format(t="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) as lower_leaf,
+             coalesce({_CRC32} % 3 = 0, false) as hit from documents),
+o as (select *, row_number() over (partition by g order by doc_id nulls first) - 1 as i, count(*) over (partition by g) as n from d),
+lv as (select g, 0 as l, i, leaf as h, n from o
+       union all select g, l + 1, i // 8, sha256(string_agg(h, '' order by i)), (n + 7) // 8 from lv where n > 1 group by g, l, i // 8, n),
+tops as (select g, h, row_number() over (order by g is not null, encode(g)) - 1 as i, count(*) over () as n from lv where n = 1),
+rv as (select 0 as g, 0 as l, i, h, n from tops
+       union all select g, l + 1, i // 8, sha256(string_agg(h, '' order by i)), (n + 7) // 8 from rv where n > 1 group by g, l, i // 8, n),
+ls as ({_siblings('lv')}), rs as ({_siblings('rv')}),
+low as (select doc_id, i as own, g, 0 as l, i, case when hit then lower_leaf else leaf end as f, '' as proof from o
+        union all select c.doc_id, c.own, c.g, c.l + 1, c.i // 8, sha256(s.before || c.f || s.after), c.proof || s.before || s.after
+        from low c join ls s on c.g is not distinct from s.g and c.l = s.l and c.i = s.i),
+high as (select low.doc_id, low.own, low.g, 0 as l, tops.i, f, proof from low join lv on low.g is not distinct from lv.g and low.l = lv.l and low.i = lv.i and lv.n = 1
+         join tops on low.g is not distinct from tops.g
+         union all select c.doc_id, c.own, c.g, c.l + 1, c.i // 8, sha256(s.before || c.f || s.after), c.proof || s.before || s.after
+         from high c join rs s on c.l = s.l and c.i = s.i)
+select o.doc_id, o.leaf, tops.h as subroot, rv.h as root, sha256(high.proof) as proof_sha256, high.f as folded_root, high.f = rv.h as verified
+from high join rv on rv.n = 1 and rv.l = high.l join o on o.g is not distinct from high.g and o.i = high.own join tops on tops.g is not distinct from o.g"""
+
 ORACLES = {
     "op1_minhash_dedup": _MINHASH,
     "op2_chat_format": _CHAT,
     "op4_substring_dedup": _SUBSTRING,
     "op6_suffix_dedup": _SUFFIX,
+    "op11_merkle_manifest": _MERKLE,
 }

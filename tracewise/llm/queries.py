@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewise.llm import chat, langid, minhash, mixing, pieces, quality, rules, sketch, substring, suffix
+from tracewise.llm import chat, langid, merkle, minhash, mixing, pieces, quality, rules, sketch, substring, suffix
 from tracewise.llm.common import documents
 from tracewise.llm.oracles import ORACLES  # noqa: F401
 from tracewise.sources.tables import table
@@ -103,3 +103,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics, base verdict and the weakly supervised verdict of every document."""
     return rules.judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                                                        "base_failed", "kept", "quality")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and recomputed root of every document, a third of them tampered with."""
+    return merkle.verify(documents(spark, sf_dir))
