@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewise.llm import chat, langid, merkle, minhash, mixing, pieces, quality, rules, sketch, substring, suffix
+from tracewise.llm import chat, langid, merkle, minhash, mixing, pieces, quality, rules, sketch, substring, suffix, whitening
 from tracewise.llm.common import documents
 from tracewise.llm.oracles import ORACLES  # noqa: F401
 from tracewise.sources.tables import table
@@ -109,3 +109,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and recomputed root of every document, a third of them tampered with."""
     return merkle.verify(documents(spark, sf_dir))
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector projected on the first 32 components, scaled to unit variance."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
