@@ -110,4 +110,5 @@ ORACLES = {
     "op4_substring_dedup": _SUBSTRING,
     "op6_suffix_dedup": _SUFFIX,
     "op11_merkle_manifest": _MERKLE,
+    "op13_ngram_join": _MINHASH.replace("100 * c >= 85", "100 * c >= 80").replace(", c.doc_id = component_id as kept", ""),
 }

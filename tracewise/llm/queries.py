@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewise.llm import chat, langid, merkle, minhash, mixing, pieces, quality, rules, sketch, substring, suffix, whitening
+from tracewise.llm import chat, jaccard_join, langid, merkle, minhash, mixing, pieces, quality, rules, sketch, substring, suffix, whitening
 from tracewise.llm.common import documents
 from tracewise.llm.oracles import ORACLES  # noqa: F401
 from tracewise.sources.tables import table
@@ -115,3 +115,9 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector projected on the first 32 components, scaled to unit variance."""
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document under links of at least 0.80."""
+    return jaccard_join.similarity_join(documents(spark, sf_dir))
