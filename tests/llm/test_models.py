@@ -255,6 +255,25 @@ def test_encoders_find_the_best_segmentation(vocabulary):
     assert [data[at[k]:at[k + 1]].tobytes().decode() for k in range(len(texts))] == texts
 
 
+def test_ordinary_text_is_committed_as_paths_meet(spark, vocabulary):
+    """The search in step commits pieces inside words, before it knows where they end; no word of the documents overruns its window."""
+    encoder = pieces.Encoder(vocabulary)
+    texts = [r["text"] for r in rows_of(documents(spark, SF001).select("text"))]
+    off, ids = encoder.encode_many(pa.array(texts))
+    assert 0.2 * sum(len(x) // 4 for x in encoder.known.values()) < encoder.early < len(ids)
+    k = max(range(len(texts)), key=lambda k: len(set(texts[k])))
+    assert ids[off[k]:off[k + 1]].tolist() == best_pieces(vocabulary, texts[k])
+
+
+def test_paths_that_meet_late_are_left_to_the_stream():
+    """Two segmentations of a long run (from its first or its second letter on) that never share a boundary."""
+    v = pieces.Vocabulary(["<unk>", "a", "aa", "▁"] + [f"<0x{k:02X}>" for k in range(256)], np.array([0, -5, -1, -1] + [0.0] * 256), ["other"] + ["normal"] * 3 + ["byte"] * 256)
+    texts = ["a" * n for n in (1, 2, 7, 24, 25, 47, 60)]
+    off, ids = pieces.Encoder(v).encode_many(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[off[k]:off[k + 1]].tolist() == best_pieces(v, t)
+
+
 def test_stream_keeps_a_bounded_window(vocabulary):
     stream, widest = pieces.Stream(vocabulary), 0
     for c in codes("the quick brown fox " * 200):

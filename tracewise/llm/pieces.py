@@ -7,11 +7,12 @@ exactly.  A character that no one-character piece covers is written as its UTF-8
 10; so is a space mark that the text itself holds, which keeps it apart from a space.  With a BPE vocabulary (scores are merge
 ranks) this is the best-scoring segmentation, not the order of merges.
 
-``Stream`` is the encoder for a text of any length: it keeps the last MAX positions (MAX: the longest piece),
-because a piece can reach no further back, and commits ids as soon as the best paths to all of them pass one
-boundary.  Between words that boundary is known beforehand: no piece spans it (checked against the vocabulary).  So
-``encode_many`` cuts texts there, solves each distinct cut piece once, many in step in numpy, and leaves cut pieces
-longer than LANE characters to ``Stream``.
+Both encoders stream: they keep a window of the last MAX positions (MAX: the longest piece), because a piece can reach no
+further back.  Of these a position survives while some piece that starts there can still go on, and as soon as the best paths to
+all survivors pass one boundary, the piece before it is committed and the window's start moves there.  ``Stream`` takes a text of any
+length as it comes.  ``encode_many`` runs many pieces of text in step in numpy, a window each: between words a boundary is known
+beforehand (no piece spans it, checked against the vocabulary), so texts are cut there and each distinct cut piece is solved once.
+Cut pieces longer than LANE characters, and those whose paths did not meet within a window, go to ``Stream``.
 
 Null or empty text: no ids; decodes to the empty text.  Null ids decode to null.  Repeated rows are encoded each for itself.
 """
@@ -60,19 +61,22 @@ class Vocabulary:
         mark = chr(MARK)
         #: no piece goes on across a word's end
         self.words_apart = not any(b == mark and a != mark for p in self.by_text for a, b in zip(p, p[1:], strict=False))
-        items = sorted(self.by_text.items(), key=lambda x: x[1])
-        self.ids = np.array([i for _, i in items], np.int64)
-        codes = np.array([ord(c) for p, _ in items for c in p], U64) + U64(1)
-        end = np.cumsum([len(p) for p, _ in items], dtype=np.int64)
-        self.hashes = range_hash(prefix_hash(codes), end - [len(p) for p, _ in items], end) if len(items) else np.zeros(0, U64)
-        self.score_of = self.scores[self.ids] if len(items) else np.zeros(0)
+        #: all starts of pieces: whether a longer piece has them, and the id of the one that they are (-1: none)
+        self.open = {p[:k] for p in self.by_text for k in range(1, len(p))}
+        items = sorted(self.open | set(self.by_text))
+        self.ids = np.array([self.by_text.get(p, -1) for p in items], np.int64)
+        self.goes_on = np.array([p in self.open for p in items], bool)
+        codes = np.array([ord(c) for p in items for c in p], U64) + U64(1)
+        end = np.cumsum([len(p) for p in items], dtype=np.int64)
+        self.hashes = range_hash(prefix_hash(codes), end - [len(p) for p in items], end) if len(items) else np.zeros(0, U64)
+        self.score_of = np.where(self.ids >= 0, self.scores[self.ids], -np.inf) if len(items) else np.zeros(0)
         self.tables = _two_tables(self.hashes)
         raw = [p.replace(mark, " ").encode() if k == "normal" else bytes([int(p[3:5], 16)]) if k == "byte" else b"" for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_at = np.cumsum([0, *map(len, raw)])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Of each hash, the number of its piece in ``ids``, or -1."""
+        """Of each hash, the number of its start of a piece in ``ids``, or -1."""
         out = np.full(len(hashes), -1, np.int64)
         if not len(self.hashes):
             return out
@@ -123,6 +127,7 @@ class Stream:
         self.best: dict[int, float] = {0: 0.0}
         self.back: dict[int, tuple[int, int]] = {}  # boundary -> start and number of its last piece (-1: byte pieces)
         self.first: dict[int, int] = {}  # boundary -> first boundary after ``done`` on its best path
+        self.live: list[int] = [0]  # boundaries from which a piece can still go on
 
     def feed(self, codes: Iterable[int]) -> list[int]:
         out: list[int] = []
@@ -130,15 +135,18 @@ class Stream:
             self.codes.append(c)
             self.at += 1
             self._step()
-            live = range(max(0, self.at - self.v.longest + 1), self.at + 1)
-            while live[0] > self.done and len({self.first[p] for p in live}) == 1:
-                out.extend(self._commit(self.first[self.at], live))
+            self.live = [p for p in self.live if self._goes_on(p)] + [self.at]
+            while self.live[0] > self.done and len({self.first[p] for p in self.live}) == 1:
+                out.extend(self._commit(self.first[self.at]))
         return out
 
+    def _goes_on(self, p: int) -> bool:
+        return "".join(map(chr, self.codes[p - self.base:])) in self.v.open if OWN_MARK not in self.codes[p - self.base:] else False
+
     def close(self) -> list[int]:
         out: list[int] = []
         while self.done < self.at:
-            out.extend(self._commit(self.first[self.at], range(self.at, self.at + 1)))
+            out.extend(self._commit(self.first[self.at]))
         return out
 
     def _step(self) -> None:
@@ -164,7 +172,7 @@ class Stream:
         self.best[t], self.back[t] = best, back
         self.first[t] = t if back[0] == self.done else self.first[back[0]]
 
-    def _commit(self, to: int, live: range) -> list[int]:
+    def _commit(self, to: int) -> list[int]:
         start, i = self.back[to]
         ids = [i] if i >= 0 else _byte_ids(self.v, self.codes[start - self.base])
         for p in range(self.done, to):
@@ -190,6 +198,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.known: dict[int, bytes] = {}
+        self.early = 0  # pieces committed before the end of the cut piece that they are of
 
     def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Row offsets and ids of a text column."""
@@ -240,55 +249,91 @@ class Encoder:
         return ids, np.bincount(np.searchsorted(row_at, start, "right") - 1, weights=each, minlength=len(size)).astype(np.int64)
 
     def _solve(self, codes: np.ndarray, pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
-        out: list[bytes] = [b""] * len(start)
+        out: list[bytes | None] = [None] * len(start)
         size = end - start
-        for k in np.flatnonzero(size > LANE).tolist():
-            s = Stream(self.v)
-            out[k] = np.array(s.feed(codes[start[k]: end[k]].tolist()) + s.close(), np.int32).tobytes()
         order = np.argsort(size, kind="stable")
         order = order[size[order] <= LANE]
         for lo in range(0, len(order), LANES_AT_ONCE):
             rows = order[lo: lo + LANES_AT_ONCE]
             for k, x in zip(rows.tolist(), self._in_step(codes, pre, start[rows], size[rows]), strict=True):
                 out[k] = x
+        for k in [k for k, x in enumerate(out) if x is None]:
+            s = Stream(self.v)
+            out[k] = np.array(s.feed(codes[start[k]: end[k]].tolist()) + s.close(), np.int32).tobytes()
         return out
 
-    def _in_step(self, codes: np.ndarray, pre: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[bytes]:
-        """Viterbi over many short cut pieces, sorted by size, one position of all at a time."""
+    def _in_step(self, codes: np.ndarray, pre: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[bytes | None]:
+        """The streaming search over many short cut pieces, sorted by size, one position of all at a time.
+
+        ``window`` slots hold the last positions of each lane: best score, start and id of the last piece there, first boundary after
+        the committed one, whether a piece can go on from it.  None: paths that did not meet within the window.
+        """
         v, n, longest = self.v, len(start), int(size[-1])
-        best = np.full((longest + 1, n), -np.inf)
-        best[0] = 0.0
-        came, piece = np.zeros((longest + 1, n), np.int8), np.full((longest + 1, n), -1, np.int32)
+        window = min(v.longest, longest) + 1
+        best = np.full((window, n), -np.inf)
+        came, piece, first = (np.zeros((window, n), np.int32) for _ in range(3))
+        live = np.zeros((window, n), bool)
+        best[0], live[0] = 0.0, True
+        done, lost = np.zeros(n, np.int32), np.zeros(n, bool)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # lane, id, boundary
+
+        def commit(lanes: np.ndarray, at: np.ndarray) -> None:
+            """The piece that ends at the boundary ``at`` of the lanes."""
+            out.append((lanes, piece[at % window, lanes], at))
+
         for t in range(1, longest + 1):
-            lanes = slice(int(np.searchsorted(size, t)), n)  # those at least t long
-            s = start[lanes]
-            top = np.full(len(s), -np.inf)
-            length, which = np.ones(len(s), np.int8), np.full(len(s), -1, np.int32)
-            for m in range(1, min(t, v.longest) + 1):
-                at = v.find(range_hash(pre, s + (t - m), s + t))
-                hit = at >= 0
-                total = np.where(hit, best[t - m, lanes] + v.score_of[at], -np.inf)
+            lo = int(np.searchsorted(size, t))  # the lanes from here are at least t long
+            s, now = start[lo:], t % window
+            top = np.full(n - lo, -np.inf)
+            from_, which = np.full(n - lo, t - 1, np.int32), np.full(n - lo, -1, np.int32)
+            back = range(1, min(t, window - 1) + 1)
+            for m in back:
+                slot = (t - m) % window
+                those = np.flatnonzero(live[slot, lo:])
+                if not len(those):
+                    continue
+                at = v.find(range_hash(pre, s[those] + (t - m), s[those] + t))
+                known = at >= 0
+                total = np.where(known, best[slot, lo + those] + v.score_of[at], -np.inf)
                 if m == 1:
-                    total = np.where(hit, total, best[t - 1, lanes] + v.fallback)
-                    better = total > top
+                    total = np.where(total > -np.inf, total, best[slot, lo + those] + v.fallback)
+                    better = total > top[those]
                 else:
-                    better = hit & (total >= top)
-                top[better], length[better] = total[better], m
-                which[better] = np.where(hit, v.ids[at], -1)[better]
-            best[t, lanes], came[t, lanes], piece[t, lanes] = top, length, which
-        # walk back, all lanes at a time, noting pieces from the last to the first
-        at, lane = size.copy(), np.arange(n)
-        steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        while len(lane):
-            p = piece[at, lane]
-            steps.append((lane, p, start[lane] + at - 1))
-            at = at - came[at, lane]
-            go = at > 0
-            at, lane = at[go], lane[go]
-        lane = np.concatenate([x for x, _, _ in steps])
-        got, last = np.concatenate([x for _, x, _ in steps]), np.concatenate([x for _, _, x in steps])
+                    better = (total > -np.inf) & (total >= top[those])
+                hit = those[better]
+                top[hit], from_[hit] = total[better], t - m
+                which[hit] = np.where(known, v.ids[at], -1)[better]
+                live[slot, lo + those] = known & v.goes_on[at]
+            best[now, lo:], came[now, lo:], piece[now, lo:], live[now, lo:] = top, from_, which, True
+            lanes = np.arange(lo, n)
+            first[now, lo:] = np.where(from_ == done[lo:], t, first[from_ % window, lanes])
+            lanes = lanes[~lost[lo:]]
+            while len(lanes):  # those whose survivors' paths all pass the same boundary
+                to = first[now, lanes]
+                same = done[lanes] < t
+                for m in back:
+                    slot = (t - m) % window
+                    same &= ~live[slot, lanes] | ((first[slot, lanes] == to) & (done[lanes] < t - m))
+                lanes, to = lanes[same], to[same]
+                commit(lanes, to)
+                self.early += np.count_nonzero(size[lanes] > t)
+                done[lanes] = to
+                for m in (*back[::-1], 0):
+                    slot = (t - m) % window
+                    ahead = np.flatnonzero(to < t - m)
+                    those, origin = lanes[ahead], came[slot, lanes[ahead]]
+                    first[slot, those] = np.where(origin == to[ahead], t - m, first[origin % window, those])
+            lost[lo:] |= t - done[lo:] >= window - 1
+            ended = np.arange(lo, int(np.searchsorted(size, t, "right")))
+            at = np.full(len(ended), t, np.int32)
+            while len(ended):  # the rest of a lane that ends here, from its last piece back
+                go = (at > done[ended]) & ~lost[ended]
+                ended, at = ended[go], at[go]
+                commit(ended, at)
+                at = came[at % window, ended]
+        lane, got, last = (np.concatenate(x) for x in zip(*out, strict=True))
         order = np.lexsort((last, lane))
-        lane, got, last = lane[order], got[order], last[order]
+        lane, got, last = lane[order], got[order], start[lane[order]] + last[order] - 1
         spelled = np.flatnonzero(got < 0)
         if len(spelled):
             ids = [_byte_ids(v, int(c)) for c in codes[last[spelled]]]
@@ -300,7 +345,7 @@ class Encoder:
             lane, got = np.repeat(lane, extra), wide
         ends = np.cumsum(np.bincount(lane, minlength=n)) * 4
         raw = got.astype(np.int32).tobytes()
-        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return [None if gone else raw[a:b] for a, b, gone in zip([0, *ends[:-1].tolist()], ends.tolist(), lost.tolist(), strict=True)]
 
 
 def decode_many(v: Vocabulary, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
