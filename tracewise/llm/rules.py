@@ -1,8 +1,8 @@
 """Quality rules by weak supervision, in DataFrame functions only.
 
 ``text_statistics`` measures a text; ``rule_votes`` lets each rule vote good (1), bad (-1) or abstain (0);
-``fit_rules`` estimates each rule's accuracy by expectation-maximisation over the table of vote patterns
-(at most 3**rules rows, however many documents there are) and ``posterior`` is the probability that a
+``fit_rules`` estimates each rule's accuracy by expectation-maximisation, run until it stands still, over the table of
+vote patterns (one aggregate of the documents, at most 3**rules rows however many they are; only these counts reach the driver), and ``posterior`` is the probability that a
 document is good given its votes, each vote weighing as much as its rule proved accurate.
 
 The model: a document is good with probability ``prior``; a rule that votes says the truth with its own
@@ -30,8 +30,7 @@ STRENGTH = 0.02
 GOOD_RIGHT = 0.995
 BAD_RIGHT = 0.2
 PRIOR = 0.8
-ROUNDS = 40
-TOLERANCE = 0.02  # EM ends when no vote's log-odds moves by more in a round
+TOLERANCE = 1e-10  # EM has converged when no vote's log-odds moves by more in a round
 RULES = ("symbols", "repeats", "dup_lines", "word_length", "shouting", "sentences", "loose_marks", "plain")
 
 
@@ -104,33 +103,36 @@ def rule_votes() -> dict[str, Column]:
     }
 
 
-def fit_rules(patterns: DataFrame, rules: tuple[str, ...] = RULES, rounds: int = ROUNDS) -> dict[str, float]:
+def fit_rules(patterns: DataFrame, rules: tuple[str, ...] = RULES) -> dict[str, float]:
     """EM over the vote patterns (the rules' columns and ``n``): the log-odds that each vote adds.
 
-    Each round is one aggregation of the pattern table into 6 numbers a rule; only those reach the driver.
+    A fit without documents is the start.
     """
+    rows = sorted(tuple(r) for r in patterns.select("n", *rules).collect())
+    return converged([r[1:] for r in rows], [r[0] for r in rows], rules)
+
+
+def converged(votes: list[tuple[int, ...]], counts: list[int], rules: tuple[str, ...] = RULES) -> dict[str, float]:
+    """The log-odds at which EM stands still, for these patterns of votes and how often each stands."""
     good = {r: GOOD_RIGHT for r in rules}  # P(vote good | votes, document good)
     bad = {r: BAD_RIGHT for r in rules}  # P(vote bad | votes, document bad)
-    prior = PRIOR
-    weights = _weights(good, bad, prior)
-    for _ in range(rounds):
-        p = posterior(weights, rules)
-        sums = [F.sum(F.col("n") * p).alias("all"), F.sum("n").alias("n")]
-        for r in rules:
-            for name, v in (("g", 1), ("b", -1)):
-                hit = F.when(F.col(r) == v, F.col("n"))
-                sums += [F.sum(hit * p).alias(f"{r}_{name}_good"), F.sum(hit * (1 - p)).alias(f"{r}_{name}_bad")]
-        row = {k: v or 0.0 for k, v in patterns.agg(*sums).first().asDict().items()}
-        held = max(1.0, STRENGTH * row["n"])
-        share = lambda hit, miss, start: (hit + held * start) / (hit + miss + held)
-        good = {r: share(row[f"{r}_g_good"], row[f"{r}_b_good"], GOOD_RIGHT) for r in rules}
-        bad = {r: share(row[f"{r}_b_bad"], row[f"{r}_g_bad"], BAD_RIGHT) for r in rules}
-        prior = (row["all"] + held * PRIOR) / (row["n"] + held)
-        new = _weights(good, bad, prior)
+    total = sum(counts)
+    held = max(1.0, STRENGTH * total)
+    share = lambda hit, miss, start: (hit + held * start) / (hit + miss + held)
+    voters = {(r, v): [i for i, x in enumerate(votes) if x[k] == v] for k, r in enumerate(rules) for v in (1, -1)}
+    weights = _weights(good, bad, PRIOR)
+    moved = math.inf if votes else 0.0
+    while moved > TOLERANCE:
+        likely = []  # documents of each pattern that are held to be good
+        for x, n in zip(votes, counts, strict=True):
+            odds = weights["prior"] + sum(weights[f"{r}{'+' if v > 0 else '-'}"] for r, v in zip(rules, x, strict=True) if v)
+            likely.append(n / (1 + math.exp(-odds)))
+        sums = {k: (sum(likely[i] for i in of), sum(counts[i] - likely[i] for i in of)) for k, of in voters.items()}
+        good = {r: share(sums[r, 1][0], sums[r, -1][0], GOOD_RIGHT) for r in rules}
+        bad = {r: share(sums[r, -1][1], sums[r, 1][1], BAD_RIGHT) for r in rules}
+        new = _weights(good, bad, (sum(likely) + held * PRIOR) / (total + held))
         moved = max(abs(new[k] - weights[k]) for k in new)
         weights = new
-        if moved < TOLERANCE:
-            break
     return weights
 
 
