@@ -1,15 +1,14 @@
 """Per-chain graph construction and topology features.
 
-Graphs are edge tables keyed by ``chain_id``; every algorithm is relational:
-
-* reachability / distances (G4, E2, V4) – semi-naive frontier BFS, one join
-  + anti-join per level, several levels a job; lineage cut with reliable
-  checkpoints into ``spark.checkpoint.dir``
-* degrees (G2), triangles (G3) – group-bys and an edge self-join keyed by
-  (chain_id, node), i.e. work proportional to sum(deg^2), not n^2
-* longest path (G6) – Bellman-Ford style relaxation with max, n rounds bound
-* betweenness (G5) – Brandes' dependency accumulation expressed as joins over
-  the (source, node, dist, sigma) BFS table
+Graphs are edge tables keyed by ``chain_id``.  A chain's graph fits one row, so the topology measures (G2–G6) and distances run on
+arrays, all chains of a task at once and without a Spark job a level (``chain_arrays``).  Chains of more than ``limit`` nodes and edges go
+through joins, with the same results:
+
+* reachability / distances – semi-naive frontier BFS, one join + anti-join per level, several levels a job; lineage cut with
+  reliable checkpoints into ``spark.checkpoint.dir``
+* degrees, triangles – group-bys and an edge self-join in degree order
+* longest path – nodes peeled off as their in-degrees run out, each joined to its edges once
+* betweenness – Brandes' dependency accumulation as joins over the (source, node, dist, sigma) BFS table
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.functions.common import r6, safe_div
+from tracewise.operators import chain_arrays as A
 from tracewise.session import cut_lineage
 
 
@@ -59,6 +59,13 @@ def bfs_levels(adj: DataFrame, start: DataFrame, key_cols: tuple[str, ...] = ("c
     return visited
 
 
+def distances(edges: DataFrame, starts: DataFrame, limit: int = A.ROW_ENDS) -> DataFrame:
+    """(chain_id, node, dist): hops along (chain_id, src, dst) from the nearest of a chain's starts (chain_id, node), of every node reached."""
+    (e, s), long = A.split_long([edges.select("chain_id", "src", "dst"), starts.select("chain_id", "node")], limit)
+    out = A.reached(e, s)
+    return out if long is None else out.unionByName(bfs_levels(*long))
+
+
 def _cut_hops(hops: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
     """Union of the levels (first of each pair), cut from its parents; the persisted ones (second) are released."""
     out = hops[0][0]
@@ -104,12 +111,48 @@ def edge_table(steps: DataFrame, edges: DataFrame) -> DataFrame:
     return valid.unionByName(seq).withColumn("weight", F.lit(1.0))
 
 
+# ---------------------------------------------------------------------------
+# G2–G6 together
+# ---------------------------------------------------------------------------
+
+def topology(nodes: DataFrame, edges: DataFrame, measures: tuple[str, ...] = tuple(A.KINDS), root: int = 0, limit: int = A.ROW_ENDS) -> DataFrame:
+    """(chain_id, node, *measures) of every node, all measures from one packing of the chains: in_deg, out_deg, clustering,
+    path_length (from ``root``), betweenness, max_depth (the chain's)."""
+    nodes, edges = nodes.select("chain_id", "node"), edges.select("chain_id", "src", "dst")
+    (n, e), long = A.split_long([nodes, edges], limit)
+    out = A.node_measures(n, e, measures, root)
+    if long is not None:
+        n, e = cut_lineage(long[0].distinct()), cut_lineage(long[1].distinct())
+        more, deg = n, None
+        for m in measures:
+            if m in ("in_deg", "out_deg"):
+                deg = _degrees_by_joins(n, e) if deg is None else deg
+                part = deg.select("chain_id", "node", m)
+            elif m == "max_depth":
+                part = _longest_by_joins(n, e).select("chain_id", "max_depth")
+            else:
+                part = {"clustering": _clustering_by_joins, "betweenness": _betweenness_by_joins,
+                        "path_length": lambda x, y: _root_by_joins(x, y, root)}[m](n, e)
+            more = more.join(part, ["chain_id"] if m == "max_depth" else ["chain_id", "node"])
+        out = out.unionByName(more.select(out.columns))
+    return out.select("chain_id", "node", *[(r6(m) if A.KINDS[m] == "double" else F.col(m)).alias(m) for m in measures])
+
+
 # ---------------------------------------------------------------------------
 # Degrees and clustering
 # ---------------------------------------------------------------------------
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """in/out degree over distinct edges (0 for isolated nodes)."""
+    return topology(nodes, edges, ("in_deg", "out_deg"))
+
+
+def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Undirected clustering 2T/(d(d-1)) (0 if d < 2), self-loops ignored."""
+    return topology(nodes, edges, ("clustering",))
+
+
+def _degrees_by_joins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = edges.select("chain_id", "src", "dst").distinct()
     outd = e.groupBy("chain_id", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out_deg"))
     ind = e.groupBy("chain_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("in_deg"))
@@ -118,10 +161,8 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                     F.coalesce("out_deg", F.lit(0)).cast("long").alias("out_deg")))
 
 
-def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Undirected clustering 2T/(d(d-1)) (0 if d < 2), self-loops ignored.
-
-    Triangles are counted with degree ordering: every undirected edge is
+def _clustering_by_joins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Triangles are counted with degree ordering: every undirected edge is
     oriented from its lower-(degree, id) end, wedges are formed only from
     out-neighbour pairs (out-degree <= sqrt(2m)), and closed by an
     equi-join.  A hub node therefore never expands into deg^2 wedges."""
@@ -154,44 +195,49 @@ def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def root_distance(nodes: DataFrame, edges: DataFrame, root: int = 0) -> DataFrame:
     """Directed hops from node ``root``; -1 when unreachable."""
-    start = nodes.select("chain_id").distinct().withColumn("node", F.lit(root).cast("long"))
-    start = start.join(nodes.select("chain_id", "node"), ["chain_id", "node"], "left_semi")
-    d = bfs_levels(edges.select("chain_id", "src", "dst"), start)
-    return (nodes.select("chain_id", "node").join(d, ["chain_id", "node"], "left")
+    return topology(nodes, edges, ("path_length",), root)
+
+
+def _root_by_joins(nodes: DataFrame, edges: DataFrame, root: int) -> DataFrame:
+    start = nodes.filter(F.col("node") == root)
+    d = bfs_levels(edges, start)
+    return (nodes.join(d, ["chain_id", "node"], "left")
             .select("chain_id", "node", F.coalesce("dist", F.lit(-1)).cast("long").alias("path_length")))
 
 
-def longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def longest_paths(nodes: DataFrame, edges: DataFrame, limit: int = A.ROW_ENDS) -> DataFrame:
     """Per chain the longest path length in edges; a cyclic chain gets
-    n - 1 (networkx raises and the reference falls back); empty -> 0.
-
-    Walk frontier: W_0 = all nodes, W_k = heads of edges leaving W_{k-1}.
-    In a DAG the last non-empty k is the longest path; a chain whose
-    frontier is still non-empty at k = n has a cycle and leaves the loop.
-    Rounds = longest path + 1; each frontier is checkpointed."""
-    n = nodes.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n"))
-    a = cut_lineage(edges.select("chain_id", F.col("src").alias("node"), "dst").distinct())
-    frontier = cut_lineage(nodes.select("chain_id", "node").distinct().join(n, "chain_id"))
-    allk = frontier.select("chain_id", F.lit(0).alias("k"))
-    k = 0
+    n - 1 (networkx raises and the reference falls back); empty -> 0."""
+    (n, e), long = A.split_long([nodes.select("chain_id", "node"), edges.select("chain_id", "src", "dst")], limit)
+    out = A.chain_depths(n, e)
+    return out if long is None else out.unionByName(_longest_by_joins(*long))
+
+
+def _longest_by_joins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Peels off the nodes whose in-edges have all been passed on, level by level: each node is joined to its out-edges once,
+    and its depth is the largest that it was handed, plus one.  Nodes that are never peeled lie on or behind a cycle."""
+    e = cut_lineage(edges.select("chain_id", "src", "dst").distinct())
+    nodes = nodes.select("chain_id", "node").distinct()
+    every = nodes.unionByName(e.select("chain_id", F.col("src").alias("node"))).unionByName(e.select("chain_id", F.col("dst").alias("node"))).distinct()
+    waits = e.groupBy("chain_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("waits"))
+    left = every.join(waits, ["chain_id", "node"], "left").select("chain_id", "node", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(0).cast("long").alias("depth"))
+    left, peeled = cut_lineage(left), None
     while True:
-        hops = []
-        for _ in range(HOPS):
-            k += 1
-            nxt = (frontier.join(a, ["chain_id", "node"]).select("chain_id", F.col("dst").alias("node"), "n")
-                   .distinct().filter(F.lit(k) <= F.col("n")).persist())
-            hops.append((nxt.withColumn("k", F.lit(k)), nxt))
-            frontier = nxt.filter(F.lit(k) < F.col("n"))
-        new = _cut_hops(hops)
-        allk = allk.unionByName(new.select("chain_id", "k"))
-        frontier = new.filter((F.col("k") == k) & (F.lit(k) < F.col("n"))).select("chain_id", "node", "n")
-        if frontier.isEmpty():
+        front = left.filter("waits = 0")
+        gone = front.groupBy("chain_id").agg(F.max("depth").alias("depth"))
+        peeled = gone if peeled is None else peeled.unionByName(gone).groupBy("chain_id").agg(F.max("depth").alias("depth"))
+        peeled = cut_lineage(peeled)
+        if front.isEmpty():
             break
-    mk = allk.groupBy("chain_id").agg(F.max("k").alias("mk"))
-    j = n.join(mk, "chain_id", "left")
-    cyclic = F.coalesce(F.col("mk"), F.lit(0)) >= F.col("n")
-    return j.select("chain_id", (~cyclic).alias("is_dag"),
-                    F.when(cyclic, F.col("n") - 1).otherwise(F.coalesce("mk", F.lit(0))).cast("long").alias("max_depth"))
+        handed = (front.withColumnRenamed("node", "src").join(e, ["chain_id", "src"])
+                  .groupBy("chain_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_n"), (F.max("depth") + 1).alias("_d")))
+        left = cut_lineage(left.filter("waits > 0").join(handed, ["chain_id", "node"], "left").select(
+            "chain_id", "node", (F.col("waits") - F.coalesce("_n", F.lit(0))).alias("waits"), F.greatest("depth", F.coalesce("_d", F.lit(0))).alias("depth")))
+    cyclic = left.select("chain_id").distinct().withColumn("cyclic", F.lit(True))
+    n = nodes.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n"))
+    j = n.join(peeled, "chain_id", "left").join(cyclic, "chain_id", "left")
+    return j.select("chain_id", F.col("cyclic").isNull().alias("is_dag"),
+                    F.when(F.col("cyclic"), F.col("n") - 1).otherwise(F.coalesce("depth", F.lit(0))).cast("long").alias("max_depth"))
 
 
 # ---------------------------------------------------------------------------
@@ -223,10 +269,15 @@ def shortest_path_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Sum over s != v != t of sigma_st(v)/sigma_st, via Brandes'
+    """Brandes' betweenness along the edges, normalised by 1/((n-1)(n-2)) (0 when n <= 2), as networkx does for directed graphs."""
+    return topology(nodes, edges, ("betweenness",))
+
+
+def _betweenness_by_joins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Sum over s != v != t of sigma_st(v)/sigma_st, via Brandes'
     dependency recursion delta_s(v) = sum_{w: v pred of w} sigma_sv/sigma_sw (1 + delta_s(w)),
     evaluated from the deepest BFS level upwards; normalised by
-    1/((n-1)(n-2)) (0 when n <= 2), as networkx does for directed graphs."""
+    1/((n-1)(n-2))."""
     p = shortest_path_counts(nodes, edges)
     e = edges.select("chain_id", F.col("src").alias("v"), F.col("dst").alias("w")).distinct()
     maxd = p.agg(F.max("d")).first()[0] or 0
@@ -261,9 +312,12 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def task_features(steps: DataFrame, depth: DataFrame) -> DataFrame:
-    """Domain one-hot (3), chain depth, position idx/max(n-1, 1), 0.5."""
+    """Domain one-hot (3), chain depth, position idx/max(n-1, 1), 0.5.  ``depth``: one row a chain, or one a node (``topology``)."""
     n = steps.groupBy("chain_id").agg(F.count(F.lit(1)).alias("_n"))
-    s = steps.join(n, "chain_id").join(depth.select("chain_id", "max_depth"), "chain_id", "left")
+    if "node" in depth.columns:
+        s = steps.join(n, "chain_id").join(depth.select("chain_id", F.col("node").alias("idx"), "max_depth"), ["chain_id", "idx"], "left")
+    else:
+        s = steps.join(n, "chain_id").join(depth.select("chain_id", "max_depth"), "chain_id", "left")
     dom = F.lower(F.col("domain"))
     return s.select("chain_id", "idx",
                     (dom == "math").cast("double").alias("is_math"), (dom == "code").cast("double").alias("is_code"),

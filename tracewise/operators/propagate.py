@@ -4,8 +4,7 @@ Inputs: steps (chain_id, idx, is_correct, is_origin), edges (chain_id, src,
 dst) and predicted origins (chain_id, idx).  Distances come from one
 multi-source BFS (every chain's first true origin at once); "has a wrong
 descendant" comes from one multi-source BFS over reversed edges started at
-the predecessors of wrong nodes.  Both are the relational BFS of
-``tracewise.operators.graph``: rounds = depth, no per-chain collection.
+the predecessors of wrong nodes.  Both are ``graph.distances``: a chain's edges packed in one row, searched inside the tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.functions.common import r6
-from tracewise.operators.graph import bfs_levels
+from tracewise.operators.graph import distances
 from tracewise.session import cut_lineage
 
 
@@ -42,7 +41,7 @@ def origin_distances(summary: DataFrame, edges: DataFrame) -> DataFrame:
     g = summary.filter((F.col("num_errors") > 0) & F.col("has_edges") & F.col("true_origin").isNotNull())
     start = g.select("chain_id", F.col("true_origin").cast("long").alias("node"))
     adj = edges.join(g.select("chain_id"), "chain_id", "left_semi").select("chain_id", "src", "dst")
-    return bfs_levels(adj, start)
+    return distances(adj, start)
 
 
 def depth_stats(dist: DataFrame, steps: DataFrame) -> DataFrame:
@@ -68,7 +67,7 @@ def intervention_points(summary: DataFrame, steps: DataFrame, edges: DataFrame)
     wrong = steps.filter(~F.col("is_correct")).select("chain_id", F.col("idx").alias("dst"))
     start = e.join(wrong, ["chain_id", "dst"]).select("chain_id", F.col("src").alias("node")).distinct()
     rev = e.select("chain_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    anc = bfs_levels(rev, start).select("chain_id", "node")
+    anc = distances(rev, start).select("chain_id", "node")
     ok = steps.filter(F.col("is_correct")).select("chain_id", F.col("idx").alias("node"))
     return ok.join(anc, ["chain_id", "node"], "left_semi")
 

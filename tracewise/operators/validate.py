@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewise.functions.common import r6, safe_div
+from tracewise.operators import chain_arrays as A
+from tracewise.operators.stars import components
+from tracewise.session import cut_lineage
 
 # Fixed message texts (must equal the reference's wording).
 MSG_DUPLICATE = "Duplicate step_ids found"
@@ -153,19 +156,19 @@ def error_histogram(messages: DataFrame) -> DataFrame:
     return messages.groupBy("message").agg(F.count(F.lit(1)).alias("n"))
 
 
-def undirected_adjacency(edges: DataFrame) -> DataFrame:
-    e = edges.select("chain_id", "src", "dst")
-    return e.unionByName(e.select("chain_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-
-
-def unreached_nodes(nodes: DataFrame, edges: DataFrame, has_steps: DataFrame) -> DataFrame:
+def unreached_nodes(nodes: DataFrame, edges: DataFrame, has_steps: DataFrame, limit: int = A.ROW_ENDS) -> DataFrame:
     """V4: nodes not reachable (undirected) from node 0, one row per node
-    (chain_id, node); per-chain counts are a group-by away."""
-    from tracewise.operators.graph import bfs_levels
+    (chain_id, node); per-chain counts are a group-by away.
 
-    adj = undirected_adjacency(edges)
+    Chains of more than ``limit`` edges get component labels by star contraction (rounds in the logarithm of the longest path),
+    which are compared with node 0's."""
     start = has_steps.select("chain_id").distinct().withColumn("node", F.lit(0).cast("long"))
-    reach = bfs_levels(adj, start).select("chain_id", "node")
+    (e, s), long = A.split_long([edges.select("chain_id", "src", "dst"), start], limit)
+    reach = A.reached(e, s, both_ways=True).select("chain_id", "node")
+    if long is not None:
+        labels = cut_lineage(components(long[0]))
+        home = labels.filter("node = 0").join(long[1].select("chain_id"), "chain_id", "left_semi").select("chain_id", "component")
+        reach = reach.unionByName(labels.join(home, ["chain_id", "component"]).select("chain_id", "node")).unionByName(long[1])
     return nodes.select("chain_id", "node").distinct().join(reach, ["chain_id", "node"], "left_anti")
 
 

@@ -90,13 +90,9 @@ def q_edge_table(spark, sf_dir):
     left join tri on tri.chain_id = s.chain_id and tri.v = s.idx
     join nn on nn.chain_id = s.chain_id join lp on lp.chain_id = s.chain_id""", "order_steps", "order_edges", "gnodes"))
 def q_topology_basic(spark, sf_dir):
-    s = cut_lineage(order_steps(spark, sf_dir))  # read four times below
-    nodes, edges = _nodes(s), cut_lineage(order_edges(s).distinct())
-    deg = G.degrees(nodes, edges)
-    cl = G.clustering(nodes, edges)
-    tf = G.task_features(s, G.longest_paths(nodes, edges))
-    top = deg.join(cl, ["chain_id", "node"]).withColumnRenamed("node", "idx")
-    return top.join(tf, ["chain_id", "idx"]).select(
+    s = order_steps(spark, sf_dir)
+    top = cut_lineage(G.topology(_nodes(s), order_edges(s), ("in_deg", "out_deg", "clustering", "max_depth")))
+    return top.withColumnRenamed("node", "idx").join(G.task_features(s, top), ["chain_id", "idx"]).select(
         "chain_id", "idx", "in_deg", "out_deg", "clustering", "is_math", "is_code", "is_medical", "depth", "position",
         "factual_density")
 

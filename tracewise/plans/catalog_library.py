@@ -17,7 +17,7 @@ from tracewise.plans.catalog_graph import _nodes
 from tracewise.plans.catalog_risk import _IV_SQL, _day_steps
 from tracewise.plans.catalog_text import _fp_sql
 from tracewise.plans.registry import ORACLES, QUERIES, register
-from tracewise.session import checkpoint_dir
+from tracewise.session import checkpoint_dir, cut_lineage
 from tracewise.sources import io
 from tracewise.sources.fixtures import doc_steps, order_chains, order_edges, order_lines, order_steps, with_views
 from tracewise.sources.tables import table
@@ -201,11 +201,9 @@ _TASK = ["is_math", "is_code", "is_medical", "depth", "position", "factual_densi
     join ({ORACLES['betweenness']}) b on b.chain_id = t.chain_id and b.node = t.idx""")
 def q_node_features(spark, sf_dir):
     s = order_steps(spark, sf_dir)
-    nodes, edges = _nodes(s), order_edges(s)
-    keyed = lambda d: d.withColumnRenamed("node", "idx")
-    blocks = [(keyed(G.degrees(nodes, edges)), ["in_deg", "out_deg"]), (keyed(G.clustering(nodes, edges)), ["clustering"]),
-              (keyed(G.root_distance(nodes, edges)), ["path_length"]), (keyed(G.betweenness(nodes, edges)), ["betweenness"]),
-              (G.task_features(s, G.longest_paths(nodes, edges)), _TASK)]
+    top = cut_lineage(G.topology(_nodes(s), order_edges(s)))  # all five measures and the chain's depth at once
+    blocks = [(top.withColumnRenamed("node", "idx"), ["in_deg", "out_deg", "clustering", "path_length", "betweenness"]),
+              (G.task_features(s, top), _TASK)]
     f = G.assemble_features([b for b, _ in blocks], [c for _, c in blocks])
     return f.select("chain_id", "idx", *[F.col("features")[k].alias(f"f{k}") for k in range(5 + len(_TASK))])
 
