@@ -14,12 +14,17 @@ A signature of up to SMALL sets gives its pairs.  One that more sets carry (a gr
 share) gives a star only: each set with the one that meets most others.  Candidates that would join different classes are
 verified on whole sets, the best supported of each set first, so that a group of copies costs about a test a member.
 
+Before that, candidates that cannot link are passed over: sets of s and l have as many segments in common as they have beyond
+``most_apart(s, l)``, and all of these are small signatures that gave the pair or crowded ones that both carry.
+
 Crowded signatures whose sets are still of several classes are dropped, and paid for with votes: a set loses nothing as long as its
 partners must share more segments than it has dropped or empty ones.  Sets that have no such votes left (mostly text that stands
-in many documents) go through the second search, among themselves: they also sign every segment less one shingle, and some
-segments count double, as a partner is met there even when it differs by one.  Which ones is decided by cost, the
-entries that a segment reads with its subset and its deletions; if doubles do not make up the votes, the cheapest dropped
-signatures are searched after all.  Only sets of different classes meet.
+in many documents) go through the second search, among themselves.  Either some segments count double, as a partner is met there
+even when it differs by one: sets sign every segment less one shingle, too.  Or, where many segments are dropped, the universe is
+split to single shingles, of which a partner lacks few.  Each set allocates its votes to the cheapest segments of the cheaper way, by
+the entries that they read.  Sets that ask are gathered in blocks by their most crowded signature, a block meets each set that
+one of its members meets once, and the task that holds them counts the shingles that they share; only links that join classes
+leave it.  Blocks are of at most ASKING sets against ANSWERING ones, and the largest class need not ask, as the others do.
 
 So no link between different classes is lost.  Null ids link with nothing (their component is null); rows with equal ids are
 rows of their own; equal sets are one node (named by 128 bits) from the start, whatever their number.  Null and empty texts have
@@ -43,10 +48,14 @@ from tracewise.llm.minhash import least_set, shingles
 PERCENT = 80
 SMALL = 8
 SPARE = 8  # one vote to spare for so many that are needed
+ASKING, ANSWERING = 512, 4096
+WHOLE, LESS, SINGLE = 0, 1, 2  # what an entry of the second search signs
 FLUSH = 500_000
-SETS = "doc_id long, n_shingles long, d1 long, d2 long, text_hash long, spare_own int, spare_upper int"
+SETS = "doc_id long, n_shingles long, d1 long, d2 long, text_hash long, band int, filled_own int, filled_upper int, spare_own int, spare_upper int"
+NEVER = 1 << 20  # votes to spare in a scheme that a set does not sign in
 NODE = np.dtype([("d1", "<i8"), ("d2", "<i8"), ("n", "<i4")])
 PAIRS = "a1 long, a2 long, b1 long, b2 long, support long, key long, d1 long, d2 long, upper boolean, members long"
+COUNTS = ("band", "filled_own", "filled_upper", "spare_own", "spare_upper")
 _SALT = U64(0xD6E8FEB86659FD93)
 
 
@@ -116,21 +125,20 @@ def _both(size: np.ndarray, least: int, schemes: Schemes) -> Iterator[tuple[bool
 
 
 def sets(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of every row the size and digest of its set, and the votes that it has to spare in both schemes."""
+    """Of every row the size and digest of its set, and in both schemes its segments and the votes that it has to spare."""
     small_batches(docs.sparkSession)
     least = least_set(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, row, h, n in _texts(batches, 1):
             schemes = Schemes(percent, int(n.max(initial=1)))
-            spare = []
+            filled, spare = [], []
             for upper, band, signs in _both(n, least, schemes):
-                band = np.maximum(band, 0)
-                _, at, _, _ = _segments(row, h, band, schemes)
-                left = np.bincount(at, minlength=len(n)) - schemes.apart(np.maximum(n, 1), upper)
-                spare.append(np.where(signs, left, 1 << 20).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *map(pa.array, _digest(h, n)), b.column(2), *map(pa.array, spare)],
-                                             ["doc_id", "n_shingles", "d1", "d2", "text_hash", "spare_own", "spare_upper"])
+                _, at, _, _ = _segments(row, h, np.maximum(band, 0), schemes)
+                filled.append(np.bincount(at, minlength=len(n)))
+                spare.append(np.where(signs, filled[-1] - schemes.apart(np.maximum(n, 1), upper), NEVER))
+            ints = [pa.array(x.astype(np.int32)) for x in (schemes.band(np.maximum(n, 1)), *filled, *spare)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *map(pa.array, _digest(h, n)), b.column(2), *ints], [c.split()[0] for c in SETS.split(", ")])
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text), F.xxhash64(F.col(text))).mapInArrow(run, SETS)
 
@@ -203,7 +211,7 @@ def _bucket(percent: int):
         start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         size = np.diff(np.append(start, len(sig)))
         own = np.add.reduceat((~upper).astype(np.int64), start) > 0
-        left, right = [], []
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in range(2, SMALL + 1):
             at = start[(size == k) & own]
             for i in range(k):
@@ -271,8 +279,8 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     """doc_id, n_shingles, component_id (the smallest id that it reaches by links) of every row."""
     members = materialise(sets(docs, percent, doc_id, text), "sets")
     named = members.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("spare_own").alias("spare_own"), F.first("spare_upper").alias("spare_upper"))
-    nodes = materialise(named.select("d1", "d2", "n_shingles", "first.*", "spare_own", "spare_upper", F.monotonically_increasing_id().alias("rep")), "nodes")
+        F.min(F.struct("doc_id", "text_hash")).alias("first"), *[F.first(c).alias(c) for c in COUNTS])
+    nodes = materialise(named.select("d1", "d2", "n_shingles", "first.*", *COUNTS, F.monotonically_increasing_id().alias("rep")), "nodes")
     buckets = shuffle_partitions(docs.sparkSession)
     found = materialise(_entries(docs, buckets, percent, doc_id, text).groupBy("bucket").applyInArrow(_bucket(percent), PAIRS), "found")
 
@@ -281,10 +289,15 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     crowded = found.filter("key is not null").select("key", "d1", "d2", "upper", "members").join(nodes.select("d1", "d2", "rep", F.col("n_shingles").alias("n")), ["d1", "d2"])
     crowded = materialise(crowded.select("key", "rep", "n", "upper", "members"), "crowded")
     stars = _stars(crowded, percent)
-    pairs = materialise(small.unionByName(stars).groupBy("a", "b").agg(F.sum("support").alias("support")), "pairs")
-
-    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    known = materialise(_hashes(docs, nodes.join(wanted, "rep"), doc_id, text), "hashes")
+    both = small.withColumn("small", F.col("support")).unionByName(stars.withColumn("small", F.lit(0).cast("long")))
+    both = both.groupBy("a", "b").agg(F.sum("support").alias("support"), F.sum("small").alias("small"))
+    carried = materialise(crowded.groupBy("rep").agg(F.count(F.when(~F.col("upper"), 1)).alias("crowds_own"), F.count(F.when(F.col("upper"), 1)).alias("crowds_upper")), "carried")
+    pairs = materialise(_possible(both, nodes, carried, percent).select("a", "b", "support"), "pairs")
+
+    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
+    poor = nodes.select("rep", "spare_own", "spare_upper").join(carried, "rep", "left").na.fill(0, ["crowds_own", "crowds_upper"])
+    poor = poor.filter((F.col("crowds_own") >= F.col("spare_own")) | (F.col("crowds_upper") >= F.col("spare_upper"))).select("rep")
+    known = materialise(_hashes(docs, nodes.join(ends.unionByName(poor).distinct(), "rep"), doc_id, text), "hashes")
     # the best supported partner of each node first
     sides = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "support").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "support"))
     best = sides.groupBy("x").agg(F.max(F.struct("support", (-F.col("y")).alias("y"))).alias("m")).select("x", (-F.col("m.y")).alias("y"))
@@ -293,7 +306,7 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     rest = _apart(pairs, components(links))
     links = links.unionByName(materialise(_verified(rest, known, percent), "links"))
     labels = components(links)
-    more = _second_search(docs, nodes, crowded, labels, percent, doc_id, text)
+    more = _second_search(nodes, crowded, labels, known, percent)
     if more is not None:
         links = links.unionByName(more)
         labels = components(links)
@@ -313,51 +326,113 @@ def _fits(s: Column, l: Column, percent: int) -> Column:
     return F.least(s, l) * 100 >= F.greatest(s, l) * percent
 
 
-def _second_search(docs: DataFrame, nodes: DataFrame, crowded: DataFrame, labels: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame | None:
+def _possible(pairs: DataFrame, nodes: DataFrame, carried: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may have enough segments in common: the small signatures that gave them and the crowded ones of both must make up
+    for the segments beyond the shingles in which they may differ."""
+    of = nodes.select("rep", F.col("n_shingles").alias("n"), "band", "filled_own", "filled_upper").join(carried, "rep", "left")
+    of = materialise(of.na.fill(0, ["crowds_own", "crowds_upper"]), "sizes")
+    one, two = (of.select(*[F.col(c).alias(x if c == "rep" else f"{c}_{x}") for c in of.columns]) for x in "ab")
+    j = pairs.join(one, "a").join(two, "b")
+    lower = lambda x, y: F.col(f"band_{x}") > F.col(f"band_{y}")
+    of_scheme = lambda what, x, y: F.when(lower(x, y), F.col(f"{what}_upper_{x}")).otherwise(F.col(f"{what}_own_{x}"))
+    shared = F.col("small") + F.least(of_scheme("crowds", "a", "b"), of_scheme("crowds", "b", "a"))
+    return j.filter(shared >= F.greatest(of_scheme("filled", "a", "b"), of_scheme("filled", "b", "a")) - _most_apart(F.col("n_a"), F.col("n_b"), percent))
+
+
+def _most_apart(s: Column, l: Column, percent: int) -> Column:
+    return s + l - 2 * F.ceil(percent * (s + l) / (100 + percent))
+
+
+def _second_search(nodes: DataFrame, crowded: DataFrame, labels: DataFrame, known: DataFrame, percent: int) -> DataFrame | None:
     """Links of the sets without votes to spare, or None when there are none."""
     label = F.coalesce("label", F.col("rep")).alias("label")
-    seen = crowded.join(_named(labels, "rep", "label"), "rep", "left").select("key", "rep", "upper", "members", label)
-    open_keys = materialise(seen.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("members").alias("members")).filter("lo < hi").select("key", "members"), "open")
-    dropped = crowded.join(open_keys.select("key"), "key").groupBy("rep", "upper").agg(F.count(F.lit(1)).alias("dropped"))
-    spare = nodes.select("rep", F.explode(F.array(F.struct(F.lit(False).alias("upper"), F.col("spare_own").alias("spare")),
-                                                  F.struct(F.lit(True).alias("upper"), F.col("spare_upper").alias("spare")))).alias("s"), "n_shingles", "doc_id", "text_hash")
-    spare = spare.select("rep", "n_shingles", "doc_id", "text_hash", "s.*").filter(F.col("spare") < 1 << 20)
-    poor = spare.filter("spare <= 0").select("rep", "upper").unionByName(
-        spare.select("rep", "upper", "spare").join(dropped, ["rep", "upper"]).filter("dropped >= spare").select("rep", "upper")).filter(F.lit(percent < 100)).distinct()
-    poor = materialise(poor.join(nodes.select("rep", "n_shingles", "doc_id", "text_hash"), "rep").filter(F.col("n_shingles") >= least_set(percent)), "poor")
+    seen = crowded.join(_named(labels, "rep", "label"), "rep", "left").select("key", "rep", "upper", label)
+    open_keys = materialise(seen.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key", F.lit(True).alias("open")), "open")
+    dropped = crowded.join(open_keys, "key").groupBy("rep", "upper").agg(F.count(F.lit(1)).alias("dropped"))
+    scheme = lambda upper, spare: F.struct(F.lit(upper).alias("upper"), F.col(spare).alias("spare"))
+    spare = nodes.select("rep", F.explode(F.array(scheme(False, "spare_own"), scheme(True, "spare_upper"))).alias("s")).select("rep", "s.*").filter(F.col("spare") < NEVER)
+    poor = spare.join(dropped, ["rep", "upper"], "left").filter(F.coalesce("dropped", F.lit(0)) >= F.col("spare")).select("rep", "upper")
+    poor = materialise(poor, "poor")
     if poor.isEmpty():
         return None
-    known = materialise(_hashes(docs, poor.dropDuplicates(["rep"]), doc_id, text), "hashes")
-    buckets = shuffle_partitions(docs.sparkSession)
-    entries = poor.select("rep", "upper").join(known, "rep").select("rep", "upper", "hashes").mapInArrow(
-        _neighbourhoods(percent, buckets), "rep long, upper boolean, seg int, key long, whole boolean, need int, n long")
+    buckets = shuffle_partitions(nodes.sparkSession)
+    entries = poor.join(known, "rep").select("rep", "upper", "hashes").mapInArrow(
+        _neighbourhoods(percent, buckets), "rep long, upper boolean, kind int, seg int, key long, need int, n long")
     entries = entries.join(open_keys, "key", "left").join(_named(labels, "rep", "label"), "rep", "left")
-    entries = entries.select("rep", "upper", "seg", "key", "whole", "need", "n", "members", label)
-    entries = materialise(entries, "entries")
-    # what a segment costs: the entries that its subset and its deletions read; a dropped or empty one gives no vote unless it is searched
-    costs = entries.groupBy("rep", "upper", "seg").agg(F.sum(F.coalesce("members", F.lit(1))).alias("cost"), F.first("need").alias("need"),
-                                                     F.max(F.col("whole") & F.col("members").isNotNull()).alias("shut"),
-                                                     F.max(F.when(F.col("whole"), F.col("members"))).alias("crowd"), F.max(F.col("seg") < 0).alias("none"))
-    of = Window.partitionBy("rep", "upper")
-    opened = ~F.col("shut") & ~F.col("none")
-    costs = costs.withColumns({"votes": F.sum(opened.cast("int")).over(of), "kind": F.when(opened, 0).when(F.col("shut"), 1).otherwise(2)})
-    costs = costs.withColumn("rank", F.row_number().over(of.orderBy("kind", F.when(opened, F.col("cost")).otherwise(F.col("crowd")), "seg")))
-    # the first ``doubles`` open segments count double; votes still missing come from shut ones, one each
-    doubles = F.col("need") - F.col("votes")
-    chosen = costs.filter(F.col("rank") <= F.when(opened, doubles).otherwise(F.col("votes") + F.greatest(F.lit(0), doubles - F.col("votes"))))
-    chosen = materialise(chosen.select("rep", "upper", "seg", F.lit(True).alias("probe")), "chosen")
-    entries = materialise(entries.join(chosen, ["rep", "upper", "seg"], "left").select("rep", "upper", "key", "whole", "n", "label", F.coalesce("probe", F.lit(False)).alias("probe"),
-                                                                                       F.coalesce(F.col("whole") & (F.col("members").isNotNull() | (F.col("seg") < 0)), F.lit(False)).alias("shut")), "asked")
-    x, y = (entries.select("key", *[F.col(c).alias(f"{c}_{t}") for c in ("rep", "upper", "whole", "n", "label", "probe", "shut")]) for t in "xy")
-    meet = x.filter("whole_x").join(y, "key").filter(
-        (F.col("label_x") != F.col("label_y")) & _fits(F.col("n_x"), F.col("n_y"), percent) & ~(F.col("upper_x") & F.col("upper_y"))
-        & (~F.col("whole_y") & (F.col("probe_x") | F.col("probe_y")) | F.col("whole_y") & F.col("shut_x") & F.col("probe_x")))
-    meet = materialise(meet.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct(), "meet")
-    return materialise(_verified(meet, known, percent), "links")
+    # a dropped segment asks nothing, but others' may
+    entries = materialise(entries.withColumn("label", label).withColumn("shut", F.coalesce("open", F.lit(False)) & (F.col("kind") == WHOLE)), "entries")
+    lists = materialise(entries.groupBy("key").pivot("kind", [WHOLE, LESS, SINGLE]).count().na.fill(0), "lists")
+    read = F.when(F.col("kind") == WHOLE, F.col(str(LESS))).when(F.col("kind") == LESS, F.col(str(WHOLE))).otherwise(F.col(str(SINGLE)) - 1)
+    single = F.col("single")
+    segs = entries.join(lists, "key").groupBy("rep", "upper", (F.col("kind") == SINGLE).alias("single"), "seg").agg(
+        F.max("shut").alias("shut"), F.first("need").alias("need"), F.first("n").alias("n"), F.sum(read).alias("cost")).filter(~F.col("shut"))
+    of = Window.partitionBy("rep", "upper", "single")
+    # single shingles: all but those that a partner may lack; whole segments: as many doubles as votes are missing
+    segs = segs.withColumn("rank", F.row_number().over(of.orderBy("cost", "seg"))).withColumn("votes", F.count(F.lit(1)).over(of))
+    must = F.when(single, F.col("n") - F.ceil(percent * F.col("n") / 100) + 1).otherwise(F.col("need") - F.col("votes"))
+    segs = segs.withColumn("must", must).filter((F.col("must") <= F.col("votes")) & (F.col("rank") <= F.col("must")))
+    ways = segs.groupBy("rep", "upper", "single").agg(F.sum("cost").alias("cost")).groupBy("rep", "upper").agg(F.min(F.struct("cost", "single")).alias("way"))
+    chosen = segs.join(ways.select("rep", "upper", "way.single"), ["rep", "upper", "single"]).select("rep", "upper", "single", "seg")
+    asks = entries.withColumn("single", F.col("kind") == SINGLE).join(chosen, ["rep", "upper", "single", "seg"]).select("key", "kind", "upper", "rep")
+    asking = materialise(asks.join(_blocks(poor, crowded, labels), "rep").select("key", "kind", "upper", "cluster", "i", "rep"), "asking")
+    there = entries.select("key", F.col("kind").alias("kind_y"), F.col("upper").alias("upper_y"), F.col("rep").alias("y"))
+    suits = F.when(F.col("kind") == SINGLE, F.col("kind_y") == SINGLE).otherwise((F.col("kind") + F.col("kind_y") == WHOLE + LESS) & ~(F.col("upper") & F.col("upper_y")))
+    met = asking.select("key", "kind", "upper", "cluster", "i").distinct().join(there, "key").filter(suits)
+    met = materialise(met.select("cluster", "i", F.col("y").alias("rep"), F.lit(False).alias("asks")).distinct(), "met")
+    parts = met.groupBy("cluster", "i").agg(F.ceil(F.count(F.lit(1)) / ANSWERING).alias("parts"))
+    own = asking.select("cluster", "i", "rep").distinct().withColumn("asks", F.lit(True)).join(parts, ["cluster", "i"])
+    own = own.select("cluster", "i", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("j"), "rep", "asks")
+    dealt = met.join(parts, ["cluster", "i"]).select("cluster", "i", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("j"), "rep", "asks").unionByName(own)
+    dealt = dealt.join(known, "rep").join(_named(labels, "rep", "label"), "rep", "left").select("cluster", "i", "j", "rep", "asks", label, "hashes")
+    return materialise(dealt.groupBy("cluster", "i", "j").applyInArrow(_joins(percent), "a long, b long").distinct(), "links")
+
+
+def _blocks(poor: DataFrame, crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """rep, cluster (its most crowded signature) and block in it, of the sets that ask: those outside the largest class."""
+    reps = poor.select("rep").distinct().join(_named(labels, "rep", "label"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"))
+    largest = reps.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1).select("label")
+    reps = reps.join(F.broadcast(largest), "label", "left_anti")
+    most = crowded.join(reps, "rep", "left_semi").groupBy("rep").agg(F.max(F.struct("members", "key")).alias("m")).select("rep", F.col("m.key").alias("cluster"))
+    reps = materialise(reps.join(most, "rep", "left").select("rep", F.coalesce("cluster", "rep").alias("cluster")), "asking")
+    sizes = reps.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / ASKING).alias("blocks"))
+    return reps.join(sizes, "cluster").select("rep", "cluster", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("i"))
+
+
+def _joins(percent: int):
+    """Links of a block that join classes: asking sets against all, by counting the shingles that they share."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rep, asks, label = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "asks", "label"))
+        raw = [x.as_buffer() for x in table.column("hashes")]
+        n = np.array([len(x) // 8 for x in raw])
+        _, term = np.unique(np.concatenate([np.frombuffer(x, U64) for x in raw]), return_inverse=True)
+        order = np.argsort(term, kind="stable")
+        holders, at = np.repeat(np.arange(len(rep)), n)[order], np.concatenate([[0], np.cumsum(np.bincount(term))])
+        mine = np.concatenate([[0], np.cumsum(n)])
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for q in np.flatnonzero(asks).tolist():
+            terms = term[mine[q]: mine[q + 1]]
+            size = at[terms + 1] - at[terms]
+            both = np.bincount(holders[np.repeat(at[terms] - (np.cumsum(size) - size), size) + np.arange(size.sum())], minlength=len(rep))
+            for k in np.flatnonzero((100 * both >= percent * (n[q] + n - both)) & (label != label[q])).tolist():
+                x, y = root(int(label[q])), root(int(label[k]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((min(int(rep[q]), int(rep[k])), max(int(rep[q]), int(rep[k]))))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
 
 
 def _neighbourhoods(percent: int, buckets: int):
-    """Of every set its signatures, whole and less one shingle, of all segments (-1 - segment: empty), and the votes that it needs."""
+    """Of every set its signatures, whole and less one shingle, of all segments, its single shingles, and the votes that it needs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def key(sig: np.ndarray) -> np.ndarray:
             bucket = (((sig >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
@@ -369,22 +444,18 @@ def _neighbourhoods(percent: int, buckets: int):
                 size = np.array([len(h)])
                 schemes = Schemes(percent, len(h))
                 band = schemes.band(size) - int(upper)
-                m = int(schemes.segments[band[0]])
                 first, _, seg, sums = _segments(np.zeros(len(h), np.int64), h, band, schemes)
-                scheme = np.full(len(seg), band[0])
                 each = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
-                less = sums[each] - mix(h ^ _SALT)
-                none = np.setdiff1d(np.arange(m), seg.astype(np.int64))
-                whole = _sign(sums, seg, scheme)
-                empty = _sign(np.zeros(len(none), U64), none.astype(U64), np.full(len(none), band[0]))
-                less = _sign(less, seg[each], scheme[each])
-                segs = np.concatenate([seg.astype(np.int64), -1 - none, seg[each].astype(np.int64)])
-                total = len(segs)
-                need = int(schemes.apart(size, upper)[0]) + 1
+                scheme = np.full(len(h), band[0])
+                whole = key(_sign(sums, seg, scheme[: len(seg)]))
+                less = key(_sign(sums[each] - mix(h ^ _SALT), seg[each], scheme))
+                counts = [len(whole), len(less), len(h)]
+                kind = np.repeat(np.array([WHOLE, LESS, SINGLE], np.int32), counts)
+                segs = np.concatenate([seg.astype(np.int32), seg[each].astype(np.int32), np.arange(len(h), dtype=np.int32)])
+                same = lambda v, t: pa.array(np.full(len(kind), v, t))  # noqa: E731,B023
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(total, rep)), pa.array(np.full(total, upper)), pa.array(segs.astype(np.int32)), pa.array(key(np.concatenate([whole, empty, less]))),
-                     pa.array(np.arange(total) < m), pa.array(np.full(total, need, np.int32)), pa.array(np.full(total, len(h)))],
-                    ["rep", "upper", "seg", "key", "whole", "need", "n"])
+                    [same(rep, np.int64), same(upper, bool), pa.array(kind), pa.array(segs), pa.array(np.concatenate([whole, less, mix(h).view(np.int64)])),
+                     same(int(schemes.apart(size, upper)[0]) + 1, np.int32), same(len(h), np.int64)], ["rep", "upper", "kind", "seg", "key", "need", "n"])
 
     return run
 
