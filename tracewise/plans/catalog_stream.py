@@ -110,6 +110,32 @@ def q_stream_step_status(spark, sf_dir):
     return _run(spark, sf_dir, S.chain_steps, "step_status").filter(F.col("chain_id") >= 0)
 
 
+#: what a user asks for right after an event of each type
+COMMANDS = {"error": "status", "view": "status", "click": "list", "purchase": "end", "signup": "clear"}
+
+
+@register("stream_lifecycle", "R7", with_views("""
+    with x as (select s.*, e.event_type, s.chain_id // 100000 as uid from event_day_steps s join events e using (event_id)),
+    y as (select *, coalesce(sum((event_type in ('purchase', 'signup'))::int) over (partition by chain_id order by idx
+                             rows between unbounded preceding and 1 preceding), 0) as part from x),
+    z as (select *, count(*) over w as n, cast(sum((not is_correct)::int) over w as bigint) as wrong, max(risk) over w as top
+          from y window w as (partition by chain_id, part order by idx rows between unbounded preceding and current row))
+    select user_id, event_id, case event_type when 'click' then 'list' when 'purchase' then 'end' when 'signup' then 'clear' else 'status' end as command,
+           case event_type when 'view' then chain_id - 1 when 'signup' then null else chain_id end as chain_id,
+           case event_type when 'view' then 'not_found' when 'signup' then 'cleared' when 'purchase' then 'ended' else 'active' end as status,
+           case event_type when 'view' then null when 'signup' then 1 else n end as step_count,
+           case when event_type not in ('view', 'signup') then wrong end as num_errors,
+           case when event_type not in ('view', 'signup') then top end as max_risk
+    from (select z.* exclude (user_id), e.user_id from z join events e using (event_id))""", "event_day_steps"))
+def q_stream_lifecycle(spark, sf_dir):
+    """Each event is a step of its user's chain of the day and a command behind it; a look at the day before finds no live chain."""
+    ev = S.events_stream(spark, sf_dir)
+    steps = S.step_events(ev.df, keep=("event_type",))
+    command = F.element_at(F.create_map(*[F.lit(x) for kv in COMMANDS.items() for x in kv]), F.col("event_type"))
+    asked = steps.withColumn("command", command).withColumn("target", F.col("chain_id") - F.when(F.col("event_type") == "view", 1).otherwise(0))
+    return S.run_to_table(S.chain_commands(asked), "lifecycle", flush=ev.flush).filter(F.col("user_id") != S.SENTINEL_USER)
+
+
 @register("stream_memory", "R20", with_views("""
     select conv_id, turn, step_idx, 'entity' as kind, name as key, current_value, previous_value, previous_turn from ent_conf
     union all

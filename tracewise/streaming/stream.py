@@ -7,15 +7,20 @@ one file or a folder of them):
 
 * R18 - tumbling / sliding / session windows with a watermark, append mode
 * R19 - ``dropDuplicatesWithinWatermark`` on (chain, step) keys
-* R7/R8/R9 - per-chain running state with ``applyInPandasWithState``, keyed by
+* R7/R8/R9 - per-chain running state with ``transformWithStateInPandas``, keyed by
   user; a chain (user x day) ends when the watermark passes the end of its day
   (the re-aimed replacement of the global cap of 100 streams, which is not
   partitionable).  Steps newer than the watermark wait in state and are folded in
   (ts, event_id) order once no earlier one can come, so steps out of order
-  within the delay give the batch result; of folded steps only counters stay
+  within the delay give the batch result; of folded steps only counters stay.
+  Commands (status, list, end, clear) take their place among the steps
 * R20 - cross-turn contradiction check keyed by conversation: per name the
   earliest mention and the earliest that differs from it; a conversation's
   state expires when the watermark is ``idle`` past its last turn
+
+State is typed (``MapState``) in a RocksDB store, and a micro-batch reads and
+writes only the entries that its rows touch; event-time timers wake a key
+(time-to-live needs processing time, which would tie results to the clock)
 * R21/R22 - batch forms (stateless aggregate, lag window)
 
 The watermark delay is the only late-data rule: what arrives later than that
@@ -28,7 +33,6 @@ parquet tables under the shared checkpoint folder (never the driver's memory).
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -37,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tracewise.operators.memory import extract_claims, extract_entities
 from tracewise.operators.risk import LOW_MAX, MEDIUM_MAX
@@ -94,29 +98,46 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None
     return Finite(s.df.withColumn("ts", F.col("ts").cast("timestamp")), s.flush)
 
 
-def step_events(events: DataFrame) -> DataFrame:
-    """Stream rows in the step-event shape (chain = user x day)."""
+def step_events(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Stream rows in the step-event shape (chain = user x day), and the columns to ``keep``."""
     chain = F.col("user_id") * 100000 + F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
     return events.select(chain.cast("long").alias("chain_id"), "user_id", "event_id", "ts",
                          (F.col("event_type") != "error").alias("is_correct"),
-                         F.round(F.least(F.col("value") / 100, F.lit(1.0)), 6).alias("risk"))
+                         F.round(F.least(F.col("value") / 100, F.lit(1.0)), 6).alias("risk"), *keep)
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append", flush: Callable[[], None] | None = None) -> DataFrame:
+def run_to_table(df: DataFrame, name: str, mode: str = "append", flush: Callable[[], None] | None = None, root: str | None = None) -> DataFrame:
     """Run a streaming query over all that is there (availableNow) into a parquet
     table in the shared checkpoint folder and return it as a batch DataFrame.  With
-    ``flush`` the query runs once more, on the same checkpoint, after it was called."""
+    ``flush`` the query runs once more, on the same checkpoint, after it was called.
+    The state is kept in RocksDB; a query reads that setting when it starts."""
     spark = df.sparkSession
-    base = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    base = root or f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    before_ = spark.conf.get(STORE)
     for before in (None, flush) if flush else (None,):
         if before:
             before()
-        q = (df.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out")
-             .option("checkpointLocation", f"{base}/chk").trigger(availableNow=True).start())
+        spark.conf.set(STORE, ROCKSDB)
+        try:
+            q = (df.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out")
+                 .option("checkpointLocation", f"{base}/chk").trigger(availableNow=True).start())
+        finally:
+            spark.conf.set(STORE, before_)
         q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
+def live_streams(spark: SparkSession, root: str) -> DataFrame:
+    """R7 list: the live chains of a query that ran under ``root`` and their counters, read from its state store."""
+    state = spark.read.format("statestore").option("path", f"{root}/chk").option("stateVarName", "chains").load()
+    return state.select(F.col("key.user_id").alias("user_id"), F.col("user_map_key.chain_id").alias("chain_id"), F.col("user_map_value.n").alias("num_steps"),
+                        F.col("user_map_value.wrong").alias("num_errors"), F.col("user_map_value.max").alias("max_risk"))
+
+
 # ---------------------------------------------------------------------------
 # R18 windows, R19 dedup
 # ---------------------------------------------------------------------------
@@ -157,8 +178,8 @@ def dedup_steps(steps: DataFrame, keys: list[str], delay: str = "1 hour") -> Dat
 # ---------------------------------------------------------------------------
 
 _DAY_MS = 86_400_000
-#: state of a user: open chains (counters) and the steps that wait for the watermark
-CHAIN_STATE = T.StructType([T.StructField("state", T.StringType())])
+_CHAIN = "end long, n long, wrong long, max double, err long, flag long, flags long, flag_sum long"
+_CHUNK = "ts array<long>, event_id array<long>, chain_id array<long>, ok array<boolean>, risk array<double>, command array<string>, target array<long>"
 CHAIN_OUT = T.StructType([
     T.StructField("chain_id", T.LongType()), T.StructField("num_steps", T.LongType()),
     T.StructField("num_errors", T.LongType()), T.StructField("max_risk", T.DoubleType()),
@@ -170,6 +191,11 @@ STATUS_OUT = T.StructType([
     T.StructField("parent_idx", T.LongType()), T.StructField("risk", T.DoubleType()), T.StructField("running_max_risk", T.DoubleType()),
     T.StructField("running_errors", T.LongType()), T.StructField("running_risk_level", T.StringType()),
 ])
+LIFE_OUT = T.StructType([
+    T.StructField("user_id", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("command", T.StringType()),
+    T.StructField("chain_id", T.LongType()), T.StructField("status", T.StringType()), T.StructField("step_count", T.LongType()),
+    T.StructField("num_errors", T.LongType()), T.StructField("max_risk", T.DoubleType()),
+])
 
 
 def _level(x: float | None) -> str:
@@ -198,78 +224,164 @@ def _fold(c: dict, event_id: int, ok: bool, risk: float | None) -> tuple:
     return i, event_id, i - 1 if i else None, risk, c["max"], c["wrong"], _level(c["max"])
 
 
-def _chain_state_fn(per_step: bool):
-    """Keyed by user.  Waiting steps up to the watermark are folded in order; chains
-    whose day the watermark has passed are emitted once and forgotten."""
-    names = [f.name for f in (STATUS_OUT if per_step else CHAIN_OUT).fields]
-
-    def fn(key, pdfs, state):
-        held = json.loads(state.get[0]) if state.exists else {"chains": {}, "waiting": []}
-        waiting = held["waiting"]
-        for pdf in pdfs:
-            risk = pdf["risk"].astype(object).where(pdf["risk"].notna(), None)
-            ms = pdf["ts"].astype("datetime64[us]").astype("int64")
-            waiting.extend(map(list, zip(ms.tolist(), pdf["event_id"].tolist(), pdf["chain_id"].tolist(),
-                                         pdf["is_correct"].tolist(), risk.tolist())))
-        now = state.getCurrentWatermarkMs()
-        waiting.sort()
-        out, left = [], []
-        for us, event_id, chain_id, ok, risk in waiting:
-            if us >= now * 1000:  # an earlier one may still come
-                left.append([us, event_id, chain_id, ok, risk])
-                continue
-            c = held["chains"].setdefault(str(chain_id), {"end": us // 1000 // _DAY_MS * _DAY_MS + _DAY_MS, "n": 0, "wrong": 0, "max": None,
-                                                          "err": None, "flag": None, "flags": 0, "flag_sum": 0})
+def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
+    table = pd.DataFrame(rows, columns=schema.names)
+    for f in schema.fields:
+        if isinstance(f.dataType, T.LongType):
+            table[f.name] = table[f.name].astype("Int64")
+        elif isinstance(f.dataType, T.DoubleType):
+            table[f.name] = table[f.name].astype("float64")
+    return table
+
+
+class ChainProcessor(StatefulProcessor):
+    """The chains of a user.
+
+    State: ``chunks`` - the waiting rows of a slot (SLOT_MS of event time) that one micro-batch brought, never rewritten; ``slots`` -
+    how many chunks each waiting slot has; ``chains`` - the counters of the live chains; ``wake`` - the timer that is set.  A
+    micro-batch writes one chunk a slot that it has rows of; when the watermark has passed a slot, its rows are folded in order
+    and its chunks go.  ``output``: "chain" (a summary at its end), "step" (a status row a step) or "life" (a row a command).
+    """
+
+    SLOT_MS = 3_600_000
+    FIELDS = {"chain": CHAIN_OUT, "step": STATUS_OUT, "life": LIFE_OUT}
+
+    def __init__(self, output: str):
+        self.output = output
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.chunks = handle.getMapState("chunks", "slot long, k int", _CHUNK)
+        self.slots = handle.getMapState("slots", "slot long", "chunks int")
+        self.chains = handle.getMapState("chains", "chain_id long", _CHAIN)
+        self.wake = handle.getValueState("wake", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        table = pd.concat(list(rows), ignore_index=True)
+        us = table["ts"].astype("datetime64[us]").astype("int64")
+        table = table.assign(us=us, slot=us // 1000 // self.SLOT_MS * self.SLOT_MS)
+        for slot, part in table.groupby("slot", sort=False):
+            slot = int(slot)
+            k = self.slots.getValue((slot,))[0] if self.slots.containsKey((slot,)) else 0
+            of = lambda c: part[c].astype(object).where(part[c].notna(), None).tolist()  # noqa: E731,B023
+            self.chunks.updateValue((slot, k), (part["us"].tolist(), of("event_id"), of("chain_id"), of("is_correct"), of("risk"), of("command"), of("target")))
+            self.slots.updateValue((slot,), (k + 1,))
+        self._sleep(int(table["slot"].min()) + self.SLOT_MS)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        self.wake.clear()
+        self.live = {c: list(v) for (c,), v in self.chains.iterator()}
+        self.old = set(self.live)
+        out: list[tuple] = []
+        waiting = sorted(slot for (slot,) in self.slots.keys())
+        for slot in [x for x in waiting if x + self.SLOT_MS <= now]:
+            held = []
+            for k in range(self.slots.getValue((slot,))[0]):
+                held.extend(zip(*self.chunks.getValue((slot, k)), strict=True))
+                self.chunks.removeKey((slot, k))
+            self.slots.removeKey((slot,))
+            for row in sorted(held, key=lambda r: (r[0], r[1])):
+                self._fold_row(key[0], row, out)
+        self._close(now, out)
+        for c, v in self.live.items():
+            self.chains.updateValue((c,), tuple(v))
+        for c in self.old - set(self.live):
+            self.chains.removeKey((c,))
+        later = [x + self.SLOT_MS for x in waiting if x + self.SLOT_MS > now] + [v[0] for v in self.live.values()]
+        if later:
+            self._sleep(min(later))
+        return iter([_frame(out, self.FIELDS[self.output])] if out else [])
+
+    def _sleep(self, until: int) -> None:
+        """Sets the timer to ``until`` unless it is set to an earlier time."""
+        if self.wake.exists():
+            at = self.wake.get()[0]
+            if at <= until:
+                return
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(until)
+        self.wake.update((until,))
+
+    def _close(self, ms: int, out: list[tuple]) -> None:
+        """Chains whose day is over at this time."""
+        for c in [c for c, v in self.live.items() if v[0] <= ms]:
+            if self.output == "chain":
+                out.append(_summary(c, dict(zip(_NAMES, self.live[c], strict=True))))
+            del self.live[c]
+
+    def _fold_row(self, user: int, row: tuple, out: list[tuple]) -> None:
+        us, event_id, chain_id, ok, risk, command, target = row
+        self._close(us // 1000, out)
+        if ok is not None:
+            c = dict(zip(_NAMES, self.live.get(chain_id, [us // 1000 // _DAY_MS * _DAY_MS + _DAY_MS, 0, 0, None, None, None, 0, 0]), strict=True))
             status = _fold(c, event_id, ok, risk)
-            if per_step:
+            self.live[chain_id] = list(c.values())
+            if self.output == "step":
                 out.append((chain_id, *status))
-        for chain_id, c in list(held["chains"].items()):
-            if c["end"] <= now:
-                if not per_step:
-                    out.append(_summary(int(chain_id), c))
-                del held["chains"][chain_id]
-        held["waiting"] = left
-        if left or held["chains"]:
-            state.update((json.dumps(held),))
-            wake = min([us // 1000 + 1 for us, *_ in left[:1]] + [c["end"] for c in held["chains"].values()])
-            state.setTimeoutTimestamp(max(wake, now + 1))
-        elif state.exists:
-            state.remove()
-        if out:
-            table = pd.DataFrame(out, columns=names)
-            for f in (STATUS_OUT if per_step else CHAIN_OUT).fields:
-                if isinstance(f.dataType, T.LongType):
-                    table[f.name] = table[f.name].astype("Int64")
-                elif isinstance(f.dataType, T.DoubleType):
-                    table[f.name] = table[f.name].astype("float64")
-            yield table
-
-    return fn
+        if command is not None:
+            answers = self._answer(command, target)
+            if self.output == "life":
+                out.extend((user, event_id, command, *a) for a in answers)
+
+    def _answer(self, command: str, target: int) -> list[tuple]:
+        counts = lambda c: (self.live[c][1], self.live[c][2], self.live[c][3])
+        if command == "list":
+            return [(c, "active", *counts(c)) for c in sorted(self.live)]
+        if command == "clear":
+            n = len(self.live)
+            self.live.clear()
+            return [(None, "cleared", n, None, None)]
+        if target not in self.live:
+            return [(target, "not_found", None, None, None)]
+        answer = (target, "active" if command == "status" else "ended", *counts(target))
+        if command == "end":
+            del self.live[target]
+        return [answer]
+
+    def close(self) -> None:
+        pass
+
+
+_NAMES = [f.split()[0] for f in _CHAIN.split(", ")]
+
+
+def _chains(steps: DataFrame, output: str, delay: str) -> DataFrame:
+    for name, kind in (("command", "string"), ("target", "long")):
+        if name not in steps.columns:
+            steps = steps.withColumn(name, F.lit(None).cast(kind))
+    steps = steps.select("user_id", "ts", "event_id", "chain_id", "is_correct", "risk", "command", "target")
+    return (steps.withWatermark("ts", delay).groupBy("user_id")
+            .transformWithStateInPandas(ChainProcessor(output), ChainProcessor.FIELDS[output], "append", "eventTime"))
 
 
 def chain_state(steps: DataFrame, delay: str = "1 hour") -> DataFrame:
     """R7 + R9: one summary per chain (user x day), emitted once when the
     watermark has passed the end of its day.  Steps get ids in (ts, event_id)
     order, matching the batch ``idx``.  Keyed by user, so that one Python call
-    serves all of a user's chains in a micro-batch; a user's state holds the
-    counters of open days and the steps newer than the watermark."""
-    return (steps.withWatermark("ts", delay).groupBy("user_id")
-            .applyInPandasWithState(_chain_state_fn(False), CHAIN_OUT, CHAIN_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    serves all of a user's chains in a micro-batch."""
+    return _chains(steps, "chain", delay)
 
 
 def chain_steps(steps: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """R7 + R8: one status row per step as soon as the watermark has passed it:
+    """R7 + R8: one status row per step once the watermark has passed its slot:
     its id, the edge to its parent in the partial graph (``parent_idx``, null for the
     first) and the chain's running risk, errors and level up to it."""
-    return (steps.withWatermark("ts", delay).groupBy("user_id")
-            .applyInPandasWithState(_chain_state_fn(True), STATUS_OUT, CHAIN_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    return _chains(steps, "step", delay)
+
+
+def chain_commands(steps: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """The answers to commands.  A row may hold a step, a ``command``, or both (the command follows the step); commands take their
+    place by (ts, event_id).  status: the chain ``target`` is active, or not_found.  end: its final counters, and it is gone.  list: a row
+    for each live chain of the user.  clear: all of them go, and how many they were (``step_count``)."""
+    return _chains(steps, "life", delay)
 
 
 # ---------------------------------------------------------------------------
 # Streaming contradiction check
 # ---------------------------------------------------------------------------
 
-MENTION_STATE = T.StructType([T.StructField("state", T.StringType())])
 CONFLICT_OUT = T.StructType([
     T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("step_idx", T.LongType()),
     T.StructField("kind", T.StringType()), T.StructField("key", T.StringType()),
@@ -285,53 +397,78 @@ def _differs(first: list | None, second: list | None, vkey: str, turn: int) -> l
     return second if second is not None and second[0] < turn else None
 
 
-def _memory_fn(idle_ms: int):
-    """Keyed by conversation: check each mention against earlier turns, then remember it.
+class MemoryProcessor(StatefulProcessor):
+    """The names of a conversation: check each mention against earlier turns, then remember it.
 
-    Per (kind, key) the state is the earliest mention and the earliest with another
-    value, by (turn, step, position), whatever order they arrive in."""
+    Per (kind, name) the state is the earliest mention and the earliest with another value, by (turn, step, position), whatever
+    order they arrive in.  A micro-batch reads and writes the names that it mentions.  A timer ``idle_ms`` behind
+    the last turn forgets the conversation.
+    """
 
-    def fn(key, pdfs, state):
-        (conv_id,) = key
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = json.loads(state.get[0]) if state.exists else {"last": 0, "names": {}}
-        rows = []
-        for pdf in pdfs:
-            held["last"] = max(held["last"], int(pdf["ts"].astype("datetime64[us]").astype("int64").max()) // 1000)
-            rows.extend(pdf[["turn", "step_idx", "pk", "pm", "vkey", "value", "kind", "key"]].values.tolist())
-        rows.sort(key=lambda r: (r[0], r[1], r[2], r[3]))
+    MENTION = "turn long, step_idx long, pk long, pm long, vkey string, value string"
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        fields = [f"{side}_{f}" for side in ("first", "second") for f in self.MENTION.split(", ")]
+        self.names = handle.getMapState("names", "kind string, name string", ", ".join(fields))
+        self.last = handle.getValueState("last", "ms long, timer long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        table = pd.concat(list(rows), ignore_index=True)
+        latest = int(table["ts"].astype("datetime64[us]").astype("int64").max()) // 1000
+        if self.last.exists():
+            before, timer = self.last.get()
+            self.handle.deleteTimer(timer)
+            latest = max(latest, before)
+        rows_ = table[["turn", "step_idx", "pk", "pm", "vkey", "value", "kind", "key"]].values.tolist()
+        rows_.sort(key=lambda r: (r[0], r[1], r[2], r[3]))
+        known = {n: self._read(n) for n in {(r[6], r[7]) for r in rows_}}
         out, at = [], 0
-        while at < len(rows):
-            turn, end = rows[at][0], at
-            while end < len(rows) and rows[end][0] == turn:
+        while at < len(rows_):
+            turn, end = rows_[at][0], at
+            while end < len(rows_) and rows_[end][0] == turn:
                 end += 1
-            for r in rows[at:end]:
-                first, second = held["names"].get(f"{r[6]}|{r[7]}", (None, None))
-                prev = _differs(first, second, r[4], turn)
+            for r in rows_[at:end]:
+                prev = _differs(*known[r[6], r[7]], r[4], turn)
                 if prev is not None:
-                    out.append((conv_id, turn, r[1], r[6], r[7], r[5], prev[5], prev[0]))
-            for r in rows[at:end]:
-                name, m = f"{r[6]}|{r[7]}", list(r[:6])
-                first, second = held["names"].get(name, (None, None))
-                if first is None:
-                    first = m
-                elif m[4] != first[4]:
-                    if m[:4] < first[:4]:  # came late, stands first: the old first may be the earliest that differs
-                        first, second = m, first
-                    elif second is None or m[:4] < second[:4]:
-                        second = m
-                elif m[:4] < first[:4]:
-                    first = m
-                held["names"][name] = (first, second)
+                    out.append((key[0], turn, r[1], r[6], r[7], r[5], prev[5], prev[0]))
+            for r in rows_[at:end]:
+                known[r[6], r[7]] = _remember(*known[r[6], r[7]], list(r[:6]))
             at = end
-        state.update((json.dumps(held),))
-        state.setTimeoutTimestamp(max(held["last"] + idle_ms, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=[f.name for f in CONFLICT_OUT.fields])
-
-    return fn
+        for n, (first, second) in known.items():
+            self.names.updateValue(n, (*first, *(second or [None] * 6)))
+        timer = max(latest + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1)
+        self.handle.registerTimer(timer)
+        self.last.update((latest, timer))
+        return iter([pd.DataFrame(out, columns=CONFLICT_OUT.names)] if out else [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.names.clear()
+        self.last.clear()
+        return iter(())
+
+    def _read(self, name: tuple[str, str]) -> tuple[list | None, list | None]:
+        if not self.names.containsKey(name):
+            return None, None
+        held = list(self.names.getValue(name))
+        return held[:6], held[6:] if held[6] is not None else None
+
+    def close(self) -> None:
+        pass
+
+
+def _remember(first: list | None, second: list | None, m: list) -> tuple[list, list | None]:
+    """The earliest mention and the earliest with another value, with one more mention."""
+    if first is None:
+        return m, None
+    if m[4] != first[4]:
+        if m[:4] < first[:4]:  # came late, stands first: the old first may be the earliest that differs
+            return m, first
+        return first, m if second is None or m[:4] < second[:4] else second
+    return (m if m[:4] < first[:4] else first), second
 
 
 def mention_stream(turn_steps: DataFrame) -> DataFrame:
@@ -351,7 +488,7 @@ def memory_conflicts(mentions: DataFrame, idle: str = "1 hour", delay: str = "1
     conversation's last turn."""
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     return (mentions.withWatermark("ts", delay).groupBy("conv_id")
-            .applyInPandasWithState(_memory_fn(idle_ms), CONFLICT_OUT, MENTION_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+            .transformWithStateInPandas(MemoryProcessor(idle_ms), CONFLICT_OUT, "append", "eventTime"))
 
 
 def conversations_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> Finite:
