@@ -8,7 +8,7 @@ Sizes fall into bands so wide that partners stand in one band or in neighbouring
 shingle hashes into segments, more than two partners of the scheme can differ in, with SPARE votes over.  Then partners
 have several whole segments in common.  Every set signs each of its segments (the subset of its shingles there) in its own band's
 scheme and in that of the band below, and sets that share a signature are candidates.  Packed by bucket of the signature, an
-entry takes about 11 bytes.
+entry takes about 11 bytes (16 where there are more buckets than a set has entries).
 
 A signature of up to SMALL sets gives its pairs.  One that more sets carry (a group of near copies, a passage that many documents
 share) gives a star only: each set with the one that meets most others.  Candidates that would join different classes are
@@ -27,7 +27,8 @@ one of its members meets once, and the task that holds them counts the shingles
 leave it.  Blocks are of at most ASKING sets against ANSWERING ones, and the largest class need not ask, as the others do.
 
 So no link between different classes is lost.  Null ids link with nothing (their component is null); rows with equal ids are
-rows of their own; equal sets are one node (named by 128 bits) from the start, whatever their number.  Null and empty texts have
+rows of their own; equal sets are one node (told by 128 bits; signatures carry 64 of them, and stand for all nodes that have these)
+from the start, whatever their number.  Null and empty texts have
 empty sets.  Very long texts are one row of an Arrow batch and one set.  An empty table gives an empty result.  Only the id
 and the text are read, so further columns don't matter.
 """
@@ -53,8 +54,8 @@ WHOLE, LESS, SINGLE = 0, 1, 2  # what an entry of the second search signs
 FLUSH = 500_000
 SETS = "doc_id long, n_shingles long, d1 long, d2 long, text_hash long, band int, filled_own int, filled_upper int, spare_own int, spare_upper int"
 NEVER = 1 << 20  # votes to spare in a scheme that a set does not sign in
-NODE = np.dtype([("d1", "<i8"), ("d2", "<i8"), ("n", "<i4")])
-PAIRS = "a1 long, a2 long, b1 long, b2 long, support long, key long, d1 long, d2 long, upper boolean, members long"
+BUCKETS = 2  # for each shuffle partition
+PAIRS = "a1 long, b1 long, support long, key long, d1 long, upper boolean, members long"
 COUNTS = ("band", "filled_own", "filled_upper", "spare_own", "spare_upper")
 _SALT = U64(0xD6E8FEB86659FD93)
 
@@ -172,7 +173,7 @@ def _entries(docs: DataFrame, buckets: int, percent: int, doc_id: str, text: str
                     fresh[i] = seen[d1[i], d2[i]] = len(seen) + 1
             schemes = Schemes(percent, int(n.max(initial=1)))
             new = np.flatnonzero(fresh)
-            nodes.append(np.rec.fromarrays([d1[new], d2[new], n[new]], dtype=NODE))
+            nodes.append(d1[new])
             for upper, band, those in _both(n, least, schemes):
                 keep = (those & (fresh > 0))[row]
                 first, at, seg, sums = _segments(row[keep], h[keep], band, schemes)
@@ -189,53 +190,40 @@ def _entries(docs: DataFrame, buckets: int, percent: int, doc_id: str, text: str
     return docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id), F.col(text)).mapInArrow(run, "bucket int, high binary, low binary, who binary, nodes binary")
 
 
-def _bucket(percent: int):
+def _bucket(table: pa.Table) -> pa.Table:
     """Pairs of small signatures of a bucket (with how many they share), and the members of crowded ones."""
-    def run(table: pa.Table) -> pa.Table:
-        get = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
-        high, low, who, node = get("high", "<u4"), get("low", "<u2"), get("who", "<u2"), get("nodes", NODE)
-        base = np.cumsum([0, *map(len, node)])
-        sig = np.concatenate(high).astype(np.int64) << 16 | np.concatenate(low)
-        upper = np.concatenate(who) & 1 > 0
-        mine = np.concatenate([(w >> 1) + at for w, at in zip(who, base)])
-        node = np.concatenate(node)
-        number = np.lexsort((node["d2"], node["d1"]))
-        new = np.concatenate([[True], (np.diff(node["d1"][number]) != 0) | (np.diff(node["d2"][number]) != 0)])
-        same = np.empty(len(node), np.int64)
-        same[number] = np.cumsum(new) - 1
-        node, mine = node[number[new]], same[mine]
-        order = np.lexsort((mine, sig))
-        sig, mine, upper = sig[order], mine[order], upper[order]
-        keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (mine[1:] != mine[:-1])])
-        sig, mine, upper = sig[keep], mine[keep], upper[keep]
-        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        size = np.diff(np.append(start, len(sig)))
-        own = np.add.reduceat((~upper).astype(np.int64), start) > 0
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in range(2, SMALL + 1):
-            at = start[(size == k) & own]
-            for i in range(k):
-                for j in range(i):
-                    ok = ~(upper[at + i] & upper[at + j])
-                    left.append(mine[at[ok] + j])
-                    right.append(mine[at[ok] + i])
-        a, b = np.concatenate(left), np.concatenate(right)
-        pair, support = np.unique(np.stack([a, b]), axis=1, return_counts=True) if len(a) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-        a, b = pair
-        fits = 100 * np.minimum(node["n"][a], node["n"][b]).astype(np.int64) >= percent * np.maximum(node["n"][a], node["n"][b])
-        a, b, support = a[fits], b[fits], support[fits]
-        big = np.flatnonzero((size > SMALL) & own)
-        at = np.repeat(start[big] - np.concatenate([[0], np.cumsum(size[big])[:-1]]), size[big]) + np.arange(size[big].sum())
-        bucket = table.column("bucket")[0].as_py()
-        p, c = len(a), len(at)
-        half = lambda x, kind, first: pa.concat_arrays([pa.array(x, kind), pa.nulls(c, kind)] if first else [pa.nulls(p, kind), pa.array(x, kind)])
-        long = pa.int64()
-        return pa.table({"a1": half(node["d1"][a], long, True), "a2": half(node["d2"][a], long, True), "b1": half(node["d1"][b], long, True),
-                         "b2": half(node["d2"][b], long, True), "support": half(support, long, True), "key": half(sig[at] ^ (bucket << 48), long, False),
-                         "d1": half(node["d1"][mine[at]], long, False), "d2": half(node["d2"][mine[at]], long, False),
-                         "upper": half(upper[at], pa.bool_(), False), "members": half(np.repeat(size[big], size[big]), long, False)})
-
-    return run
+    get = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
+    high, low, who, node = get("high", "<u4"), get("low", "<u2"), get("who", "<u2"), get("nodes", "<i8")
+    base = np.cumsum([0, *map(len, node)], dtype=np.int32)
+    node, same = np.unique(np.concatenate(node), return_inverse=True)
+    mine = same.astype(np.int32)[np.concatenate([(w >> 1) + at for w, at in zip(who, base)])]
+    sig = np.concatenate(high).astype(np.int64) << 16 | np.concatenate(low)
+    upper = np.concatenate(who) & 1 > 0
+    del high, low, who, same
+    order = np.lexsort((mine, sig))
+    sig, mine, upper = sig[order], mine[order], upper[order]
+    keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (mine[1:] != mine[:-1])])
+    sig, mine, upper = sig[keep], mine[keep], upper[keep]
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    size = np.diff(np.append(start, len(sig)))
+    own = np.add.reduceat((~upper).astype(np.int64), start) > 0
+    packed = [np.zeros(0, np.int64)]
+    for k in range(2, SMALL + 1):
+        at = start[(size == k) & own]
+        for i in range(k):
+            for j in range(i):
+                ok = at[~(upper[at + i] & upper[at + j])]
+                packed.append(mine[ok + j].astype(np.int64) << 32 | mine[ok + i])
+    pair, support = np.unique(np.concatenate(packed), return_counts=True)
+    big = np.flatnonzero((size > SMALL) & own)
+    at = np.repeat(start[big] - np.concatenate([[0], np.cumsum(size[big])[:-1]]), size[big]) + np.arange(size[big].sum())
+    p, c = len(pair), len(at)
+    long = pa.int64()
+    first = lambda x: pa.concat_arrays([pa.array(x, long), pa.nulls(c, long)])
+    last = lambda x, kind=long: pa.concat_arrays([pa.nulls(p, kind), pa.array(x, kind)])
+    return pa.table({"a1": first(node[pair >> 32]), "b1": first(node[pair & 0xFFFFFFFF]), "support": first(support),
+                     "key": last(sig[at] ^ (table.column("bucket")[0].as_py() << 48)), "d1": last(node[mine[at]]),
+                     "upper": last(upper[at], pa.bool_()), "members": last(np.repeat(size[big], size[big]))})
 
 
 def _verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -281,12 +269,14 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     named = members.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("first"), *[F.first(c).alias(c) for c in COUNTS])
     nodes = materialise(named.select("d1", "d2", "n_shingles", "first.*", *COUNTS, F.monotonically_increasing_id().alias("rep")), "nodes")
-    buckets = shuffle_partitions(docs.sparkSession)
-    found = materialise(_entries(docs, buckets, percent, doc_id, text).groupBy("bucket").applyInArrow(_bucket(percent), PAIRS), "found")
-
-    number = lambda df, x: df.join(nodes.select(F.col("d1").alias(f"{x}1"), F.col("d2").alias(f"{x}2"), F.col("rep").alias(x)), [f"{x}1", f"{x}2"])
-    small = number(number(found.filter("a1 is not null").select("a1", "a2", "b1", "b2", "support"), "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "support")
-    crowded = found.filter("key is not null").select("key", "d1", "d2", "upper", "members").join(nodes.select("d1", "d2", "rep", F.col("n_shingles").alias("n")), ["d1", "d2"])
+    entries = _entries(docs, BUCKETS * shuffle_partitions(docs.sparkSession), percent, doc_id, text)
+    found = materialise(entries.groupBy("bucket").applyInArrow(_bucket, PAIRS), "found")
+
+    small = found.filter("a1 is not null").groupBy("a1", "b1").agg(F.sum("support").alias("support"))
+    for x in "ab":
+        small = small.join(nodes.select(F.col("d1").alias(f"{x}1"), F.col("rep").alias(x)), f"{x}1")
+    small = small.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "support")
+    crowded = found.filter("key is not null").select("key", "d1", "upper", "members").join(nodes.select("d1", "rep", F.col("n_shingles").alias("n")), "d1")
     crowded = materialise(crowded.select("key", "rep", "n", "upper", "members"), "crowded")
     stars = _stars(crowded, percent)
     both = small.withColumn("small", F.col("support")).unionByName(stars.withColumn("small", F.lit(0).cast("long")))
@@ -336,6 +326,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, carried: DataFrame, percent: i
     lower = lambda x, y: F.col(f"band_{x}") > F.col(f"band_{y}")
     of_scheme = lambda what, x, y: F.when(lower(x, y), F.col(f"{what}_upper_{x}")).otherwise(F.col(f"{what}_own_{x}"))
     shared = F.col("small") + F.least(of_scheme("crowds", "a", "b"), of_scheme("crowds", "b", "a"))
+    j = j.filter(_fits(F.col("n_a"), F.col("n_b"), percent) & (F.col("a") != F.col("b")))
     return j.filter(shared >= F.greatest(of_scheme("filled", "a", "b"), of_scheme("filled", "b", "a")) - _most_apart(F.col("n_a"), F.col("n_b"), percent))
 
 
@@ -355,7 +346,7 @@ def _second_search(nodes: DataFrame, crowded: DataFrame, labels: DataFrame, know
     poor = materialise(poor, "poor")
     if poor.isEmpty():
         return None
-    buckets = shuffle_partitions(nodes.sparkSession)
+    buckets = BUCKETS * shuffle_partitions(nodes.sparkSession)
     entries = poor.join(known, "rep").select("rep", "upper", "hashes").mapInArrow(
         _neighbourhoods(percent, buckets), "rep long, upper boolean, kind int, seg int, key long, need int, n long")
     entries = entries.join(open_keys, "key", "left").join(_named(labels, "rep", "label"), "rep", "left")
