@@ -237,8 +237,8 @@ def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
 class ChainProcessor(StatefulProcessor):
     """The chains of a user.
 
-    State: ``chunks`` - the waiting rows of a slot (SLOT_MS of event time) that one micro-batch brought, never rewritten; ``slots`` -
-    how many chunks each waiting slot has; ``chains`` - the counters of the live chains; ``wake`` - the timer that is set.  A
+    State: ``chunks`` - the waiting rows of a slot (SLOT_MS of event time) that one micro-batch brought, never rewritten; ``batch`` -
+    the number of the next micro-batch; ``chains`` - the counters of the live chains; ``wake`` - the timer that is set.  A
     micro-batch writes one chunk a slot that it has rows of; when the watermark has passed a slot, its rows are folded in order
     and its chunks go.  ``output``: "chain" (a summary at its end), "step" (a status row a step) or "life" (a row a command).
     """
@@ -251,45 +251,50 @@ class ChainProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.chunks = handle.getMapState("chunks", "slot long, k int", _CHUNK)
-        self.slots = handle.getMapState("slots", "slot long", "chunks int")
+        self.chunks = handle.getMapState("chunks", "slot long, batch long", _CHUNK)
+        self.batch = handle.getValueState("batch", "number long")
         self.chains = handle.getMapState("chains", "chain_id long", _CHAIN)
         self.wake = handle.getValueState("wake", "ms long")
 
     def handleInputRows(self, key, rows, timerValues):
-        table = pd.concat(list(rows), ignore_index=True)
-        us = table["ts"].astype("datetime64[us]").astype("int64")
-        table = table.assign(us=us, slot=us // 1000 // self.SLOT_MS * self.SLOT_MS)
-        for slot, part in table.groupby("slot", sort=False):
-            slot = int(slot)
-            k = self.slots.getValue((slot,))[0] if self.slots.containsKey((slot,)) else 0
-            of = lambda c: part[c].astype(object).where(part[c].notna(), None).tolist()  # noqa: E731,B023
-            self.chunks.updateValue((slot, k), (part["us"].tolist(), of("event_id"), of("chain_id"), of("is_correct"), of("risk"), of("command"), of("target")))
-            self.slots.updateValue((slot,), (k + 1,))
-        self._sleep(int(table["slot"].min()) + self.SLOT_MS)
+        number = self.batch.get()[0] if self.batch.exists() else 0
+        held: dict[int, list[tuple]] = {}
+        for table in rows:
+            us = table["ts"].astype("datetime64[us]").astype("int64").tolist()
+            of = lambda c: table[c].astype(object).where(table[c].notna(), None).tolist()  # noqa: E731,B023
+            whole = lambda c: [None if x is None else int(x) for x in of(c)]  # noqa: E731,B023  a column with nulls comes as floats
+            for row in zip(us, whole("event_id"), whole("chain_id"), of("is_correct"), of("risk"), of("command"), whole("target"), strict=True):
+                held.setdefault(row[0] // 1000 // self.SLOT_MS * self.SLOT_MS, []).append(row)
+        for slot, waiting in held.items():
+            self.chunks.updateValue((slot, number), tuple(map(list, zip(*waiting, strict=True))))
+        self.batch.update((number + 1,))
+        self._sleep(min(held) + self.SLOT_MS)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
         self.wake.clear()
         self.live = {c: list(v) for (c,), v in self.chains.iterator()}
-        self.old = set(self.live)
-        out: list[tuple] = []
-        waiting = sorted(slot for (slot,) in self.slots.keys())
-        for slot in [x for x in waiting if x + self.SLOT_MS <= now]:
+        before = set(self.live)
+        waiting = list(self.chunks.keys())
+        due = [k for k in waiting if k[0] + self.SLOT_MS <= now]
+        if len(due) == len(waiting):
+            held = [row for _, chunk in self.chunks.iterator() for row in zip(*chunk, strict=True)]
+            self.chunks.clear()
+        else:
             held = []
-            for k in range(self.slots.getValue((slot,))[0]):
-                held.extend(zip(*self.chunks.getValue((slot, k)), strict=True))
-                self.chunks.removeKey((slot, k))
-            self.slots.removeKey((slot,))
-            for row in sorted(held, key=lambda r: (r[0], r[1])):
-                self._fold_row(key[0], row, out)
+            for k in due:
+                held.extend(zip(*self.chunks.getValue(tuple(k)), strict=True))
+                self.chunks.removeKey(tuple(k))
+        out: list[tuple] = []
+        for row in sorted(held, key=lambda r: (r[0], r[1])):
+            self._fold_row(key[0], row, out)
         self._close(now, out)
         for c, v in self.live.items():
             self.chains.updateValue((c,), tuple(v))
-        for c in self.old - set(self.live):
+        for c in before - set(self.live):
             self.chains.removeKey((c,))
-        later = [x + self.SLOT_MS for x in waiting if x + self.SLOT_MS > now] + [v[0] for v in self.live.values()]
+        later = [k[0] + self.SLOT_MS for k in waiting if k[0] + self.SLOT_MS > now] + [v[0] for v in self.live.values()]
         if later:
             self._sleep(min(later))
         return iter([_frame(out, self.FIELDS[self.output])] if out else [])
