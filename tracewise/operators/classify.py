@@ -58,7 +58,7 @@ def fit(train: DataFrame, cv_folds: int = 0, **kw) -> PipelineModel:
     if cv_folds and cv_folds > 1:
         ev = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
         cv = CrossValidator(estimator=p, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                            numFolds=cv_folds, seed=kw.get("seed", 42))
+                            numFolds=cv_folds, seed=kw.get("seed", 42), parallelism=cv_folds)
         return cv.fit(train)
     return p.fit(train)
 

@@ -10,6 +10,7 @@ distinct scores of one bucket are ordered in one task.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,9 +78,9 @@ def _score_prefix(df: DataFrame, keys: list[str], label: str, score: str) -> Dat
                                       F.sum((F.col(label) != 1).cast("long")).alias("neg"))
     # ranges of the scores as they lie (at most RANGES - 1 cuts), so skewed scores or scores outside [0, 1] still spread
     cuts = d.agg(F.percentile_approx(score, [k / RANGES for k in range(1, RANGES)], 4 * RANGES)).first()[0] or []
-    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    bucket = F.size(F.filter(cuts, lambda c: c <= F.col(score)))
-    d = d.withColumn("_b", bucket)
+    # a binary search over the cuts
+    splits = [-float("inf"), *sorted(set(map(float, cuts))), float("inf")]
+    d = Bucketizer(splits=splits, inputCol="_s", outputCol="_b", handleInvalid="keep").transform(d.withColumn("_s", F.col(score).cast("double"))).drop("_s")
     bt = d.groupBy(*keys, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     wall = Window.partitionBy(*keys)

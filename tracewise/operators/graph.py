@@ -13,6 +13,8 @@ through joins, with the same results:
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -448,26 +450,25 @@ def edge_set_eval(pred: DataFrame, gold: DataFrame) -> DataFrame:
 # Neighbourhood aggregation, pooling, attention heat map
 # ---------------------------------------------------------------------------
 
-def neighbour_mean(feats: DataFrame, edges: DataFrame, cols: list[str], rounds: int = 2,
-                   gate: str | None = None, rounded: bool = True) -> DataFrame:
-    """``rounds`` of h <- h + g * mean(h over in-neighbours) (0 without
-    in-neighbours); g = sigmoid(gate column) when given, else 1.  No learned
-    weights: the relational skeleton of message passing."""
+def neighbour_mean(feats: DataFrame, edges: DataFrame, vector: str = "embedding", rounds: int = 2, gate: str | None = None) -> DataFrame:
+    """``rounds`` of h <- h + g * mean(h over in-neighbours) (0 without in-neighbours); g = sigmoid(gate column) when
+    given, else 1.  No learned weights: the relational skeleton of message passing.  ``vector`` is an array of any one
+    length; it is averaged as one vector.  Returns (chain_id, idx, h array<double>)."""
     e = edges.select("chain_id", "src", "dst").distinct()
-    h = feats.select("chain_id", "idx", *cols, *([gate] if gate else []))
+    g = F.lit(1.0) if not gate else 1.0 / (1.0 + F.exp(-F.col(gate)))
+    h = feats.select("chain_id", "idx", F.col(vector).cast("array<double>").alias("h"), g.alias("g"))
     for _ in range(rounds):
-        msg = (e.join(h.select("chain_id", F.col("idx").alias("src"), *cols), ["chain_id", "src"])
-               .groupBy("chain_id", F.col("dst").alias("idx")).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols]))
-        g = F.lit(1.0) if not gate else 1.0 / (1.0 + F.exp(-F.col(gate)))
-        h = (h.join(msg, ["chain_id", "idx"], "left")
-             .select("chain_id", "idx", *[(F.col(c) + g * F.coalesce(F.col(f"_m_{c}"), F.lit(0.0))).alias(c) for c in cols],
-                     *([gate] if gate else [])))
-    return h.select("chain_id", "idx", *[(r6(c) if rounded else F.col(c)).alias(c) for c in cols])
-
-
-def mean_pool(feats: DataFrame, cols: list[str]) -> DataFrame:
-    """Average node vector per chain."""
-    return feats.groupBy("chain_id").agg(*[r6(F.avg(c)).alias(c) for c in cols])
+        mean = (e.join(h.select("chain_id", F.col("idx").alias("src"), array_to_vector("h").alias("v")), ["chain_id", "src"])
+                .groupBy("chain_id", F.col("dst").alias("idx")).agg(Summarizer.mean(F.col("v")).alias("v"))
+                .select("chain_id", "idx", vector_to_array("v").alias("m")))
+        h = h.join(mean, ["chain_id", "idx"], "left").select("chain_id", "idx", F.when(F.col("m").isNull(), F.col("h")).otherwise(
+            F.zip_with("h", F.transform("m", lambda x: x * F.col("g")), lambda x, y: x + y)).alias("h"), "g")
+    return h.select("chain_id", "idx", "h")
+
+
+def mean_pool(feats: DataFrame, vector: str = "h") -> DataFrame:
+    """Average node vector per chain (chain_id, h array<double>)."""
+    return feats.groupBy("chain_id").agg(Summarizer.mean(array_to_vector(vector)).alias("v")).select("chain_id", vector_to_array("v").alias("h"))
 
 
 def attention_heatmap(attn: DataFrame, steps: DataFrame, label_chars: int | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewise.functions.common import r6, safe_div
+from tracewise.functions.common import broadcast_if_small, r6, safe_div
 from tracewise.operators import chain_arrays as A
 from tracewise.operators.stars import components
 from tracewise.session import cut_lineage
@@ -104,17 +104,34 @@ def chain_profile(steps: DataFrame, chains: DataFrame) -> DataFrame:
                     F.col("_first_origin.step_id").alias("origin_pos")))
 
 
+BINS = 1024  # of a pass over a value range
+
+
 def exact_medians(rows: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Per ``key`` the exact median of each column (nulls skipped): counts per
-    distinct value, running counts over these, then the one or two middle
-    values; no buffer holds a group's rows."""
-    long = rows.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in cols])))
-    counts = long.filter(F.col("_v").isNotNull()).groupBy(key, "_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    by = Window.partitionBy(key, "_c")
-    upto = F.sum("_n").over(by.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    runs = counts.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(by))
-    middle = lambda at: F.min(F.when(F.col("_upto") > F.floor(at / 2), F.col("_v")))
-    m = runs.groupBy(key, "_c").agg(((middle(F.col("_all") - 1) + middle(F.col("_all"))) / 2).alias("_m"))
+    """Per ``key`` the exact median of each column (nulls skipped).
+
+    Selection by narrowing: rows become counts of distinct values; each pass cuts the range in which a middle value lies into BINS
+    bins, sums the counts of each bin and goes on in the bin that holds the middle rank, until it holds one value.  So a task
+    sorts at most BINS rows of a group, however many distinct values it has; a pass narrows a range BINS times."""
+    long = rows.select(F.col(key).alias("_k"), F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in cols])))
+    counts = cut_lineage(long.filter(F.col("_v").isNotNull()).groupBy("_k", "_c", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    whole = counts.groupBy("_k", "_c").agg(F.sum("_n").alias("_all"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    # the two middle ranks (from 0), equal for an odd count
+    ranks = F.explode(F.array(F.struct(F.lit(0).alias("_w"), F.floor((F.col("_all") - 1) / 2).alias("_rank")), F.struct(F.lit(1).alias("_w"), F.floor(F.col("_all") / 2).alias("_rank"))))
+    asked = cut_lineage(whole.select("_k", "_c", ranks.alias("_r"), "_lo", "_hi").select("_k", "_c", "_r.*", "_lo", "_hi"))
+    group = ["_k", "_c", "_w"]
+    while asked.filter("_lo < _hi").limit(1).count():
+        wide = asked.filter("_lo < _hi")
+        q = broadcast_if_small(wide.withColumnsRenamed({"_k": "_qk", "_c": "_qc"}))
+        within = counts.join(q, F.expr("_k <=> _qk and _c = _qc and _v between _lo and _hi"))
+        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)  # halves: no overflow
+        bins = within.withColumn("_b", F.least(F.floor(share * BINS), F.lit(BINS - 1)))
+        bins = bins.groupBy(*group, "_rank", "_b").agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.sum("_n").over(Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        hit = bins.withColumn("_upto", upto).filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))
+        hit = hit.select(*group, (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"), "_lo", "_hi")
+        asked = cut_lineage(asked.filter("_lo = _hi").unionByName(hit))
+    m = asked.groupBy(F.col("_k").alias(key), "_c").agg(F.avg("_lo").alias("_m"))
     return m.groupBy(key).agg(*[F.max(F.when(F.col("_c") == c, F.col("_m"))).alias(f"{c}_median") for c in cols])
 
 

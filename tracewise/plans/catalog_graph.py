@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewise.functions.common import r6
 from tracewise.operators import graph as G
 from tracewise.operators import propagate as E
 from tracewise.plans.catalog_validate import validation_input
@@ -270,25 +271,29 @@ _NM_SQL = f"""
     h2 as (select h.chain_id, h.idx, {_each('h.m# + coalesce(a#, 0) as m#')} from h1 h left join g2 using (chain_id, idx))"""
 
 
-def _nm(spark, sf_dir, rounded=True):
+def _nm(spark, sf_dir):
     v = vec_steps(spark, sf_dir)
-    feats = v.select("chain_id", "idx", *[F.col("embedding")[i].alias(f"m{i}") for i in range(DIMS)])
     e = v.filter(F.col("idx") >= 1).select("chain_id", (F.col("idx") - 1).alias("src"), F.col("idx").alias("dst"))
-    return G.neighbour_mean(feats, e, [f"m{i}" for i in range(DIMS)], rounds=2, rounded=rounded)
+    return G.neighbour_mean(v, e, "embedding", rounds=2)
+
+
+def _spread(df, *keys):
+    """One column an entry, rounded."""
+    return df.select(*keys, *[r6(F.col("h")[i]).alias(f"m{i}") for i in range(DIMS)])
 
 
 @register("neighbour_mean", "G17", with_views(f"""
     with {_NM_SQL}
     select chain_id, idx, {_each('round(m#, 6) + 0.0 as m#')} from h2""", "vec_steps", "vec_edges"))
 def q_neighbour_mean(spark, sf_dir):
-    return _nm(spark, sf_dir)
+    return _spread(_nm(spark, sf_dir), "chain_id", "idx")
 
 
 @register("graph_pool", "G18", with_views(f"""
     with {_NM_SQL}
     select chain_id, {_each('round(avg(m#), 6) + 0.0 as m#')} from h2 group by chain_id""", "vec_steps", "vec_edges"))
 def q_graph_pool(spark, sf_dir):
-    return G.mean_pool(_nm(spark, sf_dir, rounded=False), [f"m{i}" for i in range(DIMS)])
+    return _spread(G.mean_pool(_nm(spark, sf_dir)), "chain_id")
 
 
 @register("attention_heatmap", "G19", with_views("""

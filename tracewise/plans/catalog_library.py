@@ -153,23 +153,28 @@ def q_read_dataset(spark, sf_dir):
     return io.read_dataset(spark, path).select("chain_id", "domain")
 
 
+FILES = 4  # parts of a model
+
+
 @register("chain_files", "IO5 IO7 IO12", with_views("""
     with o as (select distinct chain_id, first_supp from order_base)
     select 'model' || cast(first_supp % 4 as varchar) as model_type, 'math' as file_domain, count(*) as total,
            count(*) filter (where chain_id % 89 <> 0) as valid, count(*) filter (where chain_id % 89 = 0) as invalid
     from o group by 1""", "order_base"))
 def q_chain_files(spark, sf_dir):
-    """One JSONL file a model, named ``{model}_{domain}_chains.jsonl``; every 89th chain has a domain that the schema lacks."""
+    """Several JSONL files a model, named ``{model}_{domain}_chains-NNNNN.jsonl``, each written by a task of its own; every 89th chain has a
+    domain that the schema lacks."""
     model = order_lines(spark, sf_dir).filter("idx = 0").select(
         F.col("chain_id").cast("string").alias("query_id"), F.concat(F.lit("model"), (F.col("first_supp") % 4).cast("string")).alias("model"))
     chains = convert.convert_math(math_raw(spark, sf_dir)).join(model, "query_id")
     chains = chains.withColumn("domain", F.when(F.col("query_id").cast("long") % 89 == 0, "poetry").otherwise(F.col("domain")))
     path = _scratch(spark, "chains")
-    io.write_chains_jsonl(chains.repartition("model"), path, partition_by=["model"])
-    io.name_files(spark, path, "model", "{}_math_chains.jsonl")
+    part = F.pmod(F.xxhash64("query_id"), F.lit(FILES))
+    io.write_chains_jsonl(chains.repartition("model", part), path, partition_by=["model"])
+    io.name_files(spark, path, "model", "{}_math_chains-{:05d}.jsonl")
     keyed = io.key_from_file_name(io.read_chains(spark, f"{path}/*.jsonl"))
     stats = io.key_from_file_name(io.file_stats(keyed))
-    return stats.select("model_type", "file_domain", "total", "valid", "invalid")
+    return stats.groupBy("model_type", "file_domain").agg(*[F.sum(c).alias(c) for c in ("total", "valid", "invalid")])
 
 
 @register("report_sink", "IO8", ORACLES["error_rate_by_model_domain"])
@@ -226,7 +231,7 @@ def q_chain_text(spark, sf_dir):
     return fpm.concat_steps(doc_steps(spark, sf_dir))
 
 
-# --- the classifier's surface (a small forest; the full one is ``source_classifier``) -----
+# --- the classifier's surface ---------------------------------------------------------
 
 def _languages(spark, sf_dir):
     fp = fpm.fingerprint(doc_steps(spark, sf_dir))
@@ -239,7 +244,7 @@ def q_classifier_report(spark, sf_dir):
     """Rows-only: 5-fold cross-validated accuracy, the ten most important
     features and the confusion counts on the test rows."""
     train, test = _languages(spark, sf_dir)
-    model = classify.fit(train, cv_folds=5, num_trees=10, max_depth=8)
+    model = classify.fit(train, cv_folds=5)
     row = lambda d, kind, a, b, v: d.select(F.lit(kind).alias("section"), a.alias("name"), b.alias("other"), v.cast("double").alias("value"))
     none = F.lit(None).cast("string")
     accuracy = spark.range(1).select(F.lit("accuracy").alias("section"), F.lit("5-fold").alias("name"), none.alias("other"), F.lit(float(model.avgMetrics[0])).alias("value"))
@@ -253,7 +258,7 @@ def q_classifier_verdict(spark, sf_dir):
     """Rows-only: the model saved, loaded again, and its verdict on the test rows."""
     train, test = _languages(spark, sf_dir)
     path = _scratch(spark, "model")
-    classify.save_model(classify.fit(train, num_trees=10, max_depth=8), path)
+    classify.save_model(classify.fit(train), path)
     model = classify.load_model(path)
     shown = spark.createDataFrame([("en", "English"), ("fr", "French"), ("de", "German")], "label_name string, display string")
     return classify.verdict(classify.predict(model, test), model.stages[0].labels, shown)

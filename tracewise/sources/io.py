@@ -61,10 +61,10 @@ def read_dataset(spark: SparkSession, path: str, split: str = "train") -> DataFr
 
 
 def key_from_file_name(df: DataFrame, col: str = "file_name") -> DataFrame:
-    """IO5: ``{model}_{domain}_chains.jsonl`` -> model (stem before the first
-    '_') and domain."""
+    """IO5: ``{model}_{domain}_chains.jsonl``, or one of several ``{model}_{domain}_chains-NNNNN.jsonl`` -> model (stem before
+    the first '_') and domain."""
     return (df.withColumn("model_type", F.regexp_extract(col, r"^([^_]+)_", 1))
-            .withColumn("file_domain", F.regexp_extract(col, r"_([^_]+)_chains\.jsonl(\.gz)?$", 1)))
+            .withColumn("file_domain", F.regexp_extract(col, r"_([^_]+)_chains(-\d+)?\.jsonl(\.gz)?$", 1)))
 
 
 def file_stats(chains: DataFrame, messages: DataFrame | None = None) -> DataFrame:
@@ -94,18 +94,19 @@ def write_chains_jsonl(chains: DataFrame, path: str, compression: str | None = N
 
 
 def name_files(spark: SparkSession, path: str, column: str, pattern: str) -> None:
-    """IO5: moves the single part file of each ``column=value`` folder up to
-    ``pattern`` filled with the value (names only; the driver sees no data)."""
+    """IO5: moves the part files of each ``column=value`` folder up to ``pattern`` filled with the value and a number
+    (``{}_math_chains-{:05d}.jsonl``), in the order of their names; names only, the driver sees no data."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     for d in fs.listStatus(root):
         name = d.getPath().getName()
         if not name.startswith(f"{column}="):
             continue
-        parts = [f.getPath() for f in fs.listStatus(d.getPath()) if f.getPath().getName().startswith("part-")]
-        if len(parts) != 1:
-            raise ValueError(f"{name} has {len(parts)} files")
-        fs.rename(parts[0], spark._jvm.org.apache.hadoop.fs.Path(path, pattern.format(name.split("=", 1)[1])))
+        parts = sorted(f.getPath().getName() for f in fs.listStatus(d.getPath()) if f.getPath().getName().startswith("part-"))
+        for k, part in enumerate(parts):
+            to = pattern.format(name.split("=", 1)[1], k)
+            if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(d.getPath(), part), spark._jvm.org.apache.hadoop.fs.Path(path, to)):
+                raise OSError(f"cannot name {name}/{part} {to}")
 
 
 def write_report(report: DataFrame, path: str) -> None:
