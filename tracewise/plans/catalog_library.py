@@ -17,6 +17,7 @@ from tracewise.plans.catalog_graph import _nodes
 from tracewise.plans.catalog_risk import _IV_SQL, _day_steps
 from tracewise.plans.catalog_text import _fp_sql
 from tracewise.plans.registry import ORACLES, QUERIES, register
+from tracewise.plans.shared import fingerprints
 from tracewise.session import checkpoint_dir, cut_lineage
 from tracewise.sources import io
 from tracewise.sources.fixtures import doc_steps, order_chains, order_edges, order_lines, order_steps, with_views
@@ -192,7 +193,7 @@ _F24 = fpm.FEATURE_NAMES
 @register("feature_vector", "F7", f"""
     select chain_id, {', '.join(f'coalesce(cast({c} as double), 0.0) as f{k}' for k, c in enumerate(_F24))} from ({_fp_sql(_F24)})""")
 def q_feature_vector(spark, sf_dir):
-    v = fpm.feature_vector(fpm.fingerprint(doc_steps(spark, sf_dir)))
+    v = fpm.feature_vector(fingerprints(spark, sf_dir))
     return v.select("chain_id", *[F.col("features")[k].alias(f"f{k}") for k in range(len(_F24))])
 
 
@@ -234,7 +235,7 @@ def q_chain_text(spark, sf_dir):
 # --- the classifier's surface ---------------------------------------------------------
 
 def _languages(spark, sf_dir):
-    fp = fpm.fingerprint(doc_steps(spark, sf_dir))
+    fp = fingerprints(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chain_id"), "lang")
     return classify.train_test(fp.join(docs, "chain_id"), "lang")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracewise.functions.common import PY_NON_WS, PY_WS
 from tracewise.operators import fingerprint as fpm
 from tracewise.plans.registry import register
+from tracewise.plans.shared import fingerprints
 from tracewise.sources.fixtures import SQL_VIEWS, doc_steps, with_views
 from tracewise.sources.tables import table
 
@@ -96,7 +97,7 @@ def _fp_sql(cols: list[str]) -> str:
 def _make(key: str, ops: str, cols: list[str]):
     @register(key, ops, _fp_sql(cols))
     def q(spark, sf_dir):
-        return fpm.fingerprint(doc_steps(spark, sf_dir)).select("chain_id", *cols)
+        return fingerprints(spark, sf_dir).select("chain_id", *cols)
     return q
 
 
@@ -111,7 +112,7 @@ for _k, (_ops, _cols) in _GROUPS.items():
            round(round(hi - h - lo, 6), 2) as certainty, round(vocab_richness, 2) as richness
     from fp""", "fp"))
 def q_signature(spark, sf_dir):
-    return fpm.signature(fpm.fingerprint(doc_steps(spark, sf_dir)))
+    return fpm.signature(fingerprints(spark, sf_dir))
 
 
 @register("step_certainty", "F16", with_views(f"""
@@ -136,7 +137,7 @@ def q_source_classifier(spark, sf_dir):
     fingerprint, on a stratified 80/20 hash split."""
     from tracewise.operators import classify
 
-    fp = fpm.fingerprint(doc_steps(spark, sf_dir))
+    fp = fingerprints(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chain_id"), "lang")
     train, test = classify.train_test(fp.join(docs, "chain_id"), "lang")
     model = classify.fit(train)
