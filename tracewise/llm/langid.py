@@ -6,7 +6,7 @@ by the number of languages) is sent to the tasks, which score whole texts in num
 one sum per text.
 
 Characters are lower-cased one by one; any run breaker that is not a letter counts as a space, and n-grams
-without a letter are skipped.  Null text, or no letter: ``und`` with score 0.  Rows without language don't
+without a letter are skipped.  Null text, or no letter: ``und`` with score 0 and no evidence.  Rows without language don't
 train.  With no training rows at all every text is ``und``.  Ties go to the language first by code point.
 Repeated rows count as often as they stand; other columns pass through untouched, but columns of the
 names that an operator adds are replaced.
@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tracewise.llm.common import small_batches, spans, utf8
+from tracewise.llm.common import materialise, small_batches, spans, utf8
 
 BUCKETS = 1 << 15
 ORDERS = 3
 SMOOTHING = 0.5
 BLOCK = 1 << 19
 HELD_LANGUAGES = 128
+MOST_LANGUAGES = 2048  # the matrix that reaches driver and tasks has a column each
 UNKNOWN = "und"
 
 _TABLES: dict[str, np.ndarray] = {}
@@ -124,7 +125,10 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             yield out()
 
     rows = train.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null")
-    sums = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = materialise(rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "grams")
+    if sums.filter(F.col("bucket") == BUCKETS + 1).limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+    sums = sums.toArrow()
     codes = sums.column("lang").combine_chunks().dictionary_encode() if len(sums) else pa.array([], pa.string()).dictionary_encode()
     if isinstance(codes, pa.ChunkedArray):
         codes = codes.combine_chunks()
@@ -140,23 +144,27 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` (the posterior of that language, 0 for ``und``) to every row."""
+    """Adds to every row ``lang_pred``, ``score`` (the posterior of that language, 0 for ``und``) and ``evidence``: by how much the log
+    probability of an n-gram of the text in that language is above that of a bucket drawn at random, on average.  The posterior
+    only tells the known languages from each other; the evidence falls below 0 where none of them fits."""
     small_batches(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "evidence")
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.logp, model.prior))
     place = docs.columns.index(text)
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("evidence", DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, logp, prior = shared.value
         for batch in batches:
             n, k = batch.num_rows, len(names)
-            total, known = np.tile(prior, (n, 1)), np.zeros(n, bool)
+            total, known, size = np.tile(prior, (n, 1)), np.zeros(n, bool), np.zeros(n)
             for _, _, row, grams, ok in _grams(batch.column(place)):
                 if not len(row):
                     continue
                 first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
                 known[row[ok]] = True
+                for b in grams:
+                    size += np.bincount(row[b < BUCKETS], minlength=n)
                 if k:
                     part = logp[grams[0]]
                     for b in grams[1:]:
@@ -167,8 +175,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                 pred = [names[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)]
                 share = np.where(known, share, 0.0)
+                evidence = (total[np.arange(n), best] - prior[best]) / np.maximum(size, 1) + np.log(BUCKETS)
             else:
-                pred, share = [UNKNOWN] * n, np.zeros(n)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(share)], names=schema.names)
+                pred, share, evidence = [UNKNOWN] * n, np.zeros(n), np.zeros(n)
+            none = np.array([p == UNKNOWN for p in pred], bool)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(share), pa.array(evidence, mask=none)], names=schema.names)
 
     return docs.mapInArrow(score, schema)
