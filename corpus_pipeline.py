@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs; all but the last return the columns of documents.  Other columns of the input are left behind.  Null and
-empty texts have no letter, so the first stage rejects them; null ids pass through all stages; an empty table gives
-an empty result.
+empty texts have no letter, so the first stage rejects them; null ids pass through all stages, as documents like others (a copy
+without an id is a copy); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,26 +18,29 @@ from tracewise.llm import langid, minhash, mixing, pieces, substring
 from tracewise.llm.common import documents, materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_SCORE = 0.5
+LEAST_EVIDENCE = 1.0  # of a document's n-grams for its language, in nats each; documents in a known language have 2 to 5
 LIKENESS = 80  # near-duplicates share at least so many of 100 shingles
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no known language: without a letter, or whose best language is no better than LEAST_SCORE."""
+    """Rejects documents in no known language: without a letter, or whose n-grams fit even the best language badly."""
     docs = docs.select(*COLUMNS)
     known = langid.predict(docs, langid.fit(docs))
-    return known.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return known.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("evidence") >= LEAST_EVIDENCE)).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = 85) -> DataFrame:
-    """Keeps one document of each class of near-duplicates, that of the smallest id (and one of equal rows).
+    """Keeps one row of each class of near-duplicates: of the smallest id, rows without one last (and one of equal rows).
 
-    ``percent`` has the operator's default; the stage passes LIKENESS.
+    Rows are told apart by all their columns, so two texts of one id are judged each for itself.  ``percent`` has the operator's
+    default; the stage passes LIKENESS.
     """
-    docs = docs.select(*COLUMNS)
-    kept = minhash.near_duplicates(docs, percent=percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(kept, F.expr("doc_id <=> _id"), "left_semi")
-    return left.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).select(*COLUMNS)
+    docs = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_row"))
+    classes = minhash.near_duplicates(docs, percent=percent, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    ids = docs.select("_row", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    kept = classes.join(ids, "_row").groupBy("component_id").agg(first).select("first._row")
+    return docs.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
