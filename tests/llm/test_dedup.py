@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tests.llm.helpers import SF001, edge_rows, frame, rows_of, sentence, words
-from tracewise.llm import minhash, substring, suffix
+from tracewise.llm import blocks, minhash, substring, suffix
 from tracewise.llm.components import components
 from tracewise.llm.queries import QUERIES
 
@@ -90,7 +90,8 @@ def test_two_texts_of_one_id(spark):
 
 def test_crowded_buckets_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", 2)
-    monkeypatch.setattr(minhash, "BLOCK", 300)
+    monkeypatch.setattr(blocks, "ASKING", 4)
+    monkeypatch.setattr(blocks, "ANSWERING", 7)
     half = sentence(3, 60)
     rows = [(k, half + " " + sentence(100 + k // 3, 10 + k % 2)) for k in range(40)]
     check_classes(minhash.near_duplicates(frame(spark, [(d, t, None, None, None) for d, t in rows])), rows)

@@ -7,6 +7,7 @@ import pytest
 
 from tests.llm.helpers import SF001, edge_rows, frame, rows_of, sentence
 from tests.llm.test_dedup import brute_classes, shingle_set
+from tracewise.llm import blocks
 from tracewise.llm import jaccard_join as join
 from tracewise.llm.common import documents
 from tracewise.llm.queries import QUERIES
@@ -64,8 +65,8 @@ def test_hot_groups(spark, monkeypatch, small):
 def test_second_search_finds_what_the_first_drops(spark, monkeypatch):
     """The first search's candidates are thrown away: crowded signatures alone have to lead to every link."""
     monkeypatch.setattr(join, "SMALL", 1)
-    monkeypatch.setattr(join, "ASKING", 7)
-    monkeypatch.setattr(join, "ANSWERING", 5)
+    monkeypatch.setattr(blocks, "ASKING", 7)
+    monkeypatch.setattr(blocks, "ANSWERING", 5)
     real = join._stars
     monkeypatch.setattr(join, "_stars", lambda crowded, percent: real(crowded, percent).limit(0))
     rows = hot_rows()

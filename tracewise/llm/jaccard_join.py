@@ -24,7 +24,7 @@ even when it differs by one: sets sign every segment less one shingle, too.  Or,
 split to single shingles, of which a partner lacks few.  Each set allocates its votes to the cheapest segments of the cheaper way, by
 the entries that they read.  Sets that ask are gathered in blocks by their most crowded signature, a block meets each set that
 one of its members meets once, and the task that holds them counts the shingles that they share; only links that join classes
-leave it.  Blocks are of at most ASKING sets against ANSWERING ones, and the largest class need not ask, as the others do.
+leave it (``blocks``).  The largest class need not ask, as the others do.
 
 So no link between different classes is lost.  Null ids link with nothing (their component is null); rows with equal ids are
 rows of their own; equal sets are one node (told by 128 bits; signatures carry 64 of them, and stand for all nodes that have these)
@@ -42,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewise.llm import blocks
 from tracewise.llm.common import U64, binaries, materialise, mix, shuffle_partitions, small_batches, spans, utf8
 from tracewise.llm.components import components
 from tracewise.llm.minhash import least_set, shingles
@@ -49,7 +50,6 @@ from tracewise.llm.minhash import least_set, shingles
 PERCENT = 80
 SMALL = 8
 SPARE = 8  # one vote to spare for so many that are needed
-ASKING, ANSWERING = 512, 4096
 WHOLE, LESS, SINGLE = 0, 1, 2  # what an entry of the second search signs
 FLUSH = 500_000
 SETS = "doc_id long, n_shingles long, d1 long, d2 long, text_hash long, band int, filled_own int, filled_upper int, spare_own int, spare_upper int"
@@ -365,61 +365,21 @@ def _second_search(nodes: DataFrame, crowded: DataFrame, labels: DataFrame, know
     ways = segs.groupBy("rep", "upper", "single").agg(F.sum("cost").alias("cost")).groupBy("rep", "upper").agg(F.min(F.struct("cost", "single")).alias("way"))
     chosen = segs.join(ways.select("rep", "upper", "way.single"), ["rep", "upper", "single"]).select("rep", "upper", "single", "seg")
     asks = entries.withColumn("single", F.col("kind") == SINGLE).join(chosen, ["rep", "upper", "single", "seg"]).select("key", "kind", "upper", "rep")
-    asking = materialise(asks.join(_blocks(poor, crowded, labels), "rep").select("key", "kind", "upper", "cluster", "i", "rep"), "asking")
+    reps = materialise(_asking(poor, labels), "asking")
+    asking = asks.join(blocks.clusters(reps, crowded.select("rep", "key", "members")), "rep")
+    asking = materialise(asking.select("key", "kind", "upper", "cluster", "i", "rep"), "asks")
     there = entries.select("key", F.col("kind").alias("kind_y"), F.col("upper").alias("upper_y"), F.col("rep").alias("y"))
     suits = F.when(F.col("kind") == SINGLE, F.col("kind_y") == SINGLE).otherwise((F.col("kind") + F.col("kind_y") == WHOLE + LESS) & ~(F.col("upper") & F.col("upper_y")))
     met = asking.select("key", "kind", "upper", "cluster", "i").distinct().join(there, "key").filter(suits)
-    met = materialise(met.select("cluster", "i", F.col("y").alias("rep"), F.lit(False).alias("asks")).distinct(), "met")
-    parts = met.groupBy("cluster", "i").agg(F.ceil(F.count(F.lit(1)) / ANSWERING).alias("parts"))
-    own = asking.select("cluster", "i", "rep").distinct().withColumn("asks", F.lit(True)).join(parts, ["cluster", "i"])
-    own = own.select("cluster", "i", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("j"), "rep", "asks")
-    dealt = met.join(parts, ["cluster", "i"]).select("cluster", "i", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("j"), "rep", "asks").unionByName(own)
-    dealt = dealt.join(known, "rep").join(_named(labels, "rep", "label"), "rep", "left").select("cluster", "i", "j", "rep", "asks", label, "hashes")
-    return materialise(dealt.groupBy("cluster", "i", "j").applyInArrow(_joins(percent), "a long, b long").distinct(), "links")
+    met = materialise(met.select("cluster", "i", F.col("y").alias("rep")).distinct(), "met")
+    return materialise(blocks.links(asking, met, known, labels, percent), "links")
 
 
-def _blocks(poor: DataFrame, crowded: DataFrame, labels: DataFrame) -> DataFrame:
-    """rep, cluster (its most crowded signature) and block in it, of the sets that ask: those outside the largest class."""
+def _asking(poor: DataFrame, labels: DataFrame) -> DataFrame:
+    """rep of the sets that ask: those outside the largest class."""
     reps = poor.select("rep").distinct().join(_named(labels, "rep", "label"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"))
     largest = reps.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1).select("label")
-    reps = reps.join(F.broadcast(largest), "label", "left_anti")
-    most = crowded.join(reps, "rep", "left_semi").groupBy("rep").agg(F.max(F.struct("members", "key")).alias("m")).select("rep", F.col("m.key").alias("cluster"))
-    reps = materialise(reps.join(most, "rep", "left").select("rep", F.coalesce("cluster", "rep").alias("cluster")), "asking")
-    sizes = reps.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / ASKING).alias("blocks"))
-    return reps.join(sizes, "cluster").select("rep", "cluster", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("i"))
-
-
-def _joins(percent: int):
-    """Links of a block that join classes: asking sets against all, by counting the shingles that they share."""
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        rep, asks, label = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "asks", "label"))
-        raw = [x.as_buffer() for x in table.column("hashes")]
-        n = np.array([len(x) // 8 for x in raw])
-        _, term = np.unique(np.concatenate([np.frombuffer(x, U64) for x in raw]), return_inverse=True)
-        order = np.argsort(term, kind="stable")
-        holders, at = np.repeat(np.arange(len(rep)), n)[order], np.concatenate([[0], np.cumsum(np.bincount(term))])
-        mine = np.concatenate([[0], np.cumsum(n)])
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.get(x, x) != x:
-                x = parent[x]
-            return x
-
-        out = []
-        for q in np.flatnonzero(asks).tolist():
-            terms = term[mine[q]: mine[q + 1]]
-            size = at[terms + 1] - at[terms]
-            both = np.bincount(holders[np.repeat(at[terms] - (np.cumsum(size) - size), size) + np.arange(size.sum())], minlength=len(rep))
-            for k in np.flatnonzero((100 * both >= percent * (n[q] + n - both)) & (label != label[q])).tolist():
-                x, y = root(int(label[q])), root(int(label[k]))
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    out.append((min(int(rep[q]), int(rep[k])), max(int(rep[q]), int(rep[k]))))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
-
-    return run
+    return reps.join(F.broadcast(largest), "label", "left_anti").select("rep")
 
 
 def _neighbourhoods(percent: int, buckets: int):

@@ -16,11 +16,13 @@ No bucket emits all its pairs.  Members of small ones (up to SMALL) meet each ot
 member.  In larger ones all members first meet one centre (the member that shares most with others), which joins most of a group of
 copies.  Buckets that still hold several classes are then settled inside tasks: members outside the bucket's
 largest class are compared on full sets with all its members through an index of shingles, and only links that join
-classes leave the task.  A bucket of more than BLOCK shingles is dealt out as pairs of blocks.  So no link between different
+classes leave the task (``blocks``; after the sketch only shingle hashes move, no texts).  So no link between different
 classes is lost, and rows grow with the members, not with their pairs.
 
 Null ids link with nothing (component null, kept).  Rows with equal ids are rows of their own: representatives are numbered by
-set, and ids come back only in the result.  Null text: no words.
+set, and ids come back only in the result.  Null text: no words.  Very long texts are one row of a batch and one sketch; ties of the
+smallest id go by the text's hash; an empty table gives an empty result.  Only the id and the text are read, so further columns
+and their names don't matter.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewise.llm import blocks
 from tracewise.llm.common import U64, binaries, mix, prefix_hash, range_hash, small_batches, spans, utf8, word_hashes, word_spans, materialise
 from tracewise.llm.components import components
 
@@ -40,7 +43,6 @@ REGISTERS = 256
 MANTISSA = 10
 MISS = 1e-8
 SMALL = 8
-BLOCK = 400_000
 SIGMAS = 5.0
 SKETCHES = "doc_id long, n_shingles long, d1 long, d2 long, sketch binary, text_hash long"
 TRIES = 160
@@ -175,27 +177,27 @@ def _hopeful(share: float):
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-
-        def of(doc: int, text: str | None) -> np.ndarray:
-            if doc not in known:
-                if len(known) > 64:
-                    known.clear()
-                data = np.frombuffer((text or "").encode(), np.uint8)
-                known[doc] = shingles(data, np.array([0, len(data)]))[1]
-            return known[doc]
-
         for b in batches:
             keep = []
-            for a, c, s, t in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                x, y = of(a, s), of(c, t)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
+            for s, t in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(s.as_buffer(), U64), np.frombuffer(t.as_buffer(), U64)
+                both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, text) -> rep and the sorted shingle hashes of the text."""
+    for b in batches:
+        data, off = utf8(b.column(1))
+        for i, j in spans(off):
+            row, h = shingles(data[off[i]: off[j]], off[i: j + 1] - off[i])
+            at = np.searchsorted(row, np.arange(j - i + 1))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), binaries([h[x:y].tobytes() for x, y in zip(at[:-1], at[1:])])], ["rep", "hashes"])
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of the class), kept (whether it is that one) of every row."""
     share = percent / 100
@@ -215,7 +217,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     inside = materialise(bands.join(buckets, "key"), "buckets")
     wanted = groups.select("doc_id", "text_hash", "rep").join(inside.select("rep").distinct(), "rep")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    texts = materialise(texts.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("rep", "text"), "texts")
+    texts = texts.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("rep", "text")
+    sets = materialise(texts.mapInArrow(_hashes, "rep long, hashes binary"), "hashes")
 
     few = inside.filter(F.col("n") <= SMALL).select("key", "rep")
     pairs = few.select("key", F.col("rep").alias("a")).join(few.select("key", F.col("rep").alias("b")), "key").filter("a < b").select("a", "b")
@@ -225,77 +228,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     centres = crowded.groupBy("key").agg(F.max(F.struct("drawn", (-F.col("rep")).alias("c"))).alias("m")).select("key", (-F.col("m.c")).alias("centre"))
     centres = materialise(centres, "centres")
     star = crowded.join(centres, "key").filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-    links = _linked(materialise(pairs.unionByName(star).distinct(), "pairs"), reps, texts, share, percent)
+    links = _linked(materialise(pairs.unionByName(star).distinct(), "pairs"), reps, sets, share, percent)
     links = materialise(links, "linked")
     labels = components(links)
-    more = _settled(crowded.select("key", "rep"), labels, reps, texts, percent)
+    more = _settled(crowded.select("key", "rep"), labels, sets, percent)
     return _result(members, components(links.unionByName(materialise(more, "settled"))), firsts)
 
 
-def _settled(crowded: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of crowded buckets that are not of one class yet."""
-    labels = labels.select(F.col("node").alias("rep"), F.col("component").alias("label"))
-    sizes = reps.select("rep", "n_shingles")
-    seen = crowded.join(labels, "rep", "left").join(sizes, "rep").select("key", "rep", "n_shingles", F.coalesce("label", "rep").alias("label"))
-    of = seen.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
-    of = of.groupBy("key").agg(F.max(F.struct("n", "label", "size")).alias("most"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("classes"))
-    # dealt into ``across`` blocks of all members and ``down`` blocks of those outside the largest class
-    deals = lambda size: F.ceil(size / BLOCK).cast("int")
-    of = of.filter("classes > 1").select("key", F.col("most.label").alias("most"), deals(F.col("size")).alias("across"),
-                                         deals(F.col("size") - F.col("most.size")).alias("down"))
-    rows = seen.join(materialise(of, "open"), "key").withColumn("minor", F.col("label") != F.col("most"))
-    own_i, own_j = F.pmod(F.xxhash64("rep", F.lit(1)), "down").cast("int"), F.pmod(F.xxhash64("rep", F.lit(2)), "across").cast("int")
-    rows = rows.withColumns({"own_i": own_i, "own_j": own_j})
-    place = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
-    any_of = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda i: place(i, F.col("own_j")))
-    minor_of = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda j: place(F.col("own_i"), j))
-    places = F.when(F.col("minor"), F.array_union(any_of, minor_of)).otherwise(any_of)
-    dealt = rows.select("key", "rep", "label", "minor", "own_i", F.inline(places))
-    dealt = dealt.select("key", "i", "j", "rep", "label", (F.col("minor") & (F.col("own_i") == F.col("i"))).alias("asks"))
-    return dealt.join(texts, "rep").groupBy("key", "i", "j").applyInArrow(_joins(percent), "a long, b long").distinct()
-
-
-def _joins(percent: int):
-    """Links of a block that join classes: each asking member against all members, by counting shared shingles."""
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        rep, label, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "label", "asks"))
-        data, off = utf8(table.column("text"))
-        row, h = shingles(data, off)
-        n = np.bincount(row, minlength=len(rep))
-        _, term = np.unique(h, return_inverse=True)
-        order = np.argsort(term, kind="stable")
-        holders, at = row[order], np.concatenate([[0], np.cumsum(np.bincount(term))])
-        mine = np.concatenate([[0], np.cumsum(n)])
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.get(x, x) != x:
-                x = parent[x]
-            return x
-
-        out = []
-        for q in np.flatnonzero(asks).tolist():
-            terms = term[mine[q]: mine[q + 1]]
-            size = at[terms + 1] - at[terms]
-            place = np.repeat(at[terms] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            both = np.bincount(holders[place], minlength=len(rep))
-            for k in np.flatnonzero((100 * both >= percent * (n[q] + n - both)) & (label != label[q])).tolist():
-                x, y = root(int(label[q])), root(int(label[k]))
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    out.append((min(int(rep[q]), int(rep[k])), max(int(rep[q]), int(rep[k]))))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
-
-    return run
+def _settled(crowded: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of crowded buckets that are not of one class yet: those outside a bucket's largest class ask."""
+    named = labels.select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    seen = crowded.join(named, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    of = seen.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("classes"))
+    of = materialise(of.filter("classes > 1").select("key", F.col("most.label").alias("most"), "members"), "open")
+    rows = materialise(seen.join(of, "key"), "unsettled")
+    asks = rows.filter("label <> most").select("rep", "key", "members")
+    asking = materialise(asks.join(blocks.clusters(asks.select("rep").distinct(), asks), "rep").select("key", "cluster", "i", "rep"), "asks")
+    met = asking.select("key", "cluster", "i").distinct().join(rows.select("key", "rep"), "key").select("cluster", "i", "rep").distinct()
+    return blocks.links(asking, materialise(met, "met"), sets, labels, percent)
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, share: float, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, reps: DataFrame, sets: DataFrame, share: float, percent: int) -> DataFrame:
     one, two = (reps.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}")) for x in "ab")
     hopeful = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_hopeful(share), "a long, b long")
     hopeful = materialise(hopeful, "hopeful")
-    one, two = (texts.select(F.col("rep").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    return hopeful.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long")
+    one, two = (sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab")
+    return hopeful.join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(_confirm(percent), "a long, b long")
 
 
 def _result(members: DataFrame, labels: DataFrame, firsts: DataFrame) -> DataFrame:
