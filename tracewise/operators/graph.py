@@ -13,6 +13,10 @@ through joins, with the same results:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -396,23 +400,67 @@ def node_roles(steps: DataFrame) -> DataFrame:
 # Semantic edges and edge-set evaluation
 # ---------------------------------------------------------------------------
 
-def norm(a) -> F.Column:
-    return F.sqrt(F.aggregate(F.transform(a, lambda x: x * x), F.lit(0.0), lambda acc, x: acc + x))
+TILE = 512  # vectors of a chain on each side of a product
+SHORT = 16  # coordinates of the projection that bounds a cosine
+
+
+def _tile_edges(threshold: float):
+    """Edges of a tile of vectors, and how many of its pairs were possible and tested."""
+    kind = pa.struct([("src", pa.int64()), ("dst", pa.int64()), ("cosine", pa.float64())])
+
+    def unit(vectors: pa.Array, n: int) -> np.ndarray:
+        v = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+        size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+
+    def one(mine: pa.Array, other: pa.Array, diagonal: bool) -> tuple[list, int, int]:
+        a_at, b_at = (x.field(0).to_numpy() for x in (mine, other))
+        a, b = unit(mine.field(1), len(mine)), unit(other.field(1), len(other))
+        pairs = (a_at[:, None] < b_at) if diagonal else np.ones((len(a), len(b)), bool)
+        possible = int(pairs.sum())
+        if a.shape[1] > SHORT:
+            # a.b = short parts' product + rests' product, and that is at most the product of the rests' lengths
+            rest = [np.sqrt((x[:, SHORT:] ** 2).sum(axis=1)) for x in (a, b)]
+            pairs &= a[:, :SHORT] @ b[:, :SHORT].T + np.outer(*rest) >= threshold - 1e-9
+        i, j = np.nonzero(pairs)
+        # few left: their products alone; many: one product of matrices
+        cosine = np.einsum("ij,ij->i", a[i], b[j]) if 4 * len(i) < possible else (a @ b.T)[i, j]
+        keep = cosine >= threshold
+        return [{"src": s, "dst": d, "cosine": c} for s, d, c in zip(a_at[i[keep]].tolist(), b_at[j[keep]].tolist(), cosine[keep].tolist())], possible, len(i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                mine, other = (batch.column(c)[k].values for c in (2, 3))
+                edges, possible, tested = one(mine, other if len(other) else mine, not len(other))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([edges], pa.list_(kind)), pa.array([possible]), pa.array([tested])],
+                                                 ["chain_id", "edges", "possible", "tested"])
+
+    return run
+
+
+def semantic_tiles(vec_steps: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """G9 by tiles: (chain_id, edges array<src, dst, cosine>, possible, tested), one row for each pair of a chain's blocks of TILE steps.
+
+    A block is sent once to each block behind it, so a vector moves n / TILE times and no pair of vectors is a row.  Before the
+    product, a projection on SHORT coordinates with the lengths of what it leaves out bounds each cosine from above
+    (Cauchy-Schwarz); only pairs whose bound reaches the threshold are tested, so nothing is lost."""
+    v = vec_steps.select("chain_id", F.floor(F.col("idx") / TILE).alias("_b"), F.struct(F.col("idx").cast("long").alias("idx"), F.col("embedding").cast("array<double>").alias("v")).alias("_x"))
+    last = v.groupBy("chain_id").agg(F.max("_b").alias("_last"))
+    place = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    before = F.transform(F.sequence(F.lit(0), F.col("_b")), lambda i: place(i, F.col("_b")))
+    behind = F.transform(F.sequence(F.col("_b"), F.col("_last")), lambda j: place(F.col("_b"), j))
+    dealt = v.join(last, "chain_id").select("chain_id", "_b", "_x", F.inline(F.array_distinct(F.concat(before, behind))))
+    side = lambda b: F.collect_list(F.when(b, F.col("_x")))
+    tiles = dealt.groupBy("chain_id", "i", "j").agg(side(F.col("_b") == F.col("i")).alias("mine"), side((F.col("_b") == F.col("j")) & (F.col("i") < F.col("j"))).alias("other"))
+    kind = vec_steps.schema["chain_id"].dataType.simpleString()
+    return tiles.select("chain_id", "i", "mine", "other").mapInArrow(
+        _tile_edges(threshold), f"chain_id {kind}, edges array<struct<src:bigint,dst:bigint,cosine:double>>, possible long, tested long")
 
 
 def semantic_edges(vec_steps: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(chain_id, src, dst) for i < j in a chain with cosine >= threshold
-    (0 for a zero vector).  The pair test is inherent to the operator (the
-    reference compares every pair of steps of a chain); it is an equi-join on
-    chain_id, with each vector's norm taken once beforehand."""
-    v = vec_steps.select("chain_id", "idx", "embedding", norm("embedding").alias("norm"))
-    a = v.select("chain_id", F.col("idx").alias("src"), F.col("embedding").alias("ea"), F.col("norm").alias("na"))
-    b = v.select("chain_id", F.col("idx").alias("dst"), F.col("embedding").alias("eb"), F.col("norm").alias("nb"))
-    j = a.join(b, "chain_id").filter(F.col("src") < F.col("dst"))
-    dot = F.aggregate(F.zip_with("ea", "eb", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    cos = F.when((F.col("na") > 0) & (F.col("nb") > 0), dot / (F.col("na") * F.col("nb"))).otherwise(0.0)
-    return (j.withColumn("cos", cos).filter(F.col("cos") >= threshold)
-            .select("chain_id", "src", "dst", r6("cos").alias("cosine")))
+    """(chain_id, src, dst, cosine) for i < j in a chain with cosine >= threshold (0 for a zero vector)."""
+    return semantic_tiles(vec_steps, threshold).select("chain_id", F.inline("edges")).select("chain_id", "src", "dst", r6("cosine").alias("cosine"))
 
 
 def enhance_edges(existing: DataFrame, vec_steps: DataFrame | None, method: str = "semantic",

@@ -207,9 +207,18 @@ def label_inconsistency(steps: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def chain_listing(steps: DataFrame, chains: DataFrame, domain: str | None = None, limit: int | None = None,
-                  query_chars: int | None = None) -> DataFrame:
+                  query_chars: int | None = None, after=None) -> DataFrame:
     """V6: query (cut to ``query_chars`` characters and '...' when given, 100 in
-    the reference), num_steps, has_errors, error_count; ``limit`` is a page."""
+    the reference), num_steps, has_errors, error_count.  ``limit`` is a page, which
+    starts behind the chain ``after`` (the last of the page before): chains up to there
+    are filtered out of both scans, and only a page of keys is kept of each task."""
+    if after is not None:
+        chains, steps = (d.filter(F.col("chain_id") > F.lit(after)) for d in (chains, steps))
+    if domain is not None:
+        chains = chains.filter(F.col("domain") == domain)
+    if limit is not None:
+        chains = chains.orderBy("chain_id").limit(limit)
+        steps = steps.join(broadcast_if_small(chains.select("chain_id")), "chain_id", "left_semi")
     shown = F.col("query")
     if query_chars is not None:
         shown = F.when(F.length("query") > query_chars, F.concat(F.substring("query", 1, query_chars), F.lit("..."))).otherwise(shown)
@@ -221,13 +230,10 @@ def chain_listing(steps: DataFrame, chains: DataFrame, domain: str | None = None
         F.coalesce("num_steps", F.lit(0)).cast("long").alias("num_steps"),
         (F.coalesce("error_count", F.lit(0)) > 0).alias("has_errors"),
         F.coalesce("error_count", F.lit(0)).cast("long").alias("error_count"))
-    if domain is not None:
-        out = out.filter(F.col("domain") == domain)
-    if limit is not None:
-        out = out.orderBy("chain_id").limit(limit)
     return out
 
 
 def lookup_chain(chains: DataFrame, chain_id) -> DataFrame:
-    """V7: point lookup (pushed down as a parquet filter when chains is a scan)."""
+    """V7: point lookup.  The filter reaches the scan; on a table of ``io.write_lookup`` bloom filters and the statistics of
+    sorted row groups leave one row group to read."""
     return chains.filter(F.col("chain_id") == F.lit(chain_id)).limit(1)

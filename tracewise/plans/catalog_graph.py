@@ -233,6 +233,13 @@ def q_semantic_edges(spark, sf_dir):
     return G.enhance_edges(existing, v, "hybrid", 0.3)
 
 
+@register("semantic_pruning", "G9")
+def q_semantic_pruning(spark, sf_dir):
+    """Rows-only: of the pairs of a chain's steps, how many the bound left to be tested, and the edges found."""
+    t = G.semantic_tiles(vec_steps(spark, sf_dir), 0.7)
+    return t.groupBy("chain_id").agg(F.sum("possible").alias("possible"), F.sum("tested").alias("tested"), F.sum(F.size("edges")).alias("edges"))
+
+
 @register("edge_eval", "G11", with_views("""
     with pr as (select x.chain_id, x.idx as src, y.idx as dst from vec_steps x join vec_steps y
                 on x.chain_id = y.chain_id and x.idx < y.idx

@@ -109,6 +109,23 @@ def name_files(spark: SparkSession, path: str, column: str, pattern: str) -> Non
                 raise OSError(f"cannot name {name}/{part} {to}")
 
 
+def write_lookup(df: DataFrame, path: str, key: str = "chain_id", group_bytes: int = 1 << 20) -> None:
+    """V7: a table for point lookups: range-partitioned and sorted by ``key``, with row groups of about ``group_bytes`` and a bloom
+    filter on the key in each, so that a lookup reads footers, filters and the one row group that has the key."""
+    (df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite")
+     .option("parquet.block.size", group_bytes).option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path))
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, buckets: int, key: str = "chain_id") -> DataFrame:
+    """IO1/IO4/IO9: ``df`` as the table ``name`` at ``path``, in ``buckets`` files (a task writes whole buckets) by ``key``, each sorted by it.
+
+    Reads keep that layout: grouping by the key, or joining tables of as many buckets by it, takes no shuffle.  Joins by the key and
+    further columns keep it too where ``spark.sql.requireAllClusterKeysForCoPartition`` is false."""
+    spark = df.sparkSession
+    (df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name))
+    return spark.table(name)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """IO8: a report table as JSON lines."""
     report.write.mode("overwrite").json(path)
