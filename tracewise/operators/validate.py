@@ -124,7 +124,9 @@ def exact_medians(rows: DataFrame, key: str, cols: list[str]) -> DataFrame:
         wide = asked.filter("_lo < _hi")
         q = broadcast_if_small(wide.withColumnsRenamed({"_k": "_qk", "_c": "_qc"}))
         within = counts.join(q, F.expr("_k <=> _qk and _c = _qc and _v between _lo and _hi"))
-        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)  # halves: no overflow
+        # halves: no overflow; where they leave no width at all, the least value and the others
+        share = F.try_divide(F.col("_v") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2)
+        share = F.coalesce(share, (F.col("_v") > F.col("_lo")).cast("double"))
         bins = within.withColumn("_b", F.least(F.floor(share * BINS), F.lit(BINS - 1)))
         bins = bins.groupBy(*group, "_rank", "_b").agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         upto = F.sum("_n").over(Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
