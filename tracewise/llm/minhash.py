@@ -231,11 +231,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     links = _linked(materialise(pairs.unionByName(star).distinct(), "pairs"), reps, sets, share, percent)
     links = materialise(links, "linked")
     labels = components(links)
-    more = _settled(crowded.select("key", "rep"), labels, sets, percent)
+    more = _settled(crowded.select("key", "rep"), centres, labels, sets, percent)
     return _result(members, components(links.unionByName(materialise(more, "settled"))), firsts)
 
 
-def _settled(crowded: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _settled(crowded: DataFrame, centres: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of crowded buckets that are not of one class yet: those outside a bucket's largest class ask."""
     named = labels.select(F.col("node").alias("rep"), F.col("component").alias("label"))
     seen = crowded.join(named, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
@@ -243,8 +243,10 @@ def _settled(crowded: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
         F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("classes"))
     of = materialise(of.filter("classes > 1").select("key", F.col("most.label").alias("most"), "members"), "open")
     rows = materialise(seen.join(of, "key"), "unsettled")
-    asks = rows.filter("label <> most").select("rep", "key", "members")
-    asking = materialise(asks.join(blocks.clusters(asks.select("rep").distinct(), asks), "rep").select("key", "cluster", "i", "rep"), "asks")
+    asks = materialise(rows.filter("label <> most").join(centres, "key").select("rep", "key", "centre", "members"), "minor")
+    # a group of copies has one centre in nearly all of its buckets, so its members come into few blocks
+    placed = blocks.clusters(asks.select("rep").distinct(), asks.select("rep", F.col("centre").alias("key"), "members"))
+    asking = materialise(asks.join(placed, "rep").select("key", "cluster", "i", "rep"), "asks")
     met = asking.select("key", "cluster", "i").distinct().join(rows.select("key", "rep"), "key").select("cluster", "i", "rep").distinct()
     return blocks.links(asking, materialise(met, "met"), sets, labels, percent)
 
