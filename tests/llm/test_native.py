@@ -126,6 +126,29 @@ def test_mix_of_the_documents_and_reruns(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+@pytest.mark.parametrize("bins", [mixing.BINS, 3])
+def test_mix_takes_what_a_plain_sort_by_key_takes(spark, monkeypatch, bins):
+    """All documents of a source sorted by their exponential keys, and taken in that order until its words are there."""
+    import math
+
+    monkeypatch.setattr(mixing, "BINS", bins)
+    docs = documents(spark, "/root/testdata/sf0.01")
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 11).cast("double") + 0.5) / float(1 << 53)
+    rows = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.quality_weight(F.col("text")).alias("w"), u.alias("u")).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += r.size
+    target, want = brute_targets(sizes), {}
+    for s in sizes:
+        epochs = int(target[s] / sizes[s] + 1e-12)
+        rest, at = max(0.0, target[s] - epochs * sizes[s]), 0
+        for r in sorted((r for r in rows if r.source == s), key=lambda r: (-math.log(r.u) / r.w, r.doc_id)):
+            want[r.doc_id] = epochs + (at + r.size / 2 <= rest and at < rest)
+            at += r.size
+    got = {r["doc_id"]: r["copies"] for r in rows_of(mixing.mix_sources(docs))}
+    assert got == want and len(set(want.values())) > 1
+
+
 def test_heavier_documents_come_first(spark):
     clean, junk = "word " * 20, "#$% 12 " * 10
     rows = [(k, clean if k % 2 else junk, None, "a", 0) for k in range(2000)] + [(9999, "w " * 200000, None, "b", 0)]
