@@ -92,14 +92,14 @@ def q_inference_metrics(spark, sf_dir):
     return convert.inference_log_metrics(_log(spark, sf_dir))
 
 
-@register("fenced_json", "P13", """
-    select conv_id, turn, i as idx, case i when 0 then 'first of ' else 'then ' end || cast(conv_id as varchar) as text
-    from conversations, (values (0), (1)) t(i) where role = 'assistant' and turn % 4 <> 3""")
+@register("fenced_json", "P13", with_views("""
+    select conv_id, turn, step_idx as idx, text from turn_steps where role = 'assistant' and turn % 4 <> 3""", "turn_steps"))
 def q_fenced_json(spark, sf_dir):
-    # stand-in replies: a json fence, a bare fence, or no valid JSON, by the turn
+    """The assistants' texts as a model would answer with them: a list of steps in a json fence or a bare one, or cut off (no valid JSON)."""
     c = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
-    body = F.concat(F.lit('[{"text": "first of '), F.col("conv_id").cast("string"), F.lit('"}, {"step": "then '), F.col("conv_id").cast("string"), F.lit('"}]'))
-    reply = (F.when(F.col("turn") % 4 == 3, F.concat(F.lit("```json\n{broken "), F.col("conv_id").cast("string"), F.lit("\n```")))
+    lines = F.filter(F.transform(F.split("text", "\n"), strip_ws), lambda s: s != "")
+    body = F.to_json(F.transform(lines, lambda s, i: F.create_map(F.when(i % 2 == 0, "text").otherwise("step"), s)))
+    reply = (F.when(F.col("turn") % 4 == 3, F.concat(F.lit("```json\n"), F.expr("text"), F.lit(" [{\n```")))
              .when(F.col("turn") % 4 == 1, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```\nDone.")))
              .otherwise(F.concat(F.lit("```\n"), body, F.lit("\n```"))))
     return c.select("conv_id", "turn", F.posexplode(convert.fenced_json_steps(reply)).alias("idx", "text")).filter(
@@ -113,18 +113,22 @@ _MODELS_SQL = "['" + "', '".join(_MODELS) + "']"
 
 
 def _pairs(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter("turn < 2").select(
-        "conv_id", "turn", F.array(F.struct("role", F.col("text").alias("content"))).alias("said"))
+    """Each turn of an even number and the one behind it as the sides of a pair."""
+    c = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", (F.col("conv_id") * 1000 + F.floor(F.col("turn") / 2)).alias("pair_id"), F.array(F.struct("role", F.col("text").alias("content"))).alias("said"))
     name = lambda k: F.element_at(F.array(*[F.lit(m) for m in _MODELS]), ((F.col("conv_id") + k) % 3 + 1).cast("int"))
-    a, b = (c.filter(F.col("turn") == t).select("conv_id", F.col("said").alias(n)) for t, n in ((0, "chosen"), (1, "rejected")))
-    return a.join(b, "conv_id").select(F.col("conv_id").alias("pair_id"), name(0).alias("chosen_model"), "chosen", name(1).alias("rejected_model"), "rejected")
+    a, b = (c.filter(F.col("turn") % 2 == t).select("conv_id", "pair_id", F.col("said").alias(n)) for t, n in ((0, "chosen"), (1, "rejected")))
+    return a.join(b, ["conv_id", "pair_id"]).select("pair_id", name(0).alias("chosen_model"), "chosen", name(1).alias("rejected_model"), "rejected")
+
+
+_PAIRS_SQL = """select a.conv_id as k, a.conv_id * 1000 + a.turn // 2 as pair_id, a.text as ta, b.text as tb
+               from conversations a join conversations b on a.conv_id = b.conv_id and a.turn % 2 = 0 and b.turn = a.turn + 1"""
 
 
 @register("preference_pairs", "IO13", f"""
-    with p as (select a.conv_id as pair_id, a.text as ta, b.text as tb from conversations a join conversations b
-               on a.conv_id = b.conv_id and a.turn = 0 and b.turn = 1),
-    s as (select pair_id, 0 as side, {_MODELS_SQL}[pair_id % 3 + 1] as model_name, ta as content from p
-          union all select pair_id, 1, {_MODELS_SQL}[(pair_id + 1) % 3 + 1], tb from p)
+    with p as ({_PAIRS_SQL}),
+    s as (select pair_id, 0 as side, {_MODELS_SQL}[k % 3 + 1] as model_name, ta as content from p
+          union all select pair_id, 1, {_MODELS_SQL}[(k + 1) % 3 + 1], tb from p)
     select pair_id, side, model_name, case when contains(model_name, 'gpt-4') then 'gpt4' else 'claude' end as model_type, content
     from s where not contains(model_name, 'vicuna')""")
 def q_preference_pairs(spark, sf_dir):
@@ -133,7 +137,7 @@ def q_preference_pairs(spark, sf_dir):
 
 
 @register("distinct_models", "IO14", f"""
-    with p as (select distinct a.conv_id as k from conversations a join conversations b on a.conv_id = b.conv_id and a.turn = 0 and b.turn = 1)
+    with p as ({_PAIRS_SQL})
     select distinct model from (select {_MODELS_SQL}[k % 3 + 1] as model from p union all select {_MODELS_SQL}[(k + 1) % 3 + 1] from p)""")
 def q_distinct_models(spark, sf_dir):
     return io.distinct_models(_pairs(spark, sf_dir), "chosen_model", "rejected_model")
