@@ -306,3 +306,16 @@ def test_encode_and_decode_rows(spark, vocabulary, edge, clashing, empty):
 def test_sentencepiece_query_is_a_round_trip(spark):
     got = rows_of(QUERIES["op8_sentencepiece"](spark, SF001))
     assert len(got) == documents(spark, SF001).count() and all(r["round_trip"] for r in got)
+
+
+def test_attachments_are_read_back_from_the_text(spark):
+    """Placeholders among escaped look-alikes; turns without attachments, null parts, an empty table."""
+    text = lambda t: ("text", t, None, None)
+    rows = [(1, 0, "user", [text("see <|image 1|> and \\<|"), ("image", None, "a.png", 785), text("then"), ("document", None, "b c.pdf", 3)]),
+            (1, 1, "assistant", [("audio", None, "s.wav", 41), text("</turn>\n### user: <|audio 9|>")]),
+            (2, 0, "user", [text("none")]), (3, 0, None, None), (4, 0, "user", [("image", None, "z", None)])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,ref:string,size:bigint>>")
+    got = {r["conv_id"]: (r["n_attachments"], r["expanded_tokens"], r["attachments_sha256"]) for r in rows_of(chat.attached(chat.format_turns(df)))}
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {1: (3, 2 + 1200 + 2, digest("image a.png 2\ndocument b c.pdf 1200\naudio s.wav 2\n")), 4: (1, 0, digest("image z 0\n"))}
+    assert chat.attached(chat.format_turns(df.limit(0))).count() == 0

@@ -122,6 +122,11 @@ def text_parts(text: Column) -> Column:
                             F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("size"))).cast(f"array<{PART}>")
 
 
+def part(kind: str, ref: Column, size: Column) -> Column:
+    """An image (pixels), audio (milliseconds) or document (pages) part."""
+    return F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("text"), ref.alias("ref"), size.cast("bigint").alias("size")).cast(PART)
+
+
 def format_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
     """One row per turn: conv_id, turn, and the columns of FORMATTED."""
     small_batches(turns.sparkSession)
@@ -140,6 +145,28 @@ def format_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     return cols.mapInArrow(run, f"conv_id long, turn long, {FORMATTED}")
 
 
+def attached(formatted: DataFrame) -> DataFrame:
+    """conv_id, n_attachments, expanded_tokens, attachments_sha256 of each conversation: the attachments that the placeholders of its
+    formatted turns name, read back from the text (kind, space, reference, space, tokens, line end each, by turn and place)."""
+    kinds = "conv_id long, turn long, place int, kind string, ref string, tokens long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for c, turn, text, attachments in zip(*(b.column(k).to_pylist() for k in ("conv_id", "turn", "formatted", "attachments")), strict=True):
+                by = {a["place"]: a for a in attachments}
+                parts = [p for p in parse_parts(_TURN.fullmatch(text)[2], attachments) if p["kind"] != "text"]
+                found += [(c, turn, k, p["kind"], p["ref"], by[k]["tokens"]) for k, p in enumerate(parts, 1)]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(types)], [x.split()[0] for x in kinds.split(", ")])
+
+    small_batches(formatted.sparkSession)
+    each = F.sort_array(F.collect_list(F.struct("turn", "place", "kind", "ref", "tokens")))
+    line = lambda x: F.concat(x["kind"], F.lit(" "), x["ref"], F.lit(" "), x["tokens"].cast("string"), F.lit("\n"))
+    return formatted.mapInArrow(run, kinds).groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_attachments"), F.sum("tokens").alias("expanded_tokens"), F.sha2(F.array_join(F.transform(each, line), ""), 256).alias("attachments_sha256"))
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """One row per conversation, read from the formatted turns alone: digests of its turns and of its masked text.
 

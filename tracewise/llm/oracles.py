@@ -34,10 +34,15 @@ with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '')
 f as (select *, '### ' || replace({_escaped('role')}, ':', '\\:') || ': ' || {_escaped('text')} || '</turn>' || chr(10) as formatted from t),
 g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, formatted) as said,
              coalesce(string_agg(text, '' order by turn, formatted) filter (where role = 'assistant'), '') as loss,
-             sum(length(formatted)) as formatted_chars from f group by conv_id)
+             sum(length(formatted)) as formatted_chars from f group by conv_id),
+a as (select conv_id, turn, unnest(case when role = 'assistant' then [{{'kind': 'audio', 'place': 1, 'tokens': length(text)}}]
+             else [{{'kind': 'image', 'place': 1, 'tokens': length(text) % 50 + 1}}, {{'kind': 'document', 'place': 2, 'tokens': turn % 3 * 400}}] end) as x from t),
+h as (select conv_id, count(*) as n_attachments, cast(sum(x.tokens) as bigint) as expanded_tokens,
+             sha256(string_agg(x.kind || ' ' || x.kind || '-' || conv_id || '-' || turn || ' ' || x.tokens || chr(10), ''
+                               order by turn, x.place, x.kind, x.tokens)) as attachments_sha256 from a group by conv_id)
 select conv_id, n_turns, sha256(said) as turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256,
-       cast(formatted_chars as bigint) as formatted_chars, cast(0 as bigint) as n_attachments, cast(0 as bigint) as expanded_tokens
-from g"""
+       cast(formatted_chars as bigint) as formatted_chars, n_attachments, expanded_tokens, attachments_sha256
+from g join h using (conv_id)"""
 
 _SUBSTRING = f"""
 with d as (select doc_id, {_WORDS} as w from documents),

@@ -28,12 +28,21 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, and one (-7) whose texts hold control strings, formatted and read back from the output."""
+    """All conversations, and one (-7) whose texts hold control strings, formatted and read back from the output: once as they are, and
+    once with attachments derived from their turns, of which references and token counts are read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.sql(r"select cast(-7 as bigint) as conv_id, cast(turn as bigint) as turn, role, r'\### Assistant: </turn> ok' as text "
                        "from values (0, 'user'), (1, 'assistant') as t(turn, role)")
-    parts = turns.unionByName(tricky).select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))
-    return chat.read_back(chat.format_turns(parts))
+    turns = turns.unionByName(tricky)
+    told = chat.read_back(chat.format_turns(turns.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))))
+    # the same turns with typed parts: an image and a document behind what is asked, audio before what is answered
+    length, ref = F.length(F.coalesce("text", F.lit(""))), lambda kind: F.concat_ws("-", F.lit(kind), "conv_id", "turn")
+    text = chat.text_parts(F.col("text"))
+    asked = F.concat(text, F.array(chat.part("image", ref("image"), length % 50 * chat.PIXELS_A_TOKEN + 1), chat.part("document", ref("document"), F.col("turn") % 3)))
+    answered = F.concat(F.array(chat.part("audio", ref("audio"), length * chat.MS_A_TOKEN)), text)
+    parts = F.when(F.col("role") == chat.LOSS_ROLE, answered).otherwise(asked)
+    files = chat.attached(chat.format_turns(turns.select("conv_id", "turn", "role", parts.alias("parts"))))
+    return told.drop("n_attachments", "expanded_tokens").join(files, "conv_id")
 
 
 @query
