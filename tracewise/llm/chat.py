@@ -14,7 +14,8 @@ formatted turn, empty for others.
 Nulls: a null role or text is empty; a null list of parts has no parts; a null size counts as 0.  A turn of
 an unknown part kind raises.  Rows are formatted each for itself; ``read_back`` streams the turns of a conversation
 in order (turn, role, formatted text; null conversation ids form one conversation) and holds one turn at a time, so a
-conversation may be of any length.
+conversation may be of any length.  Repeated turns stand one after the other.  A long text is one row, held once as text and once formatted.
+An empty table gives an empty result.  Only the named columns are read, so further columns and their names don't matter.
 """
 
 from __future__ import annotations

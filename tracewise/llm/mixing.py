@@ -14,7 +14,8 @@ A document crossing the budget is taken where that brings the sum nearer to the
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order; null ids share
 one hash and are ranked by content.  Ties in key are broken by id, then size.  Repeated rows are rows
-of their own.  An empty table gives an empty result.
+of their own.  An empty table gives an empty result.  Texts are counted whole, in the JVM.  Only the named columns are read; ``carry``
+names must not be those of the result.
 """
 
 from __future__ import annotations

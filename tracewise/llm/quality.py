@@ -12,7 +12,8 @@ rows; a text of 300 words makes it 20 MB).  Scoring sends the model (WORDS x RAN
 
 Null or empty text: no words, statistics of an empty text; scored like any other.  Null metadata has its own
 feature.  Null labels don't train; several labels of one id are averaged.  Without both classes among the
-labels every score is the smoothed share of label 1.  Repeated rows are scored each for itself.
+labels every score is the smoothed share of label 1.  Repeated rows are scored each for itself.  Long texts
+are scored whole, block by block.  An empty table gives an empty result.  A column of the name that is added is replaced; others pass through.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ STRENGTH of the documents holds the accuracies near that start, so that a corpus
 not invent some; a rule that never trips on bad documents ends with good votes that weigh nothing.
 
 Nulls and empty texts: all counts 0, so ``base_failed``.  Repeated rows count as often as they stand.  An
-empty table fits the priors and gives an empty result.
+empty table fits the priors and gives an empty result.  A long text is one row's array of words.  ``keep`` names what comes back
+beside the result; other columns, whatever their names, are left behind.
 """
 
 from __future__ import annotations

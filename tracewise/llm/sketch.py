@@ -5,7 +5,9 @@ A fingerprint holds the ``K`` smallest distinct 60-bit hashes of a text's 5-word
 sketch of the whole; they estimate resemblance, containment and the number of distinct shingles.
 
 Case and spacing: words are taken as they stand.  Null text: as empty, an empty sketch.  Resemblance of two
-empty sketches is 1 (both sets are empty), of one empty sketch 0.
+empty sketches is 1 (both sets are empty), of one empty sketch 0.  ``fingerprints_with_edits`` reads the id and the text
+only, so further columns and their names don't matter; null ids come last, rows of one id stand in the order of their texts and repeated rows
+are rows each; a long text is one row's array of hashes; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ once, and a run of windows that occurs as a whole elsewhere occurs twice; the wi
 written out, each distinct run once with its weight, and counted with one Spark aggregation.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, compared as they stand.  Null or empty text: no words, nothing removed.  Texts shorter
-than a window stay whole.  Repeated rows are documents of their own, so they remove each other.  Null ids are kept.
+than a window stay whole.  Repeated rows are documents of their own, so they remove each other.  Null ids are kept.  Long texts are
+handled in pieces of whole documents (a longer one alone).  An empty table gives an empty result.  ``carry`` columns come back under their own
+names unless the result has one of that name; other columns are left behind.
 """
 
 from __future__ import annotations
