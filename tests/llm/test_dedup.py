@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tests.llm.helpers import SF001, edge_rows, frame, rows_of, sentence, words
-from tracewise.llm import blocks, minhash, substring, suffix
+from tracewise.llm import blocks, minhash, repeats, substring, suffix
 from tracewise.llm.components import components
 from tracewise.llm.queries import QUERIES
 
@@ -204,7 +204,10 @@ def test_seen_bytes(spark, edge, clashing):
     assert digest(suffix.remove_seen_bytes(clashing)) == want
 
 
-def test_seen_bytes_of_overlapping_random_texts(spark):
+@pytest.mark.parametrize("runs", [repeats.MOST_RUNS, 3, 0])
+def test_seen_bytes_of_overlapping_random_texts(spark, monkeypatch, runs):
+    """With few ``runs`` most anchors, or all, are hot."""
+    monkeypatch.setattr(repeats, "MOST_RUNS", runs)
     random.seed(12)
     pool = [sentence(k, 14) for k in range(6)]
     rows = [(k * 3 % 101, " ".join(random.choice(pool)[random.randint(0, 30):][: random.randint(20, 90)] for _ in range(random.randint(0, 8)))) for k in range(80)]

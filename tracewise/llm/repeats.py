@@ -17,7 +17,7 @@ a window:
 A window whose anchor occurs nowhere else occurs nowhere else, so nothing is lost.  Blocks are hash
 partitions of the documents (about ROWS_A_BLOCK rows and BYTES_A_BLOCK bytes); they are shuffled once and read three times.  Runs are compared by 40 + 56 bits
 of hash besides the bits of the bucket.  The longest thing that one task holds is a block,
-a bucket of records, or the excerpts of one anchor.
+a bucket of records, or the excerpts of an anchor that is not hot (of at most MOST_RUNS different runs).
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ from tracewise.llm.common import (U64, binaries, byte_symbols, mix, prefix_hash,
 
 ROWS_A_BLOCK, BYTES_A_BLOCK = 2048, 8 << 20
 PIECE_BYTES = 1 << 18
-ALL, BUT_FIRST, TELL, TWICE = 1, 2, 4, 8
+ALL, BUT_FIRST, TELL, TWICE, HOT = 1, 2, 4, 8, 16
+MOST_RUNS = 4096  # different runs of an anchor, beyond which it is hot
 NONE = np.int64(np.iinfo(np.int64).max)  # stands for a null id: after every other
 _LOW = U64((1 << 28) - 1)
 RECORD = np.dtype([("a", "u1", 5), ("u", "u1", 7), ("twice", "u1"), ("doc", "<i8")])
@@ -207,7 +208,8 @@ def _answer(search: Search) -> Callable[[pa.Table], pa.Table]:
         new_u = new_a | np.concatenate([[True], u[1:] != u[:-1]])
         run_no, anchor_no = np.cumsum(new_u) - 1, np.cumsum(new_a) - 1
         total = np.bincount(run_no, weights=twice)[run_no]
-        several = np.bincount(anchor_no[new_u])[anchor_no] > 1  # different runs share the anchor
+        different = np.bincount(anchor_no[new_u])[anchor_no]  # runs that share the anchor
+        several = different > 1
         what = np.zeros(len(a), np.uint8)
         if search.smaller:
             least = doc[np.flatnonzero(new_u)][run_no]
@@ -217,6 +219,7 @@ def _answer(search: Search) -> Callable[[pa.Table], pa.Table]:
             what[total > 1] |= ALL
         what[new_u & several] |= TELL
         what[new_u & several & (total > 1)] |= TWICE
+        what[new_u & (different > MOST_RUNS)] |= HOT
         say = np.flatnonzero(what)
         say = say[np.argsort(owner[say], kind="stable")]
         rep = np.zeros(len(say), REPLY)
@@ -289,7 +292,7 @@ def _excerpts(search: Search, write: Callable[[int, np.ndarray, list[tuple]], pa
             tell = tell[np.sort(np.unique(run_ids[tell], return_index=True)[1])]
             tell = tell[[r not in seen for r in run_ids[tell].tolist()]]
             seen.update(run_ids[tell].tolist())
-            chosen.append((x, hot[tell], run_ids[tell], (what[tell] & TWICE) > 0, ids[x.doc[hot[tell]]]))
+            chosen.append((x, hot[tell], run_ids[tell], what[tell], ids[x.doc[hot[tell]]]))
         return write(docs.column("block")[0].as_py() if len(docs) else 0, data, chosen)
 
     return run

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.llm.common import binaries, prefix_hash, range_hash
-from tracewise.llm.repeats import PART, Search, repeated
+from tracewise.llm.repeats import PART, TWICE, Search, repeated
 
 WINDOW = 35
 GRAM = 8
@@ -34,11 +34,11 @@ WINDOWS = "hash long, weight int, block int, run long, at int"
 def _window_hashes(search: Search) -> Callable[[int, np.ndarray, list[tuple]], pa.Table]:
     def write(block: int, data: np.ndarray, chosen: list[tuple]) -> pa.Table:
         cols: list[list[np.ndarray]] = [[], [], [], []]
-        for x, runs, ids, twice, _ in chosen:
+        for x, runs, ids, what, _ in chosen:
             n = x.last[runs] - x.first[runs] + 1
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             p = np.repeat(x.first[runs], n) + at
-            values = (range_hash(prefix_hash(x.symbols), p, p + search.window).view(np.int64), np.repeat(1 + twice, n), np.repeat(ids.view(np.int64), n), at)
+            values = (range_hash(prefix_hash(x.symbols), p, p + search.window).view(np.int64), np.repeat(1 + ((what & TWICE) > 0), n), np.repeat(ids.view(np.int64), n), at)
             for c, v in zip(cols, values, strict=True):
                 c.append(v)
         hashes, weight, run, at = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)

@@ -10,7 +10,9 @@ of what is left of its group.  No names are given anew and nothing recurses.
 ``remove_seen_bytes`` finds repeated 50-byte strings with ``repeats``: runs that repeat as a whole are known by hash;
 around the anchors that occur in different runs, the distinct runs are cut out and gathered by anchor.  What no other run of
 the anchor shares is trimmed off both ends (lengths from sorted neighbours), and the suffix array of the remaining distinct
-strings puts equal 50-byte strings side by side, where the smallest document id among them decides.
+strings puts equal 50-byte strings side by side, where the smallest document id among them decides.  An anchor of more than
+``repeats.MOST_RUNS`` different runs (a phrase that stands in very many contexts) is too much for one task: its excerpts' 50-byte strings
+are told apart by hash instead, and Spark finds the smallest id of each.
 
 Texts are UTF-8 bytes; null: empty.  Matches never cross documents.  Rows with equal ids (repeated rows) don't remove each
 other; null ids come after all others.  An empty table gives an empty result.
@@ -18,19 +20,20 @@ other; null ids come after all others.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.llm.common import binaries
-from tracewise.llm.repeats import PART, Search, _slices, repeated
+from tracewise.llm.common import binaries, byte_symbols, prefix_hash, range_hash
+from tracewise.llm.repeats import HOT, PART, Search, _slices, repeated
 
 LENGTH = 50
 GRAM = 20
-EXCERPTS = "anchor long, block int, run long, doc long, ahead int, bytes binary"
+EXCERPTS = "anchor long, block int, run long, doc long, ahead int, hot boolean, bytes binary"
 
 
 def suffix_array(text: Sequence[int]) -> list[int]:
@@ -110,18 +113,19 @@ def _split_later(by_copies: dict[int, dict[int, list[int]]], copies: int, group:
 
 def _write(block: int, data: np.ndarray, chosen: list[tuple]) -> pa.Table:
     """The chosen runs' bytes, from their first window's start to their last one's end."""
-    cols: dict[str, list] = {k: [] for k in ("anchor", "run", "doc", "ahead", "bytes")}
-    for x, runs, ids, _, doc in chosen:
+    cols: dict[str, list] = {k: [] for k in ("anchor", "run", "doc", "ahead", "hot", "bytes")}
+    for x, runs, ids, what, doc in chosen:
         lo, hi = x.begin(x.first[runs]), x.finish(x.last[runs] + LENGTH - 1)
         cols["anchor"].append(x.anchor[runs].view(np.int64))
         cols["run"].append(ids.view(np.int64))
         cols["doc"].append(doc)
         cols["ahead"].append(x.place[runs] - x.first[runs])
+        cols["hot"].append((what & HOT) > 0)
         cols["bytes"].extend(data[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True))
     join = lambda k: np.concatenate(cols[k]) if cols[k] else np.zeros(0, np.int64)
     return pa.table({"anchor": pa.array(join("anchor"), pa.int64()), "block": pa.array(np.full(len(cols["bytes"]), block), pa.int32()),
                      "run": pa.array(join("run"), pa.int64()), "doc": pa.array(join("doc"), pa.int64()),
-                     "ahead": pa.array(join("ahead"), pa.int32()), "bytes": binaries(cols["bytes"])})
+                     "ahead": pa.array(join("ahead"), pa.int32()), "hot": pa.array(join("hot").astype(bool)), "bytes": binaries(cols["bytes"])})
 
 
 def _shared(columns: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -146,6 +150,7 @@ def _shared(columns: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> np.nda
 
 def _common(table: pa.Table) -> pa.Table:
     """Of each excerpt's windows, those that a smaller document has: (block, run, first, last) stretches."""
+    table = table.filter(pa.compute.invert(table.column("hot"))).combine_chunks()
     anchor, doc = table.column("anchor").to_numpy(), table.column("doc").to_numpy()
     ahead = table.column("ahead").to_numpy().astype(np.int64)
     blobs = table.column("bytes").to_pylist()
@@ -235,9 +240,30 @@ def _pack(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block").slice(0, 1), "parts": binaries([out.tobytes()])})
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of the excerpts of hot anchors."""
+    for b in batches:
+        b = b.filter(b.column(b.schema.get_field_index("hot")))
+        blobs = b.column(b.schema.get_field_index("bytes")).to_pylist()
+        size = np.array([len(x) for x in blobs], np.int64)
+        n = size - (LENGTH - 1)
+        row = np.repeat(np.arange(len(blobs)), n)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        pre = prefix_hash(byte_symbols(np.frombuffer(b"".join(blobs), np.uint8)))
+        start = (np.cumsum(size) - size)[row] + at
+        of = lambda c: b.column(b.schema.get_field_index(c)).take(pa.array(row))  # noqa: E731,B023
+        yield pa.RecordBatch.from_arrays([pa.array(range_hash(pre, start, start + LENGTH).view(np.int64)), of("doc"), of("block"), of("run"), pa.array(at.astype(np.int32))],
+                                         ["hash", "doc", "block", "run", "first"])
+
+
 def _resolve(excerpts: DataFrame, blocks: int) -> DataFrame:
-    found = excerpts.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).cast("int")).groupBy("bucket").applyInArrow(
-        _common, "block int, run long, first int, last int")
+    # one shuffle that both ways read: the tasks pick the excerpts that are theirs
+    dealt = excerpts.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).cast("int")).repartition(blocks, "bucket")
+    found = dealt.groupBy("bucket").applyInArrow(_common, "block int, run long, first int, last int")
+    windows = dealt.mapInArrow(_windows, "hash long, doc long, block int, run long, first int").repartition(blocks, "hash")
+    least = windows.groupBy("hash").agg(F.min("doc").alias("least"))
+    hot = windows.join(least, "hash").filter("doc > least").select("block", "run", "first", F.col("first").alias("last"))
+    found = found.unionByName(hot)
     return found.groupBy("block").applyInArrow(_pack, "block int, parts binary")
 
 
