@@ -1,12 +1,14 @@
-"""List SURVEY §2 operator ids and where each is covered.
+"""List SURVEY §2 operator ids and where each is covered, as derived from calls.
 
-registered  – a key in ``queries()`` names the id (with or without oracle)
-library     – implemented and unit-tested, not a registered query
-missing     – not built yet
+The library functions that a registered query reaches are found in the syntax trees of the package (calls of functions and classes by
+name, through imports and helpers, to any depth).  An id counts as ``called`` when the docstring of a reached function, or of the
+module section that defines it (its ``# ---`` heading), names it, and as ``tag only`` when no more than the query's tag names it.
 """
 
 from __future__ import annotations
 
+import ast
+import glob
 import os
 import re
 import sys
@@ -14,11 +16,9 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-from tracewise.plans import OPERATORS, ORACLES  # noqa: E402
+from tracewise.plans import OPERATORS, ORACLES, QUERIES  # noqa: E402
 
-LIBRARY = {
-    "Q1": "synth.synthetic_chains",
-}
+ID = re.compile(r"\b([A-Z]{1,2})(\d+)(?:\s*[–-]\s*\1?(\d+))?\b")
 
 
 def survey_ids() -> list[str]:
@@ -27,23 +27,73 @@ def survey_ids() -> list[str]:
     return re.findall(r"^\| ([A-Z]+\d+) \|", sec, flags=re.M)
 
 
+def ids_in(text: str) -> set[str]:
+    return {f"{a}{k}" for a, lo, hi in ID.findall(text) for k in range(int(lo), int(hi or lo) + 1)}
+
+
+class Package(ast.NodeVisitor):
+    """Functions and classes of the package: where each is, what it names, and which ids stand in its docstring or heading."""
+
+    def __init__(self):
+        self.uses: dict[str, set[str]] = {}
+        self.ids: dict[str, set[str]] = {}
+        for path in glob.glob(f"{ROOT}/tracewise/**/*.py", recursive=True):
+            if "/llm/" not in path:
+                self.read(path)
+
+    def read(self, path: str) -> None:
+        module = os.path.relpath(path, ROOT)[:-3].replace("/", ".").removesuffix(".__init__")
+        source = open(path).read()
+        tree, names = ast.parse(source), {}
+        headings = [(source[: m.start()].count("\n"), ids_in(m[0])) for m in re.finditer(r"^# [^\n]*\d[^\n]*$", source, re.M)]
+        for node in ast.walk(tree):
+            if isinstance(node, ast.ImportFrom) and (node.module or "").startswith("tracewise"):
+                names |= {a.asname or a.name: f"{node.module}.{a.name}" for a in node.names}
+        names |= {n.name: f"{module}.{n.name}" for n in tree.body if isinstance(n, (ast.FunctionDef, ast.ClassDef))}
+        for n in tree.body:
+            if not isinstance(n, (ast.FunctionDef, ast.ClassDef)):
+                continue
+            used = set()
+            for x in ast.walk(n):
+                if isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name) and x.value.id in names:
+                    used.add(f"{names[x.value.id]}.{x.attr}")
+                elif isinstance(x, ast.Name) and x.id in names:
+                    used.add(names[x.id])
+            key = f"{module}.{n.name}"
+            above = [h for at, h in headings if at < n.lineno]
+            self.uses[key] = used - {key}
+            self.ids[key] = ids_in(ast.get_docstring(n) or "") | (above[-1] if above else set())
+
+    def reached(self, start: str) -> set[str]:
+        seen, todo = set(), [start]
+        while todo:
+            k = todo.pop()
+            if k in self.uses and k not in seen:
+                seen.add(k)
+                todo.extend(self.uses[k])
+        return seen
+
+
 def main() -> None:
-    by_id: dict[str, list[str]] = {}
-    for key, ops in OPERATORS.items():
-        for op in ops.split():
-            by_id.setdefault(op, []).append(key)
-    missing = []
+    package, called, tagged = Package(), {}, {}
+    for key, fn in QUERIES.items():
+        library = {f for f in package.reached(f"{fn.__module__}.{fn.__qualname__.split(chr(46))[0]}") if not f.startswith("tracewise.plans")}
+        for op in set().union(*(package.ids[f] for f in library)) if library else set():
+            called.setdefault(op, set()).add(key)
+        for op in OPERATORS[key].split():
+            tagged.setdefault(op, set()).add(key)
+    missing, only = [], []
     for op in survey_ids():
-        keys = by_id.get(op)
+        keys = called.get(op, set()) & tagged.get(op, set())
         if keys:
-            tag = "oracle" if any(k in ORACLES for k in keys) else "rows-only"
-            print(f"{op:6} registered ({tag}): {', '.join(sorted(keys))}")
-        elif op in LIBRARY:
-            print(f"{op:6} library: {LIBRARY[op]}")
+            print(f"{op:6} called ({'oracle' if any(k in ORACLES for k in keys) else 'rows-only'}): {', '.join(sorted(keys))}")
+        elif op in tagged:
+            only.append(op)
+            print(f"{op:6} tag only: {', '.join(sorted(tagged[op]))}")
         else:
             missing.append(op)
-            print(f"{op:6} MISSING")
-    print(f"\n{len(survey_ids())} ids, {len(missing)} missing: {' '.join(missing)}")
+            print(f"{op:6} not registered")
+    print(f"\n{len(survey_ids())} ids; tag only: {' '.join(only) or '-'}; not registered: {' '.join(missing) or '-'}")
 
 
 if __name__ == "__main__":

@@ -37,7 +37,7 @@ def _with_weights(votes: DataFrame, weights: DataFrame | None) -> DataFrame:
 
 
 def majority_vote(votes: DataFrame) -> DataFrame:
-    """M2: pred = correct votes > wrong votes (tie -> false); agreement = max/n."""
+    """M2 + M7: pred = correct votes > wrong votes (tie -> false); agreement = max/n, for all chains at once."""
     g = votes.groupBy("chain_id", "idx").agg(F.sum(F.col("pred").cast("int")).alias("c"),
                                               F.count(F.lit(1)).alias("n"))
     return g.select("chain_id", "idx", (F.col("c") > F.col("n") - F.col("c")).alias("pred"),
