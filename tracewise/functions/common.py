@@ -19,6 +19,9 @@ PY_WS_CHARS = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
                r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 PY_WS = f"[{PY_WS_CHARS}]"
 PY_NON_WS = f"[^{PY_WS_CHARS}]"
+# the same set as plain characters, for functions that take no pattern
+WS_LIST = "".join(chr(c) for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                   0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -36,18 +39,20 @@ def r6(x) -> Column:
 
 def strip_ws(x) -> Column:
     """Python ``str.strip()``: cut Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(x), f"^{PY_WS}+|{PY_WS}+$", "")
+    return F.btrim(_c(x), F.lit(WS_LIST))
 
 
 def words(x) -> Column:
-    """Python ``str.split()``: whitespace-separated tokens, no empties."""
-    return F.filter(F.split(_c(x), f"{PY_WS}+"), lambda w: w != "")
+    """Python ``str.split()``: whitespace-separated tokens, no empties (one
+    pass maps all whitespace to blanks, a plain split follows)."""
+    return F.array_remove(F.split(F.translate(_c(x), WS_LIST, " " * len(WS_LIST)), " "), "")
 
 
 def substr_count(x, needle: str) -> Column:
     """Non-overlapping count of ``needle`` in ``x`` (Python ``str.count``)."""
     s = _c(x)
-    return ((F.length(s) - F.length(F.replace(s, F.lit(needle), F.lit("")))) / F.lit(len(needle))).cast("long")
+    gone = F.octet_length(s) - F.octet_length(F.replace(s, F.lit(needle), F.lit("")))
+    return (gone / F.lit(len(needle.encode()))).cast("long")
 
 
 def hash_key(id_col, seed: int = 42) -> Column:

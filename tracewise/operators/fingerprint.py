@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewise.functions.common import PY_NON_WS, PY_WS, r6, safe_div, substr_count, words
+from tracewise.functions.common import PY_NON_WS, PY_WS, r6, safe_div, strip_ws, substr_count, words
 
 # Fixed values (reference word lists, in the reference's order).
 HEDGE_WORDS = ["maybe", "perhaps", "possibly", "likely", "probably", "might", "could", "may", "seem",
@@ -60,29 +60,29 @@ def concat_steps(steps: DataFrame) -> DataFrame:
 
 
 def step_measures(steps: DataFrame) -> DataFrame:
-    """Per-step quantities every chain feature is summed from."""
+    """Per-step quantities every chain feature is summed from.  Texts are read
+    before the shuffle: the window that tells the last step and the sentence
+    group gets numbers and flags only."""
     w = Window.partitionBy("chain_id").orderBy("idx")
-    low = F.lower(F.col("text"))
-    ws = words(low)
-    pieces = F.split(F.col("text"), "[.!?]+", -1)
+    deps = F.coalesce(F.size("depends_on"), F.lit(0)) if "depends_on" in steps.columns else F.when(F.col("idx") > 0, 1).otherwise(0)
+    # columns of their own, so that each is computed once
+    texts = steps.select("chain_id", "idx", "text", deps.alias("n_deps"), F.lower("text").alias("_low")).withColumns({
+        "_words": words("_low"), "_pieces": F.split(F.col("text"), "[.!?]+", -1), "_stripped": strip_ws("text")})
+    low, ws, pieces, stripped = (F.col(c) for c in ("_low", "_words", "_pieces", "_stripped"))
     m = F.size(pieces) - 1
     nonblank = (lambda p: p.rlike(PY_NON_WS))
     inner = F.when(m >= 2, F.size(F.filter(F.slice(pieces, 2, F.greatest(m - 1, F.lit(1))), nonblank))).otherwise(0)
-    deps = F.coalesce(F.size("depends_on"), F.lit(0)) if "depends_on" in steps.columns else F.when(F.col("idx") > 0, 1).otherwise(0)
-    stripped = F.regexp_replace(F.col("text"), f"^{PY_WS}+|{PY_WS}+$", "")
-    steps = steps.withColumn("_is_last", F.lead("idx").over(w).isNull())
-    is_last = F.col("_is_last")
-    return steps.select(
-        "chain_id", "idx",
+    own = texts.select(
+        "chain_id", "idx", "n_deps",
         F.size(ws).alias("n_words"),
-        F.aggregate(ws, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x)).alias("sum_wlen"),
+        F.length(F.array_join(ws, "")).cast("long").alias("sum_wlen"),
         F.size(F.filter(ws, lambda x: F.length(x) > 8)).alias("n_long"),
         F.length("text").alias("n_chars"),
         F.regexp_count(F.col("text"), F.lit("[,;:!?]")).alias("n_punct"),
         substr_count(F.col("text"), "?").alias("n_q"),
         _count_all(low, EXPLANATION_MARKERS).alias("n_expl"),
-        (_count_all(low, FIRST_PERSON) + F.when(is_last, 0).otherwise(_boundary(low, FIRST_PERSON))).alias("n_fp"),
-        (_count_all(low, PASSIVE_MARKERS) + F.when(is_last, 0).otherwise(_boundary(low, PASSIVE_MARKERS))).alias("n_pass"),
+        _count_all(low, FIRST_PERSON).alias("_fp"), _boundary(low, FIRST_PERSON).alias("_fp_join"),
+        _count_all(low, PASSIVE_MARKERS).alias("_pass"), _boundary(low, PASSIVE_MARKERS).alias("_pass_join"),
         _count_all(low, HEDGE_WORDS).alias("n_hedge"),
         _count_all(low, CONFIDENCE_HIGH).alias("n_high"),
         _count_all(low, CONFIDENCE_LOW).alias("n_low"),
@@ -91,13 +91,16 @@ def step_measures(steps: DataFrame) -> DataFrame:
         (substr_count(F.col("text"), "```") + substr_count(F.col("text"), "`")).alias("n_code"),
         (substr_count(F.col("text"), "$") + substr_count(F.col("text"), "=") + substr_count(F.col("text"), "+")
          + substr_count(F.col("text"), "*")).alias("n_math"),
-        deps.alias("n_deps"),
         # sentence pieces
         m.alias("_m"), inner.alias("_inner"),
         nonblank(F.element_at(pieces, 1)).alias("_first"), nonblank(F.element_at(pieces, -1)).alias("_last"),
-        F.coalesce(F.sum(F.when(m > 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_g"),
     )
+    is_last = F.lead("idx").over(w).isNull()
+    opened = F.sum(F.when(F.col("_m") > 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumns({"_is_last": is_last, "_g": F.coalesce(opened, F.lit(0))})
+    joined = lambda n, at_join: F.col(n) + F.when(F.col("_is_last"), 0).otherwise(F.col(at_join))
+    return own.withColumns({"n_fp": joined("_fp", "_fp_join"), "n_pass": joined("_pass", "_pass_join")}).drop(
+        "_fp", "_fp_join", "_pass", "_pass_join", "_is_last")
 
 
 SUMMED = ["n_words", "sum_wlen", "n_long", "n_chars", "n_punct", "n_q", "n_expl", "n_fp", "n_pass", "n_hedge", "n_high", "n_low",
