@@ -172,3 +172,32 @@ def test_a_micro_batch_costs_its_own_rows(spark):
     out = list(p.handleExpiredTimer((7,), _Times(100 * hour), None))
     assert len(out[0]) == 2 and _Map.touched < 60 and min(handle.timers - {100 * hour}) == 101 * hour
     assert len(list(p.handleExpiredTimer((7,), _Times(200 * hour), None))[0]) == 100_001
+
+
+def test_a_micro_batch_is_one_chunk_however_many_slots_it_has(spark):
+    import pandas as pd
+
+    handle, p = _Handle(), S.ChainProcessor("step")
+    p.init(handle)
+    hour = p.SLOT_MS
+    frame = pd.DataFrame({"ts": pd.to_datetime([k * hour + 1 for k in range(70)], unit="ms"), "event_id": range(70), "chain_id": 1, "is_correct": True, "risk": 0.5, "command": None, "target": None})
+    list(p.handleInputRows((7,), iter([frame]), _Times(0)))
+    assert len(p.chunks) == 1 and handle.timers == {hour}
+    # slots that are not over go back, under the first of them
+    out = list(p.handleExpiredTimer((7,), _Times(3 * hour), None))
+    assert len(out[0]) == 3 and [k[0] for k in p.chunks] == [3 * hour] and 4 * hour in handle.timers
+    assert len(list(p.handleExpiredTimer((7,), _Times(99 * hour), None))[0]) == 67 and not p.chunks
+
+
+def test_a_new_conversation_reads_no_names(spark):
+    import pandas as pd
+
+    class _Unread(_Map):
+        def containsKey(self, k):
+            raise AssertionError("read")
+
+    p = S.MemoryProcessor(1000)
+    p.init(_Handle())
+    p.names = _Unread()
+    frame = pd.DataFrame({"ts": pd.to_datetime([1, 2], unit="ms"), "turn": [0, 1], "step_idx": 0, "pk": 0, "pm": 0, "vkey": ["n:1", "n:2"], "value": ["1", "2"], "kind": "entity", "key": "x"})
+    assert len(list(p.handleInputRows((7,), iter([frame]), _Times(0)))[0]) == 1

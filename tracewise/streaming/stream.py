@@ -225,22 +225,18 @@ def _fold(c: dict, event_id: int, ok: bool, risk: float | None) -> tuple:
 
 
 def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
-    table = pd.DataFrame(rows, columns=schema.names)
-    for f in schema.fields:
-        if isinstance(f.dataType, T.LongType):
-            table[f.name] = table[f.name].astype("Int64")
-        elif isinstance(f.dataType, T.DoubleType):
-            table[f.name] = table[f.name].astype("float64")
-    return table
+    kinds = {T.LongType: "Int64", T.DoubleType: "float64"}
+    return pd.DataFrame({f.name: pd.Series(list(c), dtype=kinds.get(type(f.dataType), object)) for f, c in zip(schema.fields, zip(*rows, strict=True), strict=True)})
 
 
 class ChainProcessor(StatefulProcessor):
     """The chains of a user.
 
-    State: ``chunks`` - the waiting rows of a slot (SLOT_MS of event time) that one micro-batch brought, never rewritten; ``batch`` -
-    the number of the next micro-batch; ``chains`` - the counters of the live chains; ``wake`` - the timer that is set.  A
-    micro-batch writes one chunk a slot that it has rows of; when the watermark has passed a slot, its rows are folded in order
-    and its chunks go.  ``output``: "chain" (a summary at its end), "step" (a status row a step) or "life" (a row a command).
+    State: ``chunks`` - the waiting rows that one micro-batch brought, under their first slot (SLOT_MS of event time); ``mark`` -
+    the number of the next micro-batch and the timer that is set; ``chains`` - the counters of the live chains.  A micro-batch
+    writes one chunk; when the watermark has passed a slot, its rows are folded in order, and what a chunk holds of later slots
+    goes back under the first of them.  ``output``: "chain" (a summary at its end), "step" (a status row a step) or "life" (a row a
+    command).
     """
 
     SLOT_MS = 3_600_000
@@ -252,62 +248,74 @@ class ChainProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.chunks = handle.getMapState("chunks", "slot long, batch long", _CHUNK)
-        self.batch = handle.getValueState("batch", "number long")
+        self.mark = handle.getValueState("mark", "number long, wake long")
         self.chains = handle.getMapState("chains", "chain_id long", _CHAIN)
-        self.wake = handle.getValueState("wake", "ms long")
+
+    def _slot(self, row: tuple) -> int:
+        return row[0] // 1000 // self.SLOT_MS * self.SLOT_MS
 
     def handleInputRows(self, key, rows, timerValues):
-        number = self.batch.get()[0] if self.batch.exists() else 0
-        held: dict[int, list[tuple]] = {}
+        number, wake = self.mark.get() if self.mark.exists() else (0, None)
+        held: list[tuple] = []
         for table in rows:
             us = table["ts"].astype("datetime64[us]").astype("int64").tolist()
-            of = lambda c: table[c].astype(object).where(table[c].notna(), None).tolist()  # noqa: E731,B023
+            of = lambda c: [None if x is None or x != x else x for x in table[c].tolist()]  # noqa: E731,B023
             whole = lambda c: [None if x is None else int(x) for x in of(c)]  # noqa: E731,B023  a column with nulls comes as floats
-            for row in zip(us, whole("event_id"), whole("chain_id"), of("is_correct"), of("risk"), of("command"), whole("target"), strict=True):
-                held.setdefault(row[0] // 1000 // self.SLOT_MS * self.SLOT_MS, []).append(row)
-        for slot, waiting in held.items():
-            self.chunks.updateValue((slot, number), tuple(map(list, zip(*waiting, strict=True))))
-        self.batch.update((number + 1,))
-        self._sleep(min(held) + self.SLOT_MS)
+            held.extend(zip(us, whole("event_id"), whole("chain_id"), of("is_correct"), of("risk"), of("command"), whole("target"), strict=True))
+        first = self._keep(held, number)
+        self.mark.update((number + 1, self._sleep(first + self.SLOT_MS, wake)))
         return iter(())
 
+    def _keep(self, rows: list[tuple], number: int) -> int:
+        """Writes the rows as one chunk; returns their first slot."""
+        first = min(map(self._slot, rows))
+        self.chunks.updateValue((first, number), tuple(map(list, zip(*rows, strict=True))))
+        return first
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
-        self.wake.clear()
+        number = self.mark.get()[0]
         self.live = {c: list(v) for (c,), v in self.chains.iterator()}
-        before = set(self.live)
-        waiting = list(self.chunks.keys())
+        before = {c: list(v) for c, v in self.live.items()}
+        waiting = [tuple(k) for k in self.chunks.keys()]
         due = [k for k in waiting if k[0] + self.SLOT_MS <= now]
+        slots = [k[0] for k in waiting if k[0] + self.SLOT_MS > now]
         if len(due) == len(waiting):
-            held = [row for _, chunk in self.chunks.iterator() for row in zip(*chunk, strict=True)]
+            chunks = [(tuple(k), chunk) for k, chunk in self.chunks.iterator()]
             self.chunks.clear()
         else:
-            held = []
+            chunks = [(k, self.chunks.getValue(k)) for k in due]
             for k in due:
-                held.extend(zip(*self.chunks.getValue(tuple(k)), strict=True))
-                self.chunks.removeKey(tuple(k))
+                self.chunks.removeKey(k)
+        held: list[tuple] = []
+        for k, chunk in chunks:
+            rows = list(zip(*chunk, strict=True))
+            later = [r for r in rows if self._slot(r) + self.SLOT_MS > now]
+            held.extend(r for r in rows if self._slot(r) + self.SLOT_MS <= now)
+            if later:
+                slots.append(self._keep(later, k[1]))
         out: list[tuple] = []
         for row in sorted(held, key=lambda r: (r[0], r[1])):
             self._fold_row(key[0], row, out)
         self._close(now, out)
         for c, v in self.live.items():
-            self.chains.updateValue((c,), tuple(v))
-        for c in before - set(self.live):
-            self.chains.removeKey((c,))
-        later = [k[0] + self.SLOT_MS for k in waiting if k[0] + self.SLOT_MS > now] + [v[0] for v in self.live.values()]
-        if later:
-            self._sleep(min(later))
+            if before.get(c) != v:
+                self.chains.updateValue((c,), tuple(v))
+        for c in before:
+            if c not in self.live:
+                self.chains.removeKey((c,))
+        ahead = [s + self.SLOT_MS for s in slots] + [v[0] for v in self.live.values()]
+        self.mark.update((number, self._sleep(min(ahead), None) if ahead else None))
         return iter([_frame(out, self.FIELDS[self.output])] if out else [])
 
-    def _sleep(self, until: int) -> None:
-        """Sets the timer to ``until`` unless it is set to an earlier time."""
-        if self.wake.exists():
-            at = self.wake.get()[0]
-            if at <= until:
-                return
-            self.handle.deleteTimer(at)
+    def _sleep(self, until: int, wake: int | None) -> int:
+        """Sets the timer to ``until`` unless it is set to an earlier time (``wake``); returns when it is set to."""
+        if wake is not None:
+            if wake <= until:
+                return wake
+            self.handle.deleteTimer(wake)
         self.handle.registerTimer(until)
-        self.wake.update((until,))
+        return until
 
     def _close(self, ms: int, out: list[tuple]) -> None:
         """Chains whose day is over at this time."""
@@ -424,13 +432,16 @@ class MemoryProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         table = pd.concat(list(rows), ignore_index=True)
         latest = int(table["ts"].astype("datetime64[us]").astype("int64").max()) // 1000
-        if self.last.exists():
+        seen = self.last.exists()
+        if seen:
             before, timer = self.last.get()
             self.handle.deleteTimer(timer)
             latest = max(latest, before)
         rows_ = table[["turn", "step_idx", "pk", "pm", "vkey", "value", "kind", "key"]].values.tolist()
         rows_.sort(key=lambda r: (r[0], r[1], r[2], r[3]))
-        known = {n: self._read(n) for n in {(r[6], r[7]) for r in rows_}}
+        # a conversation that is new, or forgotten, has no names to read
+        known = {n: self._read(n) if seen else (None, None) for n in {(r[6], r[7]) for r in rows_}}
+        held = dict(known)
         out, at = [], 0
         while at < len(rows_):
             turn, end = rows_[at][0], at
@@ -444,7 +455,8 @@ class MemoryProcessor(StatefulProcessor):
                 known[r[6], r[7]] = _remember(*known[r[6], r[7]], list(r[:6]))
             at = end
         for n, (first, second) in known.items():
-            self.names.updateValue(n, (*first, *(second or [None] * 6)))
+            if held[n] != (first, second):
+                self.names.updateValue(n, (*first, *(second or [None] * 6)))
         timer = max(latest + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1)
         self.handle.registerTimer(timer)
         self.last.update((latest, timer))
