@@ -21,3 +21,29 @@ def test_words_and_strip_know_all_whitespace(spark):
     text = f"{common.WS_LIST}Ab{common.WS_LIST}c{common.WS_LIST}"
     row = spark.createDataFrame([(text,), (common.WS_LIST,), ("",), (None,)], "t string").select(common.words("t"), common.strip_ws("t"), common.substr_count("t", "　")).collect()
     assert [tuple(r) for r in row] == [(["Ab", "c"], text.strip(), 3), ([], "", 1), ([], "", 0), (None, None, None)]
+
+
+def test_metrics_predict_each_row_once(spark):
+    from tracewise.operators import classify
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def guess(x):
+        calls.add(1)
+        return x
+
+    rows = spark.createDataFrame([("a",), ("b",), ("a",)], "label_name string")
+    pred = rows.select("label_name", F.udf(guess, "string")("label_name").alias("predicted"))
+    assert classify.multiclass_metrics(pred).filter("cls = 'accuracy'").first().precision == 1.0
+    assert calls.value == 3
+
+
+def test_forest_is_fitted_on_no_more_partitions_than_tasks_run(spark, monkeypatch):
+    from tracewise.operators import classify
+
+    class Fit:
+        def fit(self, train):
+            return train.rdd.getNumPartitions()
+
+    monkeypatch.setattr(classify, "pipeline", lambda **_: Fit())
+    assert classify.fit(spark.range(1000).repartition(97)) <= spark.sparkContext.defaultParallelism
