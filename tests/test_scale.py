@@ -47,3 +47,24 @@ def test_forest_is_fitted_on_no_more_partitions_than_tasks_run(spark, monkeypatc
 
     monkeypatch.setattr(classify, "pipeline", lambda **_: Fit())
     assert classify.fit(spark.range(1000).repartition(97)) <= spark.sparkContext.defaultParallelism
+
+
+def _long_tables(spark):
+    steps = spark.createDataFrame([(1, 0, 0, True, False, []), (1, 1, 0, False, True, [0]), (2, 0, 5, True, True, [9]), (2, 1, 3, False, True, [5]),
+                                   (3, 0, None, True, False, []), (4, 0, 0, True, False, [None])],
+                                  "chain_id long, idx long, step_id long, is_correct boolean, is_origin boolean, depends_on array<long>")
+    nodes = spark.createDataFrame([(1, 0), (2, 5), (3, None), (4, 0)], "chain_id long, node long")
+    edges = spark.createDataFrame([(1, [0, 0]), (2, [5, 3]), (2, [8, 9]), (3, [None, 0]), (4, [0]), (4, [0, 0])], "chain_id long, edge array<long>")
+    return steps, nodes, edges
+
+
+def test_messages_of_each_rule_with_nulls_and_repeats(spark):
+    from tracewise.operators import validate
+
+    messages = validate.validation_messages(*_long_tables(spark))
+    got = sorted((r.chain_id, r.rule) for r in messages.collect())
+    assert got == sorted([(1, "duplicate_step_ids"), (3, "duplicate_step_ids"), (2, "unsorted_step_ids"), (2, "multiple_origins"), (2, "origin_marked_correct"),
+                          (2, "nodes_mismatch"), (3, "nodes_mismatch"), (4, "invalid_edge_format"), (2, "edge_invalid_node"), (2, "edge_invalid_node"),
+                          (3, "edge_invalid_node"), (2, "invalid_dependency"), (4, "invalid_dependency")])
+    plan = _plan(messages)
+    assert "count(distinct" not in plan and "LeftAnti" not in plan

@@ -36,54 +36,73 @@ def validation_messages(steps: DataFrame, nodes: DataFrame, edges: DataFrame) ->
     """V1: one row per (chain_id, rule, message)."""
     w = Window.partitionBy("chain_id").orderBy("idx")
     per_step = steps.select(
-        "chain_id", "idx", "step_id", "is_correct", "is_origin",
+        "chain_id", "idx", "step_id", "is_origin",
         F.lag("step_id").over(w).alias("_prev_id"),
     )
     per_chain = per_step.groupBy("chain_id").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.countDistinct("step_id").alias("_nd"),
         F.max(F.when(F.col("step_id") < F.col("_prev_id"), 1).otherwise(0)).alias("_unsorted"),
-        F.sum(F.col("is_origin").cast("int")).alias("_n_origin"),
         F.array_sort(F.collect_list(F.when(F.col("is_origin"), F.struct("idx", "step_id")))).alias("_origins"),
     )
-    dup = per_chain.filter(F.col("_n") != F.col("_nd")).select(
-        "chain_id", F.lit("duplicate_step_ids").alias("rule"), F.lit(MSG_DUPLICATE).alias("message"))
-    unsorted = per_chain.filter(F.col("_unsorted") == 1).select(
-        "chain_id", F.lit("unsorted_step_ids").alias("rule"), F.lit(MSG_UNSORTED).alias("message"))
-    multi = per_chain.filter(F.col("_n_origin") > 1).select(
-        "chain_id", F.lit("multiple_origins").alias("rule"),
-        F.concat(F.lit("Multiple origin steps found: "),
-                 _list_repr(F.transform("_origins", lambda s: s["step_id"]))).alias("message"))
+    row = lambda cond, rule, message: F.when(cond, F.struct(F.lit(rule).alias("rule"), message.alias("message")))
+    found = F.array_compact(F.array(
+        row(F.col("_unsorted") == 1, "unsorted_step_ids", F.lit(MSG_UNSORTED)),
+        row(F.size("_origins") > 1, "multiple_origins",
+            F.concat(F.lit("Multiple origin steps found: "), _list_repr(F.transform("_origins", lambda s: s["step_id"]))))))
+    of_chain = per_chain.select("chain_id", found.alias("_found")).filter(F.size("_found") > 0).select("chain_id", F.inline("_found"))
     origin_ok = steps.filter(F.col("is_origin") & F.col("is_correct")).select(
         "chain_id", F.lit("origin_marked_correct").alias("rule"),
         F.concat(F.lit("Origin step "), F.col("step_id").cast("string"), F.lit(" is marked as correct")).alias("message"))
-    # node set vs step-id set: symmetric difference through two anti-joins
-    ids = steps.select("chain_id", F.col("step_id").alias("node")).distinct()
-    nd = nodes.select("chain_id", "node").distinct()
-    mism = (ids.join(nd, ["chain_id", "node"], "left_anti")
-            .unionByName(nd.join(ids, ["chain_id", "node"], "left_anti"))
-            .select("chain_id").distinct()
-            .select("chain_id", F.lit("nodes_mismatch").alias("rule"), F.lit(MSG_NODES).alias("message")))
     bad_fmt = edges.filter(F.size("edge") != 2).select(
         "chain_id", F.lit("invalid_edge_format").alias("rule"),
         F.concat(F.lit("Invalid edge format: "), _list_repr("edge")).alias("message"))
     e2 = edges.filter(F.size("edge") == 2).select(
         "chain_id", "edge", F.col("edge")[0].alias("src"), F.col("edge")[1].alias("dst"))
-    found = nd.withColumn("_f", F.lit(1))
-    chk = (e2.join(found.select("chain_id", F.col("node").alias("src"), F.col("_f").alias("_fs")), ["chain_id", "src"], "left")
-             .join(found.select("chain_id", F.col("node").alias("dst"), F.col("_f").alias("_fd")), ["chain_id", "dst"], "left"))
-    bad_ref = (chk.filter(F.col("_fs").isNull() | F.col("_fd").isNull())
+    deps = steps.select("chain_id", "step_id", F.explode("depends_on").alias("dep"))
+    odd = _odd_nodes(steps, nodes, e2, deps)
+    once = lambda cond, rule, message: odd.filter(cond).select("chain_id").distinct().select(
+        "chain_id", F.lit(rule).alias("rule"), F.lit(message).alias("message"))
+    dup = once("_steps > 1 or (node is null and _steps > 0)", "duplicate_step_ids", MSG_DUPLICATE)
+    # node set vs step-id set; a null equals nothing
+    mism = once("(_steps > 0) <> _node or (_steps > 0 and (node is null or chain_id is null))", "nodes_mismatch", MSG_NODES)
+    lost = odd.filter("_edge and (not _node or node is null or chain_id is null)").select("chain_id", "node")
+    bad_ref = (_referring(_referring(_of_chains(e2, lost), lost, "src", "_ls"), lost, "dst", "_ld").filter("_ls or _ld")
                .select("chain_id", F.lit("edge_invalid_node").alias("rule"),
                        F.concat(F.lit("Edge references invalid node: "), _list_repr("edge")).alias("message")))
-    deps = steps.select("chain_id", "step_id", F.explode("depends_on").alias("dep"))
-    bad_dep = (deps.join(ids.withColumnRenamed("node", "dep"), ["chain_id", "dep"], "left_anti")
+    gone = odd.filter("_dep and (_steps = 0 or node is null or chain_id is null)").select("chain_id", "node")
+    bad_dep = (_referring(_of_chains(deps, gone), gone, "dep", "_l").filter("_l")
                .select("chain_id", F.lit("invalid_dependency").alias("rule"),
                        F.concat(F.lit("Step "), F.col("step_id").cast("string"), F.lit(" depends on invalid step_id "),
                                 F.col("dep").cast("string")).alias("message")))
-    return (dup.unionByName(unsorted).unionByName(multi).unionByName(origin_ok).unionByName(mism)
+    return (dup.unionByName(of_chain).unionByName(origin_ok).unionByName(mism)
             .unionByName(bad_fmt).unionByName(bad_ref).unionByName(bad_dep))
 
 
+def _odd_nodes(steps: DataFrame, nodes: DataFrame, e2: DataFrame, deps: DataFrame) -> DataFrame:
+    """(chain_id, node, _steps, _node, _edge, _dep): how many steps have the id, whether it is a node, an edge's end, a
+    dependency - of those ids only that break a rule.  One aggregate over all mentions of an id instead of a join a rule."""
+    of = lambda d, node, kind: d.select("chain_id", F.col(node).cast("long").alias("node"), F.lit(kind).alias("_kind"))
+    ends = e2.select("chain_id", F.explode(F.array(F.col("src").cast("long"), F.col("dst").cast("long"))).alias("node"), F.lit(2).alias("_kind"))
+    said = of(steps, "step_id", 0).unionByName(of(nodes, "node", 1)).unionByName(ends).unionByName(of(deps, "dep", 3))
+    kind = lambda k: F.coalesce(F.max(F.col("_kind") == k), F.lit(False))
+    state = said.groupBy("chain_id", "node").agg(F.count(F.when(F.col("_kind") == 0, 1)).alias("_steps"), kind(1).alias("_node"),
+                                                 kind(2).alias("_edge"), kind(3).alias("_dep"))
+    return cut_lineage(state.filter("_steps > 1 or (_steps > 0) <> _node or (_edge and not _node) or (_dep and _steps = 0) "
+                                    "or node is null or chain_id is null"))
+
+
+def _of_chains(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of the chains that ``ids`` names: few, where few chains break a rule."""
+    chains = broadcast_if_small(ids.select(F.col("chain_id").alias("_c")).distinct(), 1_000_000)
+    return rows.join(chains, F.col("chain_id").eqNullSafe(F.col("_c")), "left_semi")
+
+
+def _referring(rows: DataFrame, ids: DataFrame, node: str, out: str) -> DataFrame:
+    """``out``: whether the row's ``node`` is one of ``ids`` (distinct; nulls are ids too)."""
+    ids = ids.select(F.col("chain_id").alias("_c"), F.col("node").alias("_n"), F.lit(True).alias("_hit"))
+    on = F.col("chain_id").eqNullSafe(F.col("_c")) & F.col(node).eqNullSafe(F.col("_n"))
+    return rows.join(ids, on, "left").withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_c", "_n", "_hit")
+
+
 def validation_report(messages: DataFrame) -> DataFrame:
     """V1 summary: per rule, chains violating it and messages emitted."""
     return messages.groupBy("rule").agg(F.countDistinct("chain_id").alias("n_chains"),
@@ -140,9 +159,10 @@ def exact_medians(rows: DataFrame, key: str, cols: list[str]) -> DataFrame:
 def quality_report(steps: DataFrame, chains: DataFrame, messages: DataFrame) -> DataFrame:
     """V2 + V3 per domain: validity, length stats (population std), error-rate
     and origin-position mean/median, total and distinct messages."""
+    messages = cut_lineage(messages.select("chain_id", "message"))  # read twice, as are the profiles
     prof = chain_profile(steps, chains)
     bad = messages.select("chain_id").distinct().withColumn("_invalid", F.lit(1))
-    prof = prof.join(bad, "chain_id", "left")
+    prof = cut_lineage(prof.join(bad, "chain_id", "left").drop("chain_id"))
     msg_dom = messages.join(chains.select("chain_id", "domain"), "chain_id").groupBy("domain").agg(
         F.count(F.lit(1)).alias("total_errors"), F.countDistinct("message").alias("unique_errors"))
     rep = prof.groupBy("domain").agg(

@@ -24,7 +24,7 @@ from tracewise.session import cut_lineage
 
 def validation_input(spark, sf_dir):
     # the rules read the steps many times: materialise them once
-    s = cut_lineage(order_steps(spark, sf_dir))
+    s = cut_lineage(order_steps(spark, sf_dir).select("chain_id", "idx", "domain", "is_correct", "is_origin"))
     m = F.col("chain_id") % 50
     idx = F.col("idx")
     steps = s.select(
