@@ -68,3 +68,26 @@ def test_messages_of_each_rule_with_nulls_and_repeats(spark):
                           (3, "edge_invalid_node"), (2, "invalid_dependency"), (4, "invalid_dependency")])
     plan = _plan(messages)
     assert "count(distinct" not in plan and "LeftAnti" not in plan
+
+
+def test_converted_chains_are_kept_without_texts(spark, monkeypatch, tmp_path):
+    from tracewise import session
+    from tracewise.plans import catalog_convert, catalog_graph, catalog_validate
+
+    kept = []
+
+    def cut(df):
+        kept.append(df.schema.simpleString())
+        return df
+
+    for m in (session, catalog_graph, catalog_validate):
+        monkeypatch.setattr(m, "cut_lineage", cut)
+    d = str(tmp_path)
+    spark.createDataFrame([(1, 1, 7, 3, 10.0, 100.0, 0.05, 0.01, "R", "O", "2024-01-01")],
+                          "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                          "l_returnflag string, l_linestatus string, l_shipdate string").write.parquet(f"{d}/lineitem.parquet")
+    catalog_convert._converted(spark, d)
+    catalog_validate.validation_input(spark, d)
+    monkeypatch.setattr(catalog_graph.E, "propagation_summary", lambda *a: a)
+    catalog_graph.q_propagation(spark, d)
+    assert len(kept) == 3 and not any("text" in k for k in kept)

@@ -41,16 +41,16 @@ def _chain(domain, query_id, query, truth, steps, edges) -> list[F.Column]:
                      edges.alias("edges")).alias("dependency_graph")]
 
 
-def to_long(chains: DataFrame, id_col: str = "query_id") -> DataFrame:
-    """Nested chains -> (chain_id, idx, step fields..., domain).
+def to_long(chains: DataFrame, id_col: str = "query_id", fields: list[str] = STEP_FIELDS) -> DataFrame:
+    """Nested chains -> (chain_id, idx, domain, step fields...), all ``fields`` or those asked for.
 
     ``inline`` over structs that already carry the position: selecting fields
     after ``posexplode`` lets the optimizer push each field extraction into
     the generator input, re-evaluating the step array once per field."""
     withidx = F.transform("reasoning_steps", lambda s, i: F.struct(i.cast("long").alias("idx"),
-                                                                  *[s[f].alias(f) for f in STEP_FIELDS]))
+                                                                  *[s[f].alias(f) for f in fields]))
     return chains.select(F.col(id_col).alias("chain_id"), "domain", F.inline(withidx)).select(
-        "chain_id", "idx", "domain", *STEP_FIELDS)
+        "chain_id", "idx", "domain", *fields)
 
 
 def to_nested(steps: DataFrame, id_col: str = "chain_id") -> DataFrame:

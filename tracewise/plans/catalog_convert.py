@@ -107,8 +107,12 @@ def _converted(spark, sf_dir):
     """Ids of all converted chains, and the validation messages about them."""
     from tracewise.session import cut_lineage
     # every validation rule reads the converted chains: build them once
-    chains = cut_lineage(convert.convert_math(math_raw(spark, sf_dir)))
-    lg = convert.to_long(chains).withColumn("depends_on", F.col("depends_on").cast("array<bigint>"))
+    # (the rules judge ids, labels and dependencies; texts need not be kept for them)
+    fields = ["step_id", "is_correct", "is_origin", "depends_on"]
+    steps = F.transform("reasoning_steps", lambda s: F.struct(*[s[f].alias(f) for f in fields]))
+    chains = convert.convert_math(math_raw(spark, sf_dir)).select("domain", "query_id", steps.alias("reasoning_steps"), "dependency_graph")
+    chains = cut_lineage(chains)
+    lg = convert.to_long(chains, fields=fields).withColumn("depends_on", F.col("depends_on").cast("array<bigint>"))
     nodes = chains.select(F.col("query_id").alias("chain_id"), F.explode("dependency_graph.nodes").alias("node"))
     edges = chains.select(F.col("query_id").alias("chain_id"), F.explode("dependency_graph.edges").alias("edge"))
     msgs = validate.validation_messages(lg.withColumn("step_id", F.col("step_id").cast("long")),
