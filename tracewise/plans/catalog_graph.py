@@ -16,7 +16,7 @@ from tracewise.operators import propagate as E
 from tracewise.plans.catalog_validate import validation_input
 from tracewise.plans.registry import register
 from tracewise.session import cut_lineage
-from tracewise.sources.fixtures import (SQL_VIEWS, order_edges, order_model_scores, order_scores, order_steps, vec_steps,
+from tracewise.sources.fixtures import (SQL_VIEWS, order_edges, order_model_scores, order_scores, order_steps, step_scores, vec_steps,
                                         with_views)
 
 SQL_VIEWS.update({
@@ -354,8 +354,9 @@ _PROP_SQL = """
            round(coalesce((select avg(ratio) from ct), 0), 6) + 0.0 as avg_contamination_ratio,
            (select count(*) from ip) as num_intervention_points""", "order_steps", "order_scores", "order_edges"))
 def q_propagation(spark, sf_dir):
-    s = cut_lineage(order_steps(spark, sf_dir))  # read by every section
-    pred = order_scores(spark, sf_dir).filter(F.col("origin_prob") > 0.5).select("chain_id", "idx")
+    s = order_steps(spark, sf_dir).select("chain_id", "idx", "domain", "model_type", "is_correct", "is_origin", "risk")
+    s = cut_lineage(s)  # read by every section
+    pred = step_scores(s).filter(F.col("origin_prob") > 0.5).select("chain_id", "idx")
     return E.propagation_summary(s, order_edges(s), pred)
 
 

@@ -92,7 +92,11 @@ def order_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     node_prob = 1 - risk (probability the step is correct); origin_prob = risk.
     """
-    s = order_steps(spark, sf_dir)
+    return step_scores(order_steps(spark, sf_dir))
+
+
+def step_scores(s: DataFrame) -> DataFrame:
+    """``order_scores`` of the steps at hand."""
     return s.select(
         "chain_id", "idx", "domain", "model_type",
         F.round(1 - F.col("risk"), 6).alias("node_prob"),
