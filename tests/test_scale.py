@@ -91,3 +91,12 @@ def test_converted_chains_are_kept_without_texts(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(catalog_graph.E, "propagation_summary", lambda *a: a)
     catalog_graph.q_propagation(spark, d)
     assert len(kept) == 3 and not any("text" in k for k in kept)
+
+
+def test_mentions_are_matched_once(spark, monkeypatch):
+    from tracewise.operators import memory
+
+    steps = spark.createDataFrame([(1, 0, 0, "x = 1 and Ann is here"), (1, 1, 0, "x = 2 and Ann is gone")], "conv_id long, turn long, step_idx long, text string")
+    out = memory.memory_features(steps.select("conv_id", "turn"), steps)
+    assert "regexp_extract_all" not in _plan(out)
+    assert [r.num_contradictions for r in out.orderBy("turn").collect()] == [0, 2]

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewise.functions.common import PY_WS, WORD_RE, r6, safe_div
+from tracewise.session import cut_lineage
 
 # Fixed values (reference): words never treated as names, decay rate, windows.
 NAME_STOP = ["The", "A", "An", "If", "Then"]
@@ -152,8 +153,9 @@ def confidence_decay(age, base=1.0) -> F.Column:
 
 def memory_features(turns: DataFrame, turn_steps: DataFrame) -> DataFrame:
     """H11 + H12 + H13 per (conv_id, turn)."""
-    ent = extract_entities(turn_steps)
-    cl = extract_claims(turn_steps)
+    # each is read several times below: matched once
+    ent = cut_lineage(extract_entities(turn_steps).select("conv_id", "turn", "step_idx", "pos", "name", "vkey", "value"))
+    cl = cut_lineage(extract_claims(turn_steps))
     ec = entity_conflicts(ent).groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_ec"))
     cc = claim_conflicts(cl).groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_cc"))
     em = value_changes(ent).groupBy("conv_id", "turn").agg(
