@@ -158,7 +158,9 @@ def q_read_dataset(spark, sf_dir):
     return io.read_dataset(spark, path).select("chain_id", "domain")
 
 
-FILES = 4  # parts of a model
+FILES = 4  # parts of a model at least
+FILE_CHAINS = 50_000  # chains of a part, about, where that asks for more
+MODELS = 4
 
 
 @register("chain_files", "IO5 IO7 IO12", with_views("""
@@ -174,8 +176,10 @@ def q_chain_files(spark, sf_dir):
     chains = convert.convert_math(math_raw(spark, sf_dir)).join(model, "query_id")
     chains = chains.withColumn("domain", F.when(F.col("query_id").cast("long") % 89 == 0, "poetry").otherwise(F.col("domain")))
     path = _scratch(spark, "chains")
-    part = F.pmod(F.xxhash64("query_id"), F.lit(FILES))
-    io.write_chains_jsonl(chains.repartition("model", part), path, partition_by=["model"])
+    # as many parts as keep a task's share the same, however many chains there are
+    files = max(FILES, -(-table(spark, sf_dir, "orders").count() // (MODELS * FILE_CHAINS)))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(files))
+    io.write_chains_jsonl(chains.repartition(MODELS * files, "model", part), path, partition_by=["model"])
     io.name_files(spark, path, "model", "{}_math_chains-{:05d}.jsonl")
     keyed = io.key_from_file_name(io.read_chains(spark, f"{path}/*.jsonl"))
     stats = io.key_from_file_name(io.file_stats(keyed))
