@@ -102,3 +102,18 @@ def test_no_tree_comes_to_the_driver(spark, monkeypatch):
     assert not held and spark.read.parquet(trees.path).count() == 6
     assert classify.predict(model, test).count() == test.count()
     assert classify.feature_importance(model, 1).first().feature == "num_steps"
+
+
+def test_a_verdict_predicts_each_row_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def guess(p):
+        calls.add(1)
+        return [p, 1 - p]
+
+    pred = spark.createDataFrame([(1, 0.2), (2, 0.7)], "chain_id long, p double").select(
+        "chain_id", array_to_vector(F.udf(guess, "array<double>")("p")).alias("probability"))
+    shown = spark.createDataFrame([("a", "A"), ("b", "B")], "label_name string, display string")
+    out = classify.verdict(pred, ["a", "b"], shown).collect()
+    assert {r.chain_id: r.verdict for r in out} == {1: "B", 2: "A"}
+    assert calls.value == 2
