@@ -86,6 +86,21 @@ def test_forest_in_any_layout_saved_and_loaded(spark, tmp_path):
     assert again.getNumTrees() == 9 and again.totalNumNodes == model.totalNumNodes
 
 
+def test_blocks_come_to_a_task_a_few_at_a_time(spark):
+    df = _table(spark)
+    forest.Forest(numTrees=2, maxDepth=2).fit(df)
+    block = F.repeat(F.lit("x"), 540_000).cast("binary")
+
+    def size(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]}, schema=pa.schema([("n", pa.int32())]))
+
+    seen = [r.n for r in spark.range(0, 60, 1, 1).select(block.alias("x")).mapInArrow(size, "n int").collect()]
+    assert sum(seen) == 60 and max(seen) * 540_000 <= forest.BATCH_BYTES + 540_000
+
+
 def _fingerprints(spark):
     x = {c: F.pmod(F.xxhash64("chain_id", F.lit(c)), F.lit(9)).cast("double") for c in FEATURE_NAMES}
     return spark.range(400).withColumnRenamed("id", "chain_id").select("chain_id", *[v.alias(c) for c, v in x.items()]).withColumn(

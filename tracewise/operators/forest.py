@@ -40,6 +40,7 @@ CELLS = 1 << 20  # counts (node x bin x class) that are held at a time
 SAMPLE = 10_000  # rows, about, that the borders of the bins are found in
 VOTE = 1 << 40  # a tree's vote in whole numbers: sums do not depend on their order
 LEAST_GAIN = 1e-12  # less is rounding
+BATCH_BYTES = 8 << 20  # of rows that Spark hands to Python at once
 
 
 # --- one tree -------------------------------------------------------------------------
@@ -258,6 +259,14 @@ def _blocks(df: DataFrame) -> DataFrame:
     return df.select("bins", F.col("y").cast("int").alias("y"), F.col("n").cast("long").alias("n")).mapInArrow(pack, "at binary, x binary, y binary, n binary")
 
 
+def _small_batches(spark) -> None:
+    """Hand at most BATCH_BYTES at a time to Python, so that a group's blocks stream through it (only ever lowers the setting)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, f"{BATCH_BYTES + 1}b"))
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def _groups(spark, trees: int) -> list[int]:
     """A key for each group of trees: keys that a repartition by ``g`` into as many partitions deals to one each."""
     n = min(trees, 2 * max(1, spark.sparkContext.defaultParallelism))
@@ -304,6 +313,7 @@ class Forest(Estimator, _Forest, DefaultParamsReadable, DefaultParamsWritable):
         spark, seed, bins, depth = df.sparkSession, self.getSeed(), self.getOrDefault(self.maxBins), self.getMaxDepth()
         if not 2 <= bins <= 256:
             raise ValueError("maxBins must be from 2 to 256")
+        _small_batches(spark)
         df = df.select(F.col(self.getFeaturesCol()).alias("v"), F.col(self.getLabelCol()).cast("long").alias("y"))
         rows, top = df.agg(F.count(F.lit(1)), F.max("y")).first()
         if not rows:
@@ -357,6 +367,7 @@ class ForestModel(Model, _Forest, MLReadable, MLWritable):
     def _transform(self, df: DataFrame) -> DataFrame:
         spark, width, classes = df.sparkSession, len(self.cuts), self.numClasses
         keys = _groups(spark, self.getNumTrees())
+        _small_batches(spark)
         df = df.withColumn("_bins", _binned(self.getFeaturesCol(), self.cuts))
         rows = _blocks(df.groupBy(F.col("_bins").alias("bins")).agg(F.lit(0).alias("y"), F.lit(1).alias("n")))
         key = F.element_at(F.array(*[F.lit(k).cast("int") for k in keys]), F.pmod("tree", F.lit(len(keys))) + 1)
