@@ -100,3 +100,36 @@ def test_mentions_are_matched_once(spark, monkeypatch):
     out = memory.memory_features(steps.select("conv_id", "turn"), steps)
     assert "regexp_extract_all" not in _plan(out)
     assert [r.num_contradictions for r in out.orderBy("turn").collect()] == [0, 2]
+
+
+def test_chain_files_deal_the_lines_out_once(spark, monkeypatch, tmp_path):
+    from tracewise.plans import catalog_library
+
+    d, written = str(tmp_path), []
+    lines = [(k, n, 7, (k or 0) % 3 + n, 10.0, 100.0, 0.05, 0.01, "R" if n else "A", "O", "2024-01-01") for k in (1, 2, 3, 88, 89, 178, None) for n in (1, 2, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, "
+                                 "l_tax double, l_returnflag string, l_linestatus string, l_shipdate string").write.parquet(f"{d}/lineitem.parquet")
+    spark.range(300).withColumnRenamed("id", "o_orderkey").write.parquet(f"{d}/orders.parquet")
+    write = catalog_library.io.write_chains_jsonl
+
+    def spy(chains, path, **kw):
+        written.append((chains._jdf.queryExecution().executedPlan().toString(), path))
+        write(chains, path, **kw)
+
+    monkeypatch.setattr(catalog_library.io, "write_chains_jsonl", spy)
+    out = {tuple(r) for r in catalog_library.q_chain_files(spark, d).collect()}
+    # the model is that of the first line's supplier, k % 3 + 1; the lines of no order are no chain
+    assert out == _by_hand(lines)
+    plan, path = written[0]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    chains = spark.read.json(f"{path}/*.jsonl.gz")
+    assert chains.count() == 6 and {len(r.reasoning_steps) for r in chains.collect()} == {3}
+
+
+def _by_hand(lines):
+    first = {}
+    for k, n, _, supp, *_ in lines:
+        if k is not None and (k not in first or (n, supp) < first[k]):
+            first[k] = (n, supp)
+    models = {k: f"model{s % 4}" for k, (_, s) in first.items()}
+    return {(m, "math", len(ks), sum(k % 89 != 0 for k in ks), sum(k % 89 == 0 for k in ks)) for m in set(models.values()) for ks in [[k for k in models if models[k] == m]]}

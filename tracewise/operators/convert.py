@@ -70,12 +70,13 @@ def to_nested(steps: DataFrame, id_col: str = "chain_id") -> DataFrame:
 # C1 math step ratings
 # ---------------------------------------------------------------------------
 
-def convert_math(raw: DataFrame, id_col: str = "query_id") -> DataFrame:
+def convert_math(raw: DataFrame, id_col: str = "query_id", keep=()) -> DataFrame:
     """Zip pre-generated steps with label steps (shorter wins), skip steps
     without completions, rating = completions[0].rating; correct iff 1;
     origin = first -1; every non-correct step (0 included) is 'logical';
     step_id and depends_on keep the original index i (gaps stay, T1);
-    nodes 0..kept-1 and sequential edges over kept steps."""
+    nodes 0..kept-1 and sequential edges over kept steps.  Columns named in
+    ``keep`` go along."""
     pre = F.col("question.pre_generated_steps")
     lab = F.col("label.steps")
     n = F.least(F.size(pre), F.size(lab))
@@ -89,13 +90,13 @@ def convert_math(raw: DataFrame, id_col: str = "query_id") -> DataFrame:
     # stage the arrays: a lambda must only touch materialised columns, or the
     # whole array expression is re-evaluated for every element
     st = raw.select(F.col(id_col).alias("_id"), F.col("question.problem").alias("_q"),
-                    F.col("question.ground_truth_answer").alias("_gt"), rated.alias("_rated"))
+                    F.col("question.ground_truth_answer").alias("_gt"), rated.alias("_rated"), *keep)
     st = st.withColumn("_origin", F.array_min(F.transform(F.filter("_rated", lambda s: s["r"] == -1), lambda s: s["i"])))
     origin = F.col("_origin")
     steps = F.transform("_rated", lambda s: _step(
         s["i"], s["t"], F.coalesce(s["r"] == 1, F.lit(False)), F.coalesce(s["i"] == origin, F.lit(False)),
         F.when(F.coalesce(s["r"] == 1, F.lit(False)), F.lit(None)).otherwise(F.lit("logical")), _deps(s["i"])))
-    return st.select(*_chain(F.lit("math"), F.col("_id"), F.col("_q"), F.col("_gt"), steps, _seq_edges(F.size("_rated"))))
+    return st.select(*_chain(F.lit("math"), F.col("_id"), F.col("_q"), F.col("_gt"), steps, _seq_edges(F.size("_rated"))), *keep)
 
 
 # ---------------------------------------------------------------------------

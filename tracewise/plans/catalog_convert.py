@@ -25,13 +25,14 @@ from tracewise.sources.tables import table
 _STRIP = f"regexp_replace(s, '^{PY_WS}+|{PY_WS}+$', '', 'g')"
 
 
-def math_raw(spark, sf_dir):
-    x = order_lines(spark, sf_dir)
+def math_raw(spark, sf_dir, partitions=None, keep=()):
+    """The raw records of the orders; ``keep`` names columns of the lines that are the same in all lines of an order."""
+    x = order_lines(spark, sf_dir, partitions)
     rating = F.when(F.col("l_returnflag") == "R", -1).when(F.col("l_returnflag") == "A", 1).otherwise(0)
     text = F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit(" qty "),
                     F.floor("l_quantity").cast("long").cast("string"))
-    rows = x.select("chain_id", F.struct("idx", text.alias("t"), rating.alias("r"), F.col("l_quantity").alias("q")).alias("s"))
-    g = rows.groupBy("chain_id").agg(F.array_sort(F.collect_list("s")).alias("ls"))
+    rows = x.select("chain_id", F.struct("idx", text.alias("t"), rating.alias("r"), F.col("l_quantity").alias("q")).alias("s"), *keep)
+    g = rows.groupBy("chain_id").agg(F.array_sort(F.collect_list("s")).alias("ls"), *[F.first(c).alias(c) for c in keep])
     labels = F.when(F.col("chain_id") % 5 == 0, F.slice("ls", 1, F.size("ls") - 1)).otherwise(F.col("ls"))
     comp = F.transform(labels, lambda s: F.struct(F.when(s["q"] < 5, F.array().cast("array<struct<rating:int>>"))
                                                   .otherwise(F.array(F.struct(s["r"].cast("int").alias("rating"))))
@@ -40,7 +41,7 @@ def math_raw(spark, sf_dir):
                     F.struct(F.concat(F.lit("order "), F.col("chain_id").cast("string")).alias("problem"),
                              F.lit("").alias("ground_truth_answer"),
                              F.transform("ls", lambda s: s["t"]).alias("pre_generated_steps")).alias("question"),
-                    F.struct(comp.alias("steps")).alias("label"))
+                    F.struct(comp.alias("steps")).alias("label"), *keep)
 
 
 SQL_VIEWS.update({

@@ -20,7 +20,7 @@ from tracewise.plans.registry import ORACLES, QUERIES, register
 from tracewise.plans.shared import fingerprints
 from tracewise.session import checkpoint_dir, cut_lineage
 from tracewise.sources import io
-from tracewise.sources.fixtures import doc_steps, order_chains, order_edges, order_lines, order_steps, with_views
+from tracewise.sources.fixtures import doc_steps, order_chains, order_edges, order_steps, with_views
 from tracewise.sources.tables import table
 
 _QUERY = "Which parts does order "
@@ -169,19 +169,18 @@ MODELS = 4
            count(*) filter (where chain_id % 89 <> 0) as valid, count(*) filter (where chain_id % 89 = 0) as invalid
     from o group by 1""", "order_base"))
 def q_chain_files(spark, sf_dir):
-    """Several JSONL files a model, named ``{model}_{domain}_chains-NNNNN.jsonl``, each written by a task of its own; every 89th chain has a
-    domain that the schema lacks."""
-    model = order_lines(spark, sf_dir).filter("idx = 0").select(
-        F.col("chain_id").cast("string").alias("query_id"), F.concat(F.lit("model"), (F.col("first_supp") % 4).cast("string")).alias("model"))
-    chains = convert.convert_math(math_raw(spark, sf_dir)).join(model, "query_id")
-    chains = chains.withColumn("domain", F.when(F.col("query_id").cast("long") % 89 == 0, "poetry").otherwise(F.col("domain")))
-    path = _scratch(spark, "chains")
+    """Several JSONL files a model, gzipped and named ``{model}_{domain}_chains-NNNNN.jsonl.gz``: every task writes one for each model that
+    its chains have; every 89th chain has a domain that the schema lacks."""
     # as many parts as keep a task's share the same, however many chains there are
     files = max(FILES, -(-table(spark, sf_dir, "orders").count() // (MODELS * FILE_CHAINS)))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(files))
-    io.write_chains_jsonl(chains.repartition(MODELS * files, "model", part), path, partition_by=["model"])
-    io.name_files(spark, path, "model", "{}_math_chains-{:05d}.jsonl")
-    keyed = io.key_from_file_name(io.read_chains(spark, f"{path}/*.jsonl"))
+    # the lines are dealt out once, by order; the chains are built and written where their lines are
+    chains = convert.convert_math(math_raw(spark, sf_dir, files, ["first_supp"]), keep=["first_supp"]).filter(F.col("query_id").isNotNull())
+    chains = chains.withColumn("model", F.concat(F.lit("model"), (F.col("first_supp") % 4).cast("string"))).drop("first_supp")
+    chains = chains.withColumn("domain", F.when(F.col("query_id").cast("long") % 89 == 0, "poetry").otherwise(F.col("domain")))
+    path = _scratch(spark, "chains")
+    io.write_chains_jsonl(chains, path, compression="gzip", partition_by=["model"])
+    io.name_files(spark, path, "model", "{}_math_chains-{:05d}.jsonl.gz")
+    keyed = io.key_from_file_name(io.read_chains(spark, f"{path}/*.jsonl.gz"))
     stats = io.key_from_file_name(io.file_stats(keyed))
     return stats.groupBy("model_type", "file_domain").agg(*[F.sum(c).alias(c) for c in ("total", "valid", "invalid")])
 

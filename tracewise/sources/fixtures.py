@@ -25,9 +25,11 @@ from tracewise.sources.tables import table
 _ORDER_KEYS = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem with a dense per-order position; one shuffle on l_orderkey."""
+def order_lines(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    """lineitem with a dense per-order position; one shuffle on l_orderkey (into ``partitions``, when given)."""
     li = table(spark, sf_dir, "lineitem")
+    if partitions:
+        li = li.repartition(partitions, "l_orderkey")
     w = Window.partitionBy("l_orderkey").orderBy(*_ORDER_KEYS)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     wrong = F.when(F.col("l_returnflag") != "R", 0).otherwise(1)
