@@ -59,11 +59,13 @@ def validation_messages(steps: DataFrame, nodes: DataFrame, edges: DataFrame) ->
         "chain_id", "edge", F.col("edge")[0].alias("src"), F.col("edge")[1].alias("dst"))
     deps = steps.select("chain_id", "step_id", F.explode("depends_on").alias("dep"))
     odd = _odd_nodes(steps, nodes, e2, deps)
-    once = lambda cond, rule, message: odd.filter(cond).select("chain_id").distinct().select(
-        "chain_id", F.lit(rule).alias("rule"), F.lit(message).alias("message"))
-    dup = once("_steps > 1 or (node is null and _steps > 0)", "duplicate_step_ids", MSG_DUPLICATE)
+    any_of = lambda cond: F.coalesce(F.max(F.expr(cond)), F.lit(False))
     # node set vs step-id set; a null equals nothing
-    mism = once("(_steps > 0) <> _node or (_steps > 0 and (node is null or chain_id is null))", "nodes_mismatch", MSG_NODES)
+    by_chain = odd.groupBy("chain_id").agg(
+        any_of("_steps > 1 or (node is null and _steps > 0)").alias("_dup"),
+        any_of("(_steps > 0) <> _node or (_steps > 0 and (node is null or chain_id is null))").alias("_mism"))
+    of_ids = by_chain.select("chain_id", F.inline(F.array_compact(F.array(
+        row(F.col("_dup"), "duplicate_step_ids", F.lit(MSG_DUPLICATE)), row(F.col("_mism"), "nodes_mismatch", F.lit(MSG_NODES))))))
     lost = odd.filter("_edge and (not _node or node is null or chain_id is null)").select("chain_id", "node")
     bad_ref = (_referring(_referring(_of_chains(e2, lost), lost, "src", "_ls"), lost, "dst", "_ld").filter("_ls or _ld")
                .select("chain_id", F.lit("edge_invalid_node").alias("rule"),
@@ -73,7 +75,7 @@ def validation_messages(steps: DataFrame, nodes: DataFrame, edges: DataFrame) ->
                .select("chain_id", F.lit("invalid_dependency").alias("rule"),
                        F.concat(F.lit("Step "), F.col("step_id").cast("string"), F.lit(" depends on invalid step_id "),
                                 F.col("dep").cast("string")).alias("message")))
-    return (dup.unionByName(of_chain).unionByName(origin_ok).unionByName(mism)
+    return (of_ids.unionByName(of_chain).unionByName(origin_ok)
             .unionByName(bad_fmt).unionByName(bad_ref).unionByName(bad_dep))
 
 
@@ -92,13 +94,13 @@ def _odd_nodes(steps: DataFrame, nodes: DataFrame, e2: DataFrame, deps: DataFram
 
 def _of_chains(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of the chains that ``ids`` names: few, where few chains break a rule."""
-    chains = broadcast_if_small(ids.select(F.col("chain_id").alias("_c")).distinct(), 1_000_000)
+    chains = broadcast_if_small(ids.select(F.col("chain_id").alias("_c")), 1_000_000)
     return rows.join(chains, F.col("chain_id").eqNullSafe(F.col("_c")), "left_semi")
 
 
 def _referring(rows: DataFrame, ids: DataFrame, node: str, out: str) -> DataFrame:
     """``out``: whether the row's ``node`` is one of ``ids`` (distinct; nulls are ids too)."""
-    ids = ids.select(F.col("chain_id").alias("_c"), F.col("node").alias("_n"), F.lit(True).alias("_hit"))
+    ids = broadcast_if_small(ids.select(F.col("chain_id").alias("_c"), F.col("node").alias("_n"), F.lit(True).alias("_hit")))
     on = F.col("chain_id").eqNullSafe(F.col("_c")) & F.col(node).eqNullSafe(F.col("_n"))
     return rows.join(ids, on, "left").withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_c", "_n", "_hit")
 
